@@ -95,7 +95,7 @@ WHERE (pos - 1) % 3 = 0 GROUP BY ALL""")
 def dicodon_counts(t):
     codons = t.nts.select("lang", R.blocks("s", 3).alias("c"))
     return (
-        codons.select("lang", F.inline(F.arrays_zip("c", F.expr("slice(c, 2, 2147483647)"))).alias("codon1", "codon2"))
+        codons.select("lang", F.inline(F.arrays_zip("c", F.slice("c", F.lit(2), F.size("c")))).alias("codon1", "codon2"))
         .filter("codon2 IS NOT NULL").groupBy("lang", "codon1", "codon2").agg(F.count("*").alias("n"))
     )
 
@@ -129,8 +129,8 @@ STACK_ROWS = ", ".join(f"('{a}{b}', {STACK_H[4 * i + j]}, {STACK_S[4 * i + j]})"
 
 @query("A5", f"""WITH {NT}, stack(w, h, e) AS (VALUES {STACK_ROWS}), {words('nt', 2)},
 g AS (SELECT seq_id, count(*) AS stacks, sum(h) AS h, sum(e) AS e FROM words JOIN stack USING (w) GROUP BY seq_id)
-SELECT seq_id, stacks, round((19 + h) / 10.0::DOUBLE, 4) AS dh, round((-39 + e) / 10.0::DOUBLE, 4) AS ds,
- round((19 + h) / 10.0::DOUBLE - 0.31015::DOUBLE * ((-39 + e) / 10.0::DOUBLE), 4) AS dg37 FROM g""")
+SELECT seq_id, stacks, (19 + h) / 10.0::DOUBLE AS dh, (-39 + e) / 10.0::DOUBLE AS ds,
+ ((19 + h) * 100000 - 31015 * (-39 + e)) / 1000000.0::DOUBLE AS dg37 FROM g""")
 def duplex_thermodynamics(t):
     n1 = F.instr(F.lit("ACGT"), F.substring("word", 1, 1)) - 1
     n2 = F.instr(F.lit("ACGT"), F.substring("word", 2, 1)) - 1
@@ -139,9 +139,10 @@ def duplex_thermodynamics(t):
     per = K.word_counts(t.nts, 2, "seq_id").groupBy("seq_id").agg(
         F.sum("n").alias("stacks"), F.sum(h * F.col("n")).alias("h"), F.sum(e * F.col("n")).alias("e")
     )
-    dh, ds = (F.col("h") + 19) / 10.0, (F.col("e") - 39) / 10.0
+    h, e = F.col("h") + 19, F.col("e") - 39
     return per.select(
-        "seq_id", "stacks", F.round(dh, 4).alias("dh"), F.round(ds, 4).alias("ds"), F.round(dh - F.lit(0.31015) * ds, 4).alias("dg37")
+        "seq_id", "stacks", (h / 10.0).alias("dh"), (e / 10.0).alias("ds"),
+        ((h * 100000 - e * 31015) / 1000000.0).alias("dg37"),
     )
 
 
