@@ -1,4 +1,4 @@
-"""Maximal runs inside one string, found with array functions in linear time."""
+"""Maximal runs inside one string, found with two regex passes in linear time."""
 
 from __future__ import annotations
 
@@ -6,30 +6,25 @@ from pyspark.sql import Column, functions as F
 
 from strandframe.functions.residues import col
 
+LETTER = "[A-Za-z]"
+GAP = "-"
 
-def is_letter(c: Column) -> Column:
-    return c.between("A", "Z") | c.between("a", "z")
 
+def _marked(text: Column, regex: str, shift: int) -> Column:
+    """Positions of the characters that ``regex`` marks, plus ``shift``."""
+    chars = F.split(F.regexp_replace(text, regex, "\u0001"), "")
+    return F.filter(F.transform(chars, lambda ch, i: F.when(ch == "\u0001", i + shift)), lambda x: x.isNotNull())
 
-def is_gap(c: Column) -> Column:
-    return c == "-"
 
-
-def runs(c, inside=is_letter) -> Column:
-    """Array of struct(l, r): half-open 0-based ranges of the runs where ``inside`` holds."""
-    chars = F.split(col(c), "")
-    before = F.concat(F.array(F.lit("")), chars)
-    after = F.concat(F.slice(chars, F.lit(2), F.size(chars)), F.array(F.lit("")))
-
-    def edges(other: Column, shift: int) -> Column:
-        edge = F.zip_with(chars, other, lambda x, o: F.coalesce(inside(x) & (~inside(o) | (o == "")), F.lit(False)))
-        marked = F.transform(edge, lambda b, i: F.when(b, i + shift))
-        return F.filter(marked, lambda x: x.isNotNull())
-
-    return F.zip_with(edges(before, 0), edges(after, 1), lambda l, r: F.struct(l.alias("l"), r.alias("r")))
+def runs(c, inside: str = LETTER) -> Column:
+    """Array of struct(l, r): half-open 0-based ranges of the runs of the character class ``inside``."""
+    text = col(c)
+    starts = _marked(text, f"(?<!{inside}){inside}", 0)
+    ends = _marked(text, f"{inside}(?!{inside})", 1)
+    return F.zip_with(starts, ends, lambda l, r: F.struct(l.alias("l"), r.alias("r")))
 
 
 def residue_sites(c) -> Column:
     """Sites (1-based) of the non-gap characters of an aligned row, in residue order."""
-    marked = F.transform(F.split(col(c), ""), lambda ch, i: F.when(is_letter(ch), i + 1))
+    marked = F.transform(F.split(col(c), ""), lambda ch, i: F.when(~ch.isin("-", ""), i + 1))
     return F.filter(marked, lambda x: x.isNotNull())

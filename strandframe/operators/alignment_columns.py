@@ -97,7 +97,7 @@ def pair_statistics(pairs: DataFrame, *keys: str) -> DataFrame:
 
 def gap_runs(rows: DataFrame) -> DataFrame:
     """Internal and leading gap runs of each row: ``(msa_id, member, gps, gln)``, gps 0-based."""
-    d = rows.select("msa_id", "member", F.inline(U.runs("a", U.is_gap)))
+    d = rows.select("msa_id", "member", F.inline(U.runs("a", U.GAP)))
     return d.select("msa_id", "member", F.col("l").alias("gps"), (F.col("r") - F.col("l")).alias("gln"))
 
 
