@@ -62,9 +62,10 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     chosen = None
     while not rest.isEmpty():
         sides = rest.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("dist", "u", "v", "cu", "cv").alias("e"))
-        picks = cut_lineage(sides.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
-        chosen = picks if chosen is None else chosen.unionByName(picks)
-        label = components(picks.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        picks = cut_lineage(sides.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"))
+        kept = picks.drop("c").distinct()
+        chosen = kept if chosen is None else chosen.unionByName(kept)
+        label = _merge_labels(picks)
         a = label.select(F.col("node").alias("cu"), F.col("component").alias("nu"))
         b = label.select(F.col("node").alias("cv"), F.col("component").alias("nv"))
         rest = cut_lineage(
@@ -74,6 +75,25 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "dist").limit(0) if chosen is None else chosen.select("u", "v", "dist")
 
 
+def _merge_labels(picks: DataFrame) -> DataFrame:
+    """``(node, component)`` of components joined by their picks, by pointer jumping.
+
+    Following picks ends in one mutual pair per merged component (the order of
+    edges is total); the smaller of the two becomes the root.
+    """
+    target = F.when(F.col("c") == F.col("cu"), F.col("cv")).otherwise(F.col("cu"))
+    to = picks.select("c", target.alias("p"))
+    back = to.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+    root = (F.col("pp") == F.col("c")) & (F.col("c") < F.col("p"))
+    jump = cut_lineage(to.join(back, "p", "left").select("c", F.when(root, F.col("c")).otherwise(F.col("p")).alias("p")))
+    while True:
+        ahead = jump.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+        step = cut_lineage(jump.join(ahead, "p").select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        jump = step.select("c", "p")
+        if step.filter("moved").isEmpty():
+            return jump.select(F.col("c").alias("node"), F.col("p").alias("component"))
+
+
 def forest_report(forest: DataFrame) -> DataFrame:
     """Trees of a forest: ``(component, size, height, length)``."""
     label = components(forest)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value, how, name: str, inclusive: bool) -> DataFrame:
+def running(df: DataFrame, keys: list[str], bucket: str, order: list, value, how, name: str, inclusive: bool) -> DataFrame:
     """Add ``name``: ``how`` (F.sum or F.max) of ``value`` over all earlier rows of the key."""
     totals = df.groupBy(*keys, bucket).agg(how(value).alias("_t"))
     over_buckets = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -39,7 +39,8 @@ def with_islands(df: DataFrame, keys: list[str], width: int, near: int = 0) -> D
     d = df.withColumn("_b", F.floor(F.col("l") / width))
     d = running(d, keys, "_b", ["l", "r"], F.col("r"), F.max, "_reach", False)
     d = d.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("l") > F.col("_reach") + near), 1).otherwise(0))
-    d = running(d, keys, "_b", ["l", "r"], F.col("_new"), F.sum, "island", True)
+    # equal intervals: the opening one first, so that both carry the same number
+    d = running(d, keys, "_b", ["l", "r", F.desc("_new")], F.col("_new"), F.sum, "island", True)
     return d.select(*cols, "island")
 
 

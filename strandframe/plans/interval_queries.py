@@ -13,8 +13,8 @@ IV = """iv AS (SELECT user_id, event_type, event_id, value, date_diff('minute',
 
 
 def islands_sql(keys: str, src: str, name: str, near: int = 0) -> str:
-    return f"""{name}_a AS (SELECT *, max(r) OVER (PARTITION BY {keys} ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src}),
-{name}_b AS (SELECT *, sum(CASE WHEN reach IS NULL OR l > reach + {near} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS island FROM {name}_a),
+    return f"""{name}_a AS (SELECT *, max(r) OVER (PARTITION BY {keys} ORDER BY l, r, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src}),
+{name}_b AS (SELECT *, sum(CASE WHEN reach IS NULL OR l > reach + {near} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY l, r, event_id ROWS UNBOUNDED PRECEDING) AS island FROM {name}_a),
 {name} AS (SELECT {keys}, min(l) AS l, max(r) AS r FROM {name}_b GROUP BY {keys}, island)"""
 
 

@@ -56,3 +56,16 @@ def spread(df: DataFrame) -> DataFrame:
 def fits_in_memory(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads no more than that plus one)."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def ship_package(spark: SparkSession, root: str) -> None:
+    """Send the package to Python workers once per session, as ``--py-files`` would."""
+    import os
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_strandframe_shipped", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="strandframe-pkg-"), "strandframe")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "strandframe"))
+    sc._strandframe_shipped = True
