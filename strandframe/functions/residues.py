@@ -112,11 +112,6 @@ def gcg_checksum(c) -> Column:
     return F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x) % 10000
 
 
-def phase_letters(c, phase: int) -> Column:
-    """Letters at codon phase 0, 1 or 2, joined."""
-    return F.regexp_replace(col(c), "(.)(.)?(.)?", f"${phase + 1}")
-
-
 def prosite_regex(pattern: str) -> str:
     """Compile an element pattern such as ``[ST]-x(2)-{P}-R`` to a Java regex.
 

@@ -69,3 +69,22 @@ def observed_expected(df: DataFrame, k: int) -> DataFrame:
         out.join(F.broadcast(total)).join(F.broadcast(windows))
         .select("word", "n", (F.col("n") / (product / F.pow(F.col("total").cast("double"), F.lit(k)) * F.col("windows"))).alias("oe"))
     )
+
+
+def phase_composition(df: DataFrame) -> DataFrame:
+    """G+C per cent at each codon phase and overall, and purine per cent, per sequence."""
+    d = df.select("seq_id", F.posexplode(F.split("s", "")).alias("p", "r")).filter("r != ''")
+    gc, phase = F.col("r").isin("C", "G"), F.col("p") % 3
+
+    def count(cond) -> Column:
+        return F.sum(F.when(cond, 1).otherwise(0))
+
+    g = d.groupBy("seq_id").agg(
+        F.count("*").alias("n"), count(gc).alias("g"), count(F.col("r").isin("A", "G")).alias("ag"),
+        *[count(phase == i).alias(f"n{i}") for i in range(3)], *[count(gc & (phase == i)).alias(f"g{i}") for i in range(3)],
+    )
+
+    def pct(k: str, n: str) -> Column:
+        return F.when(F.col(n) > 0, F.lit(100.0) * F.col(k) / F.col(n))
+
+    return g.select("seq_id", *[pct(f"g{i}", f"n{i}").alias(f"gc{i + 1}") for i in range(3)], pct("g", "n").alias("gc"), pct("ag", "n").alias("purine"))

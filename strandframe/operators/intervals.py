@@ -49,23 +49,37 @@ def union(df: DataFrame, keys: list[str], width: int, near: int = 0) -> DataFram
     return d.groupBy(*keys, "island").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("island")
 
 
+def _points(df: DataFrame, keys: list[str], *depths: tuple[str, int]) -> DataFrame:
+    """Boundary rows: +weight at the left end and -weight at the right end per depth column."""
+    def edge(at: str, sign: int):
+        return F.struct(F.col(at).alias("p"), *[F.lit(sign * w).alias(name) for name, w in depths])
+
+    return df.select(*keys, F.explode(F.array(edge("l", 1), edge("r", -1))).alias("x")).select(*keys, "x.*")
+
+
 def _segments(points: DataFrame, keys: list[str], width: int, depths: list[str]) -> DataFrame:
-    """Elementary segments between boundaries with running depths."""
+    """Elementary segments between boundaries with running depths: one two-level scan for all of them."""
     d = points.groupBy(*keys, "p").agg(*[F.sum(x).alias(x) for x in depths]).withColumn("_b", F.floor(F.col("p") / width))
-    for x in depths:
-        d = running(d, keys, "_b", ["p"], F.col(x), F.sum, f"depth_{x}", True)
-    return following(d, keys, "_b", "p", "q").filter("q IS NOT NULL")
+    totals = d.groupBy(*keys, "_b").agg(F.min("p").alias("_first"), *[F.sum(x).alias(f"_t_{x}") for x in depths])
+    over = W.partitionBy(*keys).orderBy("_b")
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    carry = totals.select(
+        *keys, "_b", F.lead("_first").over(over).alias("_next"), *[F.coalesce(F.sum(f"_t_{x}").over(before), F.lit(0)).alias(f"_c_{x}") for x in depths]
+    )
+    inside = W.partitionBy(*keys, "_b").orderBy("p")
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    d = d.join(carry, [*keys, "_b"])
+    return d.select(
+        *keys, "p", F.coalesce(F.lead("p").over(inside), "_next").alias("q"),
+        *[(F.col(f"_c_{x}") + F.sum(x).over(upto)).alias(f"depth_{x}") for x in depths],
+    ).filter("q IS NOT NULL")
 
 
 def intersection(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Common parts of two interval sets; both are united first, so the result is linear in the input."""
-    def points(df, mine, other):
-        return df.select(*keys, F.explode(F.array(F.struct(F.col("l").alias("p"), F.lit(1).alias("v")), F.struct(F.col("r").alias("p"), F.lit(-1).alias("v")))).alias("x")).select(
-            *keys, "x.p", F.col("x.v").alias(mine), F.lit(0).alias(other))
-
-    pts = points(union(a, keys, width), "a", "b").unionByName(points(union(b, keys, width), "b", "a"))
-    seg = _segments(pts, keys, width, ["a", "b"])
-    return seg.filter("depth_a > 0 AND depth_b > 0").select(*keys, F.col("p").alias("l"), F.col("q").alias("r"))
+    """Common parts of two interval sets by one sweep over both: linear in the input, no pairs."""
+    points = _points(a, keys, ("a", 1), ("b", 0)).unionByName(_points(b, keys, ("a", 0), ("b", 1)))
+    seg = _segments(points, keys, width, ["a", "b"]).filter("depth_a > 0 AND depth_b > 0")
+    return union(seg.select(*keys, F.col("p").alias("l"), F.col("q").alias("r")), keys, width)
 
 
 def complement(df: DataFrame, keys: list[str], width: int, left: int, right: int) -> DataFrame:
@@ -83,8 +97,7 @@ def complement(df: DataFrame, keys: list[str], width: int, left: int, right: int
 
 def coverage(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Maximal segments of constant depth > 0."""
-    pts = df.select(*keys, F.explode(F.array(F.struct(F.col("l").alias("p"), F.lit(1).alias("d")), F.struct(F.col("r").alias("p"), F.lit(-1).alias("d")))).alias("x")).select(*keys, "x.*")
-    seg = _segments(pts, keys, width, ["d"])
+    seg = _segments(_points(df, keys, ("d", 1)), keys, width, ["d"])
     return seg.filter("depth_d > 0").select(*keys, F.col("p").alias("l"), F.col("q").alias("r"), F.col("depth_d").alias("depth"))
 
 

@@ -17,11 +17,13 @@ def open_reading_frames(df: DataFrame, min_len: int = 300, from_init: bool = Tru
     are exploded, so the window sees a few percent of the residues of one row.
     """
     marks = list(stops) + (["ATG"] if from_init else [])
-    hits = F.filter(
-        F.transform(R.kmers("s", 3), lambda w, i: F.struct(i.alias("p"), w.alias("w"))),
-        lambda x: x["w"].isin(*marks),
+    # position * 8 + mark number: integers keep the per-position work small
+    code = lambda w, i: F.coalesce(*[F.when(w == m, i * 8 + n) for n, m in enumerate(marks)])
+    hits = F.filter(F.transform(R.kmers("s", 3), code), lambda x: x.isNotNull())
+    names = F.array(*[F.lit(m) for m in marks])
+    rows = df.select("seq_id", F.length("s").alias("n"), F.explode(hits).alias("h")).select(
+        "seq_id", "n", F.floor(F.col("h") / 8).cast("int").alias("p"), F.element_at(names, (F.col("h") % 8 + 1).cast("int")).alias("w")
     )
-    rows = df.select("seq_id", F.length("s").alias("n"), F.inline(hits))
     ends = df.select(
         "seq_id", F.length("s").alias("n"),
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda f: F.struct(f.alias("f")))).alias("e"),

@@ -1,8 +1,8 @@
 """Pairwise alignment of many pairs: affine dynamic programming inside Arrow batches.
 
 Spark enumerates and spreads the pairs; one small row-vectorized kernel scores
-them.  The traceback keeps every ``stride``-th row and recomputes one block at
-a time, so memory grows with ``sqrt(m) * n`` and whole sequences are aligned.
+them.  For large pairs the traceback keeps every ``stride``-th row and
+recomputes one block at a time, so memory grows with ``sqrt(m) * n`` and whole sequences are aligned.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from strandframe.functions.residues import LETTERS, REDUCED
 
 NEG = -1e18
+FULL_TRACE = 4_000_000  # cells up to which all choices are kept instead of recomputed
 
 
 def letter_matrix(match: float = 4, similar: float = 1, mismatch: float = -1, classes: str = "LLQZ1.6") -> np.ndarray:
@@ -68,7 +69,9 @@ class Scorer:
         pick = np.where(f > g, 2, np.where(e_new > diag, 1, 0)).astype(np.uint8)
         if self.mode == "local":
             pick[(out <= 0)] = 3
-        return out, e_new, (pick, e > opened, f)
+        longer = np.zeros(self.n + 1, bool)  # the horizontal gap comes from further left
+        longer[1:] = f[1:] == f[:-1] - self.u
+        return out, e_new, (pick, e > opened, longer)
 
 
 def score_only(s: Scorer) -> float:
@@ -87,13 +90,16 @@ def score_only(s: Scorer) -> float:
 
 def align(s: Scorer) -> tuple[float, list[tuple[str, int]], int, int]:
     """Score, run-length path (M both, D row only, I column only) and start offsets."""
+    keep = s.m * s.n <= FULL_TRACE
     stride = max(isqrt(s.m), 1)
     h, e = s.first()
-    saved = {0: (h, e)}
+    saved, block = {0: (h, e)}, {}
     best, bi, bj = (h[-1], 0, s.n) if s.mode == "semiglobal" else (0.0, 0, 0)
     for i in range(s.m):
-        h, e, _ = s.next(i, h, e)
-        if (i + 1) % stride == 0:
+        h, e, choices = s.next(i, h, e, keep)
+        if keep:
+            block[i + 1] = choices
+        elif (i + 1) % stride == 0:
             saved[i + 1] = (h, e)
         if s.mode == "local" and h.max() > best:
             best, bi, bj = h.max(), i + 1, int(h.argmax())
@@ -104,7 +110,7 @@ def align(s: Scorer) -> tuple[float, list[tuple[str, int]], int, int]:
     elif s.mode == "semiglobal" and h.max() > best:
         best, bi, bj = h.max(), s.m, int(h.argmax())
     ops: list[str] = []
-    i, j, block = bi, bj, {}
+    i, j = bi, bj
     state = 0
     while i > 0 or j > 0:
         if i == 0 or j == 0:
@@ -118,7 +124,7 @@ def align(s: Scorer) -> tuple[float, list[tuple[str, int]], int, int]:
             block = {}
             for r in range(base, i):
                 hh, ee, block[r + 1] = s.next(r, hh, ee, True)
-        pick, extend, f = block[i]
+        pick, extend, longer = block[i]
         move = state or pick[j]
         if move == 3:
             break
@@ -127,10 +133,9 @@ def align(s: Scorer) -> tuple[float, list[tuple[str, int]], int, int]:
             state = 1 if extend[j] else 0
             i -= 1
         elif move == 2:
-            # walk the horizontal gap back to where it opened
             ops.append("I")
+            state = 2 if longer[j] else 0
             j -= 1
-            state = 2 if j > 0 and f[j + 1] == f[j] - s.u and f[j] > NEG / 2 else 0
         else:
             ops.append("M")
             i, j = i - 1, j - 1

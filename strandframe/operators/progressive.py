@@ -17,20 +17,23 @@ from strandframe.operators.pairwise import Scorer, align, balanced, letter_matri
 from strandframe.session import cut_lineage
 
 
+COLS = ("many", "width", "p", "c", "n")
+
+
 def group_profiles(rows: DataFrame) -> DataFrame:
-    """``(msa_id, g, many, width, prof)``: sparse letter counts per site of every group."""
+    """``(msa_id, g, many, width, p, c, n)``: sparse letter counts per site of every group."""
     cells = rows.select("msa_id", "g", F.posexplode(F.split("a", "")).alias("p", "r")).filter("r != '-' AND r != ''")
     counts = cells.groupBy("msa_id", "g", "p", "r").agg(F.count("*").cast("int").alias("n"))
-    prof = counts.groupBy("msa_id", "g").agg(F.collect_list(F.struct("p", (F.ascii("r") - 65).alias("c"), "n")).alias("prof"))
+    prof = counts.groupBy("msa_id", "g").agg(F.collect_list(F.struct("p", (F.ascii("r") - 65).alias("c"), "n")).alias("x"))
+    prof = prof.select("msa_id", "g", F.col("x.p").alias("p"), F.col("x.c").alias("c"), F.col("x.n").alias("n"))
     size = rows.groupBy("msa_id", "g").agg(F.count("*").alias("many"), F.max(F.length("a")).alias("width"))
     return size.join(prof, ["msa_id", "g"], "left")
 
 
-def dense(prof, width: int) -> np.ndarray:
+def dense(p, c, n, width: int) -> np.ndarray:
     out = np.zeros((width, 26))
-    if prof is not None and len(prof):
-        p, c, n = zip(*((x["p"], x["c"], x["n"]) for x in prof))
-        out[list(p), list(c)] = n
+    if p is not None:
+        out[p, c] = n
     return out
 
 
@@ -53,14 +56,14 @@ def column_map(runs) -> tuple[list[int], list[int]]:
 
 def _merge_round(rows: DataFrame, matrix, v: float, u: float) -> DataFrame:
     prof = group_profiles(rows).withColumn("k", F.floor(F.col("g") / 2))
-    left = prof.filter("g % 2 = 0").select("msa_id", "k", *[F.col(c).alias(f"{c}1") for c in ("many", "width", "prof")])
-    right = prof.filter("g % 2 = 1").select("msa_id", "k", *[F.col(c).alias(f"{c}2") for c in ("many", "width", "prof")])
+    left = prof.filter("g % 2 = 0").select("msa_id", "k", *[F.col(c).alias(f"{c}1") for c in COLS])
+    right = prof.filter("g % 2 = 1").select("msa_id", "k", *[F.col(c).alias(f"{c}2") for c in COLS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows_out = []
             for t in pdf.itertuples(index=False):
-                wa, wb = dense(t.prof1, t.width1), dense(t.prof2, t.width2)
+                wa, wb = dense(t.p1, t.c1, t.n1, t.width1), dense(t.p2, t.c2, t.n2, t.width2)
                 _, runs, _, _ = align(profile_scorer(wa, wb, t.many1, t.many2, matrix, v, u))
                 a, b = column_map(runs)
                 rows_out += [(t.msa_id, 2 * t.k, a), (t.msa_id, 2 * t.k + 1, b)]
@@ -101,14 +104,14 @@ def refine(rows: DataFrame, turn: int, matrix=None, v: float = 9, u: float = 2)
     pick = F.pmod(F.lit(turn), F.col("many"))
     marked = rows.join(order, "msa_id").withColumn("g", F.when(F.col("member") == pick, 1).otherwise(0).cast("long"))
     prof = group_profiles(marked.select("msa_id", "g", "a"))
-    rest = prof.filter("g = 0").select("msa_id", "many", "width", "prof")
+    rest = prof.filter("g = 0").select("msa_id", *COLS)
     one = marked.filter("g = 1").select("msa_id", F.col("a").alias("row"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for t in pdf.itertuples(index=False):
-                better = realign(dense(t.prof, t.width), t.many, t.row, m, v, u)
+                better = realign(dense(t.p, t.c, t.n, t.width), t.many, t.row, m, v, u)
                 if better is not None:
                     out += [(t.msa_id, 0, better[0]), (t.msa_id, 1, better[1])]
             yield pd.DataFrame(out, columns=["msa_id", "g", "src"])

@@ -63,8 +63,13 @@ def candidates(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame
 def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
     """Exact ``(q_id, seq_id, shared, f)`` with shared words / smaller total >= ``t``."""
     cand = candidates(queries, db, k, t)
-    d = db.filter(F.length("s") >= k).select("seq_id", "s")
-    rows = cand.join(d, "seq_id").select("q_id", "seq_id", (F.length("s") - (k - 1)).alias("d_total"), F.explode(R.kmers("s", k)).alias("word"))
+    d = db.filter(F.length("s") >= k).select("seq_id", (F.length("s") - (k - 1)).alias("d_total"), R.kmers("s", k).alias("d_words"))
+    q_arr = queries.filter(F.length("s") >= k).select("q_id", (F.length("s") - (k - 1)).alias("q_total"), F.array_distinct(R.kmers("s", k)).alias("q_words"))
+    # Upper bound in place: distinct shared words plus every repeat the query has.
+    pairs = cand.join(d, "seq_id").join(maybe_broadcast(q_arr), "q_id")
+    bound = F.size(F.array_intersect("q_words", "d_words")) + F.col("q_total") - F.size("q_words")
+    kept = pairs.filter(bound >= F.ceil(F.least("q_total", "d_total") * t - 1e-9))
+    rows = kept.select("q_id", "seq_id", "d_total", F.explode("d_words").alias("word"))
     q = word_table(queries, "q_id", k).withColumnsRenamed({"n": "qn", "total": "q_total"})
     hits = rows.join(maybe_broadcast(q), ["q_id", "word"]).groupBy("q_id", "seq_id", "word").agg(
         F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("q_total").alias("q_total"), F.first("d_total").alias("d_total")

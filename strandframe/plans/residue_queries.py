@@ -108,16 +108,7 @@ def dicodon_counts(t):
 SELECT seq_id, CASE WHEN n1>0 THEN 100.0::DOUBLE*g1/n1 END AS gc1, CASE WHEN n2>0 THEN 100.0::DOUBLE*g2/n2 END AS gc2,
  CASE WHEN n3>0 THEN 100.0::DOUBLE*g3/n3 END AS gc3, 100.0::DOUBLE*(g1+g2+g3)/total AS gc, 100.0::DOUBLE*ag/total AS purine FROM g""")
 def gc_by_phase(t):
-    d = t.nts.filter("s != ''").select("seq_id", "s", *[R.phase_letters("s", p).alias(f"p{p}") for p in range(3)])
-
-    def pct(n, total):
-        return F.when(total > 0, F.lit(100.0) * n / total)
-
-    return d.select(
-        "seq_id",
-        *[pct(R.count_in(f"p{p}", "CG"), F.length(f"p{p}")).alias(f"gc{p + 1}") for p in range(3)],
-        pct(R.count_in("s", "CG"), F.length("s")).alias("gc"), pct(R.count_in("s", "AG"), F.length("s")).alias("purine"),
-    )
+    return K.phase_composition(t.nts)
 
 
 # RNA/DNA hybrid nearest-neighbour enthalpy and entropy (Sugimoto et al. 1995)
