@@ -1,11 +1,10 @@
 """Word-index joins between a query set and a sequence database.
 
 Similarity is the shared word count over the smaller total.  A pair can only
-reach the threshold if it shares a word of the *prefix* of its smaller member:
-the rarest words, up to the point where the rest cannot make the threshold any
-more.  Only prefix words generate candidates, and every candidate is verified
-on all words, so the result is exact and no word brings together all the
-sequences that hold it unless they are candidates.
+reach the threshold if it shares several counts within the *prefix* of its smaller
+member: the rarest words, up to the point where the rest cannot make the
+threshold any more.  Only prefix words generate candidates, and every candidate
+is verified on all words, so the result is exact.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.functions import residues as R
-from strandframe.session import fits_in_memory
+from strandframe.session import cut_lineage, fits_in_memory
 
 BROADCAST_ROWS = 2_000_000
 
@@ -31,16 +30,29 @@ def word_table(df: DataFrame, ident: str, k: int) -> DataFrame:
     return d.groupBy(ident, "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
 
 
+MATCHES = 8  # shared counts asked for inside the prefix before a pair becomes a candidate
+
+
+def needed(total, t: float):
+    return F.ceil(total * t - 1e-9)
+
+
 def prefix(words: DataFrame, ident: str, order: list, t: float) -> DataFrame:
-    """Words that a pair must share: those met before ``total - ceil(t * total)`` counts are used up."""
+    """The first words of every sequence in which a similar pair must share at least ``ask`` counts.
+
+    A pair at the threshold shares ``need`` counts, so at most
+    ``total - need`` counts of the smaller sequence are unshared; once
+    ``total - need + ask`` counts are seen, ``ask`` of them are shared.
+    """
+    need = needed(F.col("total"), t)
     w = W.partitionBy(ident).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)  # bounded by one sequence
-    used = F.coalesce(F.sum("n").over(w), F.lit(0))
-    return words.withColumn("used", used).filter(F.col("used") <= F.col("total") - F.ceil(F.col("total") * t - 1e-9))
+    d = words.withColumn("ask", F.least(need, F.lit(MATCHES))).withColumn("used", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return d.filter(F.col("used") <= F.col("total") - need + F.col("ask") - 1)
 
 
 def candidates(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
     """Distinct ``(q_id, seq_id)`` that may reach similarity ``t``."""
-    q = word_table(queries, "q_id", k)
+    q = cut_lineage(word_table(queries, "q_id", k))
     long_db = db.filter(F.length("s") >= k)
     distinct_words = long_db.select(
         "seq_id", (F.length("s") - (k - 1)).alias("d_total"), F.explode(F.array_distinct(R.kmers("s", k))).alias("word")
@@ -48,27 +60,29 @@ def candidates(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame
     q_words = maybe_broadcast(q.select("word").distinct())
     freq = distinct_words.join(q_words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     ranked = q.join(freq, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    q_prefix = prefix(ranked, "q_id", ["df", "word"], t).filter("df > 0").select("q_id", "word", F.col("total").alias("q_total"))
-    first = distinct_words.join(maybe_broadcast(q_prefix), "word").filter("d_total >= q_total").select("q_id", "seq_id")
+    # materialized once: it is as small as the query set but costs a pass over the database
+    q_prefix = cut_lineage(prefix(ranked, "q_id", ["df", "word"], t).filter("df > 0").select("q_id", "word", "n", "ask", F.col("total").alias("q_total")))
+    first = distinct_words.join(maybe_broadcast(q_prefix), "word").filter("d_total >= q_total").select("q_id", "seq_id", "n", "ask")
 
-    longest = queries.agg(F.max(F.length("s") - (k - 1)).alias("longest"))
-    short = long_db.join(F.broadcast(longest), F.length("s") - (k - 1) < F.col("longest"), "left_semi")
+    longest = q.agg(F.max("total")).first()[0] or 0
+    short = long_db.filter(F.length("s") - (k - 1) < longest)
     d_prefix = prefix(word_table(short, "seq_id", k), "seq_id", [F.xxhash64("word"), "word"], t)
-    second = d_prefix.select("seq_id", "word", F.col("total").alias("d_total")).join(
+    second = d_prefix.select("seq_id", "word", "n", "ask", F.col("total").alias("d_total")).join(
         maybe_broadcast(q.select("q_id", "word", F.col("total").alias("q_total"))), "word"
-    ).filter("d_total < q_total").select("q_id", "seq_id")
-    return first.unionByName(second).distinct()
+    ).filter("d_total < q_total").select("q_id", "seq_id", "n", "ask")
+    met = first.unionByName(second).groupBy("q_id", "seq_id").agg(F.sum("n").alias("n"), F.first("ask").alias("ask"))
+    return met.filter("n >= ask").select("q_id", "seq_id")
 
 
 def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
     """Exact ``(q_id, seq_id, shared, f)`` with shared words / smaller total >= ``t``."""
-    cand = candidates(queries, db, k, t)
+    cand = cut_lineage(candidates(queries, db, k, t))
     d = db.filter(F.length("s") >= k).select("seq_id", (F.length("s") - (k - 1)).alias("d_total"), R.kmers("s", k).alias("d_words"))
     q_arr = queries.filter(F.length("s") >= k).select("q_id", (F.length("s") - (k - 1)).alias("q_total"), F.array_distinct(R.kmers("s", k)).alias("q_words"))
     # Upper bound in place: distinct shared words plus every repeat the query has.
-    pairs = cand.join(d, "seq_id").join(maybe_broadcast(q_arr), "q_id")
+    pairs = d.join(maybe_broadcast(cand), "seq_id").join(maybe_broadcast(q_arr), "q_id")
     bound = F.size(F.array_intersect("q_words", "d_words")) + F.col("q_total") - F.size("q_words")
-    kept = pairs.filter(bound >= F.ceil(F.least("q_total", "d_total") * t - 1e-9))
+    kept = pairs.filter(bound >= needed(F.least("q_total", "d_total"), t))
     rows = kept.select("q_id", "seq_id", "d_total", F.explode("d_words").alias("word"))
     q = word_table(queries, "q_id", k).withColumnsRenamed({"n": "qn", "total": "q_total"})
     hits = rows.join(maybe_broadcast(q), ["q_id", "word"]).groupBy("q_id", "seq_id", "word").agg(
@@ -77,7 +91,7 @@ def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> Da
     g = hits.groupBy("q_id", "seq_id").agg(
         F.sum(F.least("n", "qn")).alias("shared"), F.first(F.least("q_total", "d_total")).alias("smaller")
     )
-    return g.filter(F.col("shared") >= F.ceil(F.col("smaller") * t - 1e-9)).select(
+    return g.filter(F.col("shared") >= needed(F.col("smaller"), t)).select(
         "q_id", "seq_id", "shared", (F.col("shared") / F.col("smaller").cast("double")).alias("f")
     )
 
