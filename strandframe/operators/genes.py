@@ -13,7 +13,8 @@ from strandframe.functions import residues as R, runs as U
 
 
 def exon_arrays(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
-    return df.select(F.col(ident).alias("id"), F.length(text).alias("n"), U.runs(text).alias("exons"))
+    """Exon ranges of every text that has any, as one array per row."""
+    return df.filter(F.col(text).rlike(U.LETTER)).select(F.col(ident).alias("id"), U.runs(text).alias("exons"))
 
 
 def exons(df: DataFrame, ident: str, text: str = "text") -> DataFrame:

@@ -17,18 +17,19 @@ def open_reading_frames(df: DataFrame, min_len: int = 300, from_init: bool = Tru
     are exploded, so the window sees a few percent of the residues of one row.
     """
     marks = list(stops) + (["ATG"] if from_init else [])
-    # position * 8 + mark number: integers keep the per-position work small
+    # position * 8 + mark number: integers keep the per-position work small; the end marks carry the length
     code = lambda w, i: F.coalesce(*[F.when(w == m, i * 8 + n) for n, m in enumerate(marks)])
     hits = F.filter(F.transform(R.kmers("s", 3), code), lambda x: x.isNotNull())
+    ends = F.transform(F.array(*[F.lit(f) for f in range(3)]), lambda f: F.length("s") * 32 + f * 8 + 7)
+    ends = F.transform(ends, lambda e: -e)
+    rows = df.select("seq_id", F.explode(F.concat(hits, ends)).alias("h"))
     names = F.array(*[F.lit(m) for m in marks])
-    rows = df.select("seq_id", F.length("s").alias("n"), F.explode(hits).alias("h")).select(
-        "seq_id", "n", F.floor(F.col("h") / 8).cast("int").alias("p"), F.element_at(names, (F.col("h") % 8 + 1).cast("int")).alias("w")
+    is_end, e = F.col("h") < 0, -F.col("h")
+    rows = rows.select(
+        "seq_id", F.when(is_end, F.floor(e / 32)).cast("int").alias("n"), F.when(~is_end, F.floor(F.col("h") / 8)).cast("int").alias("p"),
+        F.when(is_end, F.lit("END")).otherwise(F.element_at(names, (F.pmod("h", F.lit(8)) + 1).cast("int"))).alias("w"),
+        F.when(is_end, F.floor(e / 8) % 4).otherwise(F.floor(F.col("h") / 8) % 3).cast("int").alias("frame"),
     )
-    ends = df.select(
-        "seq_id", F.length("s").alias("n"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda f: F.struct(f.alias("f")))).alias("e"),
-    ).select("seq_id", "n", F.lit(None).cast("int").alias("p"), F.lit("END").alias("w"), F.col("e.f").alias("frame"))
-    rows = rows.select("seq_id", "n", "p", "w", (F.col("p") % 3).alias("frame")).unionByName(ends)
     order = W.partitionBy("seq_id", "frame").orderBy(F.coalesce("p", "n"), "w")
     stop = F.col("w").isin(*stops)
     rows = rows.withColumn("run", F.coalesce(F.sum(stop.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

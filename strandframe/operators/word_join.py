@@ -25,9 +25,13 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def word_table(df: DataFrame, ident: str, k: int) -> DataFrame:
-    """``(ident, word, n, total)`` of every sequence with at least one word."""
-    d = df.filter(F.length("s") >= k).select(ident, (F.length("s") - (k - 1)).alias("total"), F.explode(R.kmers("s", k)).alias("word"))
-    return d.groupBy(ident, "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    """``(ident, word, n, total)`` of every sequence with at least one word.
+
+    The array is exploded where it is built: naming it first would make the
+    optimizer add null and size filters that build it again below the explode.
+    """
+    n = df.select(ident, F.explode(R.kmers("s", k)).alias("word")).groupBy(ident, "word").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy(ident).agg(F.sum("n").alias("total")), ident)
 
 
 MATCHES = 8  # shared counts asked for inside the prefix before a pair becomes a candidate
@@ -53,44 +57,42 @@ def prefix(words: DataFrame, ident: str, order: list, t: float) -> DataFrame:
 def candidates(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
     """Distinct ``(q_id, seq_id)`` that may reach similarity ``t``."""
     q = cut_lineage(word_table(queries, "q_id", k))
-    long_db = db.filter(F.length("s") >= k)
-    distinct_words = long_db.select(
-        "seq_id", (F.length("s") - (k - 1)).alias("d_total"), F.explode(F.array_distinct(R.kmers("s", k))).alias("word")
-    )
+    longest = q.agg(F.max("total")).first()[0] or 0
+    distinct_words = db.select("seq_id", F.explode(F.array_distinct(R.kmers("s", k))).alias("word"))
     q_words = maybe_broadcast(q.select("word").distinct())
     freq = distinct_words.join(q_words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     ranked = q.join(freq, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # materialized once: it is as small as the query set but costs a pass over the database
-    q_prefix = cut_lineage(prefix(ranked, "q_id", ["df", "word"], t).filter("df > 0").select("q_id", "word", "n", "ask", F.col("total").alias("q_total")))
-    first = distinct_words.join(maybe_broadcast(q_prefix), "word").filter("d_total >= q_total").select("q_id", "seq_id", "n", "ask")
+    q_prefix = cut_lineage(prefix(ranked, "q_id", ["df", "word"], t).filter("df > 0").select("q_id", "word", "n", "ask"))
 
-    longest = q.agg(F.max("total")).first()[0] or 0
-    short = long_db.filter(F.length("s") - (k - 1) < longest)
-    d_prefix = prefix(word_table(short, "seq_id", k), "seq_id", [F.xxhash64("word"), "word"], t)
-    second = d_prefix.select("seq_id", "word", "n", "ask", F.col("total").alias("d_total")).join(
-        maybe_broadcast(q.select("q_id", "word", F.col("total").alias("q_total"))), "word"
-    ).filter("d_total < q_total").select("q_id", "seq_id", "n", "ask")
-    met = first.unionByName(second).groupBy("q_id", "seq_id").agg(F.sum("n").alias("n"), F.first("ask").alias("ask"))
-    return met.filter("n >= ask").select("q_id", "seq_id")
+    def enough(hits: DataFrame) -> DataFrame:
+        met = hits.groupBy("q_id", "seq_id").agg(F.sum("n").alias("n"), F.first("ask").alias("ask"))
+        return met.filter("n >= ask").select("q_id", "seq_id")
+
+    by_query = distinct_words.join(maybe_broadcast(q_prefix), "word")
+    # pairs whose smaller member is the database sequence: only those shorter than the longest query
+    short = db.filter(F.length("s") - (k - 1) < longest)
+    d_prefix = prefix(word_table(short, "seq_id", k), "seq_id", [F.xxhash64("word"), "word"], t).select("seq_id", "word", "n", "ask")
+    by_entry = d_prefix.join(maybe_broadcast(q.select("q_id", "word")), "word")
+    return enough(by_query).unionByName(enough(by_entry)).distinct()
 
 
 def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
     """Exact ``(q_id, seq_id, shared, f)`` with shared words / smaller total >= ``t``."""
     cand = cut_lineage(candidates(queries, db, k, t))
-    d = db.filter(F.length("s") >= k).select("seq_id", (F.length("s") - (k - 1)).alias("d_total"), R.kmers("s", k).alias("d_words"))
-    q_arr = queries.filter(F.length("s") >= k).select("q_id", (F.length("s") - (k - 1)).alias("q_total"), F.array_distinct(R.kmers("s", k)).alias("q_words"))
+    q_arr = queries.select("q_id", (F.length("s") - (k - 1)).alias("q_total"), F.array_distinct(R.kmers("s", k)).alias("q_words"))
+    # only sequences with a candidate move on, spread by pair
+    pairs = db.select("seq_id", "s").join(maybe_broadcast(cand), "seq_id").repartition("q_id", "seq_id").join(maybe_broadcast(q_arr), "q_id")
     # Upper bound in place: distinct shared words plus every repeat the query has.
-    pairs = d.join(maybe_broadcast(cand), "seq_id").join(maybe_broadcast(q_arr), "q_id")
-    bound = F.size(F.array_intersect("q_words", "d_words")) + F.col("q_total") - F.size("q_words")
-    kept = pairs.filter(bound >= needed(F.least("q_total", "d_total"), t))
-    rows = kept.select("q_id", "seq_id", "d_total", F.explode("d_words").alias("word"))
-    q = word_table(queries, "q_id", k).withColumnsRenamed({"n": "qn", "total": "q_total"})
-    hits = rows.join(maybe_broadcast(q), ["q_id", "word"]).groupBy("q_id", "seq_id", "word").agg(
-        F.count("*").alias("n"), F.first("qn").alias("qn"), F.first("q_total").alias("q_total"), F.first("d_total").alias("d_total")
-    )
-    g = hits.groupBy("q_id", "seq_id").agg(
-        F.sum(F.least("n", "qn")).alias("shared"), F.first(F.least("q_total", "d_total")).alias("smaller")
+    d_total = F.length("s") - (k - 1)
+    bound = F.size(F.array_intersect("q_words", R.kmers("s", k))) + F.col("q_total") - F.size("q_words")
+    kept = cut_lineage(
+        pairs.filter(bound >= needed(F.least("q_total", d_total), t)).select("q_id", "seq_id", "s", F.least("q_total", d_total).alias("smaller"))
     )
+    rows = kept.select("q_id", "seq_id", F.explode(R.kmers("s", k)).alias("word"))
+    q = word_table(queries, "q_id", k).withColumnRenamed("n", "qn")
+    hits = rows.join(maybe_broadcast(q), ["q_id", "word"]).groupBy("q_id", "seq_id", "word").agg(F.count("*").alias("n"), F.first("qn").alias("qn"))
+    g = hits.groupBy("q_id", "seq_id").agg(F.sum(F.least("n", "qn")).alias("shared")).join(kept.select("q_id", "seq_id", "smaller"), ["q_id", "seq_id"])
     return g.filter(F.col("shared") >= needed(F.col("smaller"), t)).select(
         "q_id", "seq_id", "shared", (F.col("shared") / F.col("smaller").cast("double")).alias("f")
     )
@@ -101,8 +103,8 @@ def diagonal_matches(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
 
     Seeds are an equi-join on the word; neighbours on one diagonal are merged.
     """
-    q = queries.filter(F.length("s") >= k).select("q_id", F.posexplode(R.kmers("s", k)).alias("qp", "word"))
-    d = db.filter(F.length("s") >= k).select("seq_id", F.posexplode(R.kmers("s", k)).alias("dp", "word"))
+    q = queries.select("q_id", F.posexplode(R.kmers("s", k)).alias("qp", "word"))
+    d = db.select("seq_id", F.posexplode(R.kmers("s", k)).alias("dp", "word"))
     seeds = d.join(maybe_broadcast(q), "word").select("q_id", "seq_id", (F.col("dp") - F.col("qp")).alias("diag"), "qp")
     w = W.partitionBy("q_id", "seq_id", "diag").orderBy("qp")  # one diagonal of one pair
     runs = seeds.withColumn("run", F.col("qp") - F.row_number().over(w)).groupBy("q_id", "seq_id", "diag", "run").agg(

@@ -54,7 +54,7 @@ def cds_features(t):
     from strandframe.sinks.formats import cds_join
     from strandframe.sources.genes import parse_join
 
-    d = G.exon_arrays(t.docs, "doc_id").filter(F.size("exons") > 0).select("id", cds_join("exons").alias("feature"))
+    d = G.exon_arrays(t.docs, "doc_id").select("id", cds_join("exons").alias("feature"))
     parsed = d.withColumn("x", parse_join("feature"))
     return parsed.select(
         "id", "feature", F.aggregate("x", F.lit(0).cast("long"), lambda a, e: a + e["r"] - e["l"]).alias("parsed_length"),
@@ -67,7 +67,7 @@ SELECT id, string_agg((r - l) || 'M' || CASE WHEN nl IS NOT NULL THEN (nl - r) |
 def cigar_strings(t):
     from strandframe.sinks.formats import cigar
 
-    return G.exon_arrays(t.docs, "doc_id").filter(F.size("exons") > 0).select("id", cigar("exons").alias("cigar"))
+    return G.exon_arrays(t.docs, "doc_id").select("id", cigar("exons").alias("cigar"))
 
 
 @query("P6 S5 G4", f"""WITH {SEQ} SELECT d.doc_id, substr(text, 3, 20) || substr(text, 41, 60) || substr(text, 201, 150) AS spliced FROM documents d""")

@@ -19,12 +19,11 @@ def gff3_cds(exons: DataFrame, prefix: str = "doc", source: str = "text") -> Dat
 
 
 def bed12(loci: DataFrame, prefix: str = "doc") -> DataFrame:
-    d = loci.filter(F.size("exons") > 0)
     first, last = F.col("exons")[0]["l"], F.element_at("exons", -1)["r"]
     name = F.concat(F.lit(prefix), F.col("id").cast("string"))
     sizes = F.array_join(F.transform("exons", lambda e: (e["r"] - e["l"]).cast("string")), ",")
     starts = F.array_join(F.transform("exons", lambda e: (e["l"] - F.col("exons")[0]["l"]).cast("string")), ",")
-    return d.select(
+    return loci.select(
         F.concat_ws("\t", name, first.cast("string"), last.cast("string"), name, F.lit("0"), F.lit("+"), first.cast("string"), last.cast("string"),
                     F.lit("0"), F.size("exons").cast("string"), sizes, starts).alias("line")
     )
