@@ -176,3 +176,23 @@ def cut_tree(nodes: DataFrame, leaves: DataFrame, height: float) -> DataFrame:
     return leaves.select("grp", F.col("node").alias("leaf")).join(top, ["grp", "leaf"], "left").select(
         "grp", "leaf", F.coalesce("cluster", F.col("leaf").cast("long")).alias("cluster")
     )
+
+
+def newick_text(nodes: DataFrame, leaves: DataFrame, digits: int = 4) -> DataFrame:
+    """``(grp, newick)``: child texts are joined upwards, one tree level per round."""
+    own = nodes.select("grp", F.col("node").alias("child"), F.col("height").alias("ch"))
+    child = nodes.select("grp", "node", "height", F.explode(F.array("left", "right")).alias("child")).join(own, ["grp", "child"], "left")
+    branch = cut_lineage(child.select("grp", "node", "child", F.format_number(F.col("height") - F.coalesce("ch", F.lit(0.0)), digits).alias("len")))
+    known = leaves.select("grp", F.col("node").cast("long").alias("child"), F.col("node").cast("string").alias("text"))
+    todo = nodes.select("grp", "node")
+    while True:
+        part = F.concat("text", F.lit(":"), "len")
+        ready = branch.join(known, ["grp", "child"]).groupBy("grp", "node").agg(F.array_sort(F.collect_list(F.struct("child", part.alias("t")))).alias("parts"))
+        ready = ready.filter(F.size("parts") == 2).join(todo, ["grp", "node"])
+        ready = cut_lineage(ready.select("grp", F.col("node").alias("child"), F.concat(F.lit("("), F.array_join(F.col("parts.t"), ","), F.lit(")")).alias("text")))
+        if ready.isEmpty():
+            break
+        todo = cut_lineage(todo.join(ready.select("grp", F.col("child").alias("node")), ["grp", "node"], "left_anti"))
+        known = cut_lineage(known.unionByName(ready))
+    root = nodes.join(branch.select("grp", F.col("child").alias("node")), ["grp", "node"], "left_anti").select("grp", F.col("node").alias("child"))
+    return known.join(root, ["grp", "child"]).select("grp", F.concat("text", F.lit(";")).alias("newick"))

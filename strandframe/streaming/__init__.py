@@ -1 +1 @@
-"""streaming"""
+"""Continuous input: sequence files that arrive in a folder."""
