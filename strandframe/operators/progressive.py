@@ -100,6 +100,7 @@ def refine(rows: DataFrame, turn: int, matrix=None, v: float = 9, u: float = 2)
     when it scores better under the same profile score.
     """
     m = letter_matrix() if matrix is None else matrix
+    rows = cut_lineage(rows)  # used several times below, and moves are chained
     order = rows.groupBy("msa_id").agg(F.count("*").alias("many")).filter("many > 1")
     pick = F.pmod(F.lit(turn), F.col("many"))
     marked = rows.join(order, "msa_id").withColumn("g", F.when(F.col("member") == pick, 1).otherwise(0).cast("long"))

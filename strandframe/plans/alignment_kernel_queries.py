@@ -109,9 +109,7 @@ def progressive_alignment_consistency(t):
 
 @query("I3 I4 I5 I7 T3")
 def iterative_refinement(t):
-    from strandframe.session import cut_lineage
-
     d = M.progressive(_members(t))
     for turn in range(2):
-        d = cut_lineage(M.refine(d, turn))
+        d = M.refine(d, turn)
     return d
