@@ -54,9 +54,10 @@ def read_flat_file(spark: SparkSession, path: str, fmt: str = "FASTA") -> DataFr
     """Entries of a (possibly gzipped) flat file, split at record boundaries by the text reader."""
     sep = {"FASTA": "\n>", "NBRF": "\n>", "GenBank": "\n//", "EMBL": "\n//"}[fmt]
     raw = spark.read.option("lineSep", sep).text(path)
-    text = F.trim(F.regexp_replace("value", r"^\s*\n", ""))
+    # what stands before the first entry may be comment lines only
+    text = F.trim(F.regexp_replace(F.regexp_replace("value", r"(?m)^;.*\n?", ""), r"^\s*\n", ""))
     if sep == "\n>":
-        text = F.concat(F.lit(">"), F.regexp_replace(text, "^>", ""))
+        text = F.when(text != "", F.concat(F.lit(">"), F.regexp_replace(text, "^>", "")))
     entries = raw.select(text.alias("entry")).filter(F.length("entry") > 1)
     return parse_entries(entries, "entry")
 
