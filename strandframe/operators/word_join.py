@@ -14,14 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.functions import residues as R
-from strandframe.session import cut_lineage, fits_in_memory
-
-BROADCAST_ROWS = 2_000_000
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; above it the join shuffles."""
-    return F.broadcast(df) if fits_in_memory(df, max_rows) else df
+from strandframe.session import cut_lineage
 
 
 def word_table(df: DataFrame, ident: str, k: int) -> DataFrame:
@@ -59,7 +52,7 @@ def candidates(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame
     q = cut_lineage(word_table(queries, "q_id", k))
     longest = q.agg(F.max("total")).first()[0] or 0
     distinct_words = db.select("seq_id", F.explode(F.array_distinct(R.kmers("s", k))).alias("word"))
-    q_words = maybe_broadcast(q.select("word").distinct())
+    q_words = q.select("word").distinct()
     freq = distinct_words.join(q_words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
     ranked = q.join(freq, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # materialized once: it is as small as the query set but costs a pass over the database
@@ -69,11 +62,11 @@ def candidates(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame
         met = hits.groupBy("q_id", "seq_id").agg(F.sum("n").alias("n"), F.first("ask").alias("ask"))
         return met.filter("n >= ask").select("q_id", "seq_id")
 
-    by_query = distinct_words.join(maybe_broadcast(q_prefix), "word")
+    by_query = distinct_words.join(q_prefix, "word")
     # pairs whose smaller member is the database sequence: only those shorter than the longest query
     short = db.filter(F.length("s") - (k - 1) < longest)
     d_prefix = prefix(word_table(short, "seq_id", k), "seq_id", [F.xxhash64("word"), "word"], t).select("seq_id", "word", "n", "ask")
-    by_entry = d_prefix.join(maybe_broadcast(q.select("q_id", "word")), "word")
+    by_entry = d_prefix.join(q.select("q_id", "word"), "word")
     return enough(by_query).unionByName(enough(by_entry)).distinct()
 
 
@@ -82,7 +75,7 @@ def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> Da
     cand = cut_lineage(candidates(queries, db, k, t))
     q_arr = queries.select("q_id", (F.length("s") - (k - 1)).alias("q_total"), F.array_distinct(R.kmers("s", k)).alias("q_words"))
     # only sequences with a candidate move on, spread by pair
-    pairs = db.select("seq_id", "s").join(maybe_broadcast(cand), "seq_id").repartition("q_id", "seq_id").join(maybe_broadcast(q_arr), "q_id")
+    pairs = db.select("seq_id", "s").join(cand, "seq_id").repartition("q_id", "seq_id").join(q_arr, "q_id")
     # Upper bound in place: distinct shared words plus every repeat the query has.
     d_total = F.length("s") - (k - 1)
     bound = F.size(F.array_intersect("q_words", R.kmers("s", k))) + F.col("q_total") - F.size("q_words")
@@ -91,7 +84,7 @@ def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> Da
     )
     rows = kept.select("q_id", "seq_id", F.explode(R.kmers("s", k)).alias("word"))
     q = word_table(queries, "q_id", k).withColumnRenamed("n", "qn")
-    hits = rows.join(maybe_broadcast(q), ["q_id", "word"]).groupBy("q_id", "seq_id", "word").agg(F.count("*").alias("n"), F.first("qn").alias("qn"))
+    hits = rows.join(q, ["q_id", "word"]).groupBy("q_id", "seq_id", "word").agg(F.count("*").alias("n"), F.first("qn").alias("qn"))
     g = hits.groupBy("q_id", "seq_id").agg(F.sum(F.least("n", "qn")).alias("shared")).join(kept.select("q_id", "seq_id", "smaller"), ["q_id", "seq_id"])
     return g.filter(F.col("shared") >= needed(F.col("smaller"), t)).select(
         "q_id", "seq_id", "shared", (F.col("shared") / F.col("smaller").cast("double")).alias("f")
@@ -105,7 +98,7 @@ def diagonal_matches(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
     """
     q = queries.select("q_id", F.posexplode(R.kmers("s", k)).alias("qp", "word"))
     d = db.select("seq_id", F.posexplode(R.kmers("s", k)).alias("dp", "word"))
-    seeds = d.join(maybe_broadcast(q), "word").select("q_id", "seq_id", (F.col("dp") - F.col("qp")).alias("diag"), "qp")
+    seeds = d.join(q, "word").select("q_id", "seq_id", (F.col("dp") - F.col("qp")).alias("diag"), "qp")
     w = W.partitionBy("q_id", "seq_id", "diag").orderBy("qp")  # one diagonal of one pair
     runs = seeds.withColumn("run", F.col("qp") - F.row_number().over(w)).groupBy("q_id", "seq_id", "diag", "run").agg(
         F.min("qp").alias("qp"), F.count("*").alias("n")

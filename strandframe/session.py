@@ -1,8 +1,8 @@
-"""Session helpers: a tuned builder, safe lineage cuts and small-input spreading."""
+"""Session helpers: a tuned builder, the shared folder, safe lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,50 +18,39 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.files.maxPartitionBytes", "16m")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder so iterative plans stay short.
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session may
-    fall back to a scratch folder; a cluster must name shared storage.
+    Only where that is unset, as in tests, a folder of the session's warehouse takes its place.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="strandframe-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split the work of a scan that has fewer files than cores.
-
-    A handful of input files gives one task per row group, which leaves cores
-    idle in CPU-heavy stages.  Large inputs already have a task per split and
-    are returned unchanged, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def fits_in_memory(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads no more than that plus one)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder so that iterative plans stay short."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def ship_package(spark: SparkSession, root: str) -> None:
     """Send the package to Python workers once per session, as ``--py-files`` would."""
-    import os
     import shutil
+    import tempfile
 
     sc = spark.sparkContext
     if getattr(sc, "_strandframe_shipped", False):

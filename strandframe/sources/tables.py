@@ -7,7 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandframe.functions import residues as R
-from strandframe.session import spread
 
 
 class Tables:
@@ -29,7 +28,7 @@ class Tables:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return spread(self.documents.select("doc_id", "text", "lang", "source"))
+        return self.documents.select("doc_id", "text", "lang", "source")
 
     @cached_property
     def seqs(self) -> DataFrame:
@@ -48,7 +47,7 @@ class Tables:
     @cached_property
     def rows(self) -> DataFrame:
         """MSA rows: ``(msa_id, member, role, a)`` with gap character ``-``."""
-        return spread(self.conversations).select(
+        return self.conversations.select(
             F.col("conv_id").alias("msa_id"), F.col("turn").alias("member"), "role", R.aligned("text").alias("a")
         )
 
