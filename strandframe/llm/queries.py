@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing it registers them."""
 
-from strandframe.llm import corpus_queries, language_queries, span_queries, tokenizer_queries  # noqa: F401
+from strandframe.llm import corpus_queries, language_queries, native_queries, span_queries, tokenizer_queries  # noqa: F401
 from strandframe.llm.registry import CORPUS  # noqa: F401
