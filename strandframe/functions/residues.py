@@ -112,14 +112,19 @@ def gcg_checksum(c) -> Column:
     return F.aggregate(weighted, F.lit(0).cast("long"), lambda a, x: a + x) % 10000
 
 
+# Class letters of element patterns and their residues.
+CLASSES = {"o": "CFILMVWY", "j": "DEHKNQR", "+": "HKR", "_": "DEQN", "@": "ILVM", "$": "FYW", ".": "AGPST"}
+
+
 def prosite_regex(pattern: str) -> str:
     """Compile an element pattern such as ``[ST]-x(2)-{P}-R`` to a Java regex.
 
     ``x`` any residue, ``[..]`` any of, ``{..}`` none of, ``(n)`` / ``(n,m)``
-    repeats, ``<`` / ``>`` anchors.
+    repeats, ``<`` / ``>`` anchors; the letters of ``CLASSES`` stand for their residues.
+    A full stop at the end closes the pattern.
     """
     out = []
-    for part in pattern.rstrip(".").split("-"):
+    for part in pattern.removesuffix(".").split("-"):
         head = "^" if part.startswith("<") else ""
         tail = "$" if part.endswith(">") else ""
         part = part.strip("<>")
@@ -127,10 +132,9 @@ def prosite_regex(pattern: str) -> str:
         if part.endswith(")"):
             part, _, count = part[:-1].partition("(")
             repeat = "{" + count + "}"
-        if part.startswith("{"):
-            part = "[^" + part[1:-1] + "]"
-        elif part == "x":
-            part = "."
+        negated, part = part.startswith("{"), part.strip("[]{}")
+        letters = "".join(CLASSES.get(c, c) for c in part)
+        part = "." if letters == "x" else f"[{'^' * negated}{letters}]" if negated or len(letters) > 1 else letters
         out.append(head + part + repeat + tail)
     return "".join(out)
 

@@ -41,14 +41,16 @@ def sum_of_pairs(cells: DataFrame, rows: DataFrame, match=2, mismatch=-1, gap=-2
     return site_counts(cells, rows).groupBy("msa_id").agg(F.sum(pair_score(match, mismatch, gap)).alias("sp"))
 
 
-def consensus(cells: DataFrame) -> DataFrame:
-    """Most frequent residue per site (ties: first letter) joined in site order.
+def consensus(cells: DataFrame, rows: DataFrame, empty: str = "X") -> DataFrame:
+    """Most frequent residue per site (ties: first letter) joined in site order; ``empty`` where all members have gaps.
 
-    The string has one letter per site, so its size is bounded by the row width.
+    Letter k is site k.  The string has one letter per site, so its size is bounded by the row width.
     """
     best = profile(cells).groupBy("msa_id", "site").agg(F.max_by("r", F.struct("n", -F.ascii("r"))).alias("r"))
+    sites = depth(rows).filter("width > 0").select("msa_id", F.explode(F.sequence(F.lit(1).cast("long"), "width")).alias("site"))
+    full = sites.join(best, ["msa_id", "site"], "left").withColumn("r", F.coalesce("r", F.lit(empty)))
     ordered = F.array_sort(F.collect_list(F.struct("site", "r")))
-    return best.groupBy("msa_id").agg(F.array_join(ordered["r"], "").alias("consensus"))
+    return full.groupBy("msa_id").agg(F.array_join(ordered["r"], "").alias("consensus"))
 
 
 def kept_sites(cells: DataFrame, rows: DataFrame, max_gap: float) -> DataFrame:

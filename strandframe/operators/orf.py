@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strandframe.functions import residues as R
 
@@ -13,39 +13,34 @@ def open_reading_frames(df: DataFrame, min_len: int = 300, from_init: bool = Tru
     """ORFs of the three forward frames: ``(seq_id, frame, pos, len)``, pos 0-based.
 
     ``from_init``: from the first ATG after a stop to the next stop or the end;
-    otherwise the whole stretch between stops.  Only start and stop positions
-    are exploded, so the window sees a few percent of the residues of one row.
+    otherwise the whole stretch between stops.  One fold over the start and stop
+    marks of a row keeps an open start per frame; only ORFs leave the row.
     """
     marks = list(stops) + (["ATG"] if from_init else [])
-    # position * 8 + mark number: integers keep the per-position work small; the end marks carry the length
-    code = lambda w, i: F.coalesce(*[F.when(w == m, i * 8 + n) for n, m in enumerate(marks)])
+    # position * 8 + mark number
+    code = lambda w, i: F.coalesce(*[F.when(w == m, i.cast("long") * 8 + n) for n, m in enumerate(marks)])
     hits = F.filter(F.transform(R.kmers("s", 3), code), lambda x: x.isNotNull())
-    ends = F.transform(F.array(*[F.lit(f) for f in range(3)]), lambda f: F.length("s") * 32 + f * 8 + 7)
-    ends = F.transform(ends, lambda e: -e)
-    rows = df.select("seq_id", F.explode(F.concat(hits, ends)).alias("h"))
-    names = F.array(*[F.lit(m) for m in marks])
-    is_end, e = F.col("h") < 0, -F.col("h")
-    rows = rows.select(
-        "seq_id", F.when(is_end, F.floor(e / 32)).cast("int").alias("n"), F.when(~is_end, F.floor(F.col("h") / 8)).cast("int").alias("p"),
-        F.when(is_end, F.lit("END")).otherwise(F.element_at(names, (F.pmod("h", F.lit(8)) + 1).cast("int"))).alias("w"),
-        F.when(is_end, F.floor(e / 8) % 4).otherwise(F.floor(F.col("h") / 8) % 3).cast("int").alias("frame"),
-    )
-    order = W.partitionBy("seq_id", "frame").orderBy(F.coalesce("p", "n"), "w")
-    stop = F.col("w").isin(*stops)
-    rows = rows.withColumn("run", F.coalesce(F.sum(stop.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    start = F.min(F.when(F.col("w") == "ATG", F.col("p"))) if from_init else F.lit(None)
-    g = rows.groupBy("seq_id", "frame", "run").agg(
-        F.min(F.when(F.col("w") == "ATG", F.col("p"))).alias("first"),
-        F.min(F.when(stop, F.col("p"))).alias("stop"),
-        F.max("n").alias("n"),
-    )
-    if from_init:
-        g = g.filter("first IS NOT NULL").withColumn("pos", F.col("first"))
-    else:
-        prev = F.lag("stop").over(W.partitionBy("seq_id", "frame").orderBy("run"))
-        g = g.withColumn("pos", F.coalesce(prev + 3, F.lit(0)))
-    g = g.withColumn("len", F.coalesce("stop", "n") - F.col("pos"))
-    return g.filter(F.col("len") >= min_len).select("seq_id", "frame", "pos", "len")
+    opens = -1 if from_init else 0
+    empty = F.array().cast("array<struct<frame:int,pos:int,len:int>>")
+    start = F.struct(*[F.lit(opens).cast("long").alias(f"s{f}") for f in range(3)], empty.alias("out"))
+
+    def orf(frame, at, end):
+        return F.array(F.struct(frame.cast("int").alias("frame"), at.cast("int").alias("pos"), (end - at).cast("int").alias("len")))
+
+    def step(a, h):
+        p, m = F.shiftright(h, 3), h.bitwiseAND(F.lit(7).cast("long"))
+        f, stop = p % 3, m < len(stops)
+        at = F.when(f == 0, a["s0"]).when(f == 1, a["s1"]).otherwise(a["s2"])
+        now = F.when(stop, F.lit(-1).cast("long") if from_init else p + 3).otherwise(F.when(at < 0, p).otherwise(at))
+        out = F.when(stop & (at >= 0) & (p - at >= min_len), F.concat(a["out"], orf(f, at, p))).otherwise(a["out"])
+        return F.struct(*[F.when(f == k, now).otherwise(a[f"s{k}"]).alias(f"s{k}") for k in range(3)], out.alias("out"))
+
+    def finish(a):
+        n = F.length("s").cast("long")
+        ends = [F.when((a[f"s{k}"] >= 0) & (n - a[f"s{k}"] >= min_len), orf(F.lit(k), a[f"s{k}"], n)).otherwise(empty) for k in range(3)]
+        return F.concat(a["out"], *ends)
+
+    return df.select("seq_id", F.inline(F.aggregate(hits, start, step, finish)))
 
 
 def tail_scan(c, base: str, gain: int, loss: int, thr: int, from_right: bool) -> Column:

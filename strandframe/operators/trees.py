@@ -25,6 +25,21 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("grp", "i", "j", "d").unionByName(edges.select("grp", F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
 
+def _none(like: DataFrame, columns: str) -> DataFrame:
+    """An empty frame with the group column of ``like`` and ``columns`` given as ``type name``."""
+    fields = ", ".join(" ".join(reversed(c.split())) for c in columns.split(", "))
+    return like.sparkSession.createDataFrame([], f"grp {dict(like.dtypes)['grp']}, {fields}")
+
+
+def _stride(leaves: DataFrame) -> int:
+    """Distance between the ids of two rounds: above every leaf id."""
+    top, most = leaves.agg(F.max("node"), F.count("*")).first()
+    stride = max(2**32, int(top or 0) + 1)
+    if stride * (int(most) + 1) >= 2**63:
+        raise ValueError("leaf ids are too large for node ids; renumber them first")
+    return stride
+
+
 def _relabel(edges: DataFrame, merges: DataFrame, sizes: DataFrame, method: str) -> DataFrame:
     """Replace endpoint ``i`` by its merged cluster and combine parallel edges."""
     m = merges.select("grp", F.explode(F.array(F.struct(F.col("a").alias("i")), F.struct(F.col("b").alias("i")))).alias("x"), "a", F.col("d").alias("dab"))
@@ -46,8 +61,10 @@ def linkage(edges: DataFrame, leaves: DataFrame, method: str = "upgma") -> DataF
 
     ``edges``: complete distances per group; ``leaves``: ``(grp, node)`` with
     node ids >= 0.  A cluster keeps the smallest leaf id of its members as
-    label; the node id is ``round * 2^32 + label``.
+    label; the node id is ``round * stride + label`` with ``stride`` over every leaf id.
+    Without edges there is no internal node.
     """
+    stride = _stride(leaves)
     sizes = cut_lineage(leaves.select("grp", "node", F.lit(1).cast("long").alias("n"), F.col("node").cast("long").alias("id")))
     e = cut_lineage(both_ways(edges.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long"))))
     out, step = [], 0
@@ -60,7 +77,7 @@ def linkage(edges: DataFrame, leaves: DataFrame, method: str = "upgma") -> DataF
         left = sizes.select("grp", F.col("node").alias("a"), F.col("n").alias("na"), F.col("id").alias("left"))
         right = sizes.select("grp", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("id").alias("right"))
         merges = cut_lineage(
-            pairs.join(left, ["grp", "a"]).join(right, ["grp", "b"]).withColumn("id", F.col("a") + F.lit(step) * F.lit(2**32)).withColumn("n", F.col("na") + F.col("nb"))
+            pairs.join(left, ["grp", "a"]).join(right, ["grp", "b"]).withColumn("id", F.col("a") + F.lit(step * stride)).withColumn("n", F.col("na") + F.col("nb"))
         )
         out.append(merges.select("grp", F.col("id").alias("node"), "left", "right", (F.col("d") / 2).alias("height"), F.col("n").alias("ndesc")))
         inner = e.join(merges.select("grp", F.col("a").alias("i"), F.col("b").alias("j")), ["grp", "i", "j"], "left_anti")
@@ -74,7 +91,8 @@ def linkage(edges: DataFrame, leaves: DataFrame, method: str = "upgma") -> DataF
         e2 = _relabel_other(swapped, merges, sizes, mixed, method)
         e = cut_lineage(e2)
         sizes = cut_lineage(merged_sizes)
-    return reduce(DataFrame.unionByName, out)
+    none = "long node, long left, long right, double height, long ndesc"
+    return reduce(DataFrame.unionByName, out) if out else _none(edges, none)
 
 
 def _relabel_other(swapped: DataFrame, merges: DataFrame, sizes: DataFrame, after: DataFrame, method: str) -> DataFrame:
@@ -90,7 +108,11 @@ def _relabel_other(swapped: DataFrame, merges: DataFrame, sizes: DataFrame, afte
 
 
 def neighbour_joining(edges: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Branches ``(grp, node, parent, length)`` of the unrooted tree of every group."""
+    """Branches ``(grp, node, parent, length)`` of the unrooted tree of every group; ids as in ``linkage``.
+
+    A negative branch becomes zero and its sister takes the difference, so path lengths of the pair stay.
+    """
+    stride = _stride(leaves)
     e = cut_lineage(both_ways(edges.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long"))))
     out, step = [], 0
     while not e.isEmpty():
@@ -105,7 +127,7 @@ def neighbour_joining(edges: DataFrame, leaves: DataFrame) -> DataFrame:
         pick = q.groupBy("grp").agg(F.min(F.struct("q", "i", "j", "d", "ri", "rj", "m")).alias("x")).select("grp", "x.*")
         slope = F.when(F.col("m") > 2, (F.col("ri") - F.col("rj")) / (2 * (F.col("m") - 2))).otherwise(F.lit(0.0))
         pick = cut_lineage(
-            pick.withColumn("u", F.col("i") % F.lit(2**32) + F.lit(step) * F.lit(2**32)).withColumn("li", F.col("d") / 2 + slope).withColumn("lj", F.col("d") / 2 - slope)
+            pick.withColumn("u", F.col("i") % F.lit(stride) + F.lit(step * stride)).withColumn("li", F.greatest(F.lit(0.0), F.least("d", F.col("d") / 2 + slope))).withColumn("lj", F.col("d") - F.col("li"))
         )
         last = F.col("m") == 2
         out.append(pick.select("grp", F.explode(F.when(last, F.array(F.struct(F.col("i").alias("node"), F.col("j").alias("parent"), F.col("d").alias("length")))).otherwise(
@@ -118,7 +140,7 @@ def neighbour_joining(edges: DataFrame, leaves: DataFrame) -> DataFrame:
         fresh = touch.groupBy("grp", "u", "j").agg(((F.sum("d") - F.first("dij")) / 2).alias("d"))
         fresh = fresh.select("grp", F.col("u").alias("i"), "j", "d")
         e = cut_lineage(stay.unionByName(fresh).unionByName(fresh.select("grp", F.col("j").alias("i"), F.col("i").alias("j"), "d")))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out) if out else _none(edges, "long node, long parent, double length")
 
 
 def leaf_memberships(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -133,7 +155,7 @@ def leaf_memberships(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
             break
         out.append(front.select("grp", "leaf", "node", "height", "side"))
         front = front.select("grp", "leaf", F.col("node").alias("child"))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out) if out else _none(nodes, "long leaf, long node, double height, int side")
 
 
 def member_weights(nodes: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ g AS (SELECT msa_id, site, r, sum(w) AS w, sum(w * w) AS w2 FROM cells JOIN wt U
 SELECT msa_id, CAST(sum((w * w - w2) // 2) AS BIGINT) AS weighted_identity FROM g GROUP BY msa_id""")
 def weighted_pair_identity(t):
     w = (F.length(R.ungap("a")) % 7 + 1).cast("long")
-    d = t.rows.select("msa_id", w.alias("w"), F.posexplode(F.split("a", "")).alias("site", "r")).filter("r != '-'")
+    d = t.rows.select("msa_id", w.alias("w"), F.posexplode(F.split("a", "")).alias("site", "r")).filter("r NOT IN ('-', '')")
     g = d.groupBy("msa_id", "site", "r").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
     return g.groupBy("msa_id").agg(F.sum(((F.col("w") * F.col("w") - F.col("w2")) / 2).cast("long")).alias("weighted_identity"))
 
@@ -132,10 +132,11 @@ def group_against_group(t):
     return s.groupBy("msa_id").agg(F.sum("mch").alias("mch"), F.sum(F.col("a") * F.col("b") - F.col("mch")).alias("mmc"))
 
 
-@query("A20", f"""WITH {PROF}, k AS (SELECT *, row_number() OVER (PARTITION BY msa_id, site ORDER BY n DESC, r) AS rk FROM prof)
-SELECT msa_id, string_agg(r, '' ORDER BY site) AS consensus FROM k WHERE rk = 1 GROUP BY msa_id""")
+@query("A20", f"""WITH {PROF}, {DEPTH}, k AS (SELECT *, row_number() OVER (PARTITION BY msa_id, site ORDER BY n DESC, r) AS rk FROM prof),
+s AS (SELECT msa_id, CAST(unnest(range(1, width + 1)) AS BIGINT) AS site FROM dep)
+SELECT s.msa_id, string_agg(coalesce(r, 'X'), '' ORDER BY s.site) AS consensus FROM s LEFT JOIN k ON k.msa_id = s.msa_id AND k.site = s.site AND rk = 1 GROUP BY s.msa_id""")
 def consensus_rows(t):
-    return A.consensus(t.cells)
+    return A.consensus(t.cells, t.rows)
 
 
 @query("P7 G9 A35", f"""WITH {SITE}, k AS (SELECT msa_id, site FROM site WHERE many - res < 0.5 * many)
@@ -165,7 +166,7 @@ def gap_run_list(t):
     return A.gap_runs(t.rows)
 
 
-@query("A21 A22 A40", f"""WITH {CELLS}, {RUNS_SQL}, e AS (SELECT msa_id, gps, unnest(range(1, gln + 1)) AS gaplen FROM gr)
+@query("A21", f"""WITH {CELLS}, {RUNS_SQL}, e AS (SELECT msa_id, gps, unnest(range(1, gln + 1)) AS gaplen FROM gr)
 SELECT msa_id, gps + gaplen AS site, gaplen, count(*) AS n FROM e GROUP BY ALL""")
 def gap_length_profile(t):
     return A.gap_states(t.rows)
@@ -304,7 +305,7 @@ st AS (SELECT msa_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST(0 AS
 SELECT msa_id, ol AS l, orr AS r, os AS score FROM st WHERE closed"""
 
 
-@query("W4 W6", SEG_SQL)
+@query("W4", SEG_SQL)
 def conserved_segments(t):
     s = A.site_counts(t.cells, t.rows)
     score = F.when(F.col("top") * 2 > F.col("many"), 3).otherwise(-1).cast("long")

@@ -91,7 +91,7 @@ def single_linkage_components(t):
     return G.components(part_supplier_edges(t))
 
 
-@query("E9 T1 T4 K17 E10 E11")
+@query("E9 T1 T4")
 def single_linkage_forest(t):
     forest = G.spanning_forest(part_supplier_edges(t))
     return G.forest_report(forest).orderBy(F.desc("size"), "component")
@@ -121,7 +121,8 @@ def unique_sequences(t):
 PROFILE = """pr AS (SELECT c_nationkey AS nk, o_orderpriority || '|' || CAST(month(o_orderdate) AS VARCHAR) AS w, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 tot AS (SELECT nk, sum(n) AS t FROM pr GROUP BY nk), sh AS (SELECT a.nk AS i, b.nk AS j, sum(least(a.n, b.n)) AS s FROM pr a JOIN pr b ON a.w = b.w AND a.nk < b.nk
  JOIN nation x ON x.n_nationkey = a.nk JOIN nation y ON y.n_nationkey = b.nk AND x.n_regionkey = y.n_regionkey GROUP BY ALL),
-dm AS (SELECT n_regionkey AS grp, i, j, 1 - s / least(p.t, q.t)::DOUBLE AS d FROM sh JOIN tot p ON p.nk = i JOIN tot q ON q.nk = j JOIN nation ON n_nationkey = i)"""
+dm AS (SELECT x.n_regionkey AS grp, x.n_nationkey AS i, y.n_nationkey AS j, 1 - coalesce(s, 0) / coalesce(least(p.t, q.t), 1)::DOUBLE AS d FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey
+ LEFT JOIN sh ON i = x.n_nationkey AND j = y.n_nationkey LEFT JOIN tot p ON p.nk = x.n_nationkey LEFT JOIN tot q ON q.nk = y.n_nationkey)"""
 
 
 def nation_distances(t):
@@ -134,8 +135,10 @@ def nation_distances(t):
     total = prof.groupBy("i").agg(F.sum("n").alias("t"))
     b = prof.select("grp", "w", F.col("i").alias("j"), F.col("n").alias("m"))
     shared = prof.join(b, ["grp", "w"]).filter("i < j").groupBy("grp", "i", "j").agg(F.sum(F.least("n", "m")).alias("s"))
-    d = shared.join(total, "i").join(total.select(F.col("i").alias("j"), F.col("t").alias("u")), "j")
-    return d.select("grp", "i", "j", (1 - F.col("s") / F.least("t", "u").cast("double")).alias("d"))
+    pairs = region.join(region.select("grp", F.col("i").alias("j")), "grp").filter("i < j")  # a fixed dimension
+    d = pairs.join(shared, ["grp", "i", "j"], "left").join(total, "i", "left").join(total.select(F.col("i").alias("j"), F.col("t").alias("u")), "j", "left")
+    least = F.when(F.col("t").isNull() | F.col("u").isNull(), 1).otherwise(F.least("t", "u")).cast("double")
+    return d.select("grp", "i", "j", (1 - F.coalesce("s", F.lit(0)) / least).alias("d"))
 
 
 def nation_leaves(t):
@@ -147,7 +150,7 @@ def distance_matrix(t):
     return nation_distances(t).withColumn("d", F.round("d", 6))
 
 
-@query("K16 S15", f"""WITH {PROFILE}, b AS (SELECT grp, i, j, d FROM dm UNION ALL SELECT grp, j, i, d FROM dm)
+@query("K16", f"""WITH {PROFILE}, b AS (SELECT grp, i, j, d FROM dm UNION ALL SELECT grp, j, i, d FROM dm)
 SELECT grp, i AS node, string_agg(CAST(j AS VARCHAR) || ':' || CAST(CAST(round(d * 1000000) AS BIGINT) AS VARCHAR), ' ' ORDER BY j) AS line FROM b GROUP BY grp, i""")
 def distance_matrix_rows(t):
     d = T.both_ways(nation_distances(t))
@@ -174,13 +177,13 @@ def tree_neighbour_joining(t):
     return T.neighbour_joining(nation_distances(t), nation_leaves(t)).withColumn("length", F.round("length", 6))
 
 
-@query("E8 E17")
+@query("E8")
 def tree_cophenetic_distance(t):
     leaves = nation_leaves(t)
     return T.cophenetic(T.linkage(nation_distances(t), leaves), leaves).withColumn("dist", F.round("dist", 6))
 
 
-@query("E5 E4 K15")
+@query("E5 K15")
 def tree_member_weights(t):
     leaves = nation_leaves(t)
     return T.member_weights(T.linkage(nation_distances(t), leaves), leaves).withColumn("weight", F.round("weight", 6))

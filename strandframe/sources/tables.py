@@ -56,4 +56,4 @@ class Tables:
         """One row per residue or internal gap of an aligned row, sites from 1."""
         return self.rows.select(
             "msa_id", "member", "role", F.posexplode(F.split("a", "")).alias("p", "r")
-        ).select("msa_id", "member", "role", (F.col("p") + 1).cast("long").alias("site"), "r")
+        ).filter("r != ''").select("msa_id", "member", "role", (F.col("p") + 1).cast("long").alias("site"), "r")
