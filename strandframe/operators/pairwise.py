@@ -7,6 +7,7 @@ recomputes one block at a time, so memory grows with ``sqrt(m) * n`` and whole s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from strandframe.functions.residues import LETTERS, REDUCED
 
 NEG = -1e18
-FULL_TRACE = 4_000_000  # cells up to which all choices are kept instead of recomputed
+#: Cells of one kernel task: what a few seconds of row steps score.
+TASK_CELLS = 200_000_000
 
 
 def letter_matrix(match: float = 4, similar: float = 1, mismatch: float = -1, classes: str = "LLQZ1.6") -> np.ndarray:
@@ -88,9 +90,13 @@ def score_only(s: Scorer) -> float:
     return float(best) if s.mode == "local" else float(max(edge, h.max()))
 
 
-def align(s: Scorer) -> tuple[float, list[tuple[str, int]], int, int]:
-    """Score, run-length path (M both, D row only, I column only) and start offsets."""
-    keep = s.m * s.n <= FULL_TRACE
+def align(s: Scorer, full: int = 0) -> tuple[float, list[tuple[str, int]], int, int]:
+    """Score, run-length path (M both, D row only, I column only) and start offsets.
+
+    Pairs of up to ``full`` cells keep all choices of the first pass; others keep
+    every ``sqrt(m)``-th row and work out one block at a time.  The path is the same.
+    """
+    keep = s.m * s.n <= full
     stride = max(isqrt(s.m), 1)
     h, e = s.first()
     saved, block = {0: (h, e)}, {}
@@ -158,9 +164,10 @@ def sequence_scorer(a: str, b: str, matrix: np.ndarray, v: float, u: float, mode
 def path_statistics(a: str, b: str, runs, i: int, j: int) -> tuple[int, int, int, int]:
     """Matches, mismatches, gap openings and unpaired residues along a path."""
     mch = mmc = gap = unp = 0
+    x, y = codes(a), codes(b)
     for op, n in runs:
         if op == "M":
-            same = sum(x == y for x, y in zip(a[i : i + n], b[j : j + n]))
+            same = int((x[i : i + n] == y[j : j + n]).sum())
             mch, mmc = mch + same, mmc + n - same
         else:
             gap, unp = gap + 1, unp + n
@@ -179,7 +186,7 @@ def pair_scores(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mode: s
             score = [score_only(sequence_scorer(a, b, m, v, u, mode)) for a, b in zip(pdf["s1"], pdf["s2"])]
             yield pdf[names].assign(score=score)
 
-    return balanced(pairs).mapInPandas(run, f"{keys}, score double")
+    return balanced(pairs, F.length("s1"), F.length("s2")).mapInPandas(run, f"{keys}, score double")
 
 
 def pair_alignments(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mode: str = "global", matrix: np.ndarray | None = None) -> DataFrame:
@@ -197,12 +204,33 @@ def pair_alignments(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mod
             yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows, columns=cols)], axis=1)
 
     schema = f"{keys}, score double, cigar string, start1 long, start2 long, mch long, mmc long, gap long, unp long"
-    return balanced(pairs).mapInPandas(run, schema)
+    return balanced(pairs, F.length("s1"), F.length("s2")).mapInPandas(run, schema)
+
+
+def rescored(pairs: DataFrame, paths: DataFrame, keys: str, v: float = 9, u: float = 2, matrix: np.ndarray | None = None) -> DataFrame:
+    """``(keys..., again)``: the score that the steps of each path add up to."""
+    m = letter_matrix() if matrix is None else matrix
+    names = [k.strip().split()[0] for k in keys.split(",")]
+
+    def total(a: str, b: str, cigar: str, i: int, j: int) -> float:
+        x, y, out = codes(a), codes(b), 0.0
+        for n, op in re.findall("([0-9]+)([MDI])", cigar):
+            n = int(n)
+            out += m[x[i : i + n], y[j : j + n]].sum() if op == "M" else -v - u * n
+            i, j = i + n * (op != "I"), j + n * (op != "D")
+        return float(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[names].assign(again=[total(*x) for x in zip(pdf["s1"], pdf["s2"], pdf["cigar"], pdf["start1"], pdf["start2"])])
+
+    return pairs.join(paths.select(*names, "cigar", "start1", "start2"), names).mapInPandas(run, f"{keys}, again double")
 
 
-def balanced(pairs: DataFrame) -> DataFrame:
-    """Spread pairs evenly: their cost is the product of two lengths, far above that of moving them."""
-    return pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism * 2, 8))
+def balanced(pairs: DataFrame, m, n) -> DataFrame:
+    """Spread pairs by their cost, the product ``m * n`` of two lengths: as many tasks as the cells need, and one per core at least."""
+    cells = pairs.agg(F.sum(m.cast("double") * n)).first()[0] or 0.0
+    return pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism, int(cells / TASK_CELLS) + 1))
 
 
 def score_distance(score, self1, self2):

@@ -69,7 +69,7 @@ def _merge_round(rows: DataFrame, matrix, v: float, u: float) -> DataFrame:
                 rows_out += [(t.msa_id, 2 * t.k, a), (t.msa_id, 2 * t.k + 1, b)]
             yield pd.DataFrame(rows_out, columns=["msa_id", "g", "src"])
 
-    maps = balanced(left.join(right, ["msa_id", "k"])).mapInPandas(run, "msa_id long, g long, src array<int>")
+    maps = balanced(left.join(right, ["msa_id", "k"]), F.col("width1"), F.col("width2")).mapInPandas(run, "msa_id long, g long, src array<int>")
     return apply_columns(rows, maps, ["msa_id", "g"]).withColumn("g", F.floor(F.col("g") / 2))
 
 
@@ -93,38 +93,62 @@ def progressive(members: DataFrame, matrix=None, v: float = 9, u: float = 2) ->
     return rows.select("msa_id", "member", "a")
 
 
-def refine(rows: DataFrame, turn: int, matrix=None, v: float = 9, u: float = 2) -> DataFrame:
-    """One refinement move of every alignment: realign one member against the rest.
+def best_moves(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, least: float = 0.0) -> DataFrame:
+    """The move of each alignment that gains most: ``(msa_id, member, rest, own)``, two column maps; none if no move gains.
 
-    The member is chosen by ``turn``; the new path replaces the old one only
-    when it scores better under the same profile score.
+    Every member is realigned against the others in a kernel call of its own:
+    the profile of all, less the member's letters.  Gain is measured under the
+    profile score and must exceed ``least`` times the present score; ties go to the smaller member.
     """
     m = letter_matrix() if matrix is None else matrix
-    rows = cut_lineage(rows)  # used several times below, and moves are chained
-    order = rows.groupBy("msa_id").agg(F.count("*").alias("many")).filter("many > 1")
-    pick = F.pmod(F.lit(turn), F.col("many"))
-    marked = rows.join(order, "msa_id").withColumn("g", F.when(F.col("member") == pick, 1).otherwise(0).cast("long"))
-    prof = group_profiles(marked.select("msa_id", "g", "a"))
-    rest = prof.filter("g = 0").select("msa_id", *COLS)
-    one = marked.filter("g = 1").select("msa_id", F.col("a").alias("row"))
+    prof = group_profiles(rows.withColumn("g", F.lit(0))).filter("many > 1").select("msa_id", *COLS)
+    calls = rows.select("msa_id", "member", F.col("a").alias("row")).join(prof, "msa_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for t in pdf.itertuples(index=False):
-                better = realign(dense(t.p, t.c, t.n, t.width), t.many, t.row, m, v, u)
+                rest = dense(t.p, t.c, t.n, t.width)
+                own = np.frombuffer(t.row.encode(), np.uint8).astype(int) - 65
+                at = np.flatnonzero(own >= 0)
+                rest[at, own[at]] -= 1
+                better = realign(rest, t.many - 1, t.row, m, v, u, least)
                 if better is not None:
-                    out += [(t.msa_id, 0, better[0]), (t.msa_id, 1, better[1])]
-            yield pd.DataFrame(out, columns=["msa_id", "g", "src"])
+                    out.append((t.msa_id, t.member, *better))
+            yield pd.DataFrame(out, columns=["msa_id", "member", "gain", "rest", "own"])
 
-    maps = balanced(rest.join(one, "msa_id")).mapInPandas(run, "msa_id long, g long, src array<int>")
-    moved = apply_columns(marked.drop("many"), maps, ["msa_id", "g"]).select("msa_id", "member", "a")
-    alone = rows.join(order, "msa_id", "left_anti").select("msa_id", "member", "a")
-    return moved.unionByName(alone)
+    moves = balanced(calls, F.col("width"), F.length("row")).mapInPandas(run, "msa_id long, member long, gain double, rest array<int>, own array<int>")
+    best = moves.groupBy("msa_id").agg(F.max(F.struct("gain", (-F.col("member")).alias("k"), "rest", "own")).alias("x"))
+    return best.select("msa_id", (-F.col("x.k")).alias("member"), "x.rest", "x.own")
 
 
-def realign(profile: np.ndarray, many: int, row: str, matrix, v, u):
-    """Column maps of a better placement of ``row``, or None."""
+def refine(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, least: float = 0.0) -> DataFrame:
+    """Iterative refinement ``(msa_id, member, a)``: the best move of every alignment, until no move of it gains.
+
+    Scores rise strictly, so it ends; alignments without a gaining move leave the loop.
+    ``least`` is the convergence tolerance of ``best_moves``; zero asks for every gain.
+    """
+    active, done = cut_lineage(rows.select("msa_id", "member", "a")), None
+    while True:
+        moves = cut_lineage(best_moves(active, matrix, v, u, least))
+        still = active.join(moves.select("msa_id"), "msa_id", "left_anti")
+        done = still if done is None else done.unionByName(still)
+        if moves.isEmpty():
+            return done
+        met = active.join(moves.withColumnRenamed("member", "mover"), "msa_id")
+        maps = met.withColumn("src", F.when(F.col("member") == F.col("mover"), F.col("own")).otherwise(F.col("rest")))
+        active = cut_lineage(moved(maps).select("msa_id", "member", "a"))
+
+
+def moved(rows: DataFrame) -> DataFrame:
+    """Rows with their column map ``src`` applied to ``a``."""
+    chars = rows.withColumn("chars", F.split("a", ""))
+    new = F.array_join(F.transform("src", lambda i: F.when((i == 0) | (i > F.length("a")), "-").otherwise(F.element_at("chars", F.greatest(i, F.lit(1))))), "")
+    return chars.withColumn("a", new).drop("chars", "src")
+
+
+def realign(profile: np.ndarray, many: int, row: str, matrix, v, u, least: float = 0.0):
+    """``(gain, map of the rest, map of the row)`` of a better placement of ``row``, or None."""
     cols = np.flatnonzero(profile.sum(1))  # columns that are not empty without the member
     own = np.array([ord(c) - 65 if c != "-" else -1 for c in row.ljust(len(profile), "-")])
     sites = np.flatnonzero(own >= 0)
@@ -136,7 +160,7 @@ def realign(profile: np.ndarray, many: int, row: str, matrix, v, u):
     score, runs, _, _ = align(s)
     old, gap, i, j = 0.0, "", 0, 0
     filled = set(cols.tolist())
-    for p in range(len(profile)):
+    for p in range(len(profile)):  # the present placement under the same costs
         a, b = p in filled, own[p] >= 0
         if a and b:
             old, gap = old + s.row(i)[j], ""
@@ -144,7 +168,7 @@ def realign(profile: np.ndarray, many: int, row: str, matrix, v, u):
             kind = "D" if a else "I"
             old, gap = old - u - (v if gap != kind else 0), kind
         i, j = i + a, j + b
-    if score <= old + 1e-9:
+    if score <= old + max(1e-9, least * abs(old)):
         return None
     a, b = column_map(runs)
-    return [int(cols[x - 1]) + 1 if x else 0 for x in a], [int(sites[x - 1]) + 1 if x else 0 for x in b]
+    return score - old, [int(cols[x - 1]) + 1 if x else 0 for x in a], [int(sites[x - 1]) + 1 if x else 0 for x in b]

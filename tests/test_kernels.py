@@ -48,8 +48,7 @@ def path_score(a, b, runs, i, j, m, v, u):
 
 @pytest.mark.parametrize("mode", ["global", "local", "semiglobal"])
 @pytest.mark.parametrize("full", [10**9, 0])
-def test_kernel_equals_brute_force(mode, full, monkeypatch):
-    monkeypatch.setattr(P, "FULL_TRACE", full)
+def test_kernel_equals_brute_force(mode, full):
     rng, m = random.Random(5), P.letter_matrix()
     for _ in range(60):
         a = "".join(rng.choice("ACDEF") for _ in range(rng.randint(1, 14)))
@@ -58,7 +57,7 @@ def test_kernel_equals_brute_force(mode, full, monkeypatch):
         s = P.sequence_scorer(a, b, m, v, u, mode)
         want = brute(a, b, m, v, u, mode)
         assert P.score_only(s) == pytest.approx(want), (a, b)
-        score, runs, i, j = P.align(s)
+        score, runs, i, j = P.align(s, full)
         assert score == pytest.approx(want), (a, b)
         assert path_score(a, b, runs, i, j, m, v, u) == pytest.approx(want), (a, b, runs)
 
@@ -74,9 +73,8 @@ def test_score_is_symmetric_and_reversible():
 def test_progressive_and_refinement(spark):
     rows = [(1, k, k, s) for k, s in enumerate(["ACDEFGHIK", "ACDEGHIK", "CDEFGHIKL", "ACDEFGHI", "ADEFGHIK"])] + [(2, 0, 0, "MNPQ"), (3, 0, 0, "AAAA"), (3, 1, 1, "AAA")]
     df = spark.createDataFrame(rows, "msa_id long, member long, g long, a string")
-    out = M.progressive(df)
-    for turn in range(5):
-        out = M.refine(out, turn)
+    out = M.refine(M.progressive(df))
+    assert M.best_moves(out).count() == 0
     got = {(r.msa_id, r.member): r.a for r in out.collect()}
     assert {k: v.replace("-", "") for k, v in got.items()} == {(r[0], r[1]): r[3] for r in rows}
     for msa in (1, 2, 3):
