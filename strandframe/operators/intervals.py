@@ -3,7 +3,8 @@
 All running values are two-level prefix scans: rows are cut into position
 buckets, a small per-bucket table carries the value over bucket borders and a
 window runs inside each ``(key, bucket)``.  A key that holds a third of all
-rows is therefore spread over as many tasks as it has buckets.
+rows is therefore spread over as many tasks as it has buckets, and rows are
+reduced to one per position before they are ordered.
 """
 
 from __future__ import annotations
@@ -33,19 +34,25 @@ def following(df: DataFrame, keys: list[str], bucket: str, position: str, name:
     return df.join(carry, [*keys, bucket]).withColumn(name, F.coalesce(F.lead(position).over(inside), "_next")).drop("_next")
 
 
+def _islands(df: DataFrame, keys: list[str], width: int, near: int) -> DataFrame:
+    """``(*keys, l, r, island)`` by left end: the furthest right end of it, and the number of its union.
+
+    Rows are reduced to one per left end before anything is ordered, so a key has
+    no more rows here than positions, whatever the number of its intervals.
+    """
+    d = df.groupBy(*keys, "l").agg(F.max("r").alias("r")).withColumn("_b", F.floor(F.col("l") / width))
+    d = running(d, keys, "_b", ["l"], F.col("r"), F.max, "_reach", False)
+    d = d.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("l") > F.col("_reach") + near), 1).otherwise(0))
+    return running(d, keys, "_b", ["l"], F.col("_new"), F.sum, "island", True).select(*keys, "l", "r", "island")
+
+
 def with_islands(df: DataFrame, keys: list[str], width: int, near: int = 0) -> DataFrame:
     """Number the unions of intervals ``[l, r)`` that touch, overlap or lie within ``near``."""
-    cols = df.columns
-    d = df.withColumn("_b", F.floor(F.col("l") / width))
-    d = running(d, keys, "_b", ["l", "r"], F.col("r"), F.max, "_reach", False)
-    d = d.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("l") > F.col("_reach") + near), 1).otherwise(0))
-    # equal intervals: the opening one first, so that both carry the same number
-    d = running(d, keys, "_b", ["l", "r", F.desc("_new")], F.col("_new"), F.sum, "island", True)
-    return d.select(*cols, "island")
+    return df.join(_islands(df, keys, width, near).drop("r"), [*keys, "l"]).select(*df.columns, "island")
 
 
 def union(df: DataFrame, keys: list[str], width: int, near: int = 0) -> DataFrame:
-    d = with_islands(df.select(*keys, "l", "r"), keys, width, near)
+    d = _islands(df, keys, width, near)
     return d.groupBy(*keys, "island").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("island")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from strandframe.functions import divergence as D, residues as R, runs as U
 from strandframe.operators import alignment_columns as A
@@ -217,14 +217,19 @@ def residue_numbering(t):
     return d.select("msa_id", "member", (F.col("p") + 1).cast("long").alias("num"), F.col("site").cast("long").alias("site"))
 
 
-@query("P28 J4", f"""WITH {CELLS}, n AS (SELECT msa_id, member, site, row_number() OVER (PARTITION BY msa_id, member ORDER BY site) AS num FROM cells WHERE r <> '-')
-SELECT x.msa_id, x.member AS i, y.member AS j, x.num AS num_i, y.num AS num_j FROM n x JOIN n y
-ON x.msa_id = y.msa_id AND x.site = y.site AND x.member % 2 = 0 AND y.member = x.member + 1""")
+@query("P28 J4", f"""WITH {ROWS}, prs AS (SELECT x.msa_id, x.member AS i, y.member AS j, x.a AS a1, y.a AS a2 FROM rws x JOIN rws y ON x.msa_id = y.msa_id AND x.member % 2 = 0 AND y.member = x.member + 1),
+u AS (SELECT msa_id, i, j, unnest(range(1, least(length(a1), length(a2)) + 1)) AS p, unnest(string_split(a1[1:least(length(a1), length(a2))], '')) AS x, unnest(string_split(a2[1:least(length(a1), length(a2))], '')) AS y
+ FROM prs WHERE least(length(a1), length(a2)) > 0),
+n AS (SELECT *, sum((x <> '-')::INT) OVER w AS num_i, sum((y <> '-')::INT) OVER w AS num_j FROM u WINDOW w AS (PARTITION BY msa_id, i ORDER BY p))
+SELECT msa_id, i, j, CAST(num_i AS BIGINT) AS num_i, CAST(num_j AS BIGINT) AS num_j FROM n WHERE x <> '-' AND y <> '-'""")
 def map_residues_between_members(t):
-    d = t.rows.select("msa_id", "member", F.posexplode(U.residue_sites("a")).alias("p", "site")).withColumn("num", (F.col("p") + 1).cast("long"))
-    even = d.filter("member % 2 = 0").select("msa_id", F.col("member").alias("i"), (F.col("member") + 1).alias("j"), "site", F.col("num").alias("num_i"))
-    odd = d.filter("member % 2 = 1").select("msa_id", F.col("member").alias("j"), "site", F.col("num").alias("num_j"))
-    return even.join(odd, ["msa_id", "j", "site"]).select("msa_id", "i", "j", "num_i", "num_j")
+    """Rows are joined, not cells; the running counts stay in the partitions of that join."""
+    both = F.arrays_zip(F.split("a1", "").alias("x"), F.split("a2", "").alias("y"))
+    d = A.consecutive_pairs(t.rows).select("msa_id", "pair", "i", "j", F.posexplode(both).alias("p", "z"))
+    letter = {s: F.coalesce(~F.col(f"z.{s}").isin("-", ""), F.lit(False)) for s in ("x", "y")}
+    w = W.partitionBy("msa_id", "pair").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
+    n = d.select("msa_id", "i", "j", *[F.sum(c.cast("long")).over(w).alias(f"num_{k}") for k, c in zip("ij", letter.values())], (letter["x"] & letter["y"]).alias("both"))
+    return n.filter("both").select("msa_id", "i", "j", "num_i", "num_j")
 
 
 @query("P26 P29", f"""WITH {CELLS}, g AS (SELECT msa_id, member, min(site) AS first_site, max(site) AS last_site FROM cells WHERE r <> '-' GROUP BY ALL)

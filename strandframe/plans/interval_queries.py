@@ -86,22 +86,38 @@ def log_histogram(t):
     return S.histogram(t.orders.filter("o_totalprice > 0"), F.col("o_totalprice"), 6.5, 12.5, 24, F.log)
 
 
-def dixon_sql(parity: bool) -> str:
-    crit = ", ".join(f"({i + 3}, {x}::DOUBLE)" for i, x in enumerate(S.DIXON_05))
+CRIT = "crit(m, thr) AS (VALUES " + ", ".join(f"({i + 3}, {x}::DOUBLE)" for i, x in enumerate(S.DIXON_05)) + ")"
+
+
+def dixon_ctes(src: str, parity: bool = False) -> str:
+    """``out(k, n, side, id, value, ratio)`` of one pass over ``src(k, id, v)``."""
     up8 = "0" if parity else "CASE WHEN hi1 > lo2 THEN (hi1 - hi2) / (hi1 - lo2) ELSE 0 END"
     den, num = ("hi1", "hi2") if parity else ("hi2", "hi3")
-    return f"""WITH crit(m, thr) AS (VALUES {crit}),
-x AS (SELECT o_custkey, o_orderkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS a,
- row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS d FROM orders),
-e AS (SELECT o_custkey, count(*) AS n, max(v) FILTER (a=1) AS lo1, max(v) FILTER (a=2) AS lo2, max(v) FILTER (a=3) AS lo3,
- max(v) FILTER (d=1) AS hi1, max(v) FILTER (d=2) AS hi2, max(v) FILTER (d=3) AS hi3, max(o_orderkey) FILTER (a=1) AS lo_id, max(o_orderkey) FILTER (d=1) AS hi_id
- FROM x GROUP BY o_custkey),
+    return f"""x AS (SELECT k, id, v, row_number() OVER (PARTITION BY k ORDER BY v, id) AS a, row_number() OVER (PARTITION BY k ORDER BY v DESC, id) AS d FROM {src}),
+e AS (SELECT k, count(*) AS n, max(v) FILTER (a=1) AS lo1, max(v) FILTER (a=2) AS lo2, max(v) FILTER (a=3) AS lo3,
+ max(v) FILTER (d=1) AS hi1, max(v) FILTER (d=2) AS hi2, max(v) FILTER (d=3) AS hi3, max(id) FILTER (a=1) AS lo_id, max(id) FILTER (d=1) AS hi_id FROM x GROUP BY k),
 t AS (SELECT *, CASE WHEN n <= 7 THEN CASE WHEN hi1 > lo1 THEN (lo2-lo1)/(hi1-lo1) ELSE 0 END WHEN n <= 10 THEN CASE WHEN hi2 > lo1 THEN (lo2-lo1)/(hi2-lo1) ELSE 0 END
   ELSE CASE WHEN {den} > lo1 THEN (lo3-lo1)/({den}-lo1) ELSE 0 END END AS low,
  CASE WHEN n <= 7 THEN CASE WHEN hi1 > lo1 THEN (hi1-hi2)/(hi1-lo1) ELSE 0 END WHEN n <= 10 THEN {up8}
-  ELSE CASE WHEN hi1 > lo2 THEN (hi1-{num})/(hi1-lo2) ELSE 0 END END AS high FROM e JOIN crit ON m = least(n, 100) WHERE n > 2)
-SELECT o_custkey, n, 'low' AS side, lo_id AS o_orderkey, lo1 AS value, round(low, 6) AS ratio FROM t WHERE low >= thr
-UNION ALL SELECT o_custkey, n, 'high', hi_id, hi1, round(high, 6) FROM t WHERE high >= thr"""
+  ELSE CASE WHEN hi1 > lo2 THEN (hi1-{num})/(hi1-lo2) ELSE 0 END END AS high FROM e JOIN crit ON m = least(n, 100) WHERE n > 2),
+out AS (SELECT k, n, 'low' AS side, lo_id AS id, lo1 AS value, low AS ratio FROM t WHERE low >= thr UNION ALL SELECT k, n, 'high', hi_id, hi1, high FROM t WHERE high >= thr)"""
+
+
+ORDERS = "src AS (SELECT o_custkey AS k, o_orderkey AS id, o_totalprice AS v FROM orders)"
+OUT = "k AS o_custkey, n, side, id AS o_orderkey, value, round(ratio, 6) AS ratio"
+
+
+def dixon_sql(parity: bool) -> str:
+    return f"WITH {CRIT}, {ORDERS}, {dixon_ctes('src', parity)} SELECT {OUT} FROM out"
+
+
+# kind r: rows still in the test, kind h: outliers found
+DIXON_LOOP = f"""WITH RECURSIVE {CRIT}, {ORDERS}, st(kind, k, id, v, n, side, ratio) AS (
+ SELECT 'r', k, id, v, 0::BIGINT, '', 0.0::DOUBLE FROM src
+ UNION ALL (WITH cur AS (SELECT k, id, v FROM st WHERE kind = 'r'), {dixon_ctes('cur')}
+ SELECT 'h', k, id, value, n, side, ratio FROM out
+ UNION ALL SELECT 'r', c.k, c.id, c.v, 0, '', 0.0 FROM cur c WHERE c.k IN (SELECT k FROM out) AND NOT EXISTS (SELECT 1 FROM out o WHERE o.k = c.k AND o.id = c.id)))
+SELECT k AS o_custkey, n, side, id AS o_orderkey, v AS value, round(ratio, 6) AS ratio FROM st WHERE kind = 'h'"""
 
 
 @query("A31 A32", dixon_sql(False))
@@ -114,7 +130,7 @@ def dixon_outliers_program_ratios(t):
     return S.dixon(t.orders, ["o_custkey"], ["o_orderkey"], "o_totalprice", parity=True).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("A31 A32 A33")
+@query("A31 A32", DIXON_LOOP)
 def dixon_outliers_recursive(t):
     return S.dixon_recursive(t.orders, ["o_custkey"], ["o_orderkey"], "o_totalprice").withColumn("ratio", F.round("ratio", 6))
 

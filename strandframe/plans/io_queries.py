@@ -6,8 +6,9 @@ from pyspark.sql import Window as W, functions as F
 
 from strandframe.functions import residues as R
 from strandframe.operators import alignment_columns as A, statistics as S, trees as T
-from strandframe.plans.alignment_queries import SEG_SQL, SITE
+from strandframe.plans.alignment_queries import DIST, RUNS_SQL, SEG_SQL, SITE, pair_sql
 from strandframe.plans.fragments import CELLS, QSEQ, ROWS, SEQ
+from strandframe.plans.interval_queries import CRIT, dixon_ctes
 from strandframe.plans.registry import query
 from strandframe.plans.search_queries import nation_distances, nation_leaves
 from strandframe.sinks import formats as O
@@ -123,7 +124,7 @@ def typed_alignment_rows(t):
     )
 
 
-@query("K14", None)
+@query("K14", pair_sql("consecutive", f"msa_id, i, j, printf('%8.4f %6d %6d %6d %6d', CAST({DIST} AS DOUBLE), mch, mmc, gap, unp) AS line"))
 def statistic_lines(t):
     from strandframe.sinks.writers import statistic_line
 
@@ -141,7 +142,10 @@ def conserved_between_groups(t):
     return A.scoring_segments(g.groupBy("msa_id", "site").agg(score.alias("score")), 12)
 
 
-@query("A33 A31 W15")
+@query("A31 W15", f"""WITH {CRIT}, {CELLS}, {RUNS_SQL}, p AS (SELECT x.msa_id AS k, x.member AS id, count(*) FILTER (x.r <> y.r) / count(*) AS v
+FROM cells x JOIN cells y ON x.msa_id = y.msa_id AND x.site = y.site AND x.member <> y.member WHERE x.r <> '-' AND y.r <> '-' GROUP BY ALL), {dixon_ctes('p')},
+gg AS (SELECT msa_id, member, count(*) AS gap_runs, CAST(sum(gln) AS BIGINT) AS gap_sites FROM gr GROUP BY ALL)
+SELECT k AS msa_id, id AS member, n, side, round(value, 6) AS value, round(ratio, 6) AS ratio, gap_runs, gap_sites FROM out LEFT JOIN gg ON gg.msa_id = k AND gg.member = id""")
 def member_outlier_report(t):
     """Members whose mean mismatch to the others stands out, with their gap figures."""
     d = A.member_distance_sums(t.cells).filter("shared > 0").select("msa_id", "member", (F.col("mismatches") / F.col("shared")).alias("divergence"))

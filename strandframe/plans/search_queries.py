@@ -80,10 +80,21 @@ def edge_list_reader(t):
     return part_supplier_edges(t)
 
 
-COMP = f"""WITH RECURSIVE {EDGE}, b AS (SELECT u, v FROM e2 UNION ALL SELECT v, u FROM e2),
-c(node, component) USING KEY (node) AS (SELECT u, min(u) FROM b GROUP BY u
- UNION SELECT b.u, min(c.component) FROM b JOIN c ON b.v = c.node JOIN recurring.c AS r ON r.node = b.u WHERE c.component < r.component GROUP BY b.u)
-SELECT * FROM c"""
+def comp_cte(edges: str, b: str, c: str) -> str:
+    return f"""{b} AS (SELECT u, v FROM {edges} UNION ALL SELECT v, u FROM {edges}),
+{c}(node, component) USING KEY (node) AS (SELECT u, min(u) FROM {b} GROUP BY u
+ UNION SELECT {b}.u, min({c}.component) FROM {b} JOIN {c} ON {b}.v = {c}.node JOIN recurring.{c} AS r ON r.node = {b}.u WHERE {c}.component < r.component GROUP BY {b}.u)"""
+
+
+COMP = f"WITH RECURSIVE {EDGE}, {comp_cte('e2', 'b', 'c')} SELECT * FROM c"
+# A forest keeps size minus parts edges up to each weight; quantities up to the threshold are 1 and 2.
+FOREST = f"""WITH RECURSIVE {EDGE}, {comp_cte('e2', 'b', 'c')}, e1 AS (SELECT * FROM e2 WHERE dist <= 1), {comp_cte('e1', 'b1', 'c1')},
+k AS (SELECT c.component, count(*) AS size, count(DISTINCT coalesce(c1.component, c.node)) AS parts FROM c LEFT JOIN c1 ON c1.node = c.node GROUP BY c.component)
+SELECT component, size, CASE WHEN parts > 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS height, CAST(size - parts + 2 * (parts - 1) AS DOUBLE) AS length FROM k"""
+REPS = f"""WITH RECURSIVE {EDGE}, {comp_cte('e2', 'b', 'c')}, s AS (SELECT node, sum(dist) AS total FROM (SELECT u AS node, dist FROM e2 UNION ALL SELECT v, dist FROM e2) GROUP BY node),
+nd AS (SELECT 2 * p_partkey AS node FROM part UNION ALL SELECT 2 * s_suppkey + 1 FROM supplier)
+SELECT arg_min(node, (total, node)) AS node, component, count(*) AS members FROM c JOIN s USING (node) GROUP BY component
+UNION ALL SELECT node, node, 1 FROM nd WHERE node NOT IN (SELECT node FROM c)"""
 
 
 @query("E9 G7 E14", COMP)
@@ -91,7 +102,7 @@ def single_linkage_components(t):
     return G.components(part_supplier_edges(t))
 
 
-@query("E9 T1 T4")
+@query("E9 T1 T4", FOREST)
 def single_linkage_forest(t):
     forest = G.spanning_forest(part_supplier_edges(t))
     return G.forest_report(forest).orderBy(F.desc("size"), "component")
@@ -104,7 +115,7 @@ def graph_outsiders(t):
     return t.part.select((F.col("p_partkey") * 2).alias("node")).join(linked, "node", "left_anti")
 
 
-@query("G7")
+@query("G7", REPS)
 def cluster_representatives(t):
     nodes = t.part.select((F.col("p_partkey") * 2).alias("node")).unionByName(t.supplier.select((F.col("s_suppkey") * 2 + 1).alias("node")))
     return G.representatives(part_supplier_edges(t), nodes)
@@ -159,28 +170,70 @@ def distance_matrix_rows(t):
     return d.groupBy("grp", F.col("i").alias("node")).agg(F.array_join(text, " ").alias("line"))
 
 
+# value of a merged pair and an outside cluster, from one row per side with its distance and size
+_RULES = {
+    "upgma": "sum(d * w) / sum(w)", "single": "min(d)", "complete": "max(d)", "mean": "avg(d)",
+    "ward": "(sum((w + no) * d) - any_value(no) * any_value(dab)) / (sum(w) + any_value(no))",
+}
+
+
+def tree_sql(method: str, select: str) -> str:
+    """Merges one pair per group and step: rows of kind e (distances), m (merges), l (leaf and its label) and c (leaf pairs when they meet)."""
+    return f"""WITH RECURSIVE {PROFILE}, st(kind, grp, i, j, d, ni, nj) AS (
+ SELECT 'e', grp, i, j, d, 1, 1 FROM dm
+ UNION ALL SELECT 'l', n_regionkey, n_nationkey, n_nationkey, 0.0::DOUBLE, 1, 1 FROM nation
+ UNION ALL (
+ WITH e AS (SELECT * FROM st WHERE kind = 'e'), p AS (SELECT grp, arg_min(i, (d, i, j)) AS a, arg_min(j, (d, i, j)) AS b, min(d) AS dab, arg_min(ni, (d, i, j)) AS na, arg_min(nj, (d, i, j)) AS nb FROM e GROUP BY grp),
+ x AS (SELECT e.grp, a, b, dab, na, nb, e.d, CASE WHEN i IN (a, b) THEN j ELSE i END AS o, CASE WHEN i IN (a, b) THEN nj ELSE ni END AS no, CASE WHEN i = a OR j = a THEN na ELSE nb END AS w,
+  (i IN (a, b))::INT + (j IN (a, b))::INT AS k, i, j, ni, nj FROM e JOIN p ON e.grp = p.grp),
+ f AS (SELECT grp, a, o, {_RULES[method]} AS d, any_value(na + nb) AS n, any_value(no) AS no FROM x WHERE k = 1 GROUP BY grp, a, o)
+ SELECT 'e', grp, i, j, d, ni, nj FROM x WHERE k = 0
+ UNION ALL SELECT 'e', grp, least(a, o), greatest(a, o), d, CASE WHEN a < o THEN n ELSE no END, CASE WHEN a < o THEN no ELSE n END FROM f
+ UNION ALL SELECT 'm', grp, a, b, dab, na, nb FROM p
+ UNION ALL SELECT 'c', x.grp, least(x.i, y.i), greatest(x.i, y.i), dab, 1, 1 FROM p JOIN st x ON x.kind = 'l' AND x.grp = p.grp AND x.j = a JOIN st y ON y.kind = 'l' AND y.grp = p.grp AND y.j = b
+ UNION ALL SELECT 'l', s.grp, s.i, CASE WHEN s.j = b THEN a ELSE s.j END, 0.0, 1, 1 FROM st s JOIN p ON s.grp = p.grp WHERE s.kind = 'l'))
+{select}"""
+
+
+def first_leaf(node: str):
+    """Label of a node: the smallest leaf under it (leaf keys are far below 2^32)."""
+    return F.col(node) % F.lit(2**32)
+
+
 def _tree(method):
     def build(t):
         d = T.linkage(nation_distances(t), nation_leaves(t), method)
-        return d.withColumn("height", F.round("height", 6))
+        return d.select("grp", first_leaf("node").alias("first_leaf"), first_leaf("right").alias("second_leaf"), "ndesc", F.round("height", 6).alias("height"))
 
     build.__name__ = f"tree_{method}"
     return build
 
 
-for _m in ("upgma", "single", "complete", "mean", "ward"):
-    query("E2 E18 K15")(_tree(_m))
+for _m in _RULES:
+    query("E2 E18", tree_sql(_m, "SELECT grp, CAST(i AS BIGINT) AS first_leaf, CAST(j AS BIGINT) AS second_leaf, CAST(ni + nj AS BIGINT) AS ndesc, round(d / 2, 6) AS height FROM st WHERE kind = 'm'"))(_tree(_m))
 
 
-@query("E3 E18")
+@query("E3 E18", f"""WITH RECURSIVE {PROFILE}, st(kind, grp, step, i, j, d) AS (
+ SELECT 'e', grp, 1::BIGINT, i::BIGINT, j::BIGINT, d FROM dm UNION ALL SELECT 'e', grp, 1, j, i, d FROM dm
+ UNION ALL (
+ WITH e AS (SELECT * FROM st WHERE kind = 'e'), r AS (SELECT grp, i, sum(d) AS r, count(*) + 1 AS m FROM e GROUP BY grp, i),
+ q AS (SELECT e.*, x.r AS ri, y.r AS rj, x.m, round((x.m - 2) * d - x.r - y.r, 9) AS q FROM e JOIN r x ON x.grp = e.grp AND x.i = e.i JOIN r y ON y.grp = e.grp AND y.i = e.j WHERE e.i < e.j),
+ p AS (SELECT *, i % 4294967296 + step * 4294967296 AS u, CASE WHEN m > 2 THEN greatest(0.0, least(d, d / 2 + (ri - rj) / (2 * (m - 2)))) ELSE d END AS li
+  FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY q, i, j) AS k FROM q) WHERE k = 1),
+ f AS (SELECT e.grp, p.u, e.j, (sum(e.d) - any_value(p.d)) / 2 AS d, any_value(p.step) + 1 AS step FROM e JOIN p ON p.grp = e.grp AND e.i IN (p.i, p.j) AND e.j NOT IN (p.i, p.j) GROUP BY e.grp, p.u, e.j)
+ SELECT 'e', e.grp, e.step + 1, e.i, e.j, e.d FROM e JOIN p ON p.grp = e.grp AND e.i NOT IN (p.i, p.j) AND e.j NOT IN (p.i, p.j)
+ UNION ALL SELECT 'e', grp, step, u, j, d FROM f UNION ALL SELECT 'e', grp, step, j, u, d FROM f
+ UNION ALL SELECT 'b', grp, step, i, CASE WHEN m > 2 THEN u ELSE j END, li FROM p UNION ALL SELECT 'b', grp, step, j, u, d - li FROM p WHERE m > 2))
+SELECT grp, i AS node, j AS parent, round(d, 6) AS length FROM st WHERE kind = 'b'""")
 def tree_neighbour_joining(t):
     return T.neighbour_joining(nation_distances(t), nation_leaves(t)).withColumn("length", F.round("length", 6))
 
 
-@query("E8")
+@query("E8", tree_sql("upgma", "SELECT grp, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(d, 6) AS dist FROM st WHERE kind = 'c'"))
 def tree_cophenetic_distance(t):
     leaves = nation_leaves(t)
-    return T.cophenetic(T.linkage(nation_distances(t), leaves), leaves).withColumn("dist", F.round("dist", 6))
+    d = T.cophenetic(T.linkage(nation_distances(t), leaves), leaves)
+    return d.select("grp", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("dist", 6).alias("dist"))
 
 
 @query("E5 K15")
@@ -189,7 +242,9 @@ def tree_member_weights(t):
     return T.member_weights(T.linkage(nation_distances(t), leaves), leaves).withColumn("weight", F.round("weight", 6))
 
 
-@query("E13 E10")
+@query("E13", tree_sql("upgma", """SELECT n_regionkey AS grp, CAST(n_nationkey AS BIGINT) AS leaf, CAST(least(n_nationkey, coalesce(min(i), n_nationkey)) AS BIGINT) AS first_leaf
+FROM nation LEFT JOIN st ON kind = 'c' AND grp = n_regionkey AND j = n_nationkey AND d / 2 <= 0.06 GROUP BY n_regionkey, n_nationkey"""))
 def tree_cut(t):
     leaves = nation_leaves(t)
-    return T.cut_tree(T.linkage(nation_distances(t), leaves), leaves, 0.1)
+    d = T.cut_tree(T.linkage(nation_distances(t), leaves), leaves, 0.06)
+    return d.select("grp", F.col("leaf").cast("long").alias("leaf"), first_leaf("cluster").alias("first_leaf"))

@@ -20,11 +20,17 @@ def with_fallback(df: DataFrame, specific: DataFrame, general: DataFrame, key: s
 
 
 def row_index(df: DataFrame, key: str, width: int) -> DataFrame:
-    """Rank from 1 by a numeric key: ranks inside key ranges plus the counts of the ranges before."""
+    """Rank from 1 by a numeric key: ranks inside key ranges plus the counts of the ranges before.
+
+    Ranges are summed over ranges of ranges, so the only global order is over one row per ``width ** 2`` keys.
+    """
     d = df.withColumn("_b", F.floor(F.col(key) / width))
-    counts = d.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    d = d.join(counts.select("_b", before.alias("_before")), "_b")
+    counts = d.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_c", F.floor(F.col("_b") / width))
+    upper = counts.groupBy("_c").agg(F.sum("_n").alias("_m"))
+    first = F.coalesce(F.sum("_m").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("_n").over(W.partitionBy("_c").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_in", inner).join(upper.select("_c", first.alias("_first")), "_c")
+    d = d.join(counts.select("_b", (F.col("_first") + F.col("_in")).alias("_before")), "_b")
     return d.withColumn("idx", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy(key))).drop("_b", "_before")
 
 
