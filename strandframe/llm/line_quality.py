@@ -45,18 +45,25 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
 
 
-def repeated_words(w: str, window: int = WINDOW) -> Column:
-    """How many words of the array column ``w`` lie in windows that it holds twice or more."""
-    n = f"size({w}) - {window - 1}"
+def window_hashes(w: str, window: int = WINDOW) -> Column:
+    """A hash of every window of the array column ``w``; empty if there is one window at most."""
     args = ", ".join(f"{w}[i - 1 + {k}]" for k in range(window))
-    pairs = f"array_sort(transform(sequence(1, {n}), i -> struct(xxhash64({args}) AS h, i AS i)))"
+    return F.expr(f"CASE WHEN size({w}) > {window} THEN transform(sequence(1, size({w}) - {window - 1}), i -> xxhash64({args})) ELSE cast(array() AS array<bigint>) END")
+
+
+def repeated_words(w: str, h: str, window: int = WINDOW) -> Column:
+    """How many words of the array column ``w`` lie in windows that it holds twice or more, by the column ``h`` of their hashes.
+
+    Only rows with equal hashes are looked at closer, and there only equal words count.
+    """
+    pairs = f"array_sort(transform({h}, (x, i) -> struct(x AS h, i + 1 AS i)))"
     same = f"slice({w}, p[k].i, {window}) = slice({w}, p[k + %d].i, {window})"
     near = " OR ".join(f"({'k > 0' if d < 0 else 'k < size(p) - 1'} AND p[k + {d}].h = x.h AND {same % d})" for d in (-1, 1))
     # arrays bound once by a one-element transform, since a lambda's body would build them again for each element
     places = f"array_sort(transform(filter(transform(p, (x, k) -> struct(x.i AS i, {near} AS twice)), z -> z.twice), z -> z.i))"
     covered = f"aggregate(q, struct(0 AS n, 0 AS last), (a, i) -> struct(a.n + least({window}, i + {window - 1} - a.last) AS n, i + {window - 1} AS last), a -> a.n)"
     bound = f"transform(array({pairs}), p -> {places})[0]"
-    return F.expr(f"CASE WHEN {n} < 2 THEN 0L ELSE cast(transform(array({bound}), q -> {covered})[0] AS bigint) END")
+    return F.expr(f"CASE WHEN size(array_distinct({h})) = size({h}) THEN 0L ELSE cast(transform(array({bound}), q -> {covered})[0] AS bigint) END")
 
 
 def bad_line(line: Column) -> Column:
@@ -68,20 +75,20 @@ def bad_line(line: Column) -> Column:
 
 def line_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), clean: str | None = None) -> DataFrame:
     """``keep`` columns, the counts, ``base_failed``, ``lost`` (share of word characters in removed lines) and ``kept``; if named, the text of the lines that stay."""
-    made = {"_words", "_lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost", "kept", "_text", "_good"}
+    made = {"_words", "_lines", "_hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost", "kept", "_text", "_good"}
     if set(keep) & made:
         raise ValueError(f"kept columns clash with made ones: {sorted(set(keep) & made)}")
     t = F.col("_text")
     a = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     b = a.select(*keep, "_text", words(t).alias("_words"), lines(t).alias("_lines"))
-    c = b.select(*keep, "_text", "_words", "_lines", F.filter("_lines", lambda x: ~bad_line(x)).alias("_good"))
+    c = b.select(*keep, "_text", "_words", "_lines", window_hashes("_words").alias("_hashes"), F.filter("_lines", lambda x: ~bad_line(x)).alias("_good"))
     chars = F.length(F.array_join("_words", "")).cast("long")
     stay = F.length(F.regexp_replace(F.array_join("_good", ""), "[ \\x09-\\x0D]+", "")).cast("long")
     d = c.select(
         *keep, "_good", F.size("_words").cast("long").alias("n_words"), chars.alias("word_chars"), stay.alias("_stay"),
         F.coalesce(F.regexp_count(t, F.lit(SYMBOLS)), F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words("_words").alias("n_repeat_words"),
+        repeated_words("_words", "_hashes").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     lost = F.when(F.col("word_chars") > 0, 1 - F.col("_stay") / F.col("word_chars")).otherwise(F.lit(0.0))
