@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space of words and lines.
 SPACE = " \t\n\x0b\x0c\r"
-#: Fixed values of the rules, as patterns on the line in lower case.
-NAVIGATION = r"([|»›>→].*){2,}|^[^a-z]*(home|menu|next|previous|back|login|log in|sign in|sign up|share|search|contact|sitemap|read more|click here|top)[^a-z]*$"
+#: Fixed values of the rules: patterns and phrases on the line in lower case, and one on the line itself.
+NAVIGATION = r"[|»›>→][^\n]*[|»›>→]|^[^a-z]*(home|menu|next|previous|back|login|log in|sign in|sign up|share|search|contact|sitemap|read more|click here|top)[^a-z]*$"
 BOILERPLATE = (
-    r"all rights reserved|copyright|©|\(c\) [12][0-9]{3}|cookie|privacy policy|terms of (use|service)|subscribe|newsletter|javascript|"
-    r"licensed under|released under|permission is hereby granted|spdx-license|without warranty"
+    "all rights reserved", "copyright", "©", "cookie", "privacy policy", "terms of use", "terms of service", "subscribe", "newsletter", "javascript",
+    "licensed under", "released under", "permission is hereby granted", "spdx-license", "without warranty",
 )
-SHOUT = r"!!.*!!"
+SHOUT = r"!![^\n]*!!"
 SYMBOLS = "[#*$%&|<>]"
 #: Share of word characters that may be lost; words of a document; repeated words of a hundred.
 MOST_LOST, LEAST_WORDS, MOST_REPEATED, WINDOW = 0.5, 10, 20, 5
@@ -66,11 +66,14 @@ def repeated_words(w: str, h: str, window: int = WINDOW) -> Column:
     return F.expr(f"CASE WHEN size(array_distinct({h})) = size({h}) THEN 0L ELSE cast(transform(array({bound}), q -> {covered})[0] AS bigint) END")
 
 
-def bad_line(line: Column) -> Column:
-    low = F.lower(line)
-    solid = F.length(F.regexp_replace(line, r"\s+", ""))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]+", ""))
-    return low.rlike(NAVIGATION) | low.rlike(BOILERPLATE) | line.rlike(SHOUT) | (2 * letters < solid)
+def bad_line(line: Column, low: Column) -> Column:
+    """Whether a rule fails; ``low`` is the line in lower case."""
+    phrase = low.contains(BOILERPLATE[0])
+    for p in BOILERPLATE[1:]:
+        phrase = phrase | low.contains(p)
+    others = F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]+", ""))
+    letters = F.length(F.regexp_replace(line, r"\s+", "")) - others
+    return phrase | (line.contains("!!") & line.rlike(SHOUT)) | ((others > 0) & (letters < others)) | low.rlike(NAVIGATION)
 
 
 def line_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), clean: str | None = None) -> DataFrame:
@@ -81,7 +84,7 @@ def line_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     t = F.col("_text")
     a = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     b = a.select(*keep, "_text", words(t).alias("_words"), lines(t).alias("_lines"))
-    c = b.select(*keep, "_text", "_words", "_lines", window_hashes("_words").alias("_hashes"), F.filter("_lines", lambda x: ~bad_line(x)).alias("_good"))
+    c = b.select(*keep, "_text", "_words", "_lines", window_hashes("_words").alias("_hashes"), F.filter(F.transform("_lines", lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"))), lambda p: ~bad_line(p["x"], p["low"]))["x"].alias("_good"))
     chars = F.length(F.array_join("_words", "")).cast("long")
     stay = F.length(F.regexp_replace(F.array_join("_good", ""), "[ \\x09-\\x0D]+", "")).cast("long")
     d = c.select(

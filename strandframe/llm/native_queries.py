@@ -32,13 +32,13 @@ r AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, s) AS
 n AS (SELECT rid, count(*) AS n_repeat_words FROM (SELECT DISTINCT rid, unnest(range(k, k + 5)) AS p FROM r) GROUP BY rid),
 x AS (SELECT rid, unnest(l) AS line FROM w),
 good AS (SELECT rid, sum(length(regexp_replace(line, '[ \x09-\x0D]+', '', 'g'))) AS stay FROM x
-WHERE NOT (regexp_matches(lower(line), 'NAV') OR regexp_matches(lower(line), 'BOIL') OR regexp_matches(line, '!!.*!!')
+WHERE NOT (regexp_matches(lower(line), 'NAV') OR regexp_matches(lower(line), 'BOIL') OR regexp_matches(line, 'SHOUT')
 OR 2 * length(regexp_replace(line, '[^\p{L}\p{N}]+', '', 'g')) < length(regexp_replace(line, '\s+', '', 'g'))) GROUP BY rid),
 a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
 CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
 CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(stay, 0) AS BIGINT) AS stay FROM d JOIN w USING (rid) LEFT JOIN n USING (rid) LEFT JOIN good USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN round(1 - stay / word_chars::DOUBLE, 6) ELSE 0.0 END AS lost FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, CAST(lost AS DOUBLE) AS lost FROM b""".replace("NAV", Q.NAVIGATION).replace("BOIL", Q.BOILERPLATE)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, CAST(lost AS DOUBLE) AS lost FROM b""".replace("NAV", Q.NAVIGATION).replace("BOIL", "|".join(Q.BOILERPLATE)).replace("SHOUT", Q.SHOUT)
 
 
 @corpus_query(QUALITY)
