@@ -1,13 +1,12 @@
 """Gene structures: exon and intron tables from run boundaries, intron sets of aligned members.
 
 A text is a locus, its letter runs are exons and what lies between them are
-introns.  Exon rows are small; windows over them are per locus and bounded by
-one text.
+introns.  All ranges are worked out inside the row; only the results are exploded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from strandframe.functions import residues as R, runs as U
 
@@ -19,35 +18,23 @@ def exon_arrays(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
 
 def exons(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """``(id, exon_no, l, r, cds_l, cds_r)``: half-open genomic and coding ranges, numbers from 1."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(f"{U.LETTER}+"), F.lit(0)), F.length)
-    gaps = F.transform(F.split(text, f"{U.LETTER}+"), F.length)
-    pieces = F.filter(F.arrays_zip(gaps.alias("g"), words.alias("n")), lambda x: x["n"].isNotNull())
-    d = df.select(F.col(ident).alias("id"), F.posexplode(pieces).alias("i", "e")).select(
-        "id", (F.col("i") + 1).alias("exon_no"), F.col("e.g").alias("g"), F.col("e.n").alias("n")
-    )
-    w = W.partitionBy("id").orderBy("exon_no").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("cds_r", F.sum("n").over(w)).withColumn("gap", F.sum("g").over(w))
-    return d.select(
-        "id", "exon_no", (F.col("cds_r") - F.col("n") + F.col("gap")).alias("l"), (F.col("cds_r") + F.col("gap")).alias("r"),
-        (F.col("cds_r") - F.col("n")).alias("cds_l"), "cds_r",
-    )
-
-
-def introns(ex: DataFrame) -> DataFrame:
-    """Intron between consecutive exons with the codon phase it interrupts."""
-    w = W.partitionBy("id").orderBy("exon_no")
-    return ex.withColumn("nl", F.lead("l").over(w)).filter("nl IS NOT NULL").select(
-        "id", F.col("exon_no").alias("intron_no"), F.col("r").alias("l"), F.col("nl").alias("r"),
-        F.col("cds_r").alias("pos"), (F.col("cds_r") % 3).alias("phase"),
-    )
+    d = df.select(F.col(ident).alias("id"), F.posexplode(U.counted_runs(text)).alias("i", "e"))
+    return d.select("id", (F.col("i") + 1).alias("exon_no"), "e.l", "e.r", "e.cds_l", "e.cds_r")
+
+
+def introns(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
+    """Intron between consecutive exons of a text with the codon phase it interrupts."""
+    d = df.select(F.col(ident).alias("id"), U.counted_runs(text).alias("e"))
+    pairs = F.zip_with("e", F.slice("e", F.lit(2), F.greatest(F.size("e") - 1, F.lit(0))), lambda x, y: F.struct(x["r"].alias("l"), y["l"].alias("r"), x["cds_r"].alias("pos")))
+    d = d.select("id", F.posexplode(pairs).alias("i", "x")).filter("x.r IS NOT NULL")
+    return d.select("id", (F.col("i") + 1).alias("intron_no"), "x.l", "x.r", "x.pos", (F.col("x.pos") % 3).alias("phase"))
 
 
 def intron_sets(rows: DataFrame) -> DataFrame:
     """``(msa_id, member, role, pos, cds_len)``: coding positions interrupted in every member."""
-    d = rows.select("msa_id", "member", "role", F.posexplode(U.runs("a")).alias("i", "e"))
-    w = W.partitionBy("msa_id", "member").orderBy("i")
-    d = d.withColumn("pos", F.sum(F.col("e.r") - F.col("e.l")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    d = d.withColumn("cds_len", F.sum(F.col("e.r") - F.col("e.l")).over(W.partitionBy("msa_id", "member")))
+    n = F.length(R.ungap("a")).cast("long")
+    ends = F.transform(U.counted_runs("a"), lambda e: e["cds_r"])
+    d = rows.select("msa_id", "member", "role", n.alias("cds_len"), F.explode(ends).alias("pos"))
     return d.filter("pos < cds_len").select("msa_id", "member", "role", "pos", "cds_len")
 
 

@@ -1,10 +1,10 @@
 """Word-index joins between a query set and a sequence database.
 
 Similarity is the shared word count over the smaller total.  A pair can only
-reach the threshold if it shares several counts within the *prefix* of its smaller
-member: the rarest words, up to the point where the rest cannot make the
-threshold any more.  Only prefix words generate candidates, and every candidate
-is verified on all words, so the result is exact.
+reach the threshold if it meets within the *prefix* of its smaller member: the
+rarest words, up to the point where the rest cannot make the threshold any
+more.  Only prefix words make candidates, and every candidate is verified on all
+words, so the result is exact.
 """
 
 from __future__ import annotations
@@ -27,70 +27,49 @@ def word_table(df: DataFrame, ident: str, k: int) -> DataFrame:
     return n.join(n.groupBy(ident).agg(F.sum("n").alias("total")), ident)
 
 
-MATCHES = 8  # shared counts asked for inside the prefix before a pair becomes a candidate
-
-
 def needed(total, t: float):
     return F.ceil(total * t - 1e-9)
 
 
-def prefix(words: DataFrame, ident: str, order: list, t: float) -> DataFrame:
-    """The first words of every sequence in which a similar pair must share at least ``ask`` counts.
+def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
+    """Exact ``(q_id, seq_id, shared, f)`` with shared words / smaller total >= ``t``.
 
-    A pair at the threshold shares ``need`` counts, so at most
-    ``total - need`` counts of the smaller sequence are unshared; once
-    ``total - need + ask`` counts are seen, ``ask`` of them are shared.
+    One pass over the database keeps, per sequence, the counts of words that occur
+    in some query; its total needs no words.  Words are taken rarest first, by the
+    number of sequences that have them: a similar pair has to meet in the first
+    words of the query or of the sequence, whichever is smaller, and pairs that
+    meet nowhere there are never made.  Counts travel, texts don't.
     """
-    need = needed(F.col("total"), t)
-    w = W.partitionBy(ident).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)  # bounded by one sequence
-    d = words.withColumn("ask", F.least(need, F.lit(MATCHES))).withColumn("used", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return d.filter(F.col("used") <= F.col("total") - need + F.col("ask") - 1)
-
-
-def candidates(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
-    """Distinct ``(q_id, seq_id)`` that may reach similarity ``t``."""
-    q = cut_lineage(word_table(queries, "q_id", k))
-    longest = q.agg(F.max("total")).first()[0] or 0
-    distinct_words = db.select("seq_id", F.explode(F.array_distinct(R.kmers("s", k))).alias("word"))
-    q_words = q.select("word").distinct()
-    freq = distinct_words.join(q_words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    ranked = q.join(freq, "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # materialized once: it is as small as the query set but costs a pass over the database
-    q_prefix = cut_lineage(prefix(ranked, "q_id", ["df", "word"], t).filter("df > 0").select("q_id", "word", "n", "ask"))
-
-    def enough(hits: DataFrame) -> DataFrame:
-        met = hits.groupBy("q_id", "seq_id").agg(F.sum("n").alias("n"), F.first("ask").alias("ask"))
-        return met.filter("n >= ask").select("q_id", "seq_id")
-
-    by_query = distinct_words.join(q_prefix, "word")
-    # pairs whose smaller member is the database sequence: only those shorter than the longest query
-    short = db.filter(F.length("s") - (k - 1) < longest)
-    d_prefix = prefix(word_table(short, "seq_id", k), "seq_id", [F.xxhash64("word"), "word"], t).select("seq_id", "word", "n", "ask")
-    by_entry = d_prefix.join(q.select("q_id", "word"), "word")
-    return enough(by_query).unionByName(enough(by_entry)).distinct()
-
-
-def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> DataFrame:
-    """Exact ``(q_id, seq_id, shared, f)`` with shared words / smaller total >= ``t``."""
-    cand = cut_lineage(candidates(queries, db, k, t))
-    q_arr = queries.select("q_id", (F.length("s") - (k - 1)).alias("q_total"), F.array_distinct(R.kmers("s", k)).alias("q_words"))
-    # only sequences with a candidate move on, spread by pair
-    pairs = db.select("seq_id", "s").join(cand, "seq_id").repartition("q_id", "seq_id").join(q_arr, "q_id")
-    # Upper bound in place: distinct shared words plus every repeat the query has.
-    d_total = F.length("s") - (k - 1)
-    bound = F.size(F.array_intersect("q_words", R.kmers("s", k))) + F.col("q_total") - F.size("q_words")
-    kept = cut_lineage(
-        pairs.filter(bound >= needed(F.least("q_total", d_total), t)).select("q_id", "seq_id", "s", F.least("q_total", d_total).alias("smaller"))
-    )
-    rows = kept.select("q_id", "seq_id", F.explode(R.kmers("s", k)).alias("word"))
-    q = word_table(queries, "q_id", k).withColumnRenamed("n", "qn")
-    hits = rows.join(q, ["q_id", "word"]).groupBy("q_id", "seq_id", "word").agg(F.count("*").alias("n"), F.first("qn").alias("qn"))
-    g = hits.groupBy("q_id", "seq_id").agg(F.sum(F.least("n", "qn")).alias("shared")).join(kept.select("q_id", "seq_id", "smaller"), ["q_id", "seq_id"])
+    q = cut_lineage(word_table(queries, "q_id", k)).select("q_id", "word", F.col("n").alias("qn"), F.col("total").alias("q_total"))
+    vocabulary = q.select("word").distinct()
+    words = db.select("seq_id", (F.length("s") - (k - 1)).cast("long").alias("total"), F.explode(R.kmers("s", k)).alias("word"))
+    d = cut_lineage(words.join(vocabulary, "word", "left_semi").groupBy("seq_id", "total", "word").agg(F.count("*").alias("n")))
+    freq = d.groupBy("word").agg(F.count("*").alias("df"))
+    first_q = _first(q.join(freq, "word"), "q_id", "q_total", "qn", t)
+    first_d = _first(d.join(freq, "word"), "seq_id", "total", "n", t)
+    small_q = d.join(first_q.select("word", "q_id", "q_total"), "word").filter("q_total <= total").select("q_id", "seq_id")
+    small_d = first_d.join(q.select("word", "q_id", "q_total"), "word").filter("total < q_total").select("q_id", "seq_id")
+    pairs = small_q.unionByName(small_d).distinct()
+    met = pairs.join(d, "seq_id").join(q, ["q_id", "word"])
+    g = met.groupBy("q_id", "seq_id", F.least("total", "q_total").alias("smaller")).agg(F.sum(F.least("n", "qn")).alias("shared"))
     return g.filter(F.col("shared") >= needed(F.col("smaller"), t)).select(
         "q_id", "seq_id", "shared", (F.col("shared") / F.col("smaller").cast("double")).alias("f")
     )
 
 
+def _first(words: DataFrame, ident: str, total: str, n: str, t: float) -> DataFrame:
+    """The rarest words of every member that a similar pair cannot all miss.
+
+    ``words`` are those known to the other side, so a pair's shared counts lie
+    among them; with ``have`` counts in all, a pair that shares ``need`` must meet
+    within the first ``have - need + 1``.  Members with fewer than ``need`` drop out.
+    """
+    w = W.partitionBy(ident)  # the words of one member
+    order = w.orderBy("df", "word").rowsBetween(W.unboundedPreceding, -1)
+    d = words.withColumn("have", F.sum(n).over(w)).withColumn("used", F.coalesce(F.sum(n).over(order), F.lit(0)))
+    return d.filter(F.col("used") <= F.col("have") - needed(F.col(total), t))
+
+
 def diagonal_matches(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
     """Maximal exact matches of length >= k: ``(q_id, seq_id, q_start, d_start, len)``.
 

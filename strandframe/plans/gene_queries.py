@@ -21,14 +21,14 @@ def as_long(df):
     return df.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
-@query("K9 S20 F21 G5", f"WITH {EXONS} SELECT * FROM ex")
+@query("K9 F21", f"WITH {EXONS} SELECT * FROM ex")
 def exon_table(t):
     return as_long(G.exons(t.docs, "doc_id"))
 
 
 @query("K9 W13", f"WITH {INTR} SELECT id, intron_no, l, r, pos, phase FROM intr WHERE r IS NOT NULL")
 def intron_table(t):
-    return as_long(G.introns(G.exons(t.docs, "doc_id")))
+    return as_long(G.introns(t.docs, "doc_id"))
 
 
 @query("K6", f"""WITH {EXONS} SELECT 'doc' || id || chr(9) || 'text' || chr(9) || 'cds' || chr(9) || (l + 1) || chr(9) || r || chr(9) || '.' || chr(9) || '+' || chr(9)
@@ -87,7 +87,7 @@ def premature_stops(t):
     return d.select("seq_id", (R.count_in("p", "*") - F.when(F.endswith("p", F.lit("*")), 1).otherwise(0)).cast("long").alias("premature"), "frame_excess")
 
 
-@query("P31 K20", """WITH g AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS x FROM documents),
+@query("P31", """WITH g AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS x FROM documents),
 w AS (SELECT doc_id, unnest(x) AS a, unnest(x[2:]) AS b FROM g)
 SELECT lower(right(a, 2) || left(b, 2)) AS junction, count(*) AS n FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL""")
 def junction_words(t):
@@ -162,7 +162,7 @@ START_CONTEXT = [(3, 1, 2, 0), (1, 3, 1, 0), (4, 0, 2, 0), (9, -9, -9, -9), (-9,
 PWM_ROWS = ", ".join(f"({i + 1}, '{b}', {v})" for i, c in enumerate(START_CONTEXT) for b, v in zip("ACGT", c))
 
 
-@query("W8 S29", f"""WITH {NT}, pwm(c, r, v) AS (VALUES {PWM_ROWS}), {words('nt', 7)},
+@query("W8", f"""WITH {NT}, pwm(c, r, v) AS (VALUES {PWM_ROWS}), {words('nt', 7)},
 u AS (SELECT seq_id, pos, unnest(string_split(w, '')) AS r, unnest(range(1, 8)) AS c FROM words),
 s AS (SELECT seq_id, pos, sum(v) AS s FROM u JOIN pwm USING (c, r) GROUP BY ALL)
 SELECT seq_id, CAST(max(s) AS BIGINT) AS best, CAST(min(pos) FILTER (s = m) AS BIGINT) AS at FROM (SELECT *, max(s) OVER (PARTITION BY seq_id) AS m FROM s) GROUP BY seq_id""")
