@@ -111,6 +111,28 @@ def gap_states(rows: DataFrame) -> DataFrame:
     )
 
 
+def gap_openings(rows: DataFrame, first) -> DataFrame:
+    """Gap openings between two groups of members, ``(msa_id, openings)``: ``first`` says who belongs to the first.
+
+    At a site a gap of one member against a residue of another opens if the gap
+    has lasted no longer than the run of gaps that ends right before the residue.
+    Counted from both groups' frequencies of states per site (sum of products over
+    states of greater or equal length); members are never paired.
+    """
+    side = rows.select("msa_id", first.cast("int").alias("side"), "a")
+    runs = side.select("msa_id", "side", F.length("a").alias("width"), F.inline(U.runs("a", U.GAP)))
+    lasted = runs.select("msa_id", "side", "l", F.explode(F.sequence(F.lit(1), F.col("r") - F.col("l"))).alias("k"))
+    gaps = lasted.groupBy("msa_id", "side", (F.col("l") + F.col("k")).alias("site"), (F.col("k") - 1).alias("before")).agg(F.count("*").alias("n"))
+    after = runs.filter("r < width").groupBy("msa_id", "side", (F.col("r") + 1).alias("site"), (F.col("r") - F.col("l")).alias("run")).agg(F.count("*").alias("m"))
+    letters = side.select("msa_id", "side", F.posexplode(F.split("a", "")).alias("p", "c")).filter("c NOT IN ('-', '')")
+    total = letters.groupBy("msa_id", "side", (F.col("p") + 1).alias("site")).agg(F.count("*").alias("m"))
+    at = ["msa_id", "side", "site"]
+    fresh = total.join(after.groupBy(*at).agg(F.sum("m").alias("late")), at, "left")  # residues without a run of gaps before them
+    residues = after.select(*at, "run", "m").unionByName(fresh.select(*at, F.lit(0).alias("run"), (F.col("m") - F.coalesce("late", F.lit(0))).alias("m")))
+    met = gaps.join(residues.withColumn("side", 1 - F.col("side")), at).filter("run >= before")
+    return met.groupBy("msa_id").agg(F.sum(F.col("n") * F.col("m")).alias("openings"))
+
+
 def member_distance_sums(cells: DataFrame) -> DataFrame:
     """Sum over the other members of mismatching shared sites, from the profile."""
     prof = profile(cells)

@@ -157,7 +157,7 @@ def hydropathy_windows(t):
     return sliding_extremes(t.seqs, dict(zip(R.AMINO, HYDROPATHY)), 17)
 
 
-# Integer position weights of a start context, one column per position (A C G T).
+# An example matrix: integer position weights around a start, one column per position (A C G T).
 START_CONTEXT = [(3, 1, 2, 0), (1, 3, 1, 0), (4, 0, 2, 0), (9, -9, -9, -9), (-9, -9, -9, 9), (-9, -9, 9, -9), (1, 0, 3, 0)]
 PWM_ROWS = ", ".join(f"({i + 1}, '{b}', {v})" for i, c in enumerate(START_CONTEXT) for b, v in zip("ACGT", c))
 

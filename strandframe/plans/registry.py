@@ -24,7 +24,7 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
-MODULES = ["residue_queries", "alignment_queries", "interval_queries", "gene_queries", "search_queries", "alignment_kernel_queries", "io_queries"]
+MODULES = ["residue_queries", "alignment_queries", "interval_queries", "gene_queries", "search_queries", "alignment_kernel_queries", "io_queries", "reader_queries"]
 
 
 def query(ops: str, sql: str | None = None):

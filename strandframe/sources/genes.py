@@ -20,7 +20,12 @@ def parse_join(feature) -> Column:
 
 def read_gff(spark, path: str) -> DataFrame:
     """CDS rows of a GFF3/GTF file: ``(seq_id, gene, l, r, strand)``."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
+    return parse_gff(spark.read.text(path))
+
+
+def parse_gff(rows: DataFrame) -> DataFrame:
+    """The same from lines in a column ``value``."""
+    lines = rows.filter(~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     gene = F.coalesce(
         F.nullif(F.regexp_extract(f[8], r"Parent=([^;]+)", 1), F.lit("")), F.nullif(F.regexp_extract(f[8], r'gene_id "([^"]+)"', 1), F.lit("")), f[8]
