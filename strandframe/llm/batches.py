@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text that a kernel gets at once; a longer single text comes alone.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, list[str]]]:

@@ -155,6 +155,15 @@ def document_frequency(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
+def flat_lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a column of lists, without an object per value."""
+    parts = [c for c in column.chunks if len(c)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts])
+    return np.concatenate([c.flatten().to_numpy() for c in parts]), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
 def train(docs: DataFrame, text: str = "text", doc: str = "doc_id", lang: str = "lang", sample: int = SAMPLE) -> Model:
     known = docs.filter(learnable(doc, lang))
     sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
@@ -178,16 +187,17 @@ def train(docs: DataFrame, text: str = "text", doc: str = "doc_id", lang: str =
         bounds = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in at])]), pa.int32())
         return {k: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(v), pa.int32())) for k, v in (("at", at), ("n", n))}
 
-    got = map_texts(drawn, "_text", ("_lang", "_order"), "at array<int>, n array<int>", rows).filter("size(at) > 0").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["_order"], r["_lang"]))
-    taken: dict[str, int] = dict.fromkeys(languages, 0)
-    examples = []
-    for r in got:
-        taken[r["_lang"]] += 1
-        if taken[r["_lang"]] <= each:
-            at = np.array(r["at"], np.int64)
-            x = values(np.array(r["n"], float), idf[at])
-            examples.append((languages.index(r["_lang"]), at, x / np.sqrt((x * x).sum())))
+    got = map_texts(drawn, "_text", ("_lang", "_order"), "at array<int>, n array<int>", rows).filter("size(at) > 0").toArrow().combine_chunks()
+    ranks = {c: i for i, c in enumerate(languages)}
+    label = [ranks[c] for c in got["_lang"].to_pylist()]
+    at, n = (flat_lists(got[c]) for c in ("at", "n"))
+    taken, examples = [0] * len(languages), []
+    for i in np.lexsort((label, got["_order"].to_numpy())):
+        taken[label[i]] += 1
+        if taken[label[i]] <= each:
+            own = at[0][at[1][i] : at[1][i + 1]]
+            x = values(n[0][n[1][i] : n[1][i + 1]].astype(float), idf[own])
+            examples.append((label[i], own, (x / np.sqrt((x * x).sum())).astype(np.float32)))
     fitted = [e for i, e in enumerate(examples) if i % 5] or examples
     aside = examples[::5]
     w, b = fit(fitted, len(languages))
