@@ -59,17 +59,19 @@ def jukes_cantor(p: Column, states: int = 4) -> Column:
     return F.when(p <= 0, F.lit(0.0)).when(y <= 0, F.lit(OUT_OF_RANGE)).otherwise(F.lit(-b) * F.log(y))
 
 
+# Coefficients of the two pieces of the protein curve.
 def _pam_polynomial(x: Column) -> Column:
     return F.when(x <= 0.7, 1.0 - (0.987151 + 0.220560 * x) * x).otherwise(
         -1.260444 + (8.603930 - (13.869219 - 6.521836 * x) * x) * x
     )
 
 
-def pam_correct(x: Column, mode: int = 2) -> Column:
-    """Multiple-hit correction of a protein divergence, in PAM units (x100)."""
+def pam_correct(x: Column, mode: int = 2, nucleotide: bool = False) -> Column:
+    """Multiple-hit correction of a divergence, in PAM units (x100): 0 none, 1 logarithm, 2 polynomial (protein only)."""
     if mode == 0:
         return F.when(x <= 0, F.lit(0.0)).otherwise(100.0 * x)
-    alpha = 0.95 if mode == 1 else 1.0
+    mode = 1 if nucleotide else mode
+    alpha = 0.75 if nucleotide else 0.95 if mode == 1 else 1.0
     y = 1.0 - x / F.lit(alpha) if mode == 1 else _pam_polynomial(x)
     return F.when(x <= 0, F.lit(0.0)).when(y > 0, F.lit(-100.0 * alpha) * F.log(y)).otherwise(F.lit(OUT_OF_RANGE))
 

@@ -69,26 +69,22 @@ def consecutive_pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, ["msa_id", "pair"])
 
 
-def first_versus_others(rows: DataFrame, salts: int = 16) -> DataFrame:
-    """First member against every other; the first row is copied per salt so a huge alignment splits."""
-    firsts = rows.filter("member = 0").select(
-        "msa_id", F.col("a").alias("a1"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    others = rows.filter("member > 0").select(
-        "msa_id", F.col("member").alias("j"), F.col("a").alias("a2"), F.pmod(F.col("member"), F.lit(salts)).cast("int").alias("salt")
-    )
-    return others.join(firsts, ["msa_id", "salt"]).drop("salt")
+def first_versus_others(rows: DataFrame, span: int = 1024) -> DataFrame:
+    """First member against every other; the first row is copied once per ``span`` members, so a huge alignment splits with its depth."""
+    head = rows.groupBy("msa_id").agg(F.max(F.when(F.col("member") == 0, F.col("a"))).alias("a1"), F.max("member").alias("top")).filter("a1 IS NOT NULL")
+    firsts = head.select("msa_id", "a1", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / span))).alias("part"))
+    others = rows.filter("member > 0").select("msa_id", F.col("member").alias("j"), F.col("a").alias("a2"), F.floor(F.col("member") / span).alias("part"))
+    return others.join(firsts, ["msa_id", "part"]).drop("part")
 
 
-def others_versus_last(rows: DataFrame, salts: int = 16) -> DataFrame:
+def others_versus_last(rows: DataFrame, span: int = 1024) -> DataFrame:
+    """Every other member against the last one, split in the same way."""
     last = rows.groupBy("msa_id").agg(F.max_by(F.struct("member", "a"), "member").alias("z")).select(
         "msa_id", F.col("z.member").alias("j"), F.col("z.a").alias("a2"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    others = rows.select(
-        "msa_id", F.col("member").alias("i"), F.col("a").alias("a1"), F.pmod(F.col("member"), F.lit(salts)).cast("int").alias("salt")
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("z.member") / span))).alias("part"),
     )
-    return others.join(last, ["msa_id", "salt"]).filter("i < j").drop("salt")
+    others = rows.select("msa_id", F.col("member").alias("i"), F.col("a").alias("a1"), F.floor(F.col("member") / span).alias("part"))
+    return others.join(last, ["msa_id", "part"]).filter("i < j").drop("part")
 
 
 def pair_statistics(pairs: DataFrame, *keys: str) -> DataFrame:

@@ -42,6 +42,9 @@ def extremes(df: DataFrame, keys: list[str], ident: list[str], value: str) -> Da
 def dixon(df: DataFrame, keys: list[str], ident: list[str], value: str, critical=DIXON_05, parity: bool = False, min_range: float = 0.0) -> DataFrame:
     """One pass of the ratio test: at most one low and one high outlier per group.
 
+    ``critical`` holds the ratios for n = 3, 4, ...; groups beyond its end use
+    its last value (the built-in one ends at n = 100, as the published table does).
+
     Ratios are r10 for n <= 7, r11 for n <= 10 and r21 above.  ``parity``
     keeps the published program's variants: the upper ratio is zero for
     n = 8..10, and for n >= 11 the lower one uses the full range and the upper
@@ -59,7 +62,7 @@ def dixon(df: DataFrame, keys: list[str], ident: list[str], value: str, critical
     high = F.when(n <= 7, ratio(hi1 - hi2, hi1 - lo1)).when(
         n <= 10, F.lit(0.0) if parity else ratio(hi1 - hi2, hi1 - lo2)
     ).otherwise(ratio(hi1 - (hi2 if parity else hi3), hi1 - lo2))
-    thr = F.element_at(F.array(*[F.lit(float(x)) for x in critical]), (F.least(n, F.lit(100)) - 2).cast("int"))
+    thr = F.element_at(F.array(*[F.lit(float(x)) for x in critical]), (F.least(n, F.lit(len(critical) + 2)) - 2).cast("int"))
     d = e.filter("n > 2").withColumn("low", low).withColumn("high", high).withColumn("thr", thr)
     out = F.filter(
         F.array(

@@ -74,6 +74,7 @@ POLY = "(CASE WHEN p <= 0.7 THEN 1 - (0.987151::DOUBLE + 0.220560::DOUBLE * p) *
        "round(CASE WHEN p <= 0 THEN 0 WHEN 1 - p / (19 / 20.0::DOUBLE) <= 0 THEN 1024 ELSE -19 / 20.0::DOUBLE * ln(1 - p / (19 / 20.0::DOUBLE)) END, 6) AS jc_protein, "
        f"round(CASE WHEN p <= 0 THEN 0 WHEN {POLY} > 0 THEN -100 * ln({POLY}) ELSE 1024 END, 6) AS pam, "
        f"CAST(CASE WHEN p >= 1 OR {POLY} <= 0 THEN 300 ELSE least(300, (CAST(floor(-100 * ln({POLY})) AS BIGINT) + 14) // 10 * 10) END AS BIGINT) AS pam_level, "
+       "round(CASE WHEN p <= 0 THEN 0 WHEN 1 - p / 0.75 <= 0 THEN 1024 ELSE -75 * ln(1 - p / 0.75::DOUBLE) END, 6) AS pam_dna, "
        "round(-0.18704::DOUBLE * ln((0.00501::DOUBLE + 1 - p) / 1.00501::DOUBLE), 6) AS curve FROM ("
        + pair_sql("consecutive", f"msa_id, i, j, {P} AS p") + " WHERE mch + mmc > 0)")
 def corrected_distances(t):
@@ -81,7 +82,7 @@ def corrected_distances(t):
     p = (F.col("mmc") / (F.col("mch") + F.col("mmc")))
     return d.select(
         "msa_id", "i", "j", F.round(D.jukes_cantor(p, 4), 6).alias("jc_dna"), F.round(D.jukes_cantor(p, 20), 6).alias("jc_protein"),
-        F.round(D.pam_correct(p), 6).alias("pam"), D.pam_step(p).alias("pam_level"), F.round(D.word_distance(1 - p), 6).alias("curve"),
+        F.round(D.pam_correct(p), 6).alias("pam"), F.round(D.pam_correct(p, nucleotide=True), 6).alias("pam_dna"), D.pam_step(p).alias("pam_level"), F.round(D.word_distance(1 - p), 6).alias("curve"),
     )
 
 

@@ -17,8 +17,11 @@ def con():
 
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql is not None])
 def test_query_matches_sql(spark, con, name):
-    df_ok, message = compare(spark, con, QUERIES[name], SF)
-    assert df_ok or "n=0/0" in message, message
+    ok, message = compare(spark, con, QUERIES[name], SF)
+    if "n=0/0" in message:  # nothing to compare there: the next larger tables have to have rows
+        larger = SF.replace("sf0.001", "sf0.01")
+        ok, message = compare(spark, connect(larger), QUERIES[name], larger)
+    assert ok, message
 
 
 def test_entry_contract():
