@@ -129,6 +129,29 @@ def gap_openings(rows: DataFrame, first) -> DataFrame:
     return met.groupBy("msa_id").agg(F.sum(F.col("n") * F.col("m")).alias("openings"))
 
 
+def reverse_translation(cells: DataFrame, rows: DataFrame, usage: DataFrame) -> DataFrame:
+    """Base frequencies ``(msa_id, site, pos, base, freq)`` at the three codon positions of every column of amino acids.
+
+    ``usage``: ``(aa, codon, share)`` with shares that add up to one per amino acid.
+    """
+    per = profile(cells).join(usage, F.col("r") == F.col("aa"))
+    bases = per.select("msa_id", "site", (F.col("n") * F.col("share")).alias("w"), F.posexplode(F.split("codon", "")).alias("pos", "base")).filter("base <> ''")
+    g = bases.groupBy("msa_id", "site", "pos", "base").agg(F.sum("w").alias("w"))
+    return g.join(depth(rows), "msa_id").select("msa_id", "site", (F.col("pos") + 1).cast("long").alias("pos"), "base", (F.col("w") / F.col("many")).alias("freq"))
+
+
+def common_segments(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Stretches that two alignments of the same sequences share: ``(*keys, start_i, start_j, len)``.
+
+    Both are sets of aligned residue numbers ``(*keys, num_i, num_j)``; common
+    pairs that follow each other on both sides make a segment.
+    """
+    both = first.join(second, [*keys, "num_i", "num_j"]).withColumn("diag", F.col("num_i") - F.col("num_j"))
+    w = W.partitionBy(*keys, "diag").orderBy("num_i")  # one diagonal of one pair
+    runs = both.withColumn("run", F.col("num_i") - F.row_number().over(w)).groupBy(*keys, "diag", "run")
+    return runs.agg(F.min("num_i").alias("start_i"), F.min("num_j").alias("start_j"), F.count("*").alias("len")).drop("diag", "run")
+
+
 def member_distance_sums(cells: DataFrame) -> DataFrame:
     """Sum over the other members of mismatching shared sites, from the profile."""
     prof = profile(cells)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.session import cut_lineage
 
@@ -191,6 +191,16 @@ def cophenetic(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     return a.join(b, ["grp", "node"]).select("grp", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("height") * 2).alias("dist"))
 
 
+def leaf_paths(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Inner nodes on the path between two leaves: ``(grp, i, j, steps)``, i < j."""
+    m = leaf_memberships(nodes, leaves)
+    level = F.row_number().over(W.partitionBy("grp", "leaf").orderBy("height", "node"))  # the ancestors of one leaf
+    m = cut_lineage(m.withColumn("level", level))
+    a = m.filter("side = 0").select("grp", "node", F.col("leaf").alias("x"), F.col("level").alias("p"))
+    b = m.filter("side = 1").select("grp", "node", F.col("leaf").alias("y"), F.col("level").alias("q"))
+    return a.join(b, ["grp", "node"]).select("grp", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("p") + F.col("q") - 1).alias("steps"))
+
+
 def cut_tree(nodes: DataFrame, leaves: DataFrame, height: float) -> DataFrame:
     """Cluster of every leaf when the tree is cut at ``height``: its highest ancestor not above it."""
     m = leaf_memberships(nodes, leaves).filter(F.col("height") <= height)
