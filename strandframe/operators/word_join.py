@@ -10,6 +10,7 @@ words, so the result is exact.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -88,6 +89,26 @@ def diagonal_matches(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
     )
 
 
+def apart(hits: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` matches of each pair that overlap on neither side: ``(q_id, seq_id, rk, q_start, d_start, len)``.
+
+    In every round the longest match left (ties: first in the query, then in the
+    entry) is taken and what overlaps it leaves; matches needn't meet in one task.
+    """
+    rest, out = cut_lineage(hits), []
+    for rk in range(1, limit + 1):
+        key = F.struct("len", -F.col("q_start"), -F.col("d_start"))
+        best = rest.groupBy("q_id", "seq_id").agg(F.max_by(F.struct("q_start", "d_start", "len"), key).alias("b"))
+        best = cut_lineage(best.select("q_id", "seq_id", F.lit(rk).cast("long").alias("rk"), "b.*"))
+        out.append(best)
+        if rk == limit or best.isEmpty():
+            break
+        b = best.select("q_id", "seq_id", *[F.col(c).alias(f"b_{c}") for c in ("q_start", "d_start", "len")])
+        free = [(F.col(c) + F.col("len") <= F.col(f"b_{c}")) | (F.col(f"b_{c}") + F.col("b_len") <= F.col(c)) for c in ("q_start", "d_start")]
+        rest = cut_lineage(rest.join(b, ["q_id", "seq_id"]).filter(free[0] & free[1]).select(*hits.columns))
+    return reduce(DataFrame.unionByName, out)
+
+
 def chain_hits(hits: DataFrame, gap_open: float = 3.0, gap_extend: float = 0.1) -> DataFrame:
     """Best collinear chain of the matches of each pair: ``(q_id, seq_id, score, hits)``.
 

@@ -45,7 +45,7 @@ def chained_matches(t):
     return J.chain_hits(J.diagonal_matches(t.queries, t.seqs, 14)).withColumn("score", F.round("score", 6))
 
 
-@query("T2", f"""WITH {DIAG}, best AS (SELECT *, row_number() OVER (PARTITION BY q_id, seq_id ORDER BY len DESC, q_start, d_start) AS rk FROM mem)
+@query("T7", f"""WITH {DIAG}, best AS (SELECT *, row_number() OVER (PARTITION BY q_id, seq_id ORDER BY len DESC, q_start, d_start) AS rk FROM mem)
 SELECT q_id, seq_id, q_start, d_start, len FROM best WHERE rk = 1""")
 def best_local_match(t):
     d = J.diagonal_matches(t.queries, t.seqs, 14)
@@ -53,6 +53,18 @@ def best_local_match(t):
     return d.groupBy("q_id", "seq_id").agg(best.alias("z")).select("q_id", "seq_id", "z.*")
 
 
+@query("T2", f"""WITH RECURSIVE {DIAG}, st(kind, rk, q_id, seq_id, q_start, d_start, len) AS (
+ SELECT 'r', 0::BIGINT, q_id, seq_id, q_start, d_start, len FROM mem
+ UNION ALL (WITH cur AS (SELECT * FROM st WHERE kind = 'r' AND rk < 3), b AS (SELECT q_id, seq_id, max(rk) AS rk, arg_max(q_start, (len, -q_start, -d_start)) AS qs,
+  arg_max(d_start, (len, -q_start, -d_start)) AS ds, max(len) AS ln FROM cur GROUP BY q_id, seq_id)
+ SELECT 'h', rk + 1, q_id, seq_id, qs, ds, ln FROM b
+ UNION ALL SELECT 'r', cur.rk + 1, cur.q_id, cur.seq_id, q_start, d_start, len FROM cur JOIN b ON b.q_id = cur.q_id AND b.seq_id = cur.seq_id
+  WHERE (q_start + len <= qs OR qs + ln <= q_start) AND (d_start + len <= ds OR ds + ln <= d_start)))
+SELECT q_id, seq_id, rk, q_start, d_start, len FROM st WHERE kind = 'h'""")
+def local_matches_apart(t):
+    return J.apart(J.diagonal_matches(t.queries, t.seqs, 14), 3)
+
+
 @query("J13", f"""WITH {NT}, {QSEQ.replace("upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))", "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')")},
 b AS (SELECT q_id, s, '+' AS strand FROM qseq UNION ALL SELECT q_id, reverse(translate(s, 'ACGT', 'TGCA')), '-' FROM qseq),
 {words('nt', 8)}, {words('b', 8, 'q_id, strand', 'bw')}, dw AS (SELECT w, count(*) AS n FROM words GROUP BY w),
