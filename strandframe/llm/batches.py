@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Characters of text that a kernel gets at once; a longer single text comes alone.
 SLICE = 2_000_000
@@ -29,8 +29,14 @@ def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, lis
         yield first, texts
 
 
-def field(f) -> str:
-    return f"`{f.name}` {f.dataType.simpleString()}"
+def schema(kept: list[T.StructField], made: str) -> T.StructType:
+    """Kept fields of any name and type, then the made ones given as DDL."""
+    return T.StructType([*kept, *T.StructType.fromDDL(made).fields])
+
+
+def packed(docs: DataFrame, name: str = "_doc") -> Column:
+    """All columns of ``docs`` as one struct, so that none of their names meets a name made on the way."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(name)
 
 
 def map_texts(docs: DataFrame, text: str, keep: tuple[str, ...], made: str, rows: Callable[[list[str]], dict[str, pa.Array]]) -> DataFrame:
@@ -52,8 +58,7 @@ def map_texts(docs: DataFrame, text: str, keep: tuple[str, ...], made: str, rows
                 )
 
     source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kept = [field(f) for f in source.schema.fields if f.name != "_text"]
-    return source.mapInArrow(run, ", ".join([*kept, made]))
+    return source.mapInArrow(run, schema(source.schema.fields[:-1], made))
 
 
 class ChunkCoder:

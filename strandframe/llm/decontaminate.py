@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandframe.llm.batches import field, text_slices
+from strandframe.llm.batches import packed, schema, text_slices
 from strandframe.session import cut_lineage
 
 #: Shingles that a scan looks for at once.
@@ -153,7 +153,7 @@ def places(docs: DataFrame, text: str, keep: tuple[str, ...], prefix: DataFrame,
 
         return run
 
-    made = ", ".join(map(field, kept)) + ", _n_words long, _at long, _left int, _shingle string, _around string"
+    made = schema(kept, "_n_words long, _at long, _left int, _shingle string, _around string")
     out = None
     for known in _blocks(prefix):
         part = source.mapInArrow(scan(sc.broadcast(known), out is None), made)
@@ -163,12 +163,15 @@ def places(docs: DataFrame, text: str, keep: tuple[str, ...], prefix: DataFrame,
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", size: int = 10, width: int = 5) -> DataFrame:
     """``keep`` columns with ``n_words``, ``n_hit`` (words inside occurring windows) and ``items`` (their ids, sorted as strings)."""
+    if clash := set(keep) & {"n_words", "n_hit", "items"}:
+        raise ValueError(f"kept columns clash with made ones: {sorted(clash)}")
     win = cut_lineage(windows(items, item, text, size))
     all_shingles = cut_lineage(shingles(win, width))
     seen = occurrences(docs, text, all_shingles)
     ranked = all_shingles.join(seen, "shingle", "left").groupBy("words", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "off")).alias("p"))
     prefix = cut_lineage(ranked.filter("p.n > 0").select("words", "len", "p.shingle", "p.off"))
-    place = places(docs, text, keep, prefix, size)
+    kept = docs.select(*keep)
+    place = places(docs.select(packed(kept, "_keep"), F.col(text).alias("_body")), "_body", ("_keep",), prefix, size)
     # a document's own row has a key that meets no shingle, so such rows don't gather on one key
     key = F.coalesce("_shingle", F.concat(F.lit(" "), F.col("_row").cast("string")))
     met = place.withColumn("shingle", key).join(prefix, "shingle", "left")
@@ -178,17 +181,17 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: t
     start = F.when(F.col("_hit"), F.struct((F.col("_at") - F.col("off")).alias("a"), (F.col("_at") - F.col("off") + F.col("len")).alias("b")))
     # a window once for each place; the items that own it come by a join on the window
     owner = win.groupBy("words").agg(F.collect_set("item").alias("owners"))
-    spans = hit.select("_row", *keep, "_n_words", start.alias("span"), F.when(F.col("_hit"), F.col("words")).alias("_window"))
+    spans = hit.select("_row", "_keep", "_n_words", start.alias("span"), F.when(F.col("_hit"), F.col("words")).alias("_window"))
     own_key = F.coalesce("_window", F.concat(F.lit(" "), F.col("_row").cast("string")))
     named = spans.withColumn("words", own_key).join(owner, "words", "left")
-    grouped = named.groupBy("_row", *keep, "_n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"))
+    grouped = named.groupBy("_row", "_keep", "_n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], a["end"]))).alias("n"), F.greatest(a["end"], s["b"]).alias("end")),
         lambda a: a["n"],
     )
-    return grouped.select(*keep, F.col("_n_words").alias("n_words"), covered.alias("n_hit"), "items")
+    return grouped.select("_keep.*", F.col("_n_words").alias("n_words"), covered.alias("n_hit"), "items")
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc_id", **how) -> DataFrame:
@@ -196,4 +199,4 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc
     key = {"_id": F.coalesce(F.col(doc), F.lit(-(2**63))), "_hash": F.xxhash64(text)}
     hit = contamination(docs.select(text, *(c.alias(n) for n, c in key.items())), items, text, tuple(key), **how)
     bad = hit.filter("n_hit > 0").select(*key).distinct()
-    return docs.withColumns(key).join(bad, list(key), "left_anti").select(*docs.columns)
+    return docs.select(packed(docs), *(c.alias(n) for n, c in key.items())).join(bad, list(key), "left_anti").select("_doc.*")

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strandframe.llm.batches import packed
 from strandframe.session import cut_lineage
 
 BITS = 60
@@ -60,7 +61,9 @@ def directory(rows: DataFrame, limit: int, start: int) -> DataFrame:
 
 def shards(docs: DataFrame, limit: int, text: str = "text", keys: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``shard`` (bits of the prefix, and ``.piece`` for rows of one hash), ``depth``, ``n_bytes`` and ``shard_bytes``."""
-    rows = docs.select(*keep, key_hash(*keys).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.spark_partition_id().alias("_block"))
+    if clash := set(keep) & {"shard", "depth", "n_bytes", "shard_bytes"}:
+        raise ValueError(f"kept columns clash with made ones: {sorted(clash)}")
+    rows = docs.select(packed(docs.select(*keep), "_keep"), key_hash(*keys).alias("h"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.spark_partition_id().alias("_block"))
     rows = cut_lineage(rows)
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     d = directory(rows.select("h", "bytes"), limit, min(BITS, 3 + (total // limit).bit_length()))  # eight sums for each shard to be
@@ -70,15 +73,15 @@ def shards(docs: DataFrame, limit: int, text: str = "text", keys: tuple[str, ...
         part = rows.withColumn("p", prefix("h", fine)).join(d.filter(F.col("fine") == fine).drop("fine").withColumnRenamed("bytes", "shard_bytes"), "p")
         tagged = part if tagged is None else tagged.unionByName(part)
     if tagged is None:
-        tagged = rows.select("*", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(False).alias("single"))
+        tagged = rows.select("_keep", "h", "bytes", "_block", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(False).alias("single"))
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(shiftright(h, %d - depth)), depth, '0')" % BITS))
-    named = tagged.select(*keep, "h", "bytes", "_block", "depth", "shard_bytes", "single", bits.alias("shard"))
-    whole = named.filter(~F.col("single") | (F.col("shard_bytes") <= limit)).select(*keep, "shard", "depth", F.col("bytes").alias("n_bytes"), "shard_bytes")
+    named = tagged.select("_keep", "h", "bytes", "_block", "depth", "shard_bytes", "single", bits.alias("shard"))
+    whole = named.filter(~F.col("single") | (F.col("shard_bytes") <= limit)).select("_keep.*", "shard", "depth", F.col("bytes").alias("n_bytes"), "shard_bytes")
     over = named.filter(F.col("single") & (F.col("shard_bytes") > limit))
-    return whole.unionByName(_pieces(over, limit, keep))
+    return whole.unionByName(_pieces(over, limit))
 
 
-def _pieces(over: DataFrame, limit: int, keep: tuple[str, ...]) -> DataFrame:
+def _pieces(over: DataFrame, limit: int) -> DataFrame:
     """Rows of one hash each, in pieces: equal rows have equal sizes, so the size gives how many fit, and the running number the piece.
 
     Numbers are counted within (hash, size, block) and summed over blocks.
@@ -93,4 +96,4 @@ def _pieces(over: DataFrame, limit: int, keep: tuple[str, ...]) -> DataFrame:
     number = F.col("base") + F.col("k") - 1
     piece = F.floor(number / fit).cast("long")
     size = F.least(fit, F.col("total") - piece * fit) * F.col("bytes")
-    return own.select(*keep, F.concat("shard", F.lit("."), F.col("bytes").cast("string"), F.lit("."), piece.cast("string")).alias("shard"), "depth", F.col("bytes").alias("n_bytes"), size.alias("shard_bytes"))
+    return own.select("_keep.*", F.concat("shard", F.lit("."), F.col("bytes").cast("string"), F.lit("."), piece.cast("string")).alias("shard"), "depth", F.col("bytes").alias("n_bytes"), size.alias("shard_bytes"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strandframe.llm.batches import map_texts
+from strandframe.llm.batches import map_texts, packed
 from strandframe.operators.graphs import components
 from strandframe.session import cut_lineage
 
@@ -102,7 +102,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", radius
     own = prints.groupBy(doc, "fp").count().join(named.select("fp", "label"), "fp")
     order = F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col("fp"))
     chosen = own.groupBy("label").agg(F.min(order).alias("k")).select(F.coalesce("k.id", F.lit(-(2**63))).alias("_id"), F.col("k.fp").alias("_fp"))
-    tagged = fingerprints(docs, text, tuple(docs.columns), width, "_fp").withColumn("_id", F.coalesce(F.col(doc), F.lit(-(2**63))))
+    rows = docs.select(packed(docs), F.coalesce(F.col(doc), F.lit(-(2**63))).alias("_id"), F.col(text).alias("_text"))
+    tagged = fingerprints(rows, "_text", ("_doc", "_id"), width, "_fp")
     kept = tagged.join(chosen, ["_id", "_fp"], "left_semi")
     first = F.row_number().over(W.partitionBy("_id", "_fp").orderBy(F.lit(1)))
-    return kept.withColumn("_n", first).filter("_n = 1").select(*docs.columns)
+    return kept.withColumn("_n", first).filter("_n = 1").select("_doc.*")

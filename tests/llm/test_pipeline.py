@@ -100,3 +100,36 @@ def test_run(spark, stages, empty_dir):
     sf, s = stages
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == Counter(r["doc_id"] for r in rows(s[-1][1]))
     assert corpus_pipeline.run(spark, empty_dir).collect() == []
+
+
+NAMES = ["ids", "n_tokens", "score", "lang_pred", "fp", "label", "_text", "_id", "_hash", "_fp", "_n", "_doc", "_keep", "_row", "_spans", "_clean", "words", "len", "shard", "h", "bytes", "kept", "a.b"]
+
+
+def test_extra_columns_with_any_name(spark, odd_dir):
+    """Stages and operators give the same rows when the documents have columns named like what they make."""
+    from pyspark.sql import functions as F
+
+    plain = table(spark, odd_dir, "documents")
+    extra = plain.select("*", *[F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias(c) for c in NAMES])
+    for name, f in corpus_pipeline.STAGES:
+        a, b = f(spark, plain, odd_dir), f(spark, extra, odd_dir)
+        want = extra.columns if name != corpus_pipeline.STAGES[-1][0] else None
+        assert want is None or b.columns == want, name
+        assert Counter(map(str, a.collect())) == Counter(map(str, b.select(*a.columns).collect())), name
+        if want:
+            assert all(r[c] == (None if r["doc_id"] is None else f"x{r['doc_id']}") for r in b.collect() for c in NAMES)
+
+
+def test_operators_with_extra_columns(spark, odd_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandframe.llm.queries import CORPUS
+
+    plain = table(spark, odd_dir, "documents")
+    plain.select("*", *[F.lit("x").alias(c) for c in NAMES if c != "a.b"]).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, odd_dir, "benchmark").withColumn("words", F.lit("x")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, q in CORPUS.items():
+        if name != "op10_token_files" and name != "op1_language_id":
+            assert Counter(map(str, q(spark, odd_dir).collect())) == Counter(map(str, q(spark, str(tmp_path)).collect())), name
+    for name in ("op10_token_files", "op1_language_id"):
+        assert CORPUS[name](spark, str(tmp_path)).count() == plain.count()
