@@ -7,7 +7,8 @@ Defined results: a document without letters, or whose best language has a score
 under ``LEAST_SCORE``, goes in the first stage (texts of null or no letter too);
 of a class of near-duplicates the smallest id stays; documents with any benchmark
 window go; secrets become ``[KIND]`` and ``n_chars`` follows; the last stage adds
-``ids`` and ``n_tokens`` and holds the text decoded from them.
+``ids`` and ``n_tokens`` and holds the text decoded from them.  Extra columns of any
+name pass through unchanged; in the last stage ``ids`` and ``n_tokens`` replace theirs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandframe.llm import byte_bpe, decontaminate, language_id, secrets, simhash
+from strandframe.llm.batches import packed
 from strandframe.llm.registry import table
 from strandframe.session import shared_folder, ship_package
 
@@ -29,9 +31,8 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with some confidence."""
     ship_package(spark, ROOT)
-    keep = tuple(docs.columns)
-    found = language_id.predict(docs, language_id.train(docs), keep=keep)
-    return found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select(*keep)
+    found = language_id.predict(docs.select(packed(docs), "text"), language_id.train(docs), keep=("_doc",))
+    return found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +50,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts."""
     ship_package(spark, ROOT)
-    found = secrets.secrets(docs, keep=tuple(docs.columns), name="_spans", clean="_clean")
-    changed = F.size("_spans") > 0
-    new = {"text": F.when(changed, F.col("_clean")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
-    return found.withColumns(new).select(*docs.columns)
+    found = secrets.secrets(docs.select(packed(docs), "text"), keep=("_doc",), name="_spans", clean="_clean")
+    new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
+    own = {c: F.col(f"_doc.`{c}`") for c in docs.columns}
+    return found.select(*[F.when(F.size("_spans") > 0, new[c]).otherwise(v).alias(c) if c in new else v.alias(c) for c, v in own.items()])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text that they decode to."""
     ship_package(spark, ROOT)
-    keep = tuple(c for c in docs.columns if c != "text")
-    coded = byte_bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep, decoded="_raw")
+    coded = byte_bpe.encoded(docs.select(packed(docs), "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("_doc",), decoded="_raw")
+    keep = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids", "n_tokens")]
     return coded.select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("_raw").cast("string").alias("text"))
 
 
