@@ -29,6 +29,7 @@ BOILERPLATE = (
     "all rights reserved", "copyright", "©", "cookie", "privacy policy", "terms of use", "terms of service", "subscribe", "newsletter", "javascript",
     "licensed under", "released under", "permission is hereby granted", "spdx-license", "without warranty",
 )
+COPYRIGHT = r"\(c\) [12][0-9]{3}"
 SHOUT = r"!![^\n]*!!"
 SYMBOLS = "[#*$%&|<>]"
 #: Share of word characters that may be lost; words of a document; repeated words of a hundred.
@@ -68,8 +69,8 @@ def repeated_words(w: str, h: str, window: int = WINDOW) -> Column:
 
 def bad_line(line: Column, low: Column) -> Column:
     """Whether a rule fails; ``low`` is the line in lower case."""
-    phrase = low.contains(BOILERPLATE[0])
-    for p in BOILERPLATE[1:]:
+    phrase = low.contains("(c) ") & low.rlike(COPYRIGHT)
+    for p in BOILERPLATE:
         phrase = phrase | low.contains(p)
     others = F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]+", ""))
     letters = F.length(F.regexp_replace(line, r"\s+", "")) - others

@@ -38,7 +38,7 @@ a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
 CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
 CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(stay, 0) AS BIGINT) AS stay FROM d JOIN w USING (rid) LEFT JOIN n USING (rid) LEFT JOIN good USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN round(1 - stay / word_chars::DOUBLE, 6) ELSE 0.0 END AS lost FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, CAST(lost AS DOUBLE) AS lost FROM b""".replace("NAV", Q.NAVIGATION).replace("BOIL", "|".join(Q.BOILERPLATE)).replace("SHOUT", Q.SHOUT)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, CAST(lost AS DOUBLE) AS lost FROM b""".replace("NAV", Q.NAVIGATION).replace("BOIL", "|".join((*Q.BOILERPLATE, Q.COPYRIGHT))).replace("SHOUT", Q.SHOUT)
 
 
 @corpus_query(QUALITY)

@@ -53,6 +53,15 @@ def test_line_rules_and_clean_text(spark, empty_dir):
         Q.line_quality(d.withColumnRenamed("doc_id", "kept"), keep=("kept",))
 
 
+def test_copyright_with_a_year(spark):
+    good = "This is a plain sentence of twelve words that nobody would ever want to lose."
+    left = {"(c) 2019 Foo Inc.": "", "Notice (C) 1998 by Bar": "", "(c) the third case is this": "(c) the third case is this", "(c) 3019 Baz": "(c) 3019 Baz"}
+    d = spark.createDataFrame([(i, f"{good}\n{x}") for i, x in enumerate(left)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in Q.line_quality(d, clean="left").collect()}
+    assert [got[i]["left"] for i in range(4)] == [f"{good}\n{x}".strip() for x in left.values()]
+    assert [got[i]["lost"] > 0 for i in range(4)] == [True, True, False, False]
+
+
 @pytest.mark.parametrize("limit", [1, 300, 4000, 10**9])
 def test_shards_fit(spark, odd_dir, limit):
     got = sharding.shards(table(spark, odd_dir, "documents"), limit).collect()
