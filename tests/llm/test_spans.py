@@ -95,6 +95,17 @@ def test_added_spans():
     assert secrets.find("the password is changeme123456.") == []
 
 
+@pytest.mark.parametrize("code", [
+    "TR330006100519786457841326", "UA213223130000026007233566001", "IL620108000000099999999", "SA0380000000608010167519", "AE070331234567890123456", "BR1800360305000010009795493C1",
+    "RS35260005601001611379", "IS140159260076545510730339", "MC5811222000010123456789030", "SM86U0322509800000000270100", "DE89370400440532013000",
+])
+def test_accounts_of_the_whole_registry(code):
+    wrong = code[:2] + f"{(int(code[2:4]) + 1) % 100:02}" + code[4:]
+    spaced = " ".join(code[i : i + 4] for i in range(0, len(code), 4))
+    assert pii.accounts(f"pay to iban {code} now") == [(12, 12 + len(code))] and pii.accounts(f"to {spaced} now") == [(3, 3 + len(spaced))]
+    assert pii.accounts(f"pay to iban {wrong} now") == [] == pii.accounts(f"pay to iban {code[:-1]} now")
+
+
 def test_linear_time():
     start = time.time()
     for text in ("1" * 200_000, "1 " * 100_000, "a." * 100_000 + "@", "A" * 200_000, "+" + "1" * 200_000, "token " * 30_000, "secret" + " " * 200_000, "password: " + "aZ9" * 20_000):
