@@ -47,11 +47,33 @@ WORDS = (
     "apple google amazon linux windows android your name here my the and for you this that null none true false insert replace value string "
     "redacted hidden placeholder todo fixme undefined"
 ).split()
+#: English words and the parts that long words are made of, so that prose behind ' is ' stays cheap.
+ENGLISH = (
+    "ing ed er est ly al ally able ably ible ibly tion ation ition sion ment ness ity ive ative ous ious ful less ship hood ance ence ant ent ary ery ory ism ist ize ized ise ised ify ified ial ical ically "
+    "un re in im dis mis pre pro con com sub super inter over under out auto anti counter trans multi semi non fore mid self ex "
+    "act age aim air arm art ask back base bear been before begin behind believe between beyond body book both bound break bring broad build call care carry case cast cause cent center chance charge check child "
+    "circum class clear close code collect color come common complete compute concern condition configure connect consider contain content continue control correct cover create credit current custom cycle "
+    "date deal decide deep define deliver depend deter develop differ direct discover document door down draw drive during each easy educate effect eight either element else employ encrypt end enter environ equal "
+    "establish estimate ever every exact except expect experience explain express extra face fact fair fall familiar far feel field figure file fill final find fine finish fire first fix flex follow force form format "
+    "forward found frame frequent friend from front full function further general gener generate give govern grade grand graph great group grow hand hard head hear help here high hold how human identify immediate "
+    "important impossible include increase independent indicate individual industry inform initial input install instead institute integer interest intro involve issue itself join judge keep kind know language large "
+    "last late law lead learn leave length letter level life light like limit line list literal live local log long look made maintain make manage mark master material matter mean measure medium meet member mention method might "
+    "mini mix mode model modern modify moment more most move must natural near necessary need never next normal note nothing notice number object observe obtain obvious occur offer often open operate opinion order "
+    "organ original other ought own pack paper part particular pass pattern people perfect perform perhaps period permanent permit person phrase physical pick place plain plan play point polit popular port position possible "
+    "post potential power practice prefer prepare present press pretty prevent previous principle print privilege probable problem process produce product profess program project proper propose protect prove provide public "
+    "publish purpose put question quick quite random range rate rather reach read ready real reason receive recent recommend record refer reflect refresh regular relate relation release remain remember remove replace report "
+    "represent require research respect respond responsible rest result retrieve return reveal right round rule run same save scient search section secure see select send sense sent separate serious serve service set seven "
+    "several share short should show sign significant similar simple simply since single situation size small social some sometimes soon sort sound source space speak special specific specify stand standard start state station "
+    "statement stay step still stop store straight strange strong struct structure study subject success such sufficient suggest supply support suppose sure surface surprise switch table take talk teach team tech technical "
+    "temporary term text than their them then therefore these they thing think third those thought three through throughout time together too total touch toward trade tradition train transfer travel treat tree trouble try turn type "
+    "typical unique unit universal until update upon usual usually valid value various vary version very view visit voice wait walk want warn watch water way week well were what when where whether which while whole wide will "
+    "wish with within without wonder word world would write wrong year yet young auth authent icate icated authentic matic mathematics necessarily essential basically available accessible acceptable beautiful confidential"
+).split()
 #: Rows of a keyboard, walked either way.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789", "1qaz", "2wsx", "3edc", "4rfv")
 LEET = str.maketrans("4310$@57!", "aeiosastl")
-RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys((*WORDS, *ENGLISH)))}
+LONGEST = max(map(len, RANK))
 NEXT = {a + b for r in ROWS for w in (r, r[::-1]) for a, b in zip(w, w[1:])}
 
 
@@ -100,7 +122,7 @@ def find(text: str) -> list[S.Span]:
         a, b = m.span(1)
         while b > a and text[b - 1] in ".!?:":  # the sentence's, not the value's
             b -= 1
-        if b - a >= 6 and not any(a < y and x < b for x, y in taken) and (cost := guess_cost(text[a:b])) >= LEAST and not text[a:b].isalpha():
+        if b - a >= 6 and not any(a < y and x < b for x, y in taken) and (cost := guess_cost(text[a:b])) >= LEAST:
             out.append(("guess", a, b, cost))
     order = {k: i for i, k in enumerate((*BASE, "guess"))}
     return sorted(out, key=lambda s: (s[1], order[s[0]]))

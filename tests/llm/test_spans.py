@@ -106,6 +106,15 @@ def test_accounts_of_the_whole_registry(code):
     assert pii.accounts(f"pay to iban {wrong} now") == [] == pii.accounts(f"pay to iban {code[:-1]} now")
 
 
+def test_values_of_letters_only():
+    kinds = lambda t: [k for k, *_ in secrets.find(t)]
+    for t in ("pwd=KQZVHWTNBMRPLJXD", "password is XkqvWzbnTrLpmHgd", "passphrase: qhzvkwtxbnmrpljdgcfs", "login is bxqkzvwtmpgh."):
+        assert kinds(t) == ["guess"], t
+        assert secrets.find(t)[0][3] >= secrets.LEAST
+    for w in ("automatically", "understanding", "important", "independent", "confidential", "unnecessary", "authenticated", "traditionally", "changemeplease"[:8], "responsible"):
+        assert kinds(f"the password is {w} to us") == [], (w, secrets.guess_cost(w))
+
+
 def test_linear_time():
     start = time.time()
     for text in ("1" * 200_000, "1 " * 100_000, "a." * 100_000 + "@", "A" * 200_000, "+" + "1" * 200_000, "token " * 30_000, "secret" + " " * 200_000, "password: " + "aZ9" * 20_000):
