@@ -8,8 +8,9 @@ brute-force spans of the product of the parts' guesses, by dynamic programming.
 Placeholders such as ``changeme`` or ``aaaa1111`` stay below.  Values that touch a
 base span are not listed again, but base spans carry their value's cost as score.
 
-The programme looks back at most ``REACH`` places for a part, so it is linear in
-the value's length; repeats and walks longer than that are chained.
+The programme looks back at most ``REACH`` places for a part, and besides to the
+start of the repeat, walk or periodic run that ends at a place, however long, so
+it is linear in the value's length.
 
 Defined results: null and empty texts have no spans; rows are independent.
 """
@@ -103,8 +104,19 @@ def guess_cost(value: str) -> float:
     """log10 of the guesses for a value: the cheapest segmentation, with a little for each part."""
     low, n = value.lower(), len(value)
     best = [0.0] * (n + 1)
+    walk, runs = 0, [0, 0, 0, 0]  # where the walk and the runs of period 1 to 4 that end here start
     for j in range(1, n + 1):
         best[j] = best[j - 1] + 1.0
+        if j > 1 and low[j - 2 : j] not in NEXT:
+            walk = j - 1
+        if j - walk > REACH:
+            best[j] = min(best[j], best[walk] + 1.4 + log10(j - walk) + (0.3 if walk else 0.0))
+        for k in (1, 2, 3, 4):
+            if j > k and low[j - 1] != low[j - 1 - k]:
+                runs[k - 1] = j - k
+            i = runs[k - 1] + (j - runs[k - 1]) % k
+            if j - i > REACH:
+                best[j] = min(best[j], best[i] + k + log10((j - i) // k) + (0.3 if i else 0.0))
         for i in range(max(0, j - REACH), j - 1):
             c = best[i] + part_cost(value[i:j], low[i:j]) + (0.3 if i else 0.0)
             if c < best[j]:

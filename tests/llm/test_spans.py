@@ -115,6 +115,13 @@ def test_values_of_letters_only():
         assert kinds(f"the password is {w} to us") == [], (w, secrets.guess_cost(w))
 
 
+def test_long_repeats_and_walks_are_cheap():
+    for mask in ("*" * 52, "x" * 300, "ab" * 200, "abc" * 100, "-_=+" * 90, "qwertyuiop" + "oiuytrewqwertyuiop" * 5):
+        assert all(k != "guess" for k, *_ in secrets.find(f"login: {mask}")), mask
+        assert secrets.guess_cost(mask) < 8, mask
+    assert secrets.guess_cost("*" * 52) == pytest.approx(2.716) and secrets.guess_cost("Xk9$fQ2!vLm7" + "*" * 60) > secrets.LEAST
+
+
 def test_linear_time():
     start = time.time()
     for text in ("1" * 200_000, "1 " * 100_000, "a." * 100_000 + "@", "A" * 200_000, "+" + "1" * 200_000, "token " * 30_000, "secret" + " " * 200_000, "password: " + "aZ9" * 20_000):
