@@ -125,7 +125,8 @@ def best_moves(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, least:
 def refine(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, least: float = 0.0) -> DataFrame:
     """Iterative refinement ``(msa_id, member, a)``: the best move of every alignment, until no move of it gains.
 
-    Scores rise strictly, so it ends; alignments without a gaining move leave the loop.
+    Alignments without a gaining move leave the loop.  A move's gain leaves out the other members'
+    gap openings, so with a small ``least`` an alignment can come back to an earlier state and the loop not end.
     ``least`` is the convergence tolerance of ``best_moves``; zero asks for every gain.
     """
     active, done = cut_lineage(rows.select("msa_id", "member", "a")), None
