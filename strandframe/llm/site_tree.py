@@ -79,26 +79,26 @@ PEERS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td"
 
 
 class Page:
-    """Block elements of a page in order, with texts: ``up``, ``tag``, ``label``, ``rule`` per element and ``blocks`` of (element, text, linked characters)."""
+    """Block elements of a page in order, with texts: ``up``, ``tag``, ``label``, ``rule`` per element and ``blocks`` of (element, text, linked characters, links)."""
 
     __slots__ = ("up", "tag", "label", "rule", "images", "blocks")
 
     def __init__(self, source: str):
         self.up, self.tag, self.label, self.rule = [-1], [""], [""], [False]
         self.images: list[tuple[int, str]] = []
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, int, int]] = []
         open_: list[tuple[str, int]] = []  # (tag, element that holds it)
         parts: list[str] = []
-        here, linked, at, end = 0, 0, 0, len(source)
+        here, linked, links, at, end = 0, 0, 0, 0, len(source)
 
         def flush() -> None:
-            nonlocal linked
+            nonlocal linked, links
             if parts:
                 text = " ".join("".join(parts).split())
                 parts.clear()
                 if text:
-                    self.blocks.append((here, text, linked))
-                linked = 0
+                    self.blocks.append((here, text, linked, links))
+                linked = links = 0
 
         def holder() -> int:
             return open_[-1][1] if open_ else 0
@@ -110,7 +110,7 @@ class Page:
                 text = H.unescape(source[at:stop])
                 parts.append(text)
                 if any(t == "a" for t, _ in open_):
-                    linked += len(text.strip())
+                    linked, links = linked + len(text.strip()), links + (not text.isspace())
             if not m:
                 break
             at = m.end()
@@ -221,10 +221,10 @@ def _main(page: Page) -> tuple[list[bool], list[bool]]:
 def _menus(page: Page) -> list[bool]:
     """Lists and boxes whose text is links, three at least, for four fifths."""
     size, linked, many = [0] * len(page.up), [0] * len(page.up), [0] * len(page.up)
-    for e, text, n in page.blocks:
+    for e, text, chars, links in page.blocks:
         size[e] += len(text)
-        linked[e] += min(n, len(text))
-        many[e] += n > 0
+        linked[e] += min(chars, len(text))
+        many[e] += links
     for i in range(len(page.up) - 1, 0, -1):
         for x in (size, linked, many):
             x[page.up[i]] += x[i]
@@ -260,7 +260,7 @@ def text_of(source: str | None, noisy: set[int]) -> str:
     wanted = inside if has_main else [True] * len(page.up)
 
     def joined(out: list[bool]) -> str:
-        return "\n".join(t for e, t, _ in page.blocks if wanted[e] and not out[e])
+        return "\n".join(t for e, t, _, _ in page.blocks if wanted[e] and not out[e])
 
     if noisy:
         names = paths(page)
@@ -300,7 +300,7 @@ def page_counts(source: str) -> tuple[dict[int, int], set[tuple[int, int]], dict
     styles: dict[int, set[str]] = {}
     for n, k in zip(names, kids):
         styles.setdefault(n, set()).add("\n".join(x for x, _ in groupby(k)))
-    contents = {(names[e], _signed(t)) for e, t, _ in page.blocks} | {(names[e], _signed("img " + s)) for e, s in page.images}
+    contents = {(names[e], _signed(t)) for e, t, _, _ in page.blocks} | {(names[e], _signed("img " + s)) for e, s in page.images}
     return {n: _signed("\r".join(sorted(s))) for n, s in styles.items()}, contents, above
 
 
