@@ -4,8 +4,9 @@ Each match of the split pattern (a pre-token) is encoded on its own.  Distinct
 pre-tokens of a batch are put, by length, into padded matrices of token ids.  In
 every round each row merges its leftmost pair of minimum rank; ranks come from a
 hashed pair table, rows without a mergeable pair leave the matrix, and the matrix
-loses one column.  A pre-token longer than ``WIDEST`` bytes takes a heap over its
-pairs instead, so its cost stays near-linear; the merges are the same.
+loses one column.  The number of rows in a matrix follows its width.  Only a
+pre-token longer than ``WIDEST`` bytes, for which a matrix costs the square of its
+length, takes a heap over its pairs instead; the merges are the same.
 
 Defined results: null and empty texts have no tokens; rows are independent, so
 repeated ids and rows are encoded each for itself; other columns pass through the
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from strandframe.llm.batches import ChunkCoder, gathered, map_texts
 
-#: Upper lengths of the matrices' buckets, in bytes; rows of a matrix at once.
-WIDTHS, ROWS = (4, 8, 12, 16, 24, 32, 48, 64), 50_000
+#: Upper lengths of the matrices' buckets, in bytes; cells of a matrix at once.
+WIDTHS, CELLS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048, 3072, 4096), 3_200_000
 WIDEST = WIDTHS[-1]
 NONE = np.int32(2**31 - 1)
 
@@ -73,6 +74,14 @@ class PairTable:
             slot[bad] = self._empty
         return slot
 
+    def known(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """All pairs as a plain dictionary, made when it is first asked for."""
+        if not hasattr(self, "_plain"):
+            at = np.flatnonzero(self.keys >= 0)
+            left, right = (self.keys[at] // self.size).tolist(), (self.keys[at] % self.size).tolist()
+            self._plain = dict(zip(zip(left, right), zip(self.rank[at].tolist(), self.merged[at].tolist())))
+        return self._plain
+
     @property
     def _empty(self) -> int:
         if not hasattr(self, "_hole"):
@@ -93,11 +102,11 @@ def merge_pairs(tokens: dict[bytes, int]) -> PairTable:
 
 
 def heap_merge(ids: list[int], find) -> list[int]:
-    """Merge one long sequence: always the leftmost pair of minimum rank.  ``find(a, b)`` gives (rank, merged) or None."""
+    """Merge one long sequence: always the leftmost pair of minimum rank.  ``find((a, b))`` gives (rank, merged) or None."""
     n = len(ids)
     ids, nxt, prv = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
-    heap = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := find(ids[i], ids[i + 1]))]
+    heap = [(p[0], i, ids[i], ids[i + 1], p[1]) for i in range(n - 1) if (p := find((ids[i], ids[i + 1])))]
     heapq.heapify(heap)
     while heap:
         _, i, a, b, merged = heapq.heappop(heap)
@@ -108,9 +117,9 @@ def heap_merge(ids: list[int], find) -> list[int]:
         nxt[i] = nxt[j]
         if nxt[j] < n:
             prv[nxt[j]] = i
-            if p := find(merged, ids[nxt[j]]):
+            if p := find((merged, ids[nxt[j]])):
                 heapq.heappush(heap, (p[0], i, merged, ids[nxt[j]], p[1]))
-        if prv[i] >= 0 and (p := find(ids[prv[i]], merged)):
+        if prv[i] >= 0 and (p := find((ids[prv[i]], merged))):
             heapq.heappush(heap, (p[0], prv[i], ids[prv[i]], merged, p[1]))
     return [x for x, ok in zip(ids, alive) if ok]
 
@@ -170,12 +179,12 @@ class ByteBpe(ChunkCoder):
         whole = np.fromiter(map(self.tokens.get, words, repeat(-1)), np.int64, len(words))
         rows, found = [np.flatnonzero(whole >= 0)], [whole[whole >= 0]]
         for i in np.flatnonzero((whole < 0) & (sizes > WIDEST)):
-            found.append(np.array(heap_merge(self.byte[np.frombuffer(words[i], np.uint8)].tolist(), self._pair), np.int64))
+            found.append(np.array(heap_merge(self.byte[np.frombuffer(words[i], np.uint8)].tolist(), self.pairs.known().get), np.int64))
             rows.append(np.full(len(found[-1]), i))
             count[i] = len(found[-1])
         for low, high in zip((0, *WIDTHS), WIDTHS):
             group = np.flatnonzero((whole < 0) & (sizes > low) & (sizes <= high))
-            for part in np.split(group, range(ROWS, len(group), ROWS)) if len(group) else ():
+            for part in np.split(group, range(CELLS // high, len(group), CELLS // high)) if len(group) else ():
                 m, n = self._matrix([words[i] for i in part], sizes[part], high)
                 rows.append(np.repeat(part, n))
                 found.append(m[np.arange(m.shape[1]) < n[:, None]])
@@ -183,10 +192,6 @@ class ByteBpe(ChunkCoder):
         row = np.concatenate(rows)
         return np.concatenate(found)[np.argsort(row, kind="stable")].astype(np.int32), count
 
-    def _pair(self, a: int, b: int):
-        slot = int(self.pairs.find(np.array([a]), np.array([b]))[0])
-        return (int(self.pairs.rank[slot]), int(self.pairs.merged[slot])) if self.pairs.rank[slot] != NONE else None
-
     def _matrix(self, words: list[bytes], sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Padded rows of final ids, and the length of each row."""
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)

@@ -196,7 +196,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", keep: t
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", doc: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, as they are."""
-    key = {"_id": F.coalesce(F.col(doc), F.lit(-(2**63))), "_hash": F.xxhash64(text)}
+    key = {"_none": F.col(doc).isNull(), "_id": F.coalesce(F.col(doc).cast("string"), F.lit("")), "_hash": F.xxhash64(text)}
     hit = contamination(docs.select(text, *(c.alias(n) for n, c in key.items())), items, text, tuple(key), **how)
     bad = hit.filter("n_hit > 0").select(*key).distinct()
     return docs.select(packed(docs), *(c.alias(n) for n, c in key.items())).join(bad, list(key), "left_anti").select("_doc.*")

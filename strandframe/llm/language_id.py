@@ -166,17 +166,23 @@ def flat_lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, text: str = "text", doc: str = "doc_id", lang: str = "lang", sample: int = SAMPLE) -> Model:
     known = docs.filter(learnable(doc, lang))
-    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
+    # repeated rows are one row of the sample: what is drawn are distinct keys
+    order = F.xxhash64(doc, text).bitwiseAND(F.lit(2**53 - 1))
+    keys = known.select(F.col(lang).alias("_lang"), order.alias("_order")).distinct()
+    sizes = {r["_lang"]: r["count"] for r in keys.groupBy("_lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     seen = document_frequency(known, text)
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
     each = max(2, sample // len(languages))
-    order = F.xxhash64(doc, text).alias("_order")
-    # the hash thins each language to about `each` rows in the scan; the exact cut follows
-    part = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(int(min(1.0, 1.1 * each / sizes[c]) * 2**53)))])
-    drawn = known.select(F.col(lang).alias("_lang"), order, F.col(text).alias("_text")).filter(F.col("_order").bitwiseAND(F.lit(2**53 - 1)) <= part[F.col("_lang")])
+    # keys below a bound of about `each` and a margin come to the driver, which cuts each language exactly
+    part = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(int(min(1.0, (1.2 * each + 100) / sizes[c]) * 2**53)))])
+    drawn: dict[str, list[int]] = {c: [] for c in languages}
+    for r in keys.filter(F.col("_order") <= part[F.col("_lang")]).collect():
+        drawn[r["_lang"]].append(r["_order"])
+    last = F.create_map(*[x for c in languages for x in (F.lit(c), F.lit(sorted(drawn[c])[:each][-1] if drawn[c] else -1))])
+    drawn = known.select(F.col(lang).alias("_lang"), order.alias("_order"), F.col(text).alias("_text")).filter(F.col("_order") <= last[F.col("_lang")])
 
     def rows(texts: list[str]) -> dict[str, pa.Array]:
         at, n = [], []
@@ -187,7 +193,8 @@ def train(docs: DataFrame, text: str = "text", doc: str = "doc_id", lang: str =
         bounds = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in at])]), pa.int32())
         return {k: pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(v), pa.int32())) for k, v in (("at", at), ("n", n))}
 
-    got = map_texts(drawn, "_text", ("_lang", "_order"), "at array<int>, n array<int>", rows).filter("size(at) > 0").toArrow().combine_chunks()
+    got = map_texts(drawn, "_text", ("_lang", "_order"), "at array<int>, n array<int>", rows).filter("size(at) > 0")
+    got = got.dropDuplicates(["_lang", "_order"]).toArrow().combine_chunks()  # `each` rows of a language at most
     ranks = {c: i for i, c in enumerate(languages)}
     label = [ranks[c] for c in got["_lang"].to_pylist()]
     at, n = (flat_lists(got[c]) for c in ("at", "n"))

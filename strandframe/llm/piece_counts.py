@@ -5,8 +5,9 @@ the other in one array of symbols.  In every round each pre-token applies its
 lowest-rank pair (of equals the leftmost), all pre-tokens at once; the array is
 compacted, and pre-tokens without a pair leave with the number of surviving
 symbols.  Characters outside the vocabulary count as their UTF-8 bytes (byte
-fallback).  Pre-tokens longer than ``WIDEST`` symbols take a heap with the same
-merges.
+fallback).  Pre-tokens of like length go through the rounds together, so that few
+long ones don't carry many short ones along; only those longer than ``WIDEST``
+symbols, whose rounds cost the square of their length, take a heap with the same merges.
 
 Defined results: null and empty texts have no tokens and no bytes; strings that
 look like control symbols are ordinary text; every row is counted for itself.
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame
 from strandframe.llm.batches import ChunkCoder, map_texts
 from strandframe.llm.byte_bpe import NONE, PairTable, heap_merge
 
-WIDEST = 96
+#: Upper lengths of the classes that go through the rounds together, in symbols.
+WIDTHS = (96, 192, 384, 768, 1536, 4096)
+WIDEST = WIDTHS[-1]
 MARK = "▁"
 #: Symbols in the ragged array at once.
 BLOCK = 2_000_000
@@ -121,17 +124,14 @@ class PieceCounter(ChunkCoder):
         out = np.zeros(len(words), np.int64)
         for i in np.flatnonzero(sizes > WIDEST):
             ids = self.symbol[np.frombuffer(words[i].encode("utf-32-le"), np.uint32)].tolist()
-            out[i] = self.weight[heap_merge(ids, self._pair)].sum()
-        short = np.flatnonzero(sizes <= WIDEST)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes[short]) // BLOCK)) + 1
-        for part in np.split(short, cuts) if len(short) else ():
-            out[part] = self._rounds("".join([words[i] for i in part]), sizes[part])
+            out[i] = self.weight[heap_merge(ids, self.pairs.known().get)].sum()
+        for low, high in zip((0, *WIDTHS), WIDTHS):
+            group = np.flatnonzero((sizes > low) & (sizes <= high))
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[group]) // BLOCK)) + 1
+            for part in np.split(group, cuts) if len(group) else ():
+                out[part] = self._rounds("".join([words[i] for i in part]), sizes[part])
         return out
 
-    def _pair(self, a: int, b: int):
-        slot = int(self.pairs.find(np.array([a]), np.array([b]))[0])
-        return (int(self.pairs.rank[slot]), int(self.pairs.merged[slot])) if self.pairs.rank[slot] != NONE else None
-
     def _rounds(self, joined: str, sizes: np.ndarray) -> np.ndarray:
         find, ranks, merged = self.pairs.find, self.pairs.rank, self.pairs.merged
         sym = self.symbol[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]

@@ -14,7 +14,12 @@ classes reach the documents by a join on the fingerprint.
 
 Defined results: null, empty and white-space texts have fingerprint zero and are
 linked like any other; null ids never name a class unless all ids of it are null;
-repeated rows are documents of their own; an empty table has no rows.
+repeated rows are documents of their own; ids may be of any type that sorts; an
+empty table has no rows.
+
+Reach: the angle between two texts' shingle votes sets how many bits differ.  Two of
+64 bits find copies and edits of a word or so in long texts, similarity of about 0.98
+and more; tests/llm/test_corpus.py measures the recall at 0.8, 0.9 and 0.98.
 """
 
 from __future__ import annotations
@@ -101,9 +106,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", radius
     # the least fingerprint of each label's first document stands for the label
     own = prints.groupBy(doc, "fp").count().join(named.select("fp", "label"), "fp")
     order = F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col("fp"))
-    chosen = own.groupBy("label").agg(F.min(order).alias("k")).select(F.coalesce("k.id", F.lit(-(2**63))).alias("_id"), F.col("k.fp").alias("_fp"))
-    rows = docs.select(packed(docs), F.coalesce(F.col(doc), F.lit(-(2**63))).alias("_id"), F.col(text).alias("_text"))
-    tagged = fingerprints(rows, "_text", ("_doc", "_id"), width, "_fp")
-    kept = tagged.join(chosen, ["_id", "_fp"], "left_semi")
-    first = F.row_number().over(W.partitionBy("_id", "_fp").orderBy(F.lit(1)))
+    chosen = own.groupBy("label").agg(F.min(order).alias("k")).select("k.none", F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("_id"), F.col("k.fp").alias("_fp"))
+    key = ["_none", "_id", "_fp"]
+    chosen = chosen.withColumnRenamed("none", "_none")
+    rows = docs.select(packed(docs), F.col(doc).isNull().alias("_none"), F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("_id"), F.col(text).alias("_text"))
+    tagged = fingerprints(rows, "_text", ("_doc", "_none", "_id"), width, "_fp")
+    kept = tagged.join(chosen, key, "left_semi")
+    first = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))
     return kept.withColumn("_n", first).filter("_n = 1").select("_doc.*")

@@ -109,6 +109,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, text: str = "text", do
 
     Manifest: ``part, files, width, n_docs, n_tokens, doc_base, token_base``, one row for each part with documents.
     """
+    if dict(docs.dtypes)[doc] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"the files hold 64-bit whole numbers as document ids; {doc} is {dict(docs.dtypes)[doc]}")
     size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     width = 2 if max(size, end + 1) <= 1 << 16 else 4
 
