@@ -13,7 +13,8 @@ below it reaches ``LEAST``; nodes of fewer than ``LEAST_PAGES`` pages aren't jud
 Tasks parse pages and count (host, node, style or content) before the shuffle;
 entropies are aggregates of these counts.  Inner nodes reach their ancestors by a
 list of at most ``DEEP`` names, so no tree is walked and no host is gathered.  Pages
-learn the noisy nodes of their host by a join that Spark may broadcast or split.
+learn the noisy nodes of their host by a join: those of all hosts go to every task if
+there are no more than ``SENT`` of them, else Spark shuffles and splits by host.
 
 In each page noisy branches fall, unless they hold the page's main element
 (``article`` or ``main``), and so do branches that say what they are: navigation,
@@ -51,6 +52,8 @@ LEAST_PAGES = 5
 DEEP = 60
 #: Distinct counts that a task holds before it hands them on.
 HELD = 300_000
+#: Noisy nodes and hosts that are sent to all tasks at most (about 30 bytes each).
+SENT = 300_000
 
 # Elements of HTML by behaviour.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -376,7 +379,9 @@ def noisy_nodes(pages: DataFrame, least: float = LEAST, least_pages: int = LEAST
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
     """All columns of ``pages`` in ``_page`` and the main ``text``."""
-    noisy = noisy_nodes(pages.select(host(url).alias("host"), F.col(html).cast("string").alias("html")), least, least_pages)
+    noisy = cut_lineage(noisy_nodes(pages.select(host(url).alias("host"), F.col(html).cast("string").alias("html")), least, least_pages))
+    if (noisy.agg(F.sum(1 + F.size("noisy"))).first()[0] or 0) <= SENT:
+        noisy = F.broadcast(noisy)
     source = pages.select(packed(pages, "_page"), host(url).alias("host"), F.col(html).cast("string").alias("_html"))
     met = source.join(noisy, "host", "left").select("_page", "_html", "noisy")
 
