@@ -132,7 +132,7 @@ def statistic_lines(t):
     return d.select("msa_id", "i", "j", statistic_line(*[F.col(c) for c in ("dist", "mch", "mmc", "gap", "unp")]).alias("line"))
 
 
-@query("W5 W6", SEG_SQL.replace("SELECT msa_id, site, CAST(CASE WHEN top * 2 > many THEN 3 ELSE -1 END AS BIGINT) AS v FROM site", """SELECT msa_id, site,
+@query("W5", SEG_SQL.replace("SELECT msa_id, site, CAST(CASE WHEN top * 2 > many THEN 3 ELSE -1 END AS BIGINT) AS v FROM site", """SELECT msa_id, site,
  CAST(CASE WHEN sum(n1 * n2) > 0 THEN 4 ELSE -1 END AS BIGINT) AS v FROM (SELECT msa_id, site, r, count(*) FILTER (role = 'user') AS n1, count(*) FILTER (role <> 'user') AS n2 FROM cells WHERE r <> '-' GROUP BY ALL) GROUP BY msa_id, site"""))
 def conserved_between_groups(t):
     """Segments where the two roles of an alignment agree."""
