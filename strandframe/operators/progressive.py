@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from strandframe.functions import runs as U
 from strandframe.operators.pairwise import Scorer, align, balanced, letter_matrix
 from strandframe.session import cut_lineage
 
@@ -93,52 +94,189 @@ def progressive(members: DataFrame, matrix=None, v: float = 9, u: float = 2) ->
     return rows.select("msa_id", "member", "a")
 
 
-def best_moves(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, least: float = 0.0) -> DataFrame:
-    """The move of each alignment that gains most: ``(msa_id, member, rest, own)``, two column maps; none if no move gains.
-
-    Every member is realigned against the others in a kernel call of its own:
-    the profile of all, less the member's letters.  Gain is measured under the
-    profile score and must exceed ``least`` times the present score; ties go to the smaller member.
+class GapStates:
+    """Counts of gap states per site: gaps by how many came right before, residues by the run of gaps before them."""
+
+    STEP = 1 << 32
+
+    def __init__(self, p, k, n):
+        key = np.asarray(p, np.int64) * self.STEP + np.asarray(k, np.int64)
+        order = np.argsort(key, kind="stable")
+        self.key, self.sum = key[order], np.concatenate([[0], np.cumsum(np.asarray(n, np.int64)[order])])
+
+    def below(self, p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Number at sites ``p`` with a state below ``k``."""
+        at = lambda x: self.sum[np.searchsorted(self.key, x)]
+        return at(p * self.STEP + np.maximum(k, 0)) - at(p * self.STEP)
+
+    def at(self, p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return self.below(p, k + 1) - self.below(p, k)
+
+
+def states_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gaps (True) of a row, and at every site the number of gaps right before it."""
+    gap = own < 0
+    site = np.arange(len(own))
+    last = np.maximum.accumulate(np.where(gap, -1, site)) if len(own) else site
+    return gap, site - 1 - np.concatenate([[-1], last[:-1]]) if len(own) else site
+
+
+class Rest:
+    """An alignment without one of its members: letters per column that is not empty, and gap states there."""
+
+    def __init__(self, profile: np.ndarray, many: int, gaps: tuple, late: tuple, own: np.ndarray):
+        gap, before = states_of(own)
+        at = np.flatnonzero(~gap)
+        profile = profile.copy()
+        profile[at, own[at]] -= 1
+        self.many = many - 1
+        self.cols = np.flatnonzero(profile.sum(1) > 0)
+        self.profile = profile[self.cols]
+        self.res = self.profile.sum(1).astype(np.int64)
+        # the member's own states go; what is left is counted in the columns that stay
+        mine = np.flatnonzero(gap)
+        g = [np.concatenate([np.asarray(x, np.int64), y]) for x, y in zip(gaps, (mine, before[mine], np.full(len(mine), -1)))]
+        late_own = at[before[at] > 0]
+        r = [np.concatenate([np.asarray(x, np.int64), y]) for x, y in zip(late, (late_own, before[late_own], np.full(len(late_own), -1)))]
+        kept = np.zeros(len(profile) + 1, np.int64)
+        kept[self.cols + 1] = 1
+        count = np.cumsum(kept)  # columns that stay before each site
+        stays = np.zeros(len(profile), bool)
+        stays[self.cols] = True
+
+        def moved(p, k, n):
+            ok = stays[p]
+            p, k, n = p[ok], k[ok], n[ok]
+            return count[p], count[p] - count[p - k], n
+
+        self.gaps = GapStates(*moved(*g))
+        p, k, n = moved(*r)
+        late_n = np.bincount(p, n, len(self.cols)).astype(np.int64) if len(p) else np.zeros(len(self.cols), np.int64)
+        self.residues = GapStates(np.concatenate([p, np.arange(len(self.cols))]), np.concatenate([k, np.zeros(len(self.cols), np.int64)]), np.concatenate([n, self.res - late_n]))
+
+    def score(self, ops: np.ndarray, sim: np.ndarray, v: float, u: float) -> float:
+        """Sum of the member's pair scores, openings counted per pair, along steps ``M`` (0), ``D`` (1, the member has a gap) and ``I`` (2)."""
+        if not len(ops):
+            return 0.0
+        step = np.arange(len(ops))
+        free = ops != 1
+        last = np.concatenate([[-1], np.maximum.accumulate(np.where(free, step, -1))[:-1]])
+        run = step - 1 - last  # gaps of the member right before
+        fresh = (last < 0) | (ops[last] == 0)  # the letter before them stands in a column of the rest
+        c = np.cumsum(ops != 2) - (ops != 2)  # column of the rest, here or next
+        j = np.cumsum(ops != 1) - (ops != 1)
+        m, d, i = (np.flatnonzero(ops == k) for k in (0, 1, 2))
+        total = sim[c[m], j[m]].sum() - u * (self.res[c[d]].sum() + (self.many - self.res[c[m]]).sum() + len(i) * self.many)
+        opened = (self.res[c[d]] - self.residues.below(c[d], run[d])).sum()
+        opened += (self.gaps.below(c[m], run[m]) + fresh[m] * self.gaps.at(c[m], run[m])).sum()
+        none = np.where(c[i] > 0, self.res[np.maximum(c[i] - 1, 0)] if len(self.res) else 0, self.many)
+        before = c[i] - 1
+        inside = np.where(before >= 0, self.gaps.below(np.maximum(before, 0), run[i] - 1), 0)
+        exact = np.where(run[i] == 0, none, np.where(before >= 0, self.gaps.at(np.maximum(before, 0), run[i] - 1), 0))
+        opened += ((run[i] > 0) * none + inside + fresh[i] * exact).sum()
+        return float(total - v * opened)
+
+
+def group_states(rows: DataFrame) -> DataFrame:
+    """``(msa_id, gp, gk, gn, rp, rk, rn)``: gap states of all members, counted per site (from 0) and run length."""
+    runs = rows.select("msa_id", F.length("a").alias("width"), F.inline(U.runs("a", U.GAP)))
+    gaps = runs.select("msa_id", "l", F.explode(F.sequence(F.lit(0), F.col("r") - F.col("l") - 1)).alias("k")).groupBy("msa_id", (F.col("l") + F.col("k")).alias("p"), "k").agg(F.count("*").alias("n"))
+    late = runs.filter("r < width").groupBy("msa_id", F.col("r").alias("p"), (F.col("r") - F.col("l")).alias("k")).agg(F.count("*").alias("n"))
+
+    def lists(d: DataFrame, mark: str) -> DataFrame:
+        g = d.groupBy("msa_id").agg(F.collect_list(F.struct("p", "k", "n")).alias("x"))
+        return g.select("msa_id", *[F.col(f"x.{c}").alias(f"{mark}{c}") for c in "pkn"])
+
+    return lists(gaps, "g").join(lists(late, "r"), "msa_id", "full")
+
+
+def best_moves(rows: DataFrame, matrix=None, v: float = 9, u: float = 2) -> DataFrame:
+    """The move of each alignment that gains most: ``(msa_id, member, gain, rest, own)``, two column maps; none if no move gains.
+
+    Every member is realigned against the others in a kernel call of its own: the
+    letters and gap states of all, less the member's.  What a move gains is the
+    change of the whole alignment's sum of pair scores, openings counted for every
+    pair (pairs of the others don't change); ties go to the smaller member.
     """
     m = letter_matrix() if matrix is None else matrix
     prof = group_profiles(rows.withColumn("g", F.lit(0))).filter("many > 1").select("msa_id", *COLS)
+    prof = cut_lineage(prof.join(group_states(rows), "msa_id", "left"))
     calls = rows.select("msa_id", "member", F.col("a").alias("row")).join(prof, "msa_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for t in pdf.itertuples(index=False):
-                rest = dense(t.p, t.c, t.n, t.width)
-                own = np.frombuffer(t.row.encode(), np.uint8).astype(int) - 65
-                at = np.flatnonzero(own >= 0)
-                rest[at, own[at]] -= 1
-                better = realign(rest, t.many - 1, t.row, m, v, u, least)
+                gaps, late = (tuple(np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in y) for y in ((t.gp, t.gk, t.gn), (t.rp, t.rk, t.rn)))
+                better = realign(dense(t.p, t.c, t.n, t.width), t.many, gaps, late, letters_of(t.row), m, v, u)
                 if better is not None:
                     out.append((t.msa_id, t.member, *better))
             yield pd.DataFrame(out, columns=["msa_id", "member", "gain", "rest", "own"])
 
     moves = balanced(calls, F.col("width"), F.length("row")).mapInPandas(run, "msa_id long, member long, gain double, rest array<int>, own array<int>")
     best = moves.groupBy("msa_id").agg(F.max(F.struct("gain", (-F.col("member")).alias("k"), "rest", "own")).alias("x"))
-    return best.select("msa_id", (-F.col("x.k")).alias("member"), "x.rest", "x.own")
+    return best.select("msa_id", (-F.col("x.k")).alias("member"), "x.gain", "x.rest", "x.own")
+
 
+#: Letters and gaps of an alignment that one task refines by itself; larger ones take one job for each of their moves.
+ALONE = 4_000_000
 
-def refine(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, least: float = 0.0) -> DataFrame:
+
+def refine(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, alone: int = ALONE) -> DataFrame:
     """Iterative refinement ``(msa_id, member, a)``: the best move of every alignment, until no move of it gains.
 
-    Alignments without a gaining move leave the loop.  A move's gain leaves out the other members'
-    gap openings, so with a small ``least`` an alignment can come back to an earlier state and the loop not end.
-    ``least`` is the convergence tolerance of ``best_moves``; zero asks for every gain.
+    Every move raises the sum of pair scores with gap openings, which is bounded, so
+    the loop ends.  Alignments of up to ``alone`` characters are refined in one task
+    each, by the same moves; in larger ones a job realigns all members at once, and
+    no task holds more than the profile and one member.
     """
-    active, done = cut_lineage(rows.select("msa_id", "member", "a")), None
-    while True:
-        moves = cut_lineage(best_moves(active, matrix, v, u, least))
-        still = active.join(moves.select("msa_id"), "msa_id", "left_anti")
-        done = still if done is None else done.unionByName(still)
-        if moves.isEmpty():
-            return done
-        met = active.join(moves.withColumnRenamed("member", "mover"), "msa_id")
+    m = letter_matrix() if matrix is None else matrix
+    width = rows.groupBy("msa_id").agg(F.max(F.length("a")).alias("width"), F.sum(F.length("a")).alias("cells"))
+    full = cut_lineage(rows.join(width, "msa_id").select("msa_id", "member", F.expr("rpad(a, width, '-')").alias("a"), "cells"))
+    sets = full.filter(F.col("cells") <= alone).groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("member", "a"))).alias("x"))
+    sets = sets.select("msa_id", F.col("x.member").alias("members"), F.col("x.a").alias("texts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                texts = refined(list(t.texts), m, v, u)
+                yield pd.DataFrame({"msa_id": t.msa_id, "member": list(t.members), "a": texts})
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, 1)
+    done = sets.repartition(tasks).mapInPandas(run, "msa_id long, member long, a string")
+    active = cut_lineage(full.filter(F.col("cells") > alone).drop("cells"))
+    while not active.isEmpty():
+        moves = cut_lineage(best_moves(active, matrix, v, u))
+        done = done.unionByName(active.join(moves.select("msa_id"), "msa_id", "left_anti"))
+        met = active.join(moves.drop("gain").withColumnRenamed("member", "mover"), "msa_id")
         maps = met.withColumn("src", F.when(F.col("member") == F.col("mover"), F.col("own")).otherwise(F.col("rest")))
         active = cut_lineage(moved(maps).select("msa_id", "member", "a"))
+    return done
+
+
+def letters_of(row: str) -> np.ndarray:
+    """Letters as numbers from 0, gaps negative."""
+    return np.frombuffer(row.encode(), np.uint8).astype(np.int64) - 65
+
+
+def refined(texts: list[str], matrix, v: float, u: float) -> list[str]:
+    """Rows of one alignment after its best moves, one after the other."""
+    while len(texts) > 1 and texts[0]:
+        own = [letters_of(t) for t in texts]
+        profile, gaps, late = np.zeros((len(texts[0]), 26)), [], []
+        for o in own:
+            at, (gap, before) = np.flatnonzero(o >= 0), states_of(o)
+            np.add.at(profile, (at, o[at]), 1)
+            mine, behind = np.flatnonzero(gap), at[before[at] > 0]
+            gaps.append(np.stack([mine, before[mine], np.ones(len(mine), np.int64)]))
+            late.append(np.stack([behind, before[behind], np.ones(len(behind), np.int64)]))
+        gaps, late = (tuple(np.concatenate(x, axis=1)) for x in (gaps, late))
+        found = [(b[0], -i, b[1], b[2]) for i, o in enumerate(own) if (b := realign(profile, len(texts), gaps, late, o, matrix, v, u)) is not None]
+        if not found:
+            break
+        _, k, rest, mine = max(found, key=lambda x: x[:2])
+        texts = ["".join(t[x - 1] if x else "-" for x in (mine if i == -k else rest)) for i, t in enumerate(texts)]
+    return texts
 
 
 def moved(rows: DataFrame) -> DataFrame:
@@ -148,28 +286,22 @@ def moved(rows: DataFrame) -> DataFrame:
     return chars.withColumn("a", new).drop("chars", "src")
 
 
-def realign(profile: np.ndarray, many: int, row: str, matrix, v, u, least: float = 0.0):
-    """``(gain, map of the rest, map of the row)`` of a better placement of ``row``, or None."""
-    cols = np.flatnonzero(profile.sum(1))  # columns that are not empty without the member
-    own = np.array([ord(c) - 65 if c != "-" else -1 for c in row.ljust(len(profile), "-")])
+def realign(profile: np.ndarray, many: int, gaps: tuple, late: tuple, own: np.ndarray, matrix, v, u):
+    """``(gain, map of the rest, map of the row)`` of a better placement of the member ``own``, or None; the first three describe all members."""
+    rest = Rest(profile, many, gaps, late, own)
     sites = np.flatnonzero(own >= 0)
-    if not len(cols) or not len(sites):
+    if not len(rest.cols) or not len(sites):
         return None
     wb = np.zeros((len(sites), 26))
     wb[np.arange(len(sites)), own[sites]] = 1
-    s = profile_scorer(profile[cols], wb, many, 1, matrix, v, u)
-    score, runs, _, _ = align(s)
-    old, gap, i, j = 0.0, "", 0, 0
-    filled = set(cols.tolist())
-    for p in range(len(profile)):  # the present placement under the same costs
-        a, b = p in filled, own[p] >= 0
-        if a and b:
-            old, gap = old + s.row(i)[j], ""
-        elif a or b:
-            kind = "D" if a else "I"
-            old, gap = old - u - (v if gap != kind else 0), kind
-        i, j = i + a, j + b
-    if score <= old + max(1e-9, least * abs(old)):
+    _, runs, _, _ = align(profile_scorer(rest.profile, wb, rest.many, 1, matrix, v, u))
+    sim = rest.profile @ matrix[:, own[sites]]
+    filled = np.zeros(len(own), bool)
+    filled[rest.cols] = True
+    present = np.where(filled & (own >= 0), 0, np.where(filled, 1, 2))[filled | (own >= 0)]
+    new = np.repeat(["MDI".index(op) for op, _ in runs], [n for _, n in runs])
+    gain = rest.score(new, sim, v, u) - rest.score(present, sim, v, u)
+    if gain <= 1e-9:
         return None
     a, b = column_map(runs)
-    return score - old, [int(cols[x - 1]) + 1 if x else 0 for x in a], [int(sites[x - 1]) + 1 if x else 0 for x in b]
+    return gain, [int(rest.cols[x - 1]) + 1 if x else 0 for x in a], [int(sites[x - 1]) + 1 if x else 0 for x in b]

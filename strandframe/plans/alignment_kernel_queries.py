@@ -13,8 +13,6 @@ from strandframe.session import cut_lineage
 
 PAIR = f"""{ROWS}, prs AS (SELECT x.msa_id, x.member AS i, y.member AS j, replace(x.a, '-', '') AS s1, replace(y.a, '-', '') AS s2
 FROM rws x JOIN rws y ON x.msa_id = y.msa_id AND x.member % 2 = 0 AND y.member = x.member + 1)"""
-#: Share of its score that a refinement move must gain.
-TOLERANCE = 0.1
 KEYS = "msa_id long, i long, j long"
 
 
@@ -107,15 +105,15 @@ def progressive_alignment_consistency(t):
 
 @query("I3 T3")
 def iterative_refinement(t):
-    return M.refine(M.progressive(_members(t)), least=TOLERANCE)
+    return M.refine(M.progressive(_members(t)))
 
 
 @query("I3 J21", f"""WITH {ROWS} SELECT msa_id, member, replace(a, '-', '') AS residues, true AS same_width, true AS settled FROM rws""")
 def iterative_refinement_consistency(t):
     """Refined rows give back their sequences, have one width per set, and no move gains any more."""
-    d = cut_lineage(M.refine(M.progressive(_members(t)), least=TOLERANCE))
+    d = cut_lineage(M.refine(M.progressive(_members(t))))
     width = d.groupBy("msa_id").agg((F.max(F.length("a")) == F.min(F.length("a"))).alias("same_width"))
-    open_ = M.best_moves(d, least=TOLERANCE).select("msa_id", F.lit(False).alias("open"))
+    open_ = M.best_moves(d).select("msa_id", F.lit(False).alias("open"))
     return d.join(width, "msa_id").join(open_, "msa_id", "left").select(
         "msa_id", "member", R.ungap("a").alias("residues"), "same_width", F.coalesce("open", F.lit(True)).alias("settled")
     )
