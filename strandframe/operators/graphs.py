@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandframe.session import cut_lineage
 
+#: Parts of a node's neighbours that are reduced apart.
+PARTS = 64
+
 
 def edge_list(rows: DataFrame, threshold: float, order: list[str], similarity: bool = False) -> DataFrame:
     """Edges ``(u, v, dist)`` with u < v from ``(u, v, value)`` rows.
@@ -31,6 +34,12 @@ def _fingerprint(df: DataFrame):
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _least(pairs: DataFrame) -> DataFrame:
+    """``(u, m)``: the smallest ``v`` of every ``u``, by parts of its neighbours first, so that a hub's edges meet in no task."""
+    part = F.pmod(F.hash("v"), F.lit(PARTS)).alias("part")
+    return pairs.groupBy("u", part).agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` with the smallest node id as label, by alternating star rounds."""
     e = cut_lineage(edges.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -38,10 +47,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node hang on the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = _least(both).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its lower neighbours hang on the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = _least(large)
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         now = _fingerprint(e)

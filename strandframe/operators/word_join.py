@@ -109,34 +109,6 @@ def apart(hits: DataFrame, limit: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def chain_hits(hits: DataFrame, gap_open: float = 3.0, gap_extend: float = 0.1) -> DataFrame:
-    """Best collinear chain of the matches of each pair: ``(q_id, seq_id, score, hits)``.
-
-    A pair's matches are bounded by its two texts.  A change of diagonal costs
-    ``gap_open + gap_extend * shift``.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["q_start", "d_start", "len"])
-        qs, ds, ln = (p[c].to_numpy(np.int64) for c in ("q_start", "d_start", "len"))
-        score, count = ln.astype(float), np.ones(len(p), np.int64)
-        for i in range(1, len(p)):
-            ok = (qs[:i] + ln[:i] <= qs[i]) & (ds[:i] + ln[:i] <= ds[i])
-            if ok.any():
-                shift = np.abs((ds[:i] - qs[:i]) - (ds[i] - qs[i]))
-                gain = np.where(ok, score[:i] - np.where(shift > 0, gap_open + gap_extend * shift, 0.0), -math.inf)
-                j = int(gain.argmax())
-                if gain[j] > 0:
-                    score[i] += gain[j]
-                    count[i] += count[j]
-        top = int(score.argmax())
-        return pd.DataFrame([[*key, float(score[top]), int(count[top])]], columns=["q_id", "seq_id", "score", "hits"])
-
-    return hits.groupBy("q_id", "seq_id").applyInPandas(best, "q_id long, seq_id long, score double, hits long")
-
-
 def orientation_vote(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
     """Word matches of each query and of its reverse complement with the whole database.
 

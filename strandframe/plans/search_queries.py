@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandframe.functions import residues as R
-from strandframe.operators import graphs as G, statistics as S, trees as T, word_join as J
+from strandframe.operators import chaining as C, pairwise as P, graphs as G, statistics as S, trees as T, word_join as J
 from strandframe.plans.fragments import NT, QSEQ, SEQ, words
 from strandframe.plans.registry import query
 
@@ -40,9 +40,42 @@ def diagonal_matches(t):
     return J.diagonal_matches(t.queries, t.seqs, 14)
 
 
-@query("J12 T7")
+CHAIN = f"""WITH RECURSIVE {DIAG}, ord AS (SELECT *, row_number() OVER (PARTITION BY q_id, seq_id ORDER BY q_start, d_start, len) AS i FROM mem),
+arr AS (SELECT q_id, seq_id, list(q_start ORDER BY i) AS qs, list(d_start ORDER BY i) AS ds, list(len ORDER BY i) AS ln, count(*) AS n FROM ord GROUP BY ALL),
+st AS (SELECT q_id, seq_id, 0::BIGINT AS i, []::BIGINT[] AS s, []::BIGINT[] AS c, []::BIGINT[] AS f FROM arr
+ UNION ALL SELECT q_id, seq_id, i + 1, list_append(s, 10 * x + greatest(0, coalesce(best, 0))), list_append(c, 1 + CASE WHEN best > 0 THEN c[w0] ELSE 0 END), list_append(f, CASE WHEN best > 0 THEN f[w0] ELSE i + 1 END)
+ FROM (SELECT *, list_max(g) AS best, list_position(g, list_max(g)) AS w0 FROM (
+  SELECT st.*, ln[i + 1] AS x, list_transform(range(1, i + 1), lambda j: CASE WHEN qs[j] < qs[i + 1] AND ds[j] < ds[i + 1] AND qs[j] + ln[j] < qs[i + 1] + ln[i + 1] AND ds[j] + ln[j] < ds[i + 1] + ln[i + 1]
+    AND 2 * greatest(0, qs[j] + ln[j] - qs[i + 1], ds[j] + ln[j] - ds[i + 1]) <= least(ln[j], ln[i + 1])
+   THEN s[j] - 10 * greatest(0, qs[j] + ln[j] - qs[i + 1], ds[j] + ln[j] - ds[i + 1]) - CASE WHEN ds[j] - qs[j] = ds[i + 1] - qs[i + 1] THEN 0 ELSE 30 + abs(ds[j] - qs[j] - ds[i + 1] + qs[i + 1]) END ELSE -1 END) AS g
+  FROM st JOIN arr USING (q_id, seq_id) WHERE i < n))),
+fin AS (SELECT st.*, arr.*, list_max(s) AS top, list_position(s, list_max(s)) AS last FROM st JOIN arr USING (q_id, seq_id) WHERE i = n)"""
+
+
+def chain_members(t):
+    return C.chains(J.diagonal_matches(t.queries, t.seqs, 14))
+
+
+@query("J12 T7", f"{CHAIN} SELECT q_id, seq_id, top / 10.0::DOUBLE AS score, c[last] AS hits FROM fin")
 def chained_matches(t):
-    return J.chain_hits(J.diagonal_matches(t.queries, t.seqs, 14)).withColumn("score", F.round("score", 6))
+    """Best chain of the matches of a query and an entry, overlaps charged."""
+    return chain_members(t).groupBy("q_id", "seq_id").agg(F.max("score").alias("score"), F.count("*").alias("hits"))
+
+
+@query("D7 K10", f"""{CHAIN} SELECT q_id, seq_id, qs[f[last]] AS q_l, qs[last] + ln[last] - 1 AS q_r, ds[f[last]] AS d_l, ds[last] + ln[last] - 1 AS d_r,
+qs[last] + ln[last] - qs[f[last]] AS used_q, ds[last] + ln[last] - ds[f[last]] AS used_d, true AS same_score FROM fin""")
+def seeded_alignment(t):
+    """Alignments cut at their chains: the path uses all of both sides, and its steps give the score again."""
+    d = C.seeded_alignments(chain_members(t), t.queries, t.seqs)
+    steps = F.transform(F.regexp_extract_all("cigar", F.lit("[0-9]+[MDI]"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "[0-9]+", 0).cast("long").alias("n"), F.substring(x, -1, 1).alias("op")))
+    used = lambda ops: F.aggregate(F.filter("steps", lambda x: x["op"].isin(*ops)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    texts = d.join(t.queries.select("q_id", F.col("s").alias("x")), "q_id").join(t.seqs.select("seq_id", F.col("s").alias("y")), "seq_id")
+    part = lambda s, l, r: F.expr(f"substring({s}, cast({l} as int), cast({r} - {l} + 1 as int))")
+    pairs = texts.select("q_id", "seq_id", part("x", "q_l", "q_r").alias("s1"), part("y", "d_l", "d_r").alias("s2"))
+    zero = F.lit(0).cast("long")
+    again = P.rescored(pairs, d.withColumn("start1", zero).withColumn("start2", zero), "q_id long, seq_id long")
+    d = d.withColumn("steps", steps).join(again, ["q_id", "seq_id"])
+    return d.select("q_id", "seq_id", "q_l", "q_r", "d_l", "d_r", used("MD").alias("used_q"), used("MI").alias("used_d"), (F.abs(F.col("score") - F.col("again")) < 1e-6).alias("same_score"))
 
 
 @query("T7", f"""WITH {DIAG}, best AS (SELECT *, row_number() OVER (PARTITION BY q_id, seq_id ORDER BY len DESC, q_start, d_start) AS rk FROM mem)

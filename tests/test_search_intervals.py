@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from strandframe.operators import intervals as I, statistics as S, word_join as J
+from strandframe.operators import chaining as C, intervals as I, statistics as S, word_join as J
 
 
 def words(s, k):
@@ -36,8 +36,31 @@ def test_chain_prefers_collinear_hits(spark):
     hits = spark.createDataFrame(
         [(1, 1, 1, 1, 10), (1, 1, 20, 21, 10), (1, 1, 15, 300, 12), (1, 1, 40, 41, 5)], "q_id long, seq_id long, q_start long, d_start long, len long"
     )
-    r = J.chain_hits(hits).first()
-    assert r.hits == 3 and r.score == pytest.approx(25 - 3.1)
+    got = C.chains(hits).orderBy("k").collect()
+    assert [(r.k, r.q_start) for r in got] == [(1, 1), (2, 20), (3, 40)] and got[0].score == pytest.approx(25 - 3.1)
+    assert C.chains(hits.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(120))
+def test_chain_against_all_predecessors(seed):
+    rng = random.Random(seed)
+    n, wide = rng.randint(1, 40), rng.choice([30, 300])
+    hits = sorted((rng.randint(1, wide), rng.randint(1, wide), rng.randint(3, 20)) for _ in range(n))
+    qs, ds, ln = (list(x) for x in zip(*hits))
+    score, count = [], []
+    for i in range(n):
+        best, at = 0, -1
+        for j in range(i):
+            over = max(0, qs[j] + ln[j] - qs[i], ds[j] + ln[j] - ds[i])
+            if qs[j] < qs[i] and ds[j] < ds[i] and qs[j] + ln[j] < qs[i] + ln[i] and ds[j] + ln[j] < ds[i] + ln[i] and 2 * over <= min(ln[i], ln[j]):
+                shift = abs(ds[j] - qs[j] - ds[i] + qs[i])
+                g = score[j] - 10 * over - (30 + shift if shift else 0)
+                if g > best:
+                    best, at = g, j
+        score.append(10 * ln[i] + best)
+        count.append(1 + (count[at] if at >= 0 else 0))
+    top, path = C.best_chain(qs, ds, ln)
+    assert top == max(score) and len(path) == count[score.index(top)]
 
 
 def brute_union(iv):
