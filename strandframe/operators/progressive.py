@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.functions import runs as U
 from strandframe.operators.pairwise import Scorer, align, balanced, letter_matrix
@@ -305,3 +305,52 @@ def realign(profile: np.ndarray, many: int, gaps: tuple, late: tuple, own: np.nd
         return None
     a, b = column_map(runs)
     return gain, [int(rest.cols[x - 1]) + 1 if x else 0 for x in a], [int(sites[x - 1]) + 1 if x else 0 for x in b]
+
+
+def placed(profile: np.ndarray, many: int, own: np.ndarray, matrix, v, u) -> tuple[list[int], list[int]]:
+    """Maps of the columns of a group (empty ones left out) and of a sequence aligned to it."""
+    cols = np.flatnonzero(profile.sum(1) > 0)
+    wb = np.zeros((len(own), 26))
+    wb[np.arange(len(own)), own] = 1
+    if not len(cols) or not len(own):
+        return [0] * len(own) + [int(c) + 1 for c in cols], list(range(1, len(own) + 1)) + [0] * len(cols)
+    _, runs, _, _ = align(profile_scorer(profile[cols], wb, many, 1, matrix, v, u))
+    a, b = column_map(runs)
+    return [int(cols[x - 1]) + 1 if x else 0 for x in a], b
+
+
+def update_members(rows: DataFrame, guests: DataFrame, matrix=None, v: float = 9, u: float = 2) -> DataFrame:
+    """Alignments ``(msa_id, member, a)`` with ``guests (msa_id, member, s)`` put in: a member of that name gives way, others are added.
+
+    A guest is aligned to the profile of the members that stay, whose empty columns
+    go.  Guests of one alignment come in one after the other (a round each, in order
+    of their names); alignments without guests pass untouched.  The rest's columns
+    keep their order, so members that stay keep their places towards each other.
+    """
+    m = letter_matrix() if matrix is None else matrix
+    turn = F.row_number().over(W.partitionBy("msa_id").orderBy("member"))
+    guests = cut_lineage(guests.select("msa_id", "member", F.coalesce("s", F.lit("")).alias("s")).withColumn("turn", turn))
+    named = guests.select("msa_id").distinct()
+    out = rows.select("msa_id", "member", "a").join(named, "msa_id", "left_anti")
+    active = cut_lineage(rows.select("msa_id", "member", "a").join(named, "msa_id"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = []
+            for t in pdf.itertuples(index=False):
+                wide = 0 if pd.isna(t.width) else int(t.width)
+                profile = dense(t.p, t.c, t.n, wide) if wide else np.zeros((0, 26))
+                done.append((t.msa_id, t.member, t.s, *placed(profile, max(1, 0 if pd.isna(t.many) else int(t.many)), letters_of(t.s), m, v, u)))
+            yield pd.DataFrame(done, columns=["msa_id", "member", "s", "rest", "own"])
+
+    k = 0
+    while not (now := guests.filter(F.col("turn") == k + 1)).isEmpty():
+        k += 1
+        rest = active.join(now.select("msa_id", "member"), ["msa_id", "member"], "left_anti")
+        prof = group_profiles(rest.withColumn("g", F.lit(0))).select("msa_id", *COLS)
+        calls = now.join(prof, "msa_id", "left")
+        maps = cut_lineage(balanced(calls, F.coalesce("width", F.lit(0)), F.length("s")).mapInPandas(run, "msa_id long, member long, s string, rest array<int>, own array<int>"))
+        others = rest.join(maps.select("msa_id", F.col("rest").alias("src")), "msa_id", "left").withColumn("src", F.coalesce("src", F.expr("transform(sequence(1, greatest(length(a), 1)), i -> i)")))
+        guest = maps.select("msa_id", "member", F.col("s").alias("a"), F.col("own").alias("src"))
+        active = cut_lineage(moved(others.unionByName(guest)).select("msa_id", "member", "a"))
+    return out.unionByName(active)

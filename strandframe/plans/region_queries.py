@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.operators import alignment_columns as A, bipartitions as S, gap_maps as M
+from strandframe.functions import residues as R
+from strandframe.operators import alignment_columns as A, bipartitions as S, gap_maps as M, progressive as P
 from strandframe.plans.alignment_queries import SEG_SQL
-from strandframe.plans.fragments import CELLS
+from strandframe.plans.fragments import CELLS, ROWS
 from strandframe.plans.registry import query
 from strandframe.session import cut_lineage
 
@@ -119,3 +120,29 @@ SELECT msa_id, member, CAST(node AS BIGINT) AS node, CAST(count(*) OVER (PARTITI
 def fusible_groups(t):
     """Turns that may be fused to groups, walking up the tree of turns."""
     return S.fused_groups(t.cells, turn_tree(t), FUSE)
+
+
+def standing(rows):
+    """Maps from residues to columns that any of the rows uses, as one number per row."""
+    spans = rows.select(*KEYS, F.length("a").alias("width"))
+    runs = A.gap_runs(rows)
+    used = M.squeeze(M.common_gaps(runs, spans, KEYS, "msa_id"), spans, "msa_id")
+    maps = M.compose(M.from_gaps(runs, spans, KEYS), used, KEYS, ["msa_id"])
+    return maps.groupBy(*KEYS).agg(F.sum(F.xxhash64("x_l", "x_r", "y_l").cast("decimal(38,0)")).alias("h"))
+
+
+@query("J19 I2 D17", f"""WITH {ROWS}, r AS (SELECT msa_id, member, replace(a, '-', '') AS s FROM rws), first AS (SELECT msa_id, min(member) AS member FROM r GROUP BY msa_id)
+SELECT msa_id, member, CASE WHEN (msa_id, member) IN (SELECT (msa_id, member) FROM first) THEN reverse(s) ELSE s END AS residues, true AS same_width, true AS untouched FROM r
+UNION ALL SELECT r.msa_id, -1, s, true, true FROM r JOIN first USING (msa_id, member)""")
+def members_replaced(t):
+    """The first turn of every conversation gives way to its own reverse, and comes back as a new member; the others keep their places."""
+    rows = t.rows.select(*KEYS, "a")
+    first = rows.groupBy("msa_id").agg(F.min(F.struct("member", "a")).alias("x")).select("msa_id", "x.member", R.ungap("x.a").alias("s"))
+    guests = first.select("msa_id", "member", F.reverse("s").alias("s")).unionByName(first.select("msa_id", F.lit(-1).cast("long").alias("member"), "s"))
+    new = cut_lineage(P.update_members(rows, guests))
+    width = new.groupBy("msa_id").agg((F.max(F.length("a")) == F.min(F.length("a"))).alias("same_width"))
+    stay = lambda d: d.join(guests.select(*KEYS), KEYS, "left_anti")
+    before, after = standing(stay(rows)), standing(stay(new)).withColumnRenamed("h", "k")
+    moved = before.join(after, KEYS, "full").select(*KEYS, F.coalesce(F.col("h") == F.col("k"), F.lit(False)).alias("untouched"))
+    d = new.join(width, "msa_id").join(moved, KEYS, "left")
+    return d.select(*KEYS, R.ungap("a").alias("residues"), "same_width", F.coalesce("untouched", F.lit(True)).alias("untouched"))

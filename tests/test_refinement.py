@@ -100,3 +100,17 @@ def test_one_task_and_many_jobs_agree(spark):
         assert whole_score(after) >= whole_score(before)
     assert M.best_moves(spark.createDataFrame([(*k, a) for k, a in got[0].items()], "msa_id long, member long, a string")).count() == 0
     assert M.refine(df.limit(0)).count() == 0
+
+
+def test_members_replaced_and_added(spark):
+    rows = [(1, 0, "ACDE-FGH"), (1, 1, "ACDEXFGH"), (1, 2, "A-DE-FGH"), (2, 0, "AC-"), (3, 0, "--A"), (4, 0, "CC"), (4, 1, "C-")]
+    guests = [(1, 1, "ACDEFGH"), (1, 7, "ACDFGH"), (3, 0, "KLM"), (4, 0, ""), (4, 5, None), (9, 0, "NEW")]
+    df = spark.createDataFrame(rows, "msa_id long, member long, a string")
+    g = spark.createDataFrame(guests, "msa_id long, member long, s string")
+    got = {(r.msa_id, r.member): r.a for r in M.update_members(df, g).collect()}
+    assert got[1, 0] == "ACDEFGH" and got[1, 1] == "ACDEFGH" and got[1, 2] == "A-DEFGH"  # the column of the old member is gone
+    assert got[1, 7].replace("-", "") == "ACDFGH" and len(got[1, 7]) == len(got[1, 0])
+    assert got[2, 0] == "AC-" and got[3, 0] == "KLM" and got[9, 0] == "NEW"
+    assert got[4, 1] == "C" and got[4, 0] == got[4, 5] == "-"
+    same = {(r.msa_id, r.member): r.a for r in M.update_members(df, g.limit(0)).collect()}
+    assert same == {(m, k): a for m, k, a in rows}
