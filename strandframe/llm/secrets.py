@@ -1,12 +1,19 @@
 """Secrets: fixed patterns, and values in credential contexts rated by their guess cost.
 
 The base kinds (``assign access hex``) stay as their patterns find them.  The
-method looks at values that follow a credential word and takes, as kind
-``guess``, those that would need at least ``10 ** LEAST`` guesses: the minimum
-over all segmentations into dictionary words, dates, repeats, keyboard walks and
-brute-force spans of the product of the parts' guesses, by dynamic programming.
-Placeholders such as ``changeme`` or ``aaaa1111`` stay below.  Values that touch a
-base span are not listed again, but base spans carry their value's cost as score.
+method looks at values in credential contexts and takes those that would need at
+least ``10 ** LEAST`` guesses: the minimum over all segmentations into dictionary
+words, dates, repeats, keyboard walks and brute-force spans of the product of the
+parts' guesses, by dynamic programming.  Contexts are a credential word before the
+value (kind ``guess``), a bearer header (``bearer``) and the password part of an
+address (``url``).  Private-key blocks (``key``) and tokens with a published prefix
+(``token``) need no context.  Placeholders such as ``changeme`` or ``aaaa1111`` stay
+below.  Values that touch a base span are not listed again, but base spans carry
+their value's cost as score.
+
+The dictionary is what people choose and, for prose of any language, the corpus's own
+words: those of at least ``LEAST_DOCS`` documents outside credential contexts, the
+``MOST_WORDS`` most frequent of them, counted over all documents and ranked by count.
 
 The programme looks back at most ``REACH`` places for a part, and besides to the
 start of the repeat, walk or periodic run that ends at a place, however long, so
@@ -18,16 +25,23 @@ Defined results: null and empty texts have no spans; rows are independent.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from math import log10
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from strandframe.llm import spans as S
 
 BASE = ("assign", "access", "hex")
 LEAST = 9.0
-REACH = 16
+REACH = 24
+#: Distinct words whose counts a task holds at once.
+HELD = 500_000
+#: Documents that a learned word must be in, words learned at most (their ranks stand for guesses), and letters of one.
+LEAST_DOCS, MOST_WORDS, WORD = 5, 50_000, (4, REACH)
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
@@ -36,6 +50,12 @@ CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth|private[_-]?key|access[_-]?key|bearer|login)["']?(?:\x20*+[:=]\x20*+|\x20is\x20)["']?([^\s"'`,;<>(){}\[\]]{6,}+)""",
     re.I | re.A,
 )
+BEARER = re.compile(r"\bbearer\x20++([A-Za-z0-9._~+/=-]{12,}+)", re.I | re.A)
+ADDRESS = re.compile(r"(?<=://)[^\s/:@]{1,64}+:([^\s/@]{6,128}+)@")
+#: Prefixes that issuers publish, and what follows.
+KNOWN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35})")
+BEGIN, END = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+RUN = re.compile(r"[^\W\d_]+")
 DATE = re.compile(r"(?:19|20)[0-9]{2}(?:[-/.]?[01][0-9][-/.]?[0-3][0-9])?|[0-3][0-9][-/.]?[01][0-9][-/.]?(?:19|20)[0-9]{2}")
 
 #: Words people choose, the most common first.
@@ -73,73 +93,170 @@ ENGLISH = (
 #: Rows of a keyboard, walked either way.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789", "1qaz", "2wsx", "3edc", "4rfv")
 LEET = str.maketrans("4310$@57!", "aeiosastl")
-RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys((*WORDS, *ENGLISH)))}
-LONGEST = max(map(len, RANK))
 NEXT = {a + b for r in ROWS for w in (r, r[::-1]) for a, b in zip(w, w[1:])}
 
 
-def part_cost(part: str, low: str) -> float:
-    """log10 of the guesses of one part by the cheapest pattern that it fits, else as brute force."""
-    n = len(part)
-    best = float(n)  # brute force: ten guesses a character
-    for w, extra in ((low, 0.0), (low.translate(LEET), 0.5)):
-        if n <= LONGEST and w in RANK:
-            best = min(best, log10(RANK[w] + 1) + extra + (0.3 if part != low else 0.0))
-    if n >= 3:
-        if low == low[0] * n:
-            best = min(best, 1.0 + log10(n))
-        elif all(low[i : i + 2] in NEXT for i in range(n - 1)):
-            best = min(best, 1.2 + log10(n) + 0.2 * (n > 6))
+class Rater:
+    """Guess costs under the fixed words and ``learned`` ones, the most frequent first."""
+
+    def __init__(self, learned: tuple[str, ...] | list[str] = ()):
+        self.rank = {w: k + 1 for k, w in enumerate(dict.fromkeys((*WORDS, *ENGLISH)))}
+        for k, w in enumerate(learned):
+            self.rank[w] = min(self.rank.get(w, len(WORDS) + k + 1), len(WORDS) + k + 1)
+        self.longest = max(map(len, self.rank))
+        self.cost = lru_cache(maxsize=50_000)(self._cost)
+
+    def part(self, part: str, low: str) -> float:
+        """log10 of the guesses of one part by the cheapest pattern that it fits, else as brute force."""
+        n = len(part)
+        best = float(n)  # brute force: ten guesses a character
+        if n <= self.longest:
+            for w, extra in ((low, 0.0), (low.translate(LEET), 0.5)):
+                if w in self.rank:
+                    best = min(best, log10(self.rank[w] + 1) + extra + (0.3 if part != low else 0.0))
+        if n >= 3:
+            if low == low[0] * n:
+                best = min(best, 1.0 + log10(n))
+            elif all(low[i : i + 2] in NEXT for i in range(n - 1)):
+                best = min(best, 1.2 + log10(n) + 0.2 * (n > 6))
+            else:
+                for k in (2, 3, 4):  # a short group again and again
+                    if n % k == 0 and n >= 2 * k and low == low[:k] * (n // k):
+                        best = min(best, k + log10(n // k))
+        if 4 <= n <= 10 and DATE.fullmatch(part):
+            best = min(best, 2.0 if n == 4 else 4.5)
+        return best
+
+    def _cost(self, value: str) -> float:
+        """log10 of the guesses for a value: the cheapest segmentation, with a little for each part."""
+        low, n = value.lower(), len(value)
+        if len(low) != n:  # a letter that lower-cases to two
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        best = [0.0] * (n + 1)
+        walk, runs = 0, [0, 0, 0, 0]  # where the walk and the runs of period 1 to 4 that end here start
+        for j in range(1, n + 1):
+            best[j] = best[j - 1] + 1.0
+            if j > 1 and low[j - 2 : j] not in NEXT:
+                walk = j - 1
+            if j - walk > REACH:
+                best[j] = min(best[j], best[walk] + 1.4 + log10(j - walk) + (0.3 if walk else 0.0))
+            for k in (1, 2, 3, 4):
+                if j > k and low[j - 1] != low[j - 1 - k]:
+                    runs[k - 1] = j - k
+                i = runs[k - 1] + (j - runs[k - 1]) % k
+                if j - i > REACH:
+                    best[j] = min(best[j], best[i] + k + log10((j - i) // k) + (0.3 if i else 0.0))
+            for i in range(max(0, j - REACH), j - 1):
+                c = best[i] + self.part(value[i:j], low[i:j]) + (0.3 if i else 0.0)
+                if c < best[j]:
+                    best[j] = c
+        return round(best[n], 3)
+
+
+FIXED = Rater()
+guess_cost = FIXED.cost
+KINDS = (*BASE, "guess", "bearer", "url", "key", "token")
+
+
+def blocks(text: str) -> list[tuple[int, int]]:
+    """Private-key blocks; one without an end reaches to the end of its last line of key letters."""
+    out, at = [], 0
+    while m := BEGIN.search(text, at):
+        e = END.search(text, m.end())
+        nxt = BEGIN.search(text, m.end())
+        if e and not (nxt and nxt.start() < e.start()):
+            at = e.end()
         else:
-            for k in (2, 3, 4):  # a short group again and again
-                if n % k == 0 and n >= 2 * k and low == low[:k] * (n // k):
-                    best = min(best, k + log10(n // k))
-    if 4 <= n <= 10 and DATE.fullmatch(part):
-        best = min(best, 2.0 if n == 4 else 4.5)
-    return best
-
-
-@lru_cache(maxsize=50_000)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for a value: the cheapest segmentation, with a little for each part."""
-    low, n = value.lower(), len(value)
-    best = [0.0] * (n + 1)
-    walk, runs = 0, [0, 0, 0, 0]  # where the walk and the runs of period 1 to 4 that end here start
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + 1.0
-        if j > 1 and low[j - 2 : j] not in NEXT:
-            walk = j - 1
-        if j - walk > REACH:
-            best[j] = min(best[j], best[walk] + 1.4 + log10(j - walk) + (0.3 if walk else 0.0))
-        for k in (1, 2, 3, 4):
-            if j > k and low[j - 1] != low[j - 1 - k]:
-                runs[k - 1] = j - k
-            i = runs[k - 1] + (j - runs[k - 1]) % k
-            if j - i > REACH:
-                best[j] = min(best[j], best[i] + k + log10((j - i) // k) + (0.3 if i else 0.0))
-        for i in range(max(0, j - REACH), j - 1):
-            c = best[i] + part_cost(value[i:j], low[i:j]) + (0.3 if i else 0.0)
-            if c < best[j]:
-                best[j] = c
-    return round(best[n], 3)
-
-
-def find(text: str) -> list[S.Span]:
-    """All spans by start, then kind as listed (``assign access hex guess``)."""
-    out = [("assign", m.start(), m.end(), guess_cost(m[1])) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
-    out += [("access", m.start(), m.end(), guess_cost(m[0][4:])) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    out += [("hex", m.start(), m.end(), guess_cost(m[0])) for m in HEX.finditer(text)]
+            at = re.compile(r"[\sA-Za-z0-9+/=]*").match(text, m.end()).end()
+        out.append((m.start(), at))
+    return out
+
+
+def find(text: str, rater: Rater = FIXED) -> list[S.Span]:
+    """All spans by start, then kind as listed in ``KINDS``."""
+    cost = rater.cost
+    out = [("assign", m.start(), m.end(), cost(m[1])) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    out += [("access", m.start(), m.end(), cost(m[0][4:])) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    out += [("hex", m.start(), m.end(), cost(m[0])) for m in HEX.finditer(text)]
     taken = [(a, b) for _, a, b, _ in out]
+
+    def offer(kind: str, a: int, b: int, least: float = LEAST) -> None:
+        if b - a >= 6 and not any(a < y and x < b for x, y in taken) and (c := cost(text[a:b])) >= least:
+            out.append((kind, a, b, c))
+            taken.append((a, b))
+
+    if "-----BEGIN" in text:
+        for a, b in blocks(text):
+            out.append(("key", a, b, float(b - a)))
+            taken.append((a, b))
+    for m in KNOWN.finditer(text):
+        offer("token", *m.span(), 0.0)
+    if "://" in text:
+        for m in ADDRESS.finditer(text):
+            offer("url", *m.span(1))
+    for m in BEARER.finditer(text):
+        offer("bearer", *m.span(1))
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
         while b > a and text[b - 1] in ".!?:":  # the sentence's, not the value's
             b -= 1
-        if b - a >= 6 and not any(a < y and x < b for x, y in taken) and (cost := guess_cost(text[a:b])) >= LEAST:
-            out.append(("guess", a, b, cost))
-    order = {k: i for i, k in enumerate((*BASE, "guess"))}
+        offer("guess", a, b)
+    order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (s[1], order[s[0]]))
 
 
-def secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "found", clean: str | None = None) -> DataFrame:
-    """``keep`` columns, spans ``found`` (kind, start, end, log10 of guesses as score) and, if named, the text with spans replaced."""
-    return S.found(docs, lambda: find, text, keep, name, clean)
+def words_of(text: str) -> set[str]:
+    """Plain words of a text outside credential contexts, in lower case: all small letters, or but the first."""
+    low, high = WORD
+    runs = {w for w in RUN.findall(CONTEXT.sub(" ", text)) if low <= len(w) <= high}
+    return {w.lower() for w in runs if w[1:].islower() and len(w.lower()) == len(w)}
+
+
+def common_words(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, most: int = MOST_WORDS) -> list[str]:
+    """Words of at least ``least`` documents, the ``most`` most frequent (ties in order of the alphabet): counts over all documents, summed in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
+            count.clear()
+            return b
+
+        for b in batches:
+            for t in b.column(0):
+                count.update(words_of(t.as_py() or ""))
+                if len(count) > HELD:
+                    yield out()
+        if count:
+            yield out()
+
+    counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+_RATERS: dict[int, Rater] = {}
+
+
+def _rater(key: int, words: list[str]) -> Rater:
+    """The rater of this worker for a dictionary that was sent to it."""
+    if key not in _RATERS:
+        _RATERS.clear()
+        _RATERS[key] = Rater(words)
+    return _RATERS[key]
+
+
+def secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "found", clean: str | None = None, words: list[str] | None = None) -> DataFrame:
+    """``keep`` columns, spans ``found`` (kind, start, end, log10 of guesses as score) and, if named, the text with spans replaced.
+
+    ``words`` is the dictionary besides the fixed one; if it isn't given it is learned from all of ``docs``.
+    """
+    words = common_words(docs, text) if words is None else words
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # MOST_WORDS words at most
+    key = hash(tuple(words))
+
+    def finder():
+        rater = _rater(key, shared.value)
+        return lambda t: find(t, rater)
+
+    return S.found(docs, finder, text, keep, name, clean)

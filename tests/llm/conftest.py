@@ -24,13 +24,19 @@ def odd_dir(spark, tmp_path_factory):
     pq.write_table(docs, d / "documents.parquet")
     bench = pa.table({"item_id": pa.array([1, 2, 3, 4], pa.int64()), "text": ["brown fox jumps over the lazy dog and runs away from", "", None, "tab and"]})
     pq.write_table(bench, d / "benchmark.parquet")
+    html = [None, "", "<p>a<p>b", "<article>x</article>", "no markup", "<nav>m</nav><main>x", "<p>" + "long " * 20_000, *["<div class=m>same</div><p>own"] * 7]
+    urls = [None, "", "http://a.example/", "https://A.example:8/x", "not an address", *["http://b.example/x"] * (len(html) - 5)]
+    pq.write_table(pa.table({"page_id": pa.array([*range(len(html) - 1), None], pa.int64()), "url": urls, "html": html}), d / "pages.parquet")
+    turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, None, None), (100, 0, "user", "base"), (101, 0, "user", ""), (None, 1, "user", "lost"), (-3, 5, "a", "é" * 500), (199, None, "user", "base")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    pq.write_table(pa.table({n: pa.array(c, k) for n, c, k in zip(("conv_id", "turn", "role", "text"), zip(*turns), kinds)}), d / "conversations.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, tmp_path_factory, odd_dir):
     d = tmp_path_factory.mktemp("none")
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         pq.write_table(pq.read_table(f"{odd_dir}/{t}.parquet").slice(0, 0), d / f"{t}.parquet")
     return str(d)
 

@@ -10,6 +10,7 @@ import tiktoken
 import corpus_pipeline
 from strandframe.llm import language_id, secrets
 from strandframe.llm.registry import table
+from tests.llm.test_secret_words import plain_words
 from tests.llm.conftest import SF
 from tests.llm.test_corpus import brute_classes, brute_hits, brute_print
 
@@ -70,9 +71,10 @@ def test_decontamination(spark, stages):
 
 def test_secrets(stages):
     before, after = map(rows, stages[1][3])
+    rater = secrets.Rater(plain_words([r["text"] for r in before]))
     want = Counter()
     for r in before:
-        t, spans = r["text"], secrets.find(r["text"] or "")
+        t, spans = r["text"], secrets.find(r["text"] or "", rater)
         if spans:
             hide, out, at = [False] * len(t), [], 0
             for kind, a, b, _ in sorted(spans, key=lambda x: (x[1], -x[2], x[0])):
@@ -128,6 +130,9 @@ def test_operators_with_extra_columns(spark, odd_dir, tmp_path):
     plain = table(spark, odd_dir, "documents")
     plain.select("*", *[F.lit("x").alias(c) for c in NAMES if c != "a.b"]).write.parquet(str(tmp_path / "documents.parquet"))
     table(spark, odd_dir, "benchmark").withColumn("words", F.lit("x")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name in ("pages", "conversations"):
+        t = table(spark, odd_dir, name)
+        t.select("*", *[F.lit("x").alias(c) for c in [*NAMES, "host", "noisy", "_page", "_html", "conv", "i", "id", "up", "d", "w", "t", "part"] if c != "a.b" and c not in t.columns]).write.parquet(str(tmp_path / f"{name}.parquet"))
     for name, q in CORPUS.items():
         if name != "op10_token_files" and name != "op1_language_id":
             assert Counter(map(str, q(spark, odd_dir).collect())) == Counter(map(str, q(spark, str(tmp_path)).collect())), name
