@@ -8,7 +8,8 @@ equal the words themselves are compared.
 Line rules (a line without a word is neither kept nor lost):
 
 * navigation: at least two bars or arrows, or nothing but a menu word
-* boilerplate: cookie, licence, copyright and subscription phrases
+* boilerplate: cookie, licence, copyright and subscription phrases that fill a fair share of the line
+* punctuation: three lines or more in a row of fewer than eight words that end no sentence (a heading alone stays)
 * noise: less than half of its characters but spaces are letters or digits
 * shouting without a sentence: two or more ``!!`` marks in a row of capitals
 
@@ -30,6 +31,10 @@ BOILERPLATE = (
     "licensed under", "released under", "permission is hereby granted", "spdx-license", "without warranty",
 )
 COPYRIGHT = r"\(c\) [12][0-9]{3}"
+#: A phrase counts in lines of up to this many times its length (for a copyright with its year, ``YEAR`` characters).
+FILLS, YEAR = 12, 8
+FRAGMENT = r"^[ \x09-\x0D]*[^ \x09-\x0D]+(?:[ \x09-\x0D]+[^ \x09-\x0D]+){0,6}[ \x09-\x0D]*\z"
+SENTENCE = r"[.!?…:;。！？]['\")\]»”’]*[ \x09-\x0D]*\z"
 SHOUT = r"!![^\n]*!!"
 SYMBOLS = "[#*$%&|<>]"
 #: Share of word characters that may be lost; words of a document; repeated words of a hundred.
@@ -69,23 +74,34 @@ def repeated_words(w: str, h: str, window: int = WINDOW) -> Column:
 
 def bad_line(line: Column, low: Column) -> Column:
     """Whether a rule fails; ``low`` is the line in lower case."""
-    phrase = low.contains("(c) ") & low.rlike(COPYRIGHT)
+    size = F.length(line)
+    phrase = (size <= FILLS * YEAR) & low.contains("(c) ") & low.rlike(COPYRIGHT)
     for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
+        phrase = phrase | ((size <= FILLS * len(p)) & low.contains(p))
     others = F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]+", ""))
     letters = F.length(F.regexp_replace(line, r"\s+", "")) - others
     return phrase | (line.contains("!!") & line.rlike(SHOUT)) | ((others > 0) & (letters < others)) | low.rlike(NAVIGATION)
 
 
+def in_a_row(flags: str) -> Column:
+    """A lambda's condition: element ``i`` of the array column ``flags`` and two neighbours of it are true."""
+    at = lambda k: f"coalesce(get({flags}, i + {k}), false)"
+    return F.expr(f"transform({flags}, (f, i) -> f AND (({at(-1)} AND ({at(-2)} OR {at(1)})) OR ({at(1)} AND {at(2)})))")
+
+
 def line_quality(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), clean: str | None = None) -> DataFrame:
     """``keep`` columns, the counts, ``base_failed``, ``lost`` (share of word characters in removed lines) and ``kept``; if named, the text of the lines that stay."""
-    made = {"_words", "_lines", "_hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost", "kept", "_text", "_good"}
+    made = {"_words", "_lines", "_hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost", "kept", "_text", "_good", "_short", "_row"}
     if set(keep) & made:
         raise ValueError(f"kept columns clash with made ones: {sorted(set(keep) & made)}")
     t = F.col("_text")
     a = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     b = a.select(*keep, "_text", words(t).alias("_words"), lines(t).alias("_lines"))
-    c = b.select(*keep, "_text", "_words", "_lines", window_hashes("_words").alias("_hashes"), F.filter(F.transform("_lines", lambda x: F.struct(x.alias("x"), F.lower(x).alias("low"))), lambda p: ~bad_line(p["x"], p["low"]))["x"].alias("_good"))
+    short = F.transform("_lines", lambda x: x.rlike(FRAGMENT) & ~x.rlike(SENTENCE))
+    b = b.select("*", F.when(F.size("_lines") > 2, short).otherwise(F.array().cast("array<boolean>")).alias("_short"))
+    b = b.select("*", F.when(F.size(F.filter("_short", lambda f: f)) > 2, in_a_row("_short")).otherwise(F.array().cast("array<boolean>")).alias("_row"))
+    marked = F.zip_with("_lines", "_row", lambda x, r: F.struct(x.alias("x"), F.lower(x).alias("low"), F.coalesce(r, F.lit(False)).alias("row")))
+    c = b.select(*keep, "_text", "_words", "_lines", window_hashes("_words").alias("_hashes"), F.filter(marked, lambda p: ~p["row"] & ~bad_line(p["x"], p["low"]))["x"].alias("_good"))
     chars = F.length(F.array_join("_words", "")).cast("long")
     stay = F.length(F.regexp_replace(F.array_join("_good", ""), "[ \\x09-\\x0D]+", "")).cast("long")
     d = c.select(
