@@ -31,9 +31,10 @@ from functools import lru_cache
 from math import log10
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.llm import spans as S
+from strandframe.session import cut_lineage
 
 BASE = ("assign", "access", "hex")
 LEAST = 9.0
@@ -213,7 +214,10 @@ def words_of(text: str) -> set[str]:
 
 
 def common_words(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, most: int = MOST_WORDS) -> list[str]:
-    """Words of at least ``least`` documents, the ``most`` most frequent (ties in order of the alphabet): counts over all documents, summed in each task first."""
+    """Words of at least ``least`` documents, most frequent first (ties by the alphabet): counts over all documents, summed in each task first.
+
+    There are ``most`` at most: words of the count that would pass that number, and of lower ones, are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -232,7 +236,13 @@ def common_words(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, m
             yield out()
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = cut_lineage(counted.filter(F.col("n") >= least))
+    classes = counted.groupBy("n").agg(F.count("*").alias("words"))  # one row for each count that occurs
+    reach = classes.withColumn("up_to", F.sum("words").over(W.orderBy(F.desc("n"))))
+    cut = reach.filter(F.col("up_to") <= most).agg(F.min("n")).first()[0]
+    if cut is None:
+        return []
+    return [r["word"] for r in sorted(counted.filter(F.col("n") >= cut).collect(), key=lambda r: (-r["n"], r["word"].encode()))]
 
 
 _RATERS: dict[int, Rater] = {}
