@@ -24,7 +24,7 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 
-MODULES = ["residue_queries", "alignment_queries", "interval_queries", "gene_queries", "search_queries", "alignment_kernel_queries", "io_queries", "reader_queries", "profile_queries", "tree_queries", "region_queries", "signal_queries"]
+MODULES = ["residue_queries", "alignment_queries", "interval_queries", "gene_queries", "search_queries", "alignment_kernel_queries", "io_queries", "reader_queries", "profile_queries", "tree_queries", "region_queries", "signal_queries", "matrix_queries"]
 
 
 def query(ops: str, sql: str | None = None):
