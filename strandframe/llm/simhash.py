@@ -100,17 +100,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", ra
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", radius: int = 2, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class that with the smallest ``doc`` (null last), then fingerprint; of its repeats one."""
-    prints = cut_lineage(fingerprints(docs, text, (doc,), width))
-    named = labels(prints, radius, doc)
-    # the least fingerprint of each label's first document stands for the label
-    own = prints.groupBy(doc, "fp").count().join(named.select("fp", "label"), "fp")
-    order = F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("id"), F.col("fp"))
-    chosen = own.groupBy("label").agg(F.min(order).alias("k")).select("k.none", F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("_id"), F.col("k.fp").alias("_fp"))
-    key = ["_none", "_id", "_fp"]
-    chosen = chosen.withColumnRenamed("none", "_none")
-    rows = docs.select(packed(docs), F.col(doc).isNull().alias("_none"), F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("_id"), F.col(text).alias("_text"))
-    tagged = fingerprints(rows, "_text", ("_doc", "_none", "_id"), width, "_fp")
-    kept = tagged.join(chosen, key, "left_semi")
+    """The rows of ``docs`` that stay: of each class that with the smallest ``doc`` (null last), then fingerprint, then hash of the text; of its repeats one.
+
+    Fingerprints are worked out once; rows are found again by id and hash of the text.
+    """
+    hashed = docs.select(F.col(doc).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
+    prints = cut_lineage(fingerprints(hashed, "_text", ("_id", "_h"), width))
+    named = labels(prints, radius, "_id")
+    own = prints.groupBy("_id", "fp").agg(F.min("_h").alias("_h")).join(named.select("fp", "label"), "fp")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("fp"), F.col("_h"))
+    chosen = own.groupBy("label").agg(F.min(order).alias("k"))
+    key = ["_none", "_id", "_h"]
+    chosen = chosen.select(F.col("k.none").alias("_none"), F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("_id"), F.col("k._h").alias("_h"))
+    rows = docs.select(packed(docs), F.col(doc).isNull().alias("_none"), F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_h"))
+    kept = rows.join(chosen, key, "left_semi")
     first = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(1)))
     return kept.withColumn("_n", first).filter("_n = 1").select("_doc.*")
