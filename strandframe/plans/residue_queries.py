@@ -210,6 +210,22 @@ def orf_from_initiation(t):
     return O.open_reading_frames(t.nts, 90, True)
 
 
+@query("K25 P12", f"""WITH {NT}, {CODE}, {words('nt', 3)}, m AS (
+ SELECT seq_id, pos - 1 AS p, w, (pos - 1) % 3 AS frame FROM words WHERE w IN ('ATG','TAA','TAG','TGA')),
+r AS (SELECT *, coalesce(sum(CASE WHEN w <> 'ATG' THEN 1 ELSE 0 END) OVER
+  (PARTITION BY seq_id, frame ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM m),
+g AS (SELECT seq_id, frame, run, min(p) FILTER (w = 'ATG') AS p0, min(p) FILTER (w <> 'ATG') AS p1 FROM r GROUP BY ALL),
+o AS (SELECT g.seq_id, frame, p0, coalesce(p1, length(s)) - p0 AS len FROM g JOIN nt ON g.seq_id = nt.seq_id WHERE p0 IS NOT NULL AND coalesce(p1, length(s)) - p0 >= 90)
+SELECT o.seq_id, concat_ws(' ', p0 + 1, p0 + len, len, frame + 1) AS line, string_agg(aa, '' ORDER BY pos) AS protein
+FROM o JOIN words ON words.seq_id = o.seq_id AND pos - 1 >= p0 AND pos + 2 <= p0 + len AND (pos - 1 - p0) % 3 = 0 JOIN gcode ON w = codon GROUP BY o.seq_id, p0, len, frame""")
+def orf_listing(t):
+    """A line per reading frame with its ends, length and frame, and its translation."""
+    d = O.open_reading_frames(t.nts, 90, True).join(t.nts.select("seq_id", "s"), "seq_id")
+    cut = d.select("seq_id", "pos", "len", "frame", F.expr("substring(s, pos + 1, len)").alias("s"))
+    line = F.concat_ws(" ", *[x.cast("string") for x in (F.col("pos") + 1, F.col("pos") + F.col("len"), F.col("len"), F.col("frame") + 1)])
+    return cut.select("seq_id", line.alias("line"), C.translate("s").alias("protein"))
+
+
 @query("P15", f"""WITH {NT}, {words('nt', 3)}, m AS (
  SELECT seq_id, pos - 1 AS p, (pos - 1) % 3 AS frame FROM words WHERE w IN ('TAA','TAG','TGA')
  UNION ALL SELECT seq_id, length(s), unnest([0, 1, 2]) FROM nt),
