@@ -48,6 +48,20 @@ def bed12_lines(t):
     return bed12(G.exon_arrays(t.docs, "doc_id"))
 
 
+@query("S20 K11", f"""WITH {EXONS} SELECT ex.id, any_value(lang <> 'en') AS minus, count(*) AS exons, CAST(sum(r - l) AS BIGINT) AS letters, CAST(max(r) AS BIGINT) AS last
+FROM ex JOIN documents ON doc_id = ex.id GROUP BY ex.id""")
+def structure_line_reader(t):
+    """Entries with ``;C`` lines are written and read back: strand, exons and their ends."""
+    from strandframe.sinks.formats import fasta, structure_lines
+    from strandframe.sources.genes import parse_structure
+
+    d = t.docs.filter(F.col("text").rlike(U.LETTER)).select(F.col("doc_id").alias("id"), (F.col("lang") != "en").alias("rev"), U.runs("text").alias("exons"), R.letters("text").alias("s"))
+    entry = F.concat(F.lit(">entry\n"), structure_lines("exons", F.col("rev")), F.lit("\n"), fasta(F.lit("residues"), F.col("s")))
+    d = d.select("id", entry.alias("entry")).select("id", parse_structure("entry").alias("x"))
+    total = F.aggregate("x.exons", F.lit(0).cast("long"), lambda a, e: a + e["r"] - e["l"])
+    return d.select("id", "x.minus", F.size("x.exons").cast("long").alias("exons"), total.alias("letters"), F.element_at("x.exons", -1)["r"].cast("long").alias("last"))
+
+
 @query("K11 F21 S19", f"""WITH {EXONS} SELECT id, 'join(' || string_agg((l + 1) || '..' || r, ',' ORDER BY l) || ')' AS feature, CAST(sum(r - l) AS BIGINT) AS parsed_length, count(*) AS parsed_exons FROM ex GROUP BY id""")
 def cds_features(t):
     """Feature text is written, parsed back, and the parsed ranges are measured."""

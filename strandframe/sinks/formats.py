@@ -78,3 +78,11 @@ def genbank(name: Column, s: Column) -> Column:
 
 def nbrf(name: Column, s: Column) -> Column:
     return F.concat(F.lit(">P1;"), name, F.lit("\nderived entry\n"), fold(s, 60), F.lit("*"))
+
+
+def structure_lines(exons, minus: Column, width: int = 60) -> Column:
+    """The exons of an entry as ``;C`` lines, wrapped after commas."""
+    text = cds_join(exons)
+    whole = F.when(minus, F.concat(F.lit("complement("), text, F.lit(")"))).otherwise(text)
+    parts = F.regexp_extract_all(whole, F.lit(f".{{1,{width}}}(?:,|$)|[^,]+,?"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit(";C "), p)), "\n")

@@ -50,3 +50,10 @@ def gene_structured(gff: DataFrame, seqs: DataFrame) -> DataFrame:
         "seq_id", "gene", F.when(F.col("strand") == "-", F.concat(F.lit("complement("), text, F.lit(")"))).otherwise(text).alias("feature"),
         F.when(F.col("strand") == "-", reverse_complement(cds)).otherwise(cds).alias("cds"),
     )
+
+
+def parse_structure(entry) -> Column:
+    """``struct(minus, exons)`` of the ``;C`` lines of an entry's text: they are one feature text together, ``complement`` is the minus strand; other lines don't matter."""
+    lines = F.filter(F.split(col(entry), "\r?\n"), lambda x: x.startswith(";C"))
+    text = F.array_join(F.transform(lines, lambda x: F.regexp_replace(F.substring(x, 3, 2**31 - 1), r"[\s<>]+", "")), "")
+    return F.struct(text.startswith("complement").alias("minus"), parse_join(text).alias("exons"))

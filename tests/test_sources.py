@@ -55,3 +55,20 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "2.fa").write_text(">c\nCCGT\n")
     ingest.run_to_folder(stream, out, ck).awaitTermination(60)
     assert sorted(r.name for r in spark.read.parquet(out).collect()) == ["a", "a", "c"]
+
+
+def test_structure_lines(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.sinks.formats import structure_lines
+    from strandframe.sources.genes import parse_structure
+
+    rows = [(1, ">a\n;C complement(join(<1..5,\n;C 9..12,\r\n;C 100..>250))\n;M 3\nACGT"), (2, ";C join(7..9)"), (3, ">none\nACGT"), (4, "")]
+    got = {r.k: r.x for r in spark.createDataFrame(rows, "k long, t string").select("k", parse_structure("t").alias("x")).collect()}
+    assert got[1].minus and [tuple(e) for e in got[1].exons] == [(0, 5), (8, 12), (99, 250)]
+    assert not got[2].minus and [tuple(e) for e in got[2].exons] == [(6, 9)] and got[3].exons == [] and got[4].exons == []
+    wide = spark.range(1).select(F.expr("transform(sequence(1, 40), i -> struct(cast(i * 1000 as int) as l, cast(i * 1000 + 7 as int) as r))").alias("e"))
+    text = wide.select(structure_lines("e", F.lit(True)).alias("t"))
+    assert all(len(x) <= 64 and x.startswith(";C ") for x in text.first().t.split("\n"))
+    back = text.select(parse_structure("t").alias("x")).first().x
+    assert back.minus and [tuple(e) for e in back.exons] == [(i * 1000, i * 1000 + 7) for i in range(1, 41)]
