@@ -9,7 +9,6 @@ words, so the result is exact.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
