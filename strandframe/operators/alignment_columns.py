@@ -7,9 +7,18 @@ counts in closed form, never by pairing the members.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.functions import divergence as D, runs as U
+from strandframe.operators import alignment_sets as S
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """One row ``(..., site, r)`` per character of ``a``, sites from 1."""
+    kept = [c for c in rows.columns if c != "a"]
+    return rows.select(*kept, F.posexplode(F.split("a", "")).alias("p", "r")).filter("r != ''").select(*kept, (F.col("p") + 1).cast("long").alias("site"), "r")
 
 
 def profile(cells: DataFrame) -> DataFrame:
@@ -152,15 +161,30 @@ def common_segments(first: DataFrame, second: DataFrame, keys: list[str]) -> Dat
     return runs.agg(F.min("num_i").alias("start_i"), F.min("num_j").alias("start_j"), F.count("*").alias("len")).drop("diag", "run")
 
 
-def member_distance_sums(cells: DataFrame) -> DataFrame:
-    """Sum over the other members of mismatching shared sites, from the profile."""
-    prof = profile(cells)
-    total = prof.groupBy("msa_id", "site").agg(F.sum("n").alias("res"))
-    at = prof.join(total, ["msa_id", "site"])
-    own = cells.filter("r != '-'").select("msa_id", "member", "site", "r")
-    return own.join(at, ["msa_id", "site", "r"]).groupBy("msa_id", "member").agg(
-        F.sum(F.col("res") - F.col("n")).alias("mismatches"), F.sum(F.col("res") - 1).alias("shared")
-    )
+def member_distance_sums(rows: DataFrame, alone: int = S.ALONE) -> DataFrame:
+    """Sum over the other members of mismatching shared sites, from the profile: ``(msa_id, member, mismatches, shared)``."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = S.letters(t)
+        _, which, n = x.same()
+        res = np.bincount(x.column)[x.column] if len(x.row) else x.row
+        sums = [np.bincount(x.row, v, t.num_rows).astype(np.int64) for v in (res - n[which], res - 1)]
+        some = pa.array(np.bincount(x.row, minlength=t.num_rows) > 0)
+        d = pa.table({"msa_id": t["msa_id"], "member": t["member"], "mismatches": sums[0], "shared": sums[1]}).filter(some)
+        g = d.group_by(["msa_id", "member"]).aggregate([("mismatches", "sum"), ("shared", "sum")])
+        return pa.table({"msa_id": g["msa_id"], "member": g["member"], "mismatches": g["mismatches_sum"], "shared": g["shared_sum"]})
+
+    def larger(huge: DataFrame) -> DataFrame:
+        # both sides are cells, of which the optimizer sees no more than the bytes of the texts
+        own = cells_of(huge).filter("r != '-'").select("msa_id", "member", "site", "r")
+        prof = profile(own)
+        total = prof.groupBy("msa_id", "site").agg(F.sum("n").alias("res"))
+        at = prof.hint("merge").join(total.hint("merge"), ["msa_id", "site"])
+        return own.hint("merge").join(at.hint("merge"), ["msa_id", "site", "r"]).groupBy("msa_id", "member").agg(
+            F.sum(F.col("res") - F.col("n")).alias("mismatches"), F.sum(F.col("res") - 1).alias("shared")
+        )
+
+    return S.by_alignment(rows.select("msa_id", "member", "a"), kernel, "msa_id long, member long, mismatches long, shared long", larger, alone)
 
 
 def apportion(cells: DataFrame, rows: DataFrame, slots: int) -> DataFrame:

@@ -199,7 +199,7 @@ FROM cells x JOIN cells y ON x.msa_id = y.msa_id AND x.site = y.site AND x.membe
 SELECT msa_id, member, mismatches, shared FROM p""")
 def member_distance_sums(t):
     """Distance sums from the profile against SQL that enumerates the pairs."""
-    return A.member_distance_sums(t.cells).filter("shared > 0")
+    return A.member_distance_sums(t.rows).filter("shared > 0")
 
 
 @query("A34 P9", f"""WITH {PROF}, {DEPTH}, f AS (SELECT msa_id, site, r, n, many FROM prof JOIN dep USING (msa_id)

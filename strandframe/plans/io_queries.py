@@ -148,7 +148,7 @@ gg AS (SELECT msa_id, member, count(*) AS gap_runs, CAST(sum(gln) AS BIGINT) AS
 SELECT k AS msa_id, id AS member, n, side, round(value, 6) AS value, round(ratio, 6) AS ratio, gap_runs, gap_sites FROM out LEFT JOIN gg ON gg.msa_id = k AND gg.member = id""")
 def member_outlier_report(t):
     """Members whose mean mismatch to the others stands out, with their gap figures."""
-    d = A.member_distance_sums(t.cells).filter("shared > 0").select("msa_id", "member", (F.col("mismatches") / F.col("shared")).alias("divergence"))
+    d = A.member_distance_sums(t.rows).filter("shared > 0").select("msa_id", "member", (F.col("mismatches") / F.col("shared")).alias("divergence"))
     out = S.dixon(d, ["msa_id"], ["member"], "divergence")
     gaps = A.gap_runs(t.rows).groupBy("msa_id", "member").agg(F.count("*").alias("gap_runs"), F.sum("gln").alias("gap_sites"))
     return out.join(gaps, ["msa_id", "member"], "left").withColumn("value", F.round("value", 6)).withColumn("ratio", F.round("ratio", 6))
