@@ -11,6 +11,7 @@ from strandframe.plans.fragments import CELLS, QSEQ, ROWS, SEQ
 from strandframe.plans.interval_queries import CRIT, dixon_ctes
 from strandframe.plans.registry import query
 from strandframe.plans.search_queries import nation_distances, nation_leaves
+from strandframe.session import cut_lineage
 from strandframe.sinks import formats as O
 from strandframe.sources import lookup as L, matrices as M, records as I
 
@@ -148,9 +149,10 @@ gg AS (SELECT msa_id, member, count(*) AS gap_runs, CAST(sum(gln) AS BIGINT) AS
 SELECT k AS msa_id, id AS member, n, side, round(value, 6) AS value, round(ratio, 6) AS ratio, gap_runs, gap_sites FROM out LEFT JOIN gg ON gg.msa_id = k AND gg.member = id""")
 def member_outlier_report(t):
     """Members whose mean mismatch to the others stands out, with their gap figures."""
-    d = A.member_distance_sums(t.rows).filter("shared > 0").select("msa_id", "member", (F.col("mismatches") / F.col("shared")).alias("divergence"))
+    d = cut_lineage(A.member_distance_sums(t.rows).filter("shared > 0").select("msa_id", "member", (F.col("mismatches") / F.col("shared")).alias("divergence")))
     out = S.dixon(d, ["msa_id"], ["member"], "divergence")
-    gaps = A.gap_runs(t.rows).groupBy("msa_id", "member").agg(F.count("*").alias("gap_runs"), F.sum("gln").alias("gap_sites"))
+    own = t.rows.select("msa_id", "member", F.regexp_count("a", F.lit("-+")).cast("long").alias("k"), R.count_in("a", "-").cast("long").alias("s")).filter("k > 0")
+    gaps = own.groupBy("msa_id", "member").agg(F.sum("k").alias("gap_runs"), F.sum("s").alias("gap_sites"))
     return out.join(gaps, ["msa_id", "member"], "left").withColumn("value", F.round("value", 6)).withColumn("ratio", F.round("ratio", 6))
 
 

@@ -52,6 +52,6 @@ def test_distance_sums_equal_pairs(spark, alone):
     assert got == dict(want)
 
 
-@pytest.mark.parametrize("query", ["member_distance_sums"])
+@pytest.mark.parametrize("query", ["member_distance_sums", "member_outlier_report"])
 def test_no_cells_through_the_driver(spark, query):
     assert joined_in_driver(QUERIES[query](spark, "/root/testdata/sf0.1")) == []
