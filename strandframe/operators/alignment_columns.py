@@ -187,6 +187,26 @@ def member_distance_sums(rows: DataFrame, alone: int = S.ALONE) -> DataFrame:
     return S.by_alignment(rows.select("msa_id", "member", "a"), kernel, "msa_id long, member long, mismatches long, shared long", larger, alone)
 
 
+def weighted_identity(rows: DataFrame, alone: int = S.ALONE) -> DataFrame:
+    """Products of the weights ``w`` of all pairs of members with the same letter in a column, summed: ``(msa_id, weighted_identity)``."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = S.letters(t)
+        at, which, _ = x.same()
+        w = t["w"].to_numpy()[x.row]
+        once, twice = np.bincount(which, w, len(at)), np.bincount(which, w * w, len(at))
+        of = x.of[x.row[at]]
+        total = np.bincount(of, (once * once - twice) / 2, len(x.sets)).astype(np.int64)
+        return pa.table({"msa_id": x.sets, "weighted_identity": total}).filter(pa.array(np.bincount(of, minlength=len(x.sets)) > 0))
+
+    def larger(huge: DataFrame) -> DataFrame:
+        d = huge.select("msa_id", "w", F.posexplode(F.split("a", "")).alias("site", "r")).filter("r NOT IN ('-', '')")
+        g = d.groupBy("msa_id", "site", "r").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
+        return g.groupBy("msa_id").agg(F.sum(((F.col("w") * F.col("w") - F.col("w2")) / 2).cast("long")).alias("weighted_identity"))
+
+    return S.by_alignment(rows.select("msa_id", "w", "a"), kernel, "msa_id long, weighted_identity long", larger, alone)
+
+
 def apportion(cells: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
     """Reduce every column to ``slots`` pseudo members by largest remainder."""
     prof = profile(cells).join(depth(rows), "msa_id").select("msa_id", "site", "r", "n", "many")

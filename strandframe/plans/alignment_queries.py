@@ -118,9 +118,7 @@ g AS (SELECT msa_id, site, r, sum(w) AS w, sum(w * w) AS w2 FROM cells JOIN wt U
 SELECT msa_id, CAST(sum((w * w - w2) // 2) AS BIGINT) AS weighted_identity FROM g GROUP BY msa_id""")
 def weighted_pair_identity(t):
     w = (F.length(R.ungap("a")) % 7 + 1).cast("long")
-    d = t.rows.select("msa_id", w.alias("w"), F.posexplode(F.split("a", "")).alias("site", "r")).filter("r NOT IN ('-', '')")
-    g = d.groupBy("msa_id", "site", "r").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    return g.groupBy("msa_id").agg(F.sum(((F.col("w") * F.col("w") - F.col("w2")) / 2).cast("long")).alias("weighted_identity"))
+    return A.weighted_identity(t.rows.select("msa_id", w.alias("w"), "a"))
 
 
 @query("A12", f"""WITH {CELLS}, g AS (SELECT msa_id, site, r, count(*) FILTER (role = 'user') AS n1, count(*) FILTER (role <> 'user') AS n2

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 from strandframe.operators import alignment_columns as A
 from strandframe.plans import QUERIES
 
@@ -55,3 +56,26 @@ def test_distance_sums_equal_pairs(spark, alone):
 @pytest.mark.parametrize("query", ["member_distance_sums", "member_outlier_report"])
 def test_no_cells_through_the_driver(spark, query):
     assert joined_in_driver(QUERIES[query](spark, "/root/testdata/sf0.1")) == []
+
+
+@pytest.mark.parametrize("alone", [0, 60, 500_000])
+def test_weighted_identity_equals_pairs(spark, alone):
+    rows = alignments(5)
+    weight = {(k, m): len((a or "").replace("-", "")) % 7 + 1 for k, m, a in rows}
+    want, some = Counter(), set()
+    for k, m, a in rows:
+        for j, n, b in rows:
+            if j == k and m < n:
+                want[k] += weight[k, m] * weight[k, n] * sum(x == y != "-" for x, y in zip(a or "", b or ""))
+        if (a or "").strip("-"):
+            some.add(k)
+    d = frame(spark, rows).withColumn("w", (F.length(F.translate(F.coalesce("a", F.lit("")), "-", "")) % 7 + 1).cast("long"))
+    got = {r.msa_id: r.weighted_identity for r in A.weighted_identity(d, alone).collect()}
+    assert got == {k: want[k] for k in some}
+
+
+def test_weights_are_not_worked_out_for_each_cell(spark):
+    """The weight of a member comes from its whole text: above the cells it would cost the square of the length."""
+    plan = QUERIES["weighted_pair_identity"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Generate")[0] if "Generate" in plan else ""
+    assert "length(translate" not in above
