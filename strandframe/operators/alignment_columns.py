@@ -138,15 +138,43 @@ def gap_openings(rows: DataFrame, first) -> DataFrame:
     return met.groupBy("msa_id").agg(F.sum(F.col("n") * F.col("m")).alias("openings"))
 
 
-def reverse_translation(cells: DataFrame, rows: DataFrame, usage: DataFrame) -> DataFrame:
+def reverse_translation(rows: DataFrame, usage: DataFrame, alone: int = S.ALONE) -> DataFrame:
     """Base frequencies ``(msa_id, site, pos, base, freq)`` at the three codon positions of every column of amino acids.
 
-    ``usage``: ``(aa, codon, share)`` with shares that add up to one per amino acid.
+    ``usage``: ``(aa, codon, share)`` with shares that add up to one per amino acid, a row for each codon.
     """
-    per = profile(cells).join(usage, F.col("r") == F.col("aa"))
-    bases = per.select("msa_id", "site", (F.col("n") * F.col("share")).alias("w"), F.posexplode(F.split("codon", "")).alias("pos", "base")).filter("base <> ''")
-    g = bases.groupBy("msa_id", "site", "pos", "base").agg(F.sum("w").alias("w"))
-    return g.join(depth(rows), "msa_id").select("msa_id", "site", (F.col("pos") + 1).cast("long").alias("pos"), "base", (F.col("w") / F.col("many")).alias("freq"))
+    shares = [tuple(r) for r in usage.select("aa", "codon", "share").collect()]
+    places = sorted({(p, c) for _, codon, _ in shares for p, c in enumerate(codon, 1)})
+    letter = {aa: k for k, aa in enumerate(sorted({r[0] for r in shares}))}
+    weight = np.zeros((len(letter), len(places)))
+    for aa, codon, share in shares:
+        for p, c in enumerate(codon, 1):
+            weight[letter[aa], places.index((p, c))] += share
+    known = {ord(aa): k for aa, k in letter.items()}
+    pos, base = pa.array([p for p, _ in places], pa.int64()), pa.array([c for _, c in places], pa.string())
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = S.letters(t)
+        at, _, n = x.same()
+        own = np.array([known.get(c, -1) for c in x.code[at].tolist()], np.int64)
+        column, own, n = x.column[at][own >= 0], own[own >= 0], n[own >= 0]
+        columns, which = np.unique(column, return_inverse=True)
+        w = np.zeros((len(columns), len(places)))
+        for k in range(len(letter)):  # a letter is once in a column at most
+            w[which[own == k]] += n[own == k, None] * weight[k]
+        i, j = np.nonzero(w)
+        of = np.searchsorted(x.first, columns, "right") - 1  # of alignments without columns the last one starts there
+        many = np.bincount(x.of, minlength=len(x.sets))
+        site = (columns - x.first[of] + 1)[i]
+        return pa.table({"msa_id": x.sets.take(pa.array(of[i])), "site": site, "pos": pos.take(pa.array(j)), "base": base.take(pa.array(j)), "freq": w[i, j] / many[of[i]]})
+
+    def larger(huge: DataFrame) -> DataFrame:
+        per = profile(cells_of(huge)).join(F.broadcast(usage), F.col("r") == F.col("aa"))
+        bases = per.select("msa_id", "site", (F.col("n") * F.col("share")).alias("w"), F.posexplode(F.split("codon", "")).alias("pos", "base")).filter("base <> ''")
+        g = bases.groupBy("msa_id", "site", "pos", "base").agg(F.sum("w").alias("w"))
+        return g.join(depth(huge).hint("merge"), "msa_id").select("msa_id", "site", (F.col("pos") + 1).cast("long").alias("pos"), "base", (F.col("w") / F.col("many")).alias("freq"))
+
+    return S.by_alignment(rows.select("msa_id", "a"), kernel, "msa_id long, site long, pos long, base string, freq double", larger, alone)
 
 
 def common_segments(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def reverse_translation(t):
     n = t.nts.select(F.explode(R.kmers("s", 3)).alias("codon")).groupBy("codon").agg(F.count("*").alias("n"))
     n = n.withColumn("aa", C.translate("codon"))
     usage = n.select("aa", "codon", (F.col("n") / F.sum("n").over(W.partitionBy("aa")).cast("double")).alias("share"))  # 64 rows
-    return A.reverse_translation(t.cells, t.rows, usage).withColumn("freq", F.round("freq", 6))
+    return A.reverse_translation(t.rows, usage).withColumn("freq", F.round("freq", 6))
 
 
 @query("G6", f"""WITH {ROWS}, prs AS (SELECT x.msa_id, x.member AS i, y.member AS j, x.a AS a1, y.a AS a2 FROM rws x JOIN rws y ON x.msa_id = y.msa_id AND x.member % 2 = 0 AND y.member = x.member + 1),

@@ -5,6 +5,7 @@ from random import Random
 
 import pytest
 from pyspark.sql import functions as F
+
 from strandframe.operators import alignment_columns as A
 from strandframe.plans import QUERIES
 
@@ -53,7 +54,7 @@ def test_distance_sums_equal_pairs(spark, alone):
     assert got == dict(want)
 
 
-@pytest.mark.parametrize("query", ["member_distance_sums", "member_outlier_report"])
+@pytest.mark.parametrize("query", ["member_distance_sums", "member_outlier_report", "reverse_translation"])
 def test_no_cells_through_the_driver(spark, query):
     assert joined_in_driver(QUERIES[query](spark, "/root/testdata/sf0.1")) == []
 
@@ -79,3 +80,19 @@ def test_weights_are_not_worked_out_for_each_cell(spark):
     plan = QUERIES["weighted_pair_identity"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     above = plan.split("Generate")[0] if "Generate" in plan else ""
     assert "length(translate" not in above
+
+
+@pytest.mark.parametrize("alone", [0, 60, 500_000])
+def test_reverse_translation_counts_columns(spark, alone):
+    rows = alignments(7)
+    usage = [("A", "GCA", 0.25), ("A", "GCC", 0.75), ("C", "TGC", 1.0), ("D", "GAC", 1.0), ("W", "TGG", 1.0)]
+    many, want = Counter(k for k, _, _ in rows), defaultdict(float)
+    for k, _, a in rows:
+        for i, c in enumerate(a or "", 1):
+            for aa, codon, share in usage:
+                for p, b in enumerate(codon, 1):
+                    if aa == c:
+                        want[k, i, p, b] += share / many[k]
+    found = A.reverse_translation(frame(spark, rows), spark.createDataFrame(usage, "aa string, codon string, share double"), alone).collect()
+    got = {(r.msa_id, r.site, r.pos, r.base): r.freq for r in found}
+    assert len(got) == len(found) and got == pytest.approx(dict(want))
