@@ -49,3 +49,17 @@ def test_pattern_class_letters():
 
     assert hits("o-x-$", "CAFDAF") == [0] and hits("j(2)-+", "DEKAA") == [0] and hits("[@P]-{+}", "PKPA") == [2] and hits("A-..", "AGAC") == [0]
     assert R.prosite_regex("[ST]-x(2)-{P}-R") == "[ST].{2}[^P]R"
+
+
+def test_statistic_lines_round_like_printf(spark):
+    """Ties and near ties of the fourth digit are rounded by their binary value, as the SQL's printf and C do."""
+    from pyspark.sql import functions as F
+
+    from strandframe.sinks.writers import fixed4, statistic_line
+
+    ties = [29 / 32, 0.03125, 0.09375, 0.94375, 0.00005, 0.00015, 0.12345, 0.99995, 1.0, 0.0, 1e-9, 0.5, -0.03125, 255.99995, 1000.25, 2 / 3]
+    ties += [k / 20000 for k in range(1, 20000, 2)] + [k / 7919 for k in range(7919)]
+    rows = spark.createDataFrame([(x,) for x in ties], "x double").select("x", fixed4(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in rows if r.t != f"{r.x:.4f}"] == []
+    line = spark.createDataFrame([(29 / 32, 6, 13, 7, 197)], "d double, a long, b long, c long, e long").select(statistic_line(*[F.col(c) for c in "dabce"]).alias("s")).first().s
+    assert line == "  0.9062      6     13      7    197"
