@@ -4,6 +4,9 @@ A tree is given by memberships ``(msa_id, member, node, level, side)``: every in
 node above a member and on which side of it the member is.  Letters are counted per
 node, site and letter, so both sides of a split come from one count and the total;
 no pair of members is made.
+
+What is made of cells or sites is joined by shuffles (``by_key``): the optimizer takes
+it for the bytes of the texts, and would send it through the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.operators.alignment_columns import scoring_segments
+from strandframe.session import cut_lineage
+
+
+def by_key(d: DataFrame) -> DataFrame:
+    return d.hint("merge")
 
 
 def binary_tree(rows: DataFrame, levels: int) -> DataFrame:
@@ -22,24 +30,25 @@ def binary_tree(rows: DataFrame, levels: int) -> DataFrame:
     return d.join(both, ["msa_id", "node"])
 
 
-def split_scores(cells: DataFrame, tree: DataFrame, match: int = 4, other: int = -1) -> DataFrame:
-    """``(msa_id, node, site, score)``: for every split, a site where both sides have a letter in common scores ``match``.
-
-    Splits are the subtrees of inner nodes but the root's, and single members (node -1 - member).
-    """
+def splits(cells: DataFrame, tree: DataFrame) -> DataFrame:
+    """``(msa_id, member, node)``: the subtrees of inner nodes but the root's, and single members (node -1 - member)."""
     inner = tree.select("msa_id", "member", "node")
-    top = tree.groupBy("msa_id").agg(F.max("level").alias("level")).join(tree.select("msa_id", "node", "level").distinct(), ["msa_id", "level"]).select("msa_id", "node")
+    top = tree.groupBy("msa_id").agg(F.max("level").alias("level")).join(by_key(tree.select("msa_id", "node", "level").distinct()), ["msa_id", "level"]).select("msa_id", "node")
     members = cells.select("msa_id", "member").distinct()
-    sides = inner.join(top, ["msa_id", "node"], "left_anti").unionByName(members.select("msa_id", "member", (-1 - F.col("member")).alias("node")))
+    sides = inner.join(by_key(top), ["msa_id", "node"], "left_anti").unionByName(members.select("msa_id", "member", (-1 - F.col("member")).alias("node")))
     many = members.groupBy("msa_id").agg(F.count("*").alias("n")).filter("n > 1").select("msa_id")
-    sides = sides.join(many, "msa_id")
+    return sides.join(by_key(many), "msa_id")
+
+
+def split_scores(cells: DataFrame, sides: DataFrame, match: int = 4, other: int = -1) -> DataFrame:
+    """``(msa_id, node, site, score)``: for every split, a site where both sides have a letter in common scores ``match``."""
     letters = cells.filter("r != '-'")
     total = letters.groupBy("msa_id", "site", "r").agg(F.count("*").alias("n"))
-    own = letters.select("msa_id", "member", "site", "r").join(sides, ["msa_id", "member"]).groupBy("msa_id", "node", "site", "r").agg(F.count("*").alias("k"))
-    hit = own.join(total, ["msa_id", "site", "r"]).filter("k < n").select("msa_id", "node", "site").distinct().withColumn("score", F.lit(match).cast("long"))
+    own = letters.select("msa_id", "member", "site", "r").join(by_key(sides), ["msa_id", "member"]).groupBy("msa_id", "node", "site", "r").agg(F.count("*").alias("k"))
+    hit = own.join(by_key(total), ["msa_id", "site", "r"]).filter("k < n").select("msa_id", "node", "site").distinct().withColumn("score", F.lit(match).cast("long"))
     width = cells.groupBy("msa_id").agg(F.max("site").alias("width"))
-    grid = sides.select("msa_id", "node").distinct().join(width, "msa_id").select("msa_id", "node", F.explode(F.sequence(F.lit(1).cast("long"), "width")).alias("site"))
-    return grid.join(hit, ["msa_id", "node", "site"], "left").fillna(other, ["score"])
+    grid = sides.select("msa_id", "node").distinct().join(by_key(width), "msa_id").select("msa_id", "node", F.explode(F.sequence(F.lit(1).cast("long"), "width")).alias("site"))
+    return grid.join(by_key(hit), ["msa_id", "node", "site"], "left").fillna(other, ["score"])
 
 
 def common_regions(cells: DataFrame, tree: DataFrame, threshold: int) -> DataFrame:
@@ -47,16 +56,17 @@ def common_regions(cells: DataFrame, tree: DataFrame, threshold: int) -> DataFra
 
     Depth of segments by changes: a range has as many as there are splits.
     """
-    scores = split_scores(cells, tree)
+    sides = cut_lineage(splits(cells, tree))
+    scores = split_scores(cells, sides)
     key = F.struct("msa_id", "node")
     segments = scoring_segments(scores.select(key.alias("msa_id"), "site", "score"), threshold).select("msa_id.msa_id", "msa_id.node", "l", "r")
-    count = scores.select("msa_id", "node").distinct().groupBy("msa_id").agg(F.count("*").alias("splits"))
-    width = scores.groupBy("msa_id").agg(F.max("site").alias("width"))
+    count = sides.select("msa_id", "node").distinct().groupBy("msa_id").agg(F.count("*").alias("splits"))
+    width = cells.groupBy("msa_id").agg(F.max("site").alias("width")).join(by_key(count.select("msa_id")), "msa_id")
     ends = segments.select("msa_id", F.explode(F.array(F.struct(F.col("l").alias("at"), F.lit(1).alias("k")), F.struct((F.col("r") + 1).alias("at"), F.lit(-1).alias("k")))).alias("e")).select("msa_id", "e.at", "e.k")
     ends = ends.unionByName(width.select("msa_id", F.explode(F.array(F.lit(1).cast("long"), F.col("width") + 1)).alias("at"), F.lit(0).alias("k")))
     w = W.partitionBy("msa_id").orderBy("at")  # changes of one alignment: no more than its sites
     d = ends.groupBy("msa_id", "at").agg(F.sum("k").alias("k")).withColumn("deep", F.sum("k").over(w)).withColumn("next", F.lead("at").over(w))
-    d = d.join(count, "msa_id").withColumn("conserved", F.col("deep") == F.col("splits")).filter("next IS NOT NULL")
+    d = d.join(by_key(count), "msa_id").withColumn("conserved", F.col("deep") == F.col("splits")).filter("next IS NOT NULL")
     new = F.when(F.col("conserved") == F.lag("conserved").over(w), 0).otherwise(1)
     d = d.withColumn("new", new).withColumn("g", F.sum("new").over(w))
     return d.groupBy("msa_id", "g", "conserved").agg(F.min("at").alias("l"), (F.max("next") - 1).alias("r")).select("msa_id", "l", "r", "conserved")
@@ -69,20 +79,20 @@ def fused_groups(cells: DataFrame, tree: DataFrame, threshold: int, match: int =
     belongs to its highest node that may (node -1 - member if there is none).
     """
     letters = cells.filter("r != '-'").select("msa_id", "member", "site", "r")
-    met = letters.join(tree, ["msa_id", "member"]).groupBy("msa_id", "node", "site", "r").agg(F.min("side").alias("a"), F.max("side").alias("b"))
+    met = letters.join(by_key(tree), ["msa_id", "member"]).groupBy("msa_id", "node", "site", "r").agg(F.min("side").alias("a"), F.max("side").alias("b"))
     hit = met.filter("a < b").select("msa_id", "node", "site").distinct().withColumn("score", F.lit(match).cast("long"))
     width = cells.groupBy("msa_id").agg(F.max("site").alias("width"))
     nodes = tree.groupBy("msa_id", "node").agg(F.max("level").alias("level"), F.min("member").alias("rep"))
-    grid = nodes.join(width, "msa_id").select("msa_id", "node", F.explode(F.sequence(F.lit(1).cast("long"), "width")).alias("site"))
-    line = grid.join(hit, ["msa_id", "node", "site"], "left").fillna(other, ["score"])
+    grid = nodes.join(by_key(width), "msa_id").select("msa_id", "node", F.explode(F.sequence(F.lit(1).cast("long"), "width")).alias("site"))
+    line = grid.join(by_key(hit), ["msa_id", "node", "site"], "left").fillna(other, ["score"])
     ordered = F.array_sort(F.collect_list(F.struct("site", "score")))  # one row's width
     zero = F.lit(0).cast("long")
     run = F.aggregate(ordered, F.struct(zero.alias("s"), zero.alias("low")), lambda a, x: F.struct(
         F.least(a["s"] + x["score"], zero).alias("s"), F.least(a["low"], a["s"] + x["score"]).alias("low")), lambda a: a["low"])
-    bad = line.groupBy("msa_id", "node").agg(run.alias("low")).filter(F.col("low") < -threshold).join(nodes, ["msa_id", "node"])
-    above = bad.select("msa_id", F.col("rep").alias("member"), F.col("level").alias("from")).join(tree, ["msa_id", "member"]).filter(F.col("level") >= F.col("from"))
-    free = tree.join(above.select("msa_id", "node").distinct(), ["msa_id", "node"], "left_anti")
+    bad = line.groupBy("msa_id", "node").agg(run.alias("low")).filter(F.col("low") < -threshold).join(by_key(nodes), ["msa_id", "node"])
+    above = bad.select("msa_id", F.col("rep").alias("member"), F.col("level").alias("from")).join(by_key(tree), ["msa_id", "member"]).filter(F.col("level") >= F.col("from"))
+    free = tree.join(by_key(above.select("msa_id", "node").distinct()), ["msa_id", "node"], "left_anti")
     best = free.groupBy("msa_id", "member").agg(F.max_by("node", "level").alias("node"))
-    d = cells.select("msa_id", "member").distinct().join(best, ["msa_id", "member"], "left").withColumn("node", F.coalesce("node", -1 - F.col("member")))
+    d = cells.select("msa_id", "member").distinct().join(by_key(best), ["msa_id", "member"], "left").withColumn("node", F.coalesce("node", -1 - F.col("member")))
     size = d.groupBy("msa_id", "node").agg(F.count("*").alias("size"))
-    return d.join(size, ["msa_id", "node"]).select("msa_id", "member", "node", "size")
+    return d.join(by_key(size), ["msa_id", "node"]).select("msa_id", "member", "node", "size")

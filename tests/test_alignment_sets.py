@@ -54,7 +54,7 @@ def test_distance_sums_equal_pairs(spark, alone):
     assert got == dict(want)
 
 
-@pytest.mark.parametrize("query", ["member_distance_sums", "member_outlier_report", "reverse_translation"])
+@pytest.mark.parametrize("query", ["member_distance_sums", "member_outlier_report", "reverse_translation", "regions_over_splits", "fusible_groups"])
 def test_no_cells_through_the_driver(spark, query):
     assert joined_in_driver(QUERIES[query](spark, "/root/testdata/sf0.1")) == []
 
