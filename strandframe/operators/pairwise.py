@@ -115,22 +115,32 @@ def align(s: Scorer, full: int = 0) -> tuple[float, list[tuple[str, int]], int,
         best, bi, bj = h[-1], s.m, s.n
     elif s.mode == "semiglobal" and h.max() > best:
         best, bi, bj = h.max(), s.m, int(h.argmax())
-    ops: list[str] = []
-    i, j = bi, bj
-    state = 0
-    while i > 0 or j > 0:
-        if i == 0 or j == 0:
-            if s.mode == "global":
-                ops.append(("D" * i) if j == 0 else ("I" * j))
-                i = j = 0
-            break
+
+    def row(i: int):
+        nonlocal block
         if i not in block:
             base = (i - 1) // stride * stride
             hh, ee = saved[base]
             block = {}
             for r in range(base, i):
                 hh, ee, block[r + 1] = s.next(r, hh, ee, True)
-        pick, extend, longer = block[i]
+        return block[i]
+
+    return float(best), *traced(bi, bj, s.mode, row)
+
+
+def traced(i: int, j: int, mode: str, row: Callable[[int], tuple]) -> tuple[list[tuple[str, int]], int, int]:
+    """Run-length path that ends at ``(i, j)`` and its start offsets; ``row(i)`` has the moves, and whether gaps go on, of the cells of a row."""
+    ops: list[str] = []
+    state, at = 0, -1
+    while i > 0 or j > 0:
+        if i == 0 or j == 0:
+            if mode == "global":
+                ops.append(("D" * i) if j == 0 else ("I" * j))
+                i = j = 0
+            break
+        if i != at:
+            (pick, extend, longer), at = row(i), i
         move = state or pick[j]
         if move == 3:
             break
@@ -152,7 +162,7 @@ def align(s: Scorer, full: int = 0) -> tuple[float, list[tuple[str, int]], int,
             runs[-1] = (op, runs[-1][1] + 1)
         else:
             runs.append((op, 1))
-    return float(best), runs, i, j
+    return runs, i, j
 
 
 def sequence_scorer(a: str, b: str, matrix: np.ndarray, v: float, u: float, mode: str) -> Scorer:
@@ -161,6 +171,116 @@ def sequence_scorer(a: str, b: str, matrix: np.ndarray, v: float, u: float, mode
     return Scorer(lambda i: table[ca[i]], len(ca), len(cb), v, u, mode)
 
 
+#: Cells of a row over all pairs of a group, and choices of a group that are kept for its paths.
+ROW_CELLS, KEPT = 16_384, 32_000_000
+
+
+def groups(pairs: list[tuple[str, str]], kept: int = 0) -> Iterator[np.ndarray]:
+    """Places of pairs that are scored together: of similar widths, longest first, up to ``ROW_CELLS`` a row (and ``kept`` cells in all)."""
+    m, n = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    group, deep = [], 0
+    for i in np.lexsort((m, n)):  # the last one of a group is its widest
+        deeper = max(deep, int(m[i]))
+        wide = (len(group) + 1) * int(n[i] + 1)
+        if group and (wide > ROW_CELLS or kept and wide * deeper > kept):
+            yield np.array(sorted(group, key=lambda x: -m[x]))
+            group, deeper = [], int(m[i])
+        group.append(i)
+        deep = deeper
+    if group:
+        yield np.array(sorted(group, key=lambda x: -m[x]))
+
+
+def together(pairs: list[tuple[str, str]], matrix: np.ndarray, v: float, u: float, mode: str, trace: bool = False):
+    """Best scores of pairs (longest first members first), with ``Scorer``'s steps on all of them at once.
+
+    Rows are padded on the right, where no cell beats those before it and none acts
+    on them; pairs whose first member has ended leave the rows.  With ``trace`` also
+    the ends of the paths and the choices of all cells (move, 4: gap goes on, 8: gap comes from further left).
+    """
+    m, n = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    many, wide, every = len(pairs), int(n.max()), np.arange(len(pairs))
+    table = np.full((many, len(matrix), wide), NEG)
+    first = np.zeros((many, int(m.max())), np.int64)
+    for k, (a, b) in enumerate(pairs):
+        table[k, :, : n[k]] = matrix[:, codes(b)]
+        first[k, : m[k]] = codes(a)
+    steps = u * np.arange(wide + 1)
+    h, e = np.zeros((many, wide + 1)), np.full((many, wide + 1), NEG)
+    if mode == "global":
+        h[:, 1:] = -v - steps[1:]
+    best = np.where(mode == "global", h[every, n], 0.0)
+    bi, bj = np.zeros(many, np.int64), n.copy() if mode != "local" else np.zeros(many, np.int64)
+    choices = np.zeros((len(first[0]), many, wide + 1), np.uint8) if trace else None
+    inside = np.arange(wide + 1) <= n[:, None]
+    for i in range(len(first[0]) + 1):
+        if mode == "semiglobal":  # rows that end here
+            for k in np.flatnonzero(m[: len(h)] == i):
+                last = np.where(inside[k], h[k], NEG)
+                if last.max() > best[k]:
+                    best[k], bi[k], bj[k] = last.max(), i, last.argmax()
+        live = int(np.count_nonzero(m > i))
+        if not live:
+            break
+        h, e = h[:live], e[:live]
+        opened = h - v
+        if trace:
+            goes_on = e > opened
+        e = np.maximum(e, opened) - u
+        g = np.empty_like(e)
+        np.add(h[:, :-1], table[every[:live], first[:live, i]], out=g[:, 1:])
+        g[:, 0] = e[:, 0] if mode == "global" else 0.0
+        if trace:
+            up = e > g
+        np.maximum(g, e, out=g)
+        if mode == "local":
+            np.maximum(g, 0.0, out=g)
+        f = g + steps
+        np.maximum.accumulate(f, axis=1, out=f)
+        f[:, 1:] = f[:, :-1] - v - steps[1:]
+        f[:, 0] = NEG
+        h = np.maximum(g, f)
+        if trace:
+            pick = np.where(f > g, 2, up).astype(np.uint8)
+            if mode == "local":
+                pick[h <= 0] = 3
+            pick += goes_on * np.uint8(4)
+            pick[:, 1:] += (f[:, 1:] == f[:, :-1] - u) * np.uint8(8)
+            choices[i, :live] = pick
+        if mode == "global":
+            done = np.flatnonzero(m[:live] == i + 1)
+            best[done], bi[done] = h[done, n[done]], i + 1
+            continue
+        now = h.max(axis=1) if mode == "local" else h[every[:live], n[:live]]
+        better = np.flatnonzero(now > best[:live])
+        best[better], bi[better] = now[better], i + 1
+        bj[better] = h[better].argmax(axis=1) if mode == "local" else n[better]
+    return (best, bi, bj, choices) if trace else best
+
+
+def scores_of(pairs: list[tuple[str, str]], matrix: np.ndarray, v: float, u: float, mode: str) -> np.ndarray:
+    """``score_only`` of every pair, in groups."""
+    out = np.zeros(len(pairs))
+    for at in groups(pairs):
+        out[at] = together([pairs[i] for i in at], matrix, v, u, mode)
+    return out
+
+
+def paths_of(pairs: list[tuple[str, str]], matrix: np.ndarray, v: float, u: float, mode: str) -> list[tuple]:
+    """``align`` of every pair, in groups; pairs of more than ``KEPT`` cells by themselves, without all their choices."""
+    out: list[tuple] = [()] * len(pairs)
+    for at in groups(pairs, KEPT):
+        own = [pairs[i] for i in at]
+        if len(own) == 1 and len(own[0][0]) * (len(own[0][1]) + 1) > KEPT:
+            out[at[0]] = align(sequence_scorer(*own[0], matrix, v, u, mode))
+            continue
+        best, bi, bj, choices = together(own, matrix, v, u, mode, True)
+        for k, i in enumerate(at):
+            picks = choices[:, k]
+            out[i] = (float(best[k]), *traced(int(bi[k]), int(bj[k]), mode, lambda r: (picks[r - 1] & 3, picks[r - 1] & 4, picks[r - 1] & 8)))
+    return out
+
+
 def path_statistics(a: str, b: str, runs, i: int, j: int) -> tuple[int, int, int, int]:
     """Matches, mismatches, gap openings and unpaired residues along a path."""
     mch = mmc = gap = unp = 0
@@ -183,8 +303,7 @@ def pair_scores(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mode: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            score = [score_only(sequence_scorer(a, b, m, v, u, mode)) for a, b in zip(pdf["s1"], pdf["s2"])]
-            yield pdf[names].assign(score=score)
+            yield pdf[names].assign(score=scores_of(list(zip(pdf["s1"], pdf["s2"])), m, v, u, mode))
 
     return balanced(pairs, F.length("s1"), F.length("s2")).mapInPandas(run, f"{keys}, score double")
 
@@ -197,8 +316,8 @@ def pair_alignments(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mod
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for a, b in zip(pdf["s1"], pdf["s2"]):
-                best, runs, i, j = align(sequence_scorer(a, b, m, v, u, mode))
+            pairs = list(zip(pdf["s1"], pdf["s2"]))
+            for (a, b), (best, runs, i, j) in zip(pairs, paths_of(pairs, m, v, u, mode)):
                 rows.append((best, "".join(f"{n}{op}" for op, n in runs), i, j, *path_statistics(a, b, runs, i, j)))
             cols = ["score", "cigar", "start1", "start2", "mch", "mmc", "gap", "unp"]
             yield pd.concat([pdf[names].reset_index(drop=True), pd.DataFrame(rows, columns=cols)], axis=1)
