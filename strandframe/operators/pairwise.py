@@ -20,6 +20,8 @@ from strandframe.functions.residues import LETTERS, REDUCED
 NEG = -1e18
 #: Cells of one kernel task: what a few seconds of row steps score.
 TASK_CELLS = 200_000_000
+#: Cells of a pair whose choices are all kept, so that none is worked out twice.
+FULL = 2_000_000
 
 
 def letter_matrix(match: float = 4, similar: float = 1, mismatch: float = -1, classes: str = "LLQZ1.6") -> np.ndarray:
@@ -90,7 +92,7 @@ def score_only(s: Scorer) -> float:
     return float(best) if s.mode == "local" else float(max(edge, h.max()))
 
 
-def align(s: Scorer, full: int = 0) -> tuple[float, list[tuple[str, int]], int, int]:
+def align(s: Scorer, full: int = FULL) -> tuple[float, list[tuple[str, int]], int, int]:
     """Score, run-length path (M both, D row only, I column only) and start offsets.
 
     Pairs of up to ``full`` cells keep all choices of the first pass; others keep

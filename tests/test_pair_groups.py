@@ -35,3 +35,14 @@ def test_groups_are_faster(monkeypatch):
     start = time.perf_counter()
     assert P.scores_of(pairs, m, 9, 2, "global").tolist() == one
     assert time.perf_counter() - start < single / 2
+
+
+@pytest.mark.parametrize("mode", ["global", "local", "semiglobal"])
+def test_small_pairs_take_one_pass(mode, monkeypatch):
+    rng, m = Random(4), P.letter_matrix()
+    pairs = [(drawn(rng, 60), drawn(rng, 60)) for _ in range(40)]
+    steps, step = [0], P.Scorer.next
+    monkeypatch.setattr(P.Scorer, "next", lambda *a: (steps.__setitem__(0, steps[0] + 1), step(*a))[1])
+    found = [P.align(P.sequence_scorer(a, b, m, 9, 2, mode)) for a, b in pairs]
+    assert steps[0] == sum(len(a) for a, _ in pairs)
+    assert found == [P.align(P.sequence_scorer(a, b, m, 9, 2, mode), 0) for a, b in pairs]
