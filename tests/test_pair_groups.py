@@ -1,9 +1,7 @@
 """Pairs scored together against the same pairs one by one."""
 
-import time
 from random import Random
 
-import numpy as np
 import pytest
 
 from strandframe.operators import pairwise as P
@@ -26,15 +24,11 @@ def test_groups_equal_single_pairs(mode, v, u, monkeypatch):
     assert P.scores_of(pairs, m, v, u, mode).tolist() == [P.score_only(P.sequence_scorer(a, b, m, v, u, mode)) for a, b in pairs]
 
 
-def test_groups_are_faster(monkeypatch):
-    rng, m = Random(2), P.letter_matrix()
+def test_short_pairs_share_their_rows():
+    rng = Random(2)
     pairs = [(drawn(rng, 200), drawn(rng, 200)) for _ in range(200)]
-    start = time.perf_counter()
-    one = [P.score_only(P.sequence_scorer(a, b, m, 9, 2, "global")) for a, b in pairs]
-    single = time.perf_counter() - start
-    start = time.perf_counter()
-    assert P.scores_of(pairs, m, 9, 2, "global").tolist() == one
-    assert time.perf_counter() - start < single / 2
+    found = [list(g) for g in P.groups(pairs)]
+    assert sorted(i for g in found for i in g) == list(range(200)) and len(found) <= 4
 
 
 @pytest.mark.parametrize("mode", ["global", "local", "semiglobal"])
