@@ -1,14 +1,14 @@
 """Gene structures: exon and intron tables from run boundaries, intron sets of aligned members.
 
 A text is a locus, its letter runs are exons and what lies between them are
-introns.  All ranges are worked out inside the row; only the results are exploded.
+introns.  All ranges are worked out inside the row, by a kernel over Arrow batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandframe.functions import residues as R, runs as U
+from strandframe.functions import runs as U
 
 
 def exon_arrays(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
@@ -18,24 +18,20 @@ def exon_arrays(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
 
 def exons(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """``(id, exon_no, l, r, cds_l, cds_r)``: half-open genomic and coding ranges, numbers from 1."""
-    d = df.select(F.col(ident).alias("id"), F.posexplode(U.counted_runs(text)).alias("i", "e"))
-    return d.select("id", (F.col("i") + 1).alias("exon_no"), "e.l", "e.r", "e.cds_l", "e.cds_r")
+    return U.run_table(df.select(F.col(ident).alias("id"), F.col(text).alias("text")), "text", "id").select("id", F.col("no").cast("int").alias("exon_no"), "l", "r", "cds_l", "cds_r")
 
 
 def introns(df: DataFrame, ident: str, text: str = "text") -> DataFrame:
     """Intron between consecutive exons of a text with the codon phase it interrupts."""
-    d = df.select(F.col(ident).alias("id"), U.counted_runs(text).alias("e"))
-    pairs = F.zip_with("e", F.slice("e", F.lit(2), F.greatest(F.size("e") - 1, F.lit(0))), lambda x, y: F.struct(x["r"].alias("l"), y["l"].alias("r"), x["cds_r"].alias("pos")))
-    d = d.select("id", F.posexplode(pairs).alias("i", "x")).filter("x.r IS NOT NULL")
-    return d.select("id", (F.col("i") + 1).alias("intron_no"), "x.l", "x.r", "x.pos", (F.col("x.pos") % 3).alias("phase"))
+    d = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
+    return U.run_table(d, "text", "id").filter("next IS NOT NULL").select(
+        "id", F.col("no").cast("int").alias("intron_no"), F.col("r").alias("l"), F.col("next").alias("r"), F.col("cds_r").alias("pos"), (F.col("cds_r") % 3).alias("phase"))
 
 
 def intron_sets(rows: DataFrame) -> DataFrame:
     """``(msa_id, member, role, pos, cds_len)``: coding positions interrupted in every member."""
-    n = F.length(R.ungap("a")).cast("long")
-    ends = F.transform(U.counted_runs("a"), lambda e: e["cds_r"])
-    d = rows.select("msa_id", "member", "role", n.alias("cds_len"), F.explode(ends).alias("pos"))
-    return d.filter("pos < cds_len").select("msa_id", "member", "role", "pos", "cds_len")
+    d = U.run_table(rows, "a", "msa_id", "member", "role")
+    return d.filter("cds_r < cds_len").select("msa_id", "member", "role", F.col("cds_r").alias("pos"), "cds_len")
 
 
 def set_distance(sets: DataFrame) -> DataFrame:
