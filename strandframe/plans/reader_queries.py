@@ -43,10 +43,10 @@ CASE WHEN id % 2 = 1 THEN reverse(translate({CDS}, '{R.COMPLEMENT_FROM}', '{R.CO
 def gene_structured_entries(t):
     """Exons as GFF3 lines, odd documents on the minus strand, read back and joined with their sequences."""
     lines = gff3_cds(G.exons(t.docs, "doc_id"))
-    odd = F.regexp_extract("line", r"^doc(\d+)", 1).cast("long") % 2 == 1
+    odd = F.substring_index("line", "\t", 1).substr(F.lit(4), F.lit(20)).cast("long") % 2 == 1
     value = F.when(odd, F.replace("line", F.lit("\t+\t"), F.lit("\t-\t"))).otherwise(F.col("line"))
     seqs = t.docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("seq_id"), F.col("text").alias("s"))
-    d = S.gene_structured(S.parse_gff(lines.select(value.alias("value"))), seqs)
+    d = S.genes_with_sequence(S.gff_genes(lines.select(value.alias("value"))), seqs)
     return d.select(F.substring("seq_id", 4, 20).cast("long").alias("seq_id"), "feature", "cds")
 
 

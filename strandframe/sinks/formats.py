@@ -13,7 +13,7 @@ def gff3_cds(exons: DataFrame, prefix: str = "doc", source: str = "text") -> Dat
         F.concat_ws(
             "\t", F.concat(F.lit(prefix), F.col("id").cast("string")), F.lit(source), F.lit("cds"), (F.col("l") + 1).cast("string"),
             F.col("r").cast("string"), F.lit("."), F.lit("+"), phase.cast("string"),
-            F.format_string(f"ID=cds%d.%d;Parent={prefix}%d", "id", "exon_no", "id"),
+            F.concat(F.lit("ID=cds"), F.col("id").cast("string"), F.lit("."), F.col("exon_no").cast("string"), F.lit(f";Parent={prefix}"), F.col("id").cast("string")),
         ).alias("line")
     )
 
