@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandframe.functions import residues as R
-from strandframe.operators.composition import word_rows
+from strandframe.functions.runs import text_bytes
 
 
 def letter_values(c, values: dict[str, int], other: int = 0) -> Column:
@@ -14,44 +16,58 @@ def letter_values(c, values: dict[str, int], other: int = 0) -> Column:
     return F.transform(F.split(R.col(c), ""), lambda ch: F.element_at(table, F.ascii(ch) - 64))
 
 
+def _per_sequence(s: str, returns: str, dtype: pa.DataType, work) -> Column:
+    """``work`` on the letter codes (A is 0) of every sequence: a tuple of numbers, or None."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        text, offs = text_bytes(texts)
+        return pa.array([work(text[offs[i] : offs[i + 1]].astype(np.int64) - 65) for i in range(len(texts))], dtype)
+
+    return F.arrow_udf(run, returns)(R.col(s))
+
+
+def _longs(*names: str) -> tuple[str, pa.DataType]:
+    return ", ".join(f"{n} long" for n in names), pa.struct([(n, pa.int64()) for n in names])
+
+
 def sliding_extremes(df: DataFrame, values: dict[str, int], width: int) -> DataFrame:
-    """Largest and smallest full-window sum and the centre of the first largest one.
+    """Largest and smallest full-window sum and the centre of the first largest one; sequences are letters A-Z.
 
-    A ring of the last ``width`` values is not needed: the window sum changes by
-    the entering minus the leaving value, so one pass per sequence is enough.
+    Window sums are differences of prefix sums, in one pass over the sequence.
     """
-    d = df.filter(F.length("s") >= width).select("seq_id", letter_values("s", values).alias("v"))
-    delta = F.zip_with("v", F.concat(F.array_repeat(F.lit(0), width), F.col("v")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(
-        zero.alias("i"), zero.alias("s"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), zero.alias("at")
-    )
+    table = np.array([values.get(x, 0) for x in R.LETTERS], np.int64)
 
-    def step(a: Column, p: Column) -> Column:
-        i, s = a["i"] + 1, a["s"] + p["x"] - p["y"]
-        full = p["x"].isNotNull() & (i >= width)
-        up = full & (a["hi"].isNull() | (s > a["hi"]))
-        return F.struct(
-            i.alias("i"), s.alias("s"), F.when(up, s).otherwise(a["hi"]).alias("hi"),
-            F.when(full, F.least(s, F.coalesce(a["lo"], s))).otherwise(a["lo"]).alias("lo"),
-            F.when(up, i - width // 2).otherwise(a["at"]).alias("at"),
-        )
+    def work(codes: np.ndarray) -> dict | None:
+        if len(codes) < width:
+            return None
+        upto = np.concatenate([[0], np.cumsum(table[codes])])
+        sums = upto[width:] - upto[:-width]
+        at = int(sums.argmax())
+        return {"max_sum": int(sums[at]), "min_sum": int(sums.min()), "at": at + width - width // 2}
 
-    out = d.select("seq_id", F.aggregate(delta, start, step).alias("z"))
-    return out.select("seq_id", F.col("z.hi").alias("max_sum"), F.col("z.lo").alias("min_sum"), F.col("z.at").alias("at"))
+    kind, dtype = _longs("max_sum", "min_sum", "at")
+    d = df.filter(F.length("s") >= width).select("seq_id", _per_sequence("s", kind, dtype, work).alias("z"))
+    return d.select("seq_id", "z.max_sum", "z.min_sum", "z.at")
 
 
 def weight_matrix_hits(df: DataFrame, alphabet: str, columns: list[tuple]) -> DataFrame:
-    """Best position weight matrix window per sequence and its first position."""
+    """Best position weight matrix window per sequence and its first position; all letters must be of the alphabet."""
     k = len(columns)
-    tables = [F.array(*[F.lit(x) for x in c]) for c in columns]
-
-    def score(word: Column) -> Column:
-        return sum(F.element_at(tab, F.instr(F.lit(alphabet), F.substring(word, i + 1, 1))) for i, tab in enumerate(tables))
-
-    d = df.filter(F.length("s") >= k).select("seq_id", F.transform(R.kmers("s", k), score).alias("v"))
-    best = F.array_max("v")
-    return d.select("seq_id", best.cast("long").alias("best"), F.array_position("v", best).cast("long").alias("at"))
+    place = np.full(256, len(alphabet))
+    place[[ord(x) - 65 for x in alphabet]] = range(len(alphabet))
+    tables = [np.array(c, np.int64) for c in columns]
+
+    def work(codes: np.ndarray) -> dict | None:
+        if len(codes) < k:
+            return None
+        letters = place[codes]
+        score = sum(tab[letters[i : len(letters) - k + 1 + i]] for i, tab in enumerate(tables))
+        at = int(score.argmax())
+        return {"best": int(score[at]), "at": at + 1}
+
+    kind, dtype = _longs("best", "at")
+    d = df.filter(F.length("s") >= k).select("seq_id", _per_sequence("s", kind, dtype, work).alias("z"))
+    return d.select("seq_id", "z.best", "z.at")
 
 
 def hexamer_table(df: DataFrame) -> DataFrame:
