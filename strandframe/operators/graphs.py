@@ -2,17 +2,23 @@
 
 Every step is a join or an aggregate on vertex ids; the loop count grows with
 the logarithm of the component size and each round is cut off by a reliable
-checkpoint.
+checkpoint.  A graph, or what contraction has left of it, that has no more than
+``FINISH`` edges is finished in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandframe.session import cut_lineage
 
 #: Parts of a node's neighbours that are reduced apart.
 PARTS = 64
+#: Edges of a contracted graph that one task finishes; a larger one goes on in rounds.
+FINISH = 500_000
 
 
 def edge_list(rows: DataFrame, threshold: float, order: list[str], similarity: bool = False) -> DataFrame:
@@ -61,15 +67,63 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+def _join(parent: dict[int, int], a: int, b: int) -> bool:
+    """Unite two nodes under the smaller root; whether they were apart."""
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    a, b = root(a), root(b)
+    parent[max(a, b)] = min(a, b)
+    return a != b
+
+
+def _kruskal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges that sorted merging keeps of those in one task; contracted ends are ``cu`` and ``cv``."""
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if table is not None:
+        table = table.sort_by([(c, "ascending") for c in ("dist", "u", "v")])
+        parent: dict[int, int] = {}
+        kept = [_join(parent, a, b) for a, b in zip(table.column("cu").to_pylist(), table.column("cv").to_pylist())]
+        yield from table.filter(pa.array(kept, pa.bool_())).to_batches()
+
+
+def small_components(edges: DataFrame) -> DataFrame:
+    """``components`` of at most ``FINISH`` edges, in one task."""
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                _join(parent, u, v)
+        low: dict[int, int] = {}
+        for x in sorted(parent):  # a root is smaller than what hangs on it
+            low[x] = x if parent[x] == x else low[parent[x]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int64()), pa.array(list(low.values()), pa.int64())], ["node", "component"])
+
+    longs = edges.filter("u <> v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    return longs.coalesce(1).mapInArrow(label, "node long, component long")
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest ``(u, v, dist)``: what sorted single-linkage merging keeps.
 
     Each round every component picks its lightest outgoing edge (ties by vertex
-    ids, so the choice is unique) and components joined by picks merge.
+    ids, so the choice is unique) and components joined by picks merge. What is
+    lighter among edges of the same two components stands for them. Once ``FINISH``
+    edges or fewer are left, one task merges them in sorted order.
     """
     rest = cut_lineage(edges.select("u", "v", "dist", F.col("u").alias("cu"), F.col("v").alias("cv")))
     chosen = None
-    while not rest.isEmpty():
+    while left := rest.count():
+        if left <= FINISH:
+            last = cut_lineage(rest.coalesce(1).mapInArrow(_kruskal, rest.schema))
+            chosen = last if chosen is None else chosen.select(last.columns).unionByName(last)
+            break
         sides = rest.select(F.explode(F.array("cu", "cv")).alias("c"), F.struct("dist", "u", "v", "cu", "cv").alias("e"))
         picks = cut_lineage(sides.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"))
         kept = picks.drop("c").distinct()
@@ -80,6 +134,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         rest = cut_lineage(
             rest.join(a, "cu", "left").join(b, "cv", "left")
             .select("u", "v", "dist", F.coalesce("nu", "cu").alias("cu"), F.coalesce("nv", "cv").alias("cv")).filter("cu <> cv")
+            .groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min(F.struct("dist", "u", "v", "cu", "cv")).alias("e")).select("e.u", "e.v", "e.dist", "e.cu", "e.cv")
         )
     return edges.select("u", "v", "dist").limit(0) if chosen is None else chosen.select("u", "v", "dist")
 
@@ -105,7 +160,8 @@ def _merge_labels(picks: DataFrame) -> DataFrame:
 
 def forest_report(forest: DataFrame) -> DataFrame:
     """Trees of a forest: ``(component, size, height, length)``."""
-    label = components(forest)
+    forest = cut_lineage(forest)
+    label = cut_lineage(small_components(forest) if forest.count() <= FINISH else components(forest))
     size = label.groupBy("component").agg(F.count("*").alias("size"))
     d = forest.join(label.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.max("dist").alias("height"), F.sum("dist").alias("length"))
     return size.join(d, "component")
