@@ -335,12 +335,7 @@ def spaced_seed_counts(t):
 {CODE}, {words('b', 3, 'seq_id, strand')}, p AS (SELECT seq_id, strand, (pos-1)%3 AS frame, string_agg(aa, '' ORDER BY pos) AS s FROM words JOIN gcode ON w = codon GROUP BY ALL),
 {words('p', 4, 'strand, frame', 'pw')} SELECT strand, CAST(frame AS INTEGER) AS frame, w AS word, count(*) AS n FROM pw WHERE NOT contains(w, '*') GROUP BY ALL""")
 def six_frame_words(t):
-    def frames(c, strand):
-        return [F.struct(F.lit(strand).alias("strand"), F.lit(f).alias("frame"), C.translate(c, 1, f).alias("s")) for f in range(3)]
-
-    both = F.array(*(frames(F.col("s"), "+") + frames(R.reverse_complement("s"), "-")))
-    prot = t.nts.select(F.inline(both))
-    return K.word_counts(prot, 4, "strand", "frame", alphabet="ARNDCQEGHILKMFPSTWYV")
+    return K.frame_word_counts(t.nts, 4)
 
 
 @query("A37", f"""WITH {NT}, {chars('nt')}, {words('nt', 3)}, b AS (SELECT r, count(*) AS n FROM chars GROUP BY r), tot AS (SELECT sum(n)::DOUBLE AS t FROM b),
