@@ -9,11 +9,15 @@ words, so the result is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.functions import residues as R
+from strandframe.functions.runs import pieces, text_bytes
 from strandframe.session import cut_lineage
 
 
@@ -27,6 +31,61 @@ def word_table(df: DataFrame, ident: str, k: int) -> DataFrame:
     return n.join(n.groupBy(ident).agg(F.sum("n").alias("total")), ident)
 
 
+#: Letters of a word that one number holds.
+CODED = 13
+
+
+def _coded(text: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``(row, place, codes)`` of all words of ``k`` letters A-Z: one number for every ``CODED`` of a word's letters."""
+    if len(text) and (text.min() < 65 or text.max() > 90):
+        raise ValueError("sequences are letters A-Z")
+    size, x = np.diff(offs), text.astype(np.int64) - 64
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(np.arange(len(x)) + k <= offs[1:][row])
+    codes = []
+    for low in range(0, k, CODED):
+        c = np.zeros(len(at), np.int64)
+        for j in range(low, min(k, low + CODED)):
+            c = c * 27 + x[at + j]
+        codes.append(c)
+    return row[at], at - offs[row[at]], codes
+
+
+def word_places(df: DataFrame, ident: str, k: int, place: str) -> DataFrame:
+    """``(ident, place, w0, ...)``: every overlapping word of ``s`` as numbers, places from 0."""
+    d = df.select(ident, "s")
+    names = [f"w{i}" for i in range(-(-k // CODED))]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, offs = text_bytes(batch.column(1))
+            for low, high in pieces(offs):
+                row, at, codes = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k)
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + low)), pa.array(at.astype(np.int32)), *map(pa.array, codes)], [ident, place, *names])
+                yield from (out.slice(i, 1 << 16) for i in range(0, len(row), 1 << 16))
+
+    return d.mapInArrow(find, f"{ident} {d.dtypes[0][1]}, {place} int, " + ", ".join(f"{n} long" for n in names))
+
+
+def coded_counts(df: DataFrame, ident: str, k: int) -> DataFrame:
+    """``(ident, total, word, n)``: the words of every sequence as numbers, with their counts."""
+    d = df.select(ident, "s")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, offs = text_bytes(batch.column(1))
+            for low, high in pieces(offs):
+                row, _, (code,) = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k)
+                ends = np.searchsorted(row, np.arange(high - low + 1))
+                words = [np.unique(code[a:b], return_counts=True) for a, b in zip(ends, ends[1:])]
+                many = np.array([len(w) for w, _ in words])
+                cols = [np.repeat(np.diff(ends), many), *(np.concatenate([w[i] for w in words]) for i in (0, 1))]
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(low, high), many))), *map(pa.array, cols)], [ident, "total", "word", "n"])
+                yield from (out.slice(i, 1 << 16) for i in range(0, out.num_rows, 1 << 16))
+
+    return d.mapInArrow(find, f"{ident} {d.dtypes[0][1]}, total long, word long, n long")
+
+
 def needed(total, t: float):
     return F.ceil(total * t - 1e-9)
 
@@ -40,10 +99,14 @@ def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> Da
     words of the query or of the sequence, whichever is smaller, and pairs that
     meet nowhere there are never made.  Counts travel, texts don't.
     """
-    q = cut_lineage(word_table(queries, "q_id", k)).select("q_id", "word", F.col("n").alias("qn"), F.col("total").alias("q_total"))
+    coded = k <= CODED  # longer words stay letters
+    q = cut_lineage(coded_counts(queries, "q_id", k) if coded else word_table(queries, "q_id", k)).select("q_id", "word", F.col("n").alias("qn"), F.col("total").alias("q_total"))
     vocabulary = q.select("word").distinct()
-    words = db.select("seq_id", (F.length("s") - (k - 1)).cast("long").alias("total"), F.explode(R.kmers("s", k)).alias("word"))
-    d = cut_lineage(words.join(vocabulary, "word", "left_semi").groupBy("seq_id", "total", "word").agg(F.count("*").alias("n")))
+    if coded:
+        words = coded_counts(db, "seq_id", k)
+    else:
+        words = db.select("seq_id", (F.length("s") - (k - 1)).cast("long").alias("total"), F.explode(R.kmers("s", k)).alias("word"), F.lit(1).cast("long").alias("n"))
+    d = cut_lineage(words.join(vocabulary, "word", "left_semi").groupBy("seq_id", "total", "word").agg(F.sum("n").alias("n")))
     freq = d.groupBy("word").agg(F.count("*").alias("df"))
     first_q = _first(q.join(freq, "word"), "q_id", "q_total", "qn", t)
     first_d = _first(d.join(freq, "word"), "seq_id", "total", "n", t)
@@ -73,11 +136,10 @@ def _first(words: DataFrame, ident: str, total: str, n: str, t: float) -> DataFr
 def diagonal_matches(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
     """Maximal exact matches of length >= k: ``(q_id, seq_id, q_start, d_start, len)``.
 
-    Seeds are an equi-join on the word; neighbours on one diagonal are merged.
+    Seeds are an equi-join on the word, as numbers; neighbours on one diagonal are merged.
     """
-    q = queries.select("q_id", F.posexplode(R.kmers("s", k)).alias("qp", "word"))
-    d = db.select("seq_id", F.posexplode(R.kmers("s", k)).alias("dp", "word"))
-    seeds = d.join(q, "word").select("q_id", "seq_id", (F.col("dp") - F.col("qp")).alias("diag"), "qp")
+    q, d = word_places(queries, "q_id", k, "qp"), word_places(db, "seq_id", k, "dp")
+    seeds = d.join(q, [c for c in q.columns if c.startswith("w")]).select("q_id", "seq_id", (F.col("dp") - F.col("qp")).alias("diag"), "qp")
     w = W.partitionBy("q_id", "seq_id", "diag").orderBy("qp")  # one diagonal of one pair
     runs = seeds.withColumn("run", F.col("qp") - F.row_number().over(w)).groupBy("q_id", "seq_id", "diag", "run").agg(
         F.min("qp").alias("qp"), F.count("*").alias("n")

@@ -8,6 +8,7 @@ from strandframe.functions import residues as R
 from strandframe.operators import chaining as C, pairwise as P, graphs as G, statistics as S, trees as T, word_join as J
 from strandframe.plans.fragments import NT, QSEQ, SEQ, words
 from strandframe.plans.registry import query
+from strandframe.session import cut_lineage
 
 SIM = f"""{SEQ}, {QSEQ}, {words('seq', 8)}, {words('qseq', 8, 'q_id', 'qwords')},
 dw AS (SELECT seq_id, w, count(*) AS n FROM words GROUP BY ALL), dt AS (SELECT seq_id, sum(n) AS t FROM dw GROUP BY ALL),
@@ -66,7 +67,7 @@ def chained_matches(t):
 qs[last] + ln[last] - qs[f[last]] AS used_q, ds[last] + ln[last] - ds[f[last]] AS used_d, true AS same_score FROM fin""")
 def seeded_alignment(t):
     """Alignments cut at their chains: the path uses all of both sides, and its steps give the score again."""
-    d = C.seeded_alignments(chain_members(t), t.queries, t.seqs)
+    d = cut_lineage(C.seeded_alignments(cut_lineage(chain_members(t)), t.queries, t.seqs))  # both are read several times
     steps = F.transform(F.regexp_extract_all("cigar", F.lit("[0-9]+[MDI]"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "[0-9]+", 0).cast("long").alias("n"), F.substring(x, -1, 1).alias("op")))
     used = lambda ops: F.aggregate(F.filter("steps", lambda x: x["op"].isin(*ops)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
     texts = d.join(t.queries.select("q_id", F.col("s").alias("x")), "q_id").join(t.seqs.select("seq_id", F.col("s").alias("y")), "seq_id")
