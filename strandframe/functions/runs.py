@@ -14,7 +14,7 @@ LETTER = "[A-Za-z]"
 GAP = "-"
 _CLASSES = {LETTER: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", GAP: "-"}
 #: Bytes of text that are worked on at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -39,20 +39,56 @@ def _coded(text: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     """``(row, place, codes)`` of all words of ``k`` letters A-Z: one number for every ``CODED`` of a word's letters."""
     if len(text) and (text.min() < 65 or text.max() > 90):
         raise ValueError("sequences are letters A-Z")
-    size, x = np.diff(offs), text.astype(np.int64) - 64
-    row = np.repeat(np.arange(len(size)), size)
-    at = np.flatnonzero(np.arange(len(x)) + k <= offs[1:][row])
+    size, x, n = np.diff(offs), text.astype(np.int64) - 64, max(len(text) - k + 1, 0)
+    row = np.repeat(np.arange(len(size)), size)[:n]
+    at = np.flatnonzero(np.arange(k, n + k) <= offs[1:][row])
     codes = []
     for low in range(0, k, CODED):
-        c = np.zeros(len(at), np.int64)
+        c = np.zeros(n, np.int64)
         for j in range(low, min(k, low + CODED)):
-            c = c * 27 + x[at + j]
-        codes.append(c)
+            c *= 27
+            c += x[j : j + n]
+        codes.append(c[at])
     return row[at], at - offs[row[at]], codes
 
 
-def word_places(df: DataFrame, ident: str, k: int, place: str) -> DataFrame:
-    """``(ident, place, w0, ...)``: every overlapping word of ``s`` as numbers, places from 0."""
+#: Log2 of the bits that say which words the other side may have.
+BITS = 23
+
+
+def _slots(codes: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(codes[0]), np.uint64)
+    for c in codes:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def known_words(df: DataFrame, k: int) -> np.ndarray:
+    """One flag per slot of hashed words of ``s``: of fixed size, whatever the number of sequences. A set flag may be chance, so a join has to follow."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            text, offs = text_bytes(batch.column(0))
+            for low, high in pieces(offs):
+                flags[_slots(_coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k)[2])] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["flags"])
+
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for row in df.select("s").mapInArrow(mark, "flags binary").toLocalIterator():  # one part at a time
+        out |= np.frombuffer(row[0], np.uint8)
+    return out
+
+
+def _known(flags: np.ndarray | None, codes: list[np.ndarray]) -> np.ndarray | slice:
+    if flags is None:
+        return slice(None)
+    at = _slots(codes)
+    return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def word_places(df: DataFrame, ident: str, k: int, place: str, flags: np.ndarray | None = None) -> DataFrame:
+    """``(ident, place, w0, ...)``: every overlapping word of ``s`` as numbers, places from 0; with ``flags`` only words that may be known."""
     d = df.select(ident, "s")
     names = [f"w{i}" for i in range(-(-k // CODED))]
 
@@ -61,14 +97,16 @@ def word_places(df: DataFrame, ident: str, k: int, place: str) -> DataFrame:
             text, offs = text_bytes(batch.column(1))
             for low, high in pieces(offs):
                 row, at, codes = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k)
+                keep = _known(flags, codes)
+                row, at, codes = row[keep], at[keep], [c[keep] for c in codes]
                 out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + low)), pa.array(at.astype(np.int32)), *map(pa.array, codes)], [ident, place, *names])
                 yield from (out.slice(i, 1 << 16) for i in range(0, len(row), 1 << 16))
 
     return d.mapInArrow(find, f"{ident} {d.dtypes[0][1]}, {place} int, " + ", ".join(f"{n} long" for n in names))
 
 
-def coded_counts(df: DataFrame, ident: str, k: int) -> DataFrame:
-    """``(ident, total, word, n)``: the words of every sequence as numbers, with their counts."""
+def coded_counts(df: DataFrame, ident: str, k: int, flags: np.ndarray | None = None) -> DataFrame:
+    """``(ident, total, word, n)``: the words of every sequence as numbers, with their counts; ``total`` counts all, with ``flags`` only words that may be known have a row."""
     d = df.select(ident, "s")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,10 +114,13 @@ def coded_counts(df: DataFrame, ident: str, k: int) -> DataFrame:
             text, offs = text_bytes(batch.column(1))
             for low, high in pieces(offs):
                 row, _, (code,) = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k)
+                totals = np.bincount(row, minlength=high - low)
+                keep = _known(flags, [code])
+                row, code = row[keep], code[keep]
                 ends = np.searchsorted(row, np.arange(high - low + 1))
                 words = [np.unique(code[a:b], return_counts=True) for a, b in zip(ends, ends[1:])]
                 many = np.array([len(w) for w, _ in words])
-                cols = [np.repeat(np.diff(ends), many), *(np.concatenate([w[i] for w in words]) for i in (0, 1))]
+                cols = [np.repeat(totals, many), *(np.concatenate([w[i] for w in words]) for i in (0, 1))]
                 out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(low, high), many))), *map(pa.array, cols)], [ident, "total", "word", "n"])
                 yield from (out.slice(i, 1 << 16) for i in range(0, out.num_rows, 1 << 16))
 
@@ -103,7 +144,7 @@ def similar_sequences(queries: DataFrame, db: DataFrame, k: int, t: float) -> Da
     q = cut_lineage(coded_counts(queries, "q_id", k) if coded else word_table(queries, "q_id", k)).select("q_id", "word", F.col("n").alias("qn"), F.col("total").alias("q_total"))
     vocabulary = q.select("word").distinct()
     if coded:
-        words = coded_counts(db, "seq_id", k)
+        words = coded_counts(db, "seq_id", k, known_words(queries, k))
     else:
         words = db.select("seq_id", (F.length("s") - (k - 1)).cast("long").alias("total"), F.explode(R.kmers("s", k)).alias("word"), F.lit(1).cast("long").alias("n"))
     d = cut_lineage(words.join(vocabulary, "word", "left_semi").groupBy("seq_id", "total", "word").agg(F.sum("n").alias("n")))
@@ -138,7 +179,7 @@ def diagonal_matches(queries: DataFrame, db: DataFrame, k: int) -> DataFrame:
 
     Seeds are an equi-join on the word, as numbers; neighbours on one diagonal are merged.
     """
-    q, d = word_places(queries, "q_id", k, "qp"), word_places(db, "seq_id", k, "dp")
+    q, d = word_places(queries, "q_id", k, "qp"), word_places(db, "seq_id", k, "dp", known_words(queries, k))
     seeds = d.join(q, [c for c in q.columns if c.startswith("w")]).select("q_id", "seq_id", (F.col("dp") - F.col("qp")).alias("diag"), "qp")
     w = W.partitionBy("q_id", "seq_id", "diag").orderBy("qp")  # one diagonal of one pair
     runs = seeds.withColumn("run", F.col("qp") - F.row_number().over(w)).groupBy("q_id", "seq_id", "diag", "run").agg(
