@@ -50,3 +50,14 @@ def test_places_and_counts_of_words_longer_than_one_number(spark, monkeypatch):
                         if n >= k:
                             full.add((0, i, a + 1, b + 1, n))
         assert set(map(tuple, J.diagonal_matches(q, d, k).select("q_id", "seq_id", "q_start", "d_start", "len").collect())) == full
+
+
+def test_seeded_alignment_finds_its_matches_once(spark, monkeypatch):
+    """Chains are read by three branches and alignments by two; each used to search all texts again."""
+    from strandframe.plans import QUERIES
+    from strandframe.plans import search_queries as Q
+
+    cuts = []
+    monkeypatch.setattr(Q, "cut_lineage", lambda df, cut=Q.cut_lineage: cuts.append(1) or cut(df))
+    d = QUERIES["seeded_alignment"](spark, "/root/testdata/sf0.001")
+    assert len(cuts) == 2 and "FlatMapGroupsInPandas" not in plan(d)
