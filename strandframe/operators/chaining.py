@@ -15,11 +15,13 @@ predecessors start within the longest match's length and are looked at one by on
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.operators.pairwise import letter_matrix, pair_alignments
+from strandframe.session import cut_lineage
 
 NONE = (-(2**62), 0)
 
@@ -118,22 +120,38 @@ def best_chain(qs: list[int], ds: list[int], ln: list[int], open_: int = 30, ext
 def chains(hits: DataFrame, open_: float = 3.0, extend: float = 0.1) -> DataFrame:
     """Members of the best chain of each pair in order: ``(q_id, seq_id, score, k, q_start, d_start, len)``.
 
-    A pair's matches are bounded by its two texts.
+    A pair's matches are bounded by its two texts and become one row; a call chains
+    many pairs, dealt over at least as many tasks as there are cores.
     """
     a, b = round(open_ * 10), round(extend * 10)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["q_start", "d_start", "len"])
-        score, path = best_chain(*(p[c].tolist() for c in ("q_start", "d_start", "len")), a, b)
-        out = p.iloc[path].assign(score=score / 10, k=range(1, len(path) + 1))
-        return out[["q_id", "seq_id", "score", "k", "q_start", "d_start", "len"]]
-
-    return hits.groupBy("q_id", "seq_id").applyInPandas(run, "q_id long, seq_id long, score double, k long, q_start long, d_start long, len long")
+    tasks = max(hits.sparkSession.sparkContext.defaultParallelism, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    match = F.struct("q_start", "d_start", "len")
+    pairs = hits.repartition(tasks, "q_id", "seq_id").groupBy("q_id", "seq_id").agg(F.array_sort(F.collect_list(match)).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("m")
+            offs, flat = lists.offsets.to_numpy(), lists.values
+            qs, ds, ln = (flat.field(c).to_pylist() for c in ("q_start", "d_start", "len"))
+            at, score, k, pair = [], [], [], []
+            for i, (low, high) in enumerate(zip(offs, offs[1:])):
+                top, path = best_chain(qs[low:high], ds[low:high], ln[low:high], a, b)
+                at += [low + j for j in path]
+                score += [top / 10] * len(path)
+                k += range(1, len(path) + 1)
+                pair += [i] * len(path)
+            names = ["q_id", "seq_id", "score", "k", "q_start", "d_start", "len"]
+            ids = [batch.column(c).take(pa.array(pair, pa.int64())) for c in names[:2]]
+            cols = [flat.field(c).take(pa.array(at, pa.int64())) for c in names[4:]]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(score, pa.float64()), pa.array(k, pa.int64()), *cols], names)
+
+    return pairs.mapInArrow(run, "q_id long, seq_id long, score double, k long, q_start long, d_start long, len long")
 
 
 def seeded_alignments(members: DataFrame, queries: DataFrame, seqs: DataFrame, v: float = 9, u: float = 2, matrix=None) -> DataFrame:
-    """Alignment of each pair from the first to the last match of its chain: ``(q_id, seq_id, q_l, q_r, d_l, d_r, score, cigar)``.
+    """Alignment of each pair from the first to the last match of its chain: ``(q_id, seq_id, q_l, q_r, d_l, d_r, s1, s2, score, cigar)``.
 
+    The texts are searched once for the stretches ``s1`` and ``s2`` of the chains.
     What lies between two matches is aligned as a pair of its own, so that a long pair
     is dealt over tasks; an overlap is taken from the later match.  Steps and scores
     are put together by position.
@@ -145,15 +163,17 @@ def seeded_alignments(members: DataFrame, queries: DataFrame, seqs: DataFrame, v
     over = F.greatest(F.lit(0), F.coalesce(F.col("q_p") - F.col("q_start"), F.lit(0)), F.coalesce(F.col("d_p") - F.col("d_start"), F.lit(0)))
     d = d.withColumn("over", over).select(
         "q_id", "seq_id", "k", (F.col("q_start") + F.col("over")).alias("q_start"), (F.col("d_start") + F.col("over")).alias("d_start"), (F.col("len") - F.col("over")).alias("len"), "q_p", "d_p")
-    gap = d.filter("q_p IS NOT NULL AND (q_p < q_start OR d_p < d_start)").join(queries.select("q_id", F.col("s").alias("x")), "q_id").join(seqs.select("seq_id", F.col("s").alias("y")), "seq_id")
-    cut = lambda s, a, b: F.substring(s, F.col(a).cast("int"), (F.col(b) - F.col(a)).cast("int"))
-    pairs = gap.select("q_id", "seq_id", "k", cut("x", "q_p", "q_start").alias("s1"), cut("y", "d_p", "d_start").alias("s2"))
+    cut = lambda s, a, b, of: F.substring(s, (F.col(a) - F.col(of) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int"))
+    hull = members.groupBy("q_id", "seq_id").agg(F.min("q_start").alias("q_l"), F.max(q_end - 1).alias("q_r"), F.min("d_start").alias("d_l"), F.max(d_end - 1).alias("d_r"))
+    whole = hull.join(queries.select("q_id", F.col("s").alias("x")), "q_id").join(seqs.select("seq_id", F.col("s").alias("y")), "seq_id")
+    part = lambda s, l, r: F.substring(s, F.col(l).cast("int"), (F.col(r) - F.col(l) + 1).cast("int"))
+    hull = cut_lineage(whole.select(*hull.columns, part("x", "q_l", "q_r").alias("s1"), part("y", "d_l", "d_r").alias("s2")))
+    gap = d.filter("q_p IS NOT NULL AND (q_p < q_start OR d_p < d_start)").join(hull, ["q_id", "seq_id"])
+    pairs = gap.select("q_id", "seq_id", "k", cut("s1", "q_p", "q_start", "q_l").alias("s1"), cut("s2", "d_p", "d_start", "d_l").alias("s2"))
     between = pair_alignments(pairs, "q_id long, seq_id long, k long", v, u, "global", m).select("q_id", "seq_id", "k", F.lit(0).alias("o"), "score", "cigar")
-    letters = queries.select("q_id", F.col("s").alias("x"))
     # matches are equal letters: their own scores
     value = F.create_map(*[z for i in range(26) for z in (F.lit(chr(65 + i)), F.lit(float(m[i, i])))])
-    own = d.join(letters, "q_id").select("q_id", "seq_id", "k", F.lit(1).alias("o"), F.aggregate(
-        F.split(F.expr("substring(x, cast(q_start as int), cast(len as int))"), ""), F.lit(0.0), lambda a, c: a + F.coalesce(value[c], F.lit(0.0))).alias("score"), F.concat(F.col("len").cast("string"), F.lit("M")).alias("cigar"))
-    whole = between.unionByName(own).groupBy("q_id", "seq_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("k", "o", "cigar"))).alias("c"))
-    hull = members.groupBy("q_id", "seq_id").agg(F.min("q_start").alias("q_l"), F.max(q_end - 1).alias("q_r"), F.min("d_start").alias("d_l"), F.max(d_end - 1).alias("d_r"))
-    return hull.join(whole.select("q_id", "seq_id", "score", F.array_join("c.cigar", "").alias("cigar")), ["q_id", "seq_id"])
+    own = d.join(hull, ["q_id", "seq_id"]).select("q_id", "seq_id", "k", F.lit(1).alias("o"), F.aggregate(
+        F.split(F.expr("substring(s1, cast(q_start - q_l + 1 as int), cast(len as int))"), ""), F.lit(0.0), lambda a, c: a + F.coalesce(value[c], F.lit(0.0))).alias("score"), F.concat(F.col("len").cast("string"), F.lit("M")).alias("cigar"))
+    steps = between.unionByName(own).groupBy("q_id", "seq_id").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("k", "o", "cigar"))).alias("c"))
+    return hull.join(steps.select("q_id", "seq_id", "score", F.array_join("c.cigar", "").alias("cigar")), ["q_id", "seq_id"])

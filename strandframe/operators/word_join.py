@@ -35,21 +35,34 @@ def word_table(df: DataFrame, ident: str, k: int) -> DataFrame:
 CODED = 13
 
 
-def _coded(text: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """``(row, place, codes)`` of all words of ``k`` letters A-Z: one number for every ``CODED`` of a word's letters."""
+def _joined(x: np.ndarray, width: int) -> np.ndarray:
+    """One number for the ``width`` letters from every place on, put together from stretches of doubled lengths."""
+    out, have, piece, size = None, 0, x, 1
+    while True:
+        if width & size:
+            out = piece if out is None else out[: len(piece) - have] * 27**size + piece[have:]
+            have += size
+        if have == width:
+            return out
+        piece = piece[: len(piece) - size] * 27**size + piece[size:]
+        size *= 2
+
+
+def _coded(text: np.ndarray, offs: np.ndarray, k: int, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``(row, place, codes)`` of all words of ``k`` letters A-Z, or with ``flags`` of those that may be known: one number for every ``CODED`` of a word's letters."""
     if len(text) and (text.min() < 65 or text.max() > 90):
         raise ValueError("sequences are letters A-Z")
-    size, x, n = np.diff(offs), text.astype(np.int64) - 64, max(len(text) - k + 1, 0)
-    row = np.repeat(np.arange(len(size)), size)[:n]
-    at = np.flatnonzero(np.arange(k, n + k) <= offs[1:][row])
-    codes = []
-    for low in range(0, k, CODED):
-        c = np.zeros(n, np.int64)
-        for j in range(low, min(k, low + CODED)):
-            c *= 27
-            c += x[j : j + n]
-        codes.append(c[at])
-    return row[at], at - offs[row[at]], codes
+    n = len(text) - k + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, [none for _ in range(0, k, CODED)]
+    x = text.astype(np.int64) - 64
+    codes = [_joined(x[low : n + min(k, low + CODED) - 1], min(k - low, CODED)) for low in range(0, k, CODED)]
+    at = np.arange(n) if flags is None else np.flatnonzero(_known(flags, codes))
+    row = np.searchsorted(offs, at, "right") - 1 if flags is not None else np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:n]
+    inside = at + k <= offs[1:][row]
+    row, at = row[inside], at[inside]
+    return row, at - offs[row], [c[at] for c in codes]
 
 
 #: Log2 of the bits that say which words the other side may have.
@@ -80,9 +93,7 @@ def known_words(df: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _known(flags: np.ndarray | None, codes: list[np.ndarray]) -> np.ndarray | slice:
-    if flags is None:
-        return slice(None)
+def _known(flags: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
     at = _slots(codes)
     return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
@@ -96,9 +107,7 @@ def word_places(df: DataFrame, ident: str, k: int, place: str, flags: np.ndarray
         for batch in batches:
             text, offs = text_bytes(batch.column(1))
             for low, high in pieces(offs):
-                row, at, codes = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k)
-                keep = _known(flags, codes)
-                row, at, codes = row[keep], at[keep], [c[keep] for c in codes]
+                row, at, codes = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k, flags)
                 out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + low)), pa.array(at.astype(np.int32)), *map(pa.array, codes)], [ident, place, *names])
                 yield from (out.slice(i, 1 << 16) for i in range(0, len(row), 1 << 16))
 
@@ -113,10 +122,8 @@ def coded_counts(df: DataFrame, ident: str, k: int, flags: np.ndarray | None = N
         for batch in batches:
             text, offs = text_bytes(batch.column(1))
             for low, high in pieces(offs):
-                row, _, (code,) = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k)
-                totals = np.bincount(row, minlength=high - low)
-                keep = _known(flags, [code])
-                row, code = row[keep], code[keep]
+                row, _, (code,) = _coded(text[offs[low] : offs[high]], offs[low : high + 1] - offs[low], k, flags)
+                totals = np.maximum(np.diff(offs[low : high + 1]) - (k - 1), 0)
                 ends = np.searchsorted(row, np.arange(high - low + 1))
                 words = [np.unique(code[a:b], return_counts=True) for a, b in zip(ends, ends[1:])]
                 many = np.array([len(w) for w, _ in words])

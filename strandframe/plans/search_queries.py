@@ -70,9 +70,7 @@ def seeded_alignment(t):
     d = cut_lineage(C.seeded_alignments(cut_lineage(chain_members(t)), t.queries, t.seqs))  # both are read several times
     steps = F.transform(F.regexp_extract_all("cigar", F.lit("[0-9]+[MDI]"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, "[0-9]+", 0).cast("long").alias("n"), F.substring(x, -1, 1).alias("op")))
     used = lambda ops: F.aggregate(F.filter("steps", lambda x: x["op"].isin(*ops)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    texts = d.join(t.queries.select("q_id", F.col("s").alias("x")), "q_id").join(t.seqs.select("seq_id", F.col("s").alias("y")), "seq_id")
-    part = lambda s, l, r: F.expr(f"substring({s}, cast({l} as int), cast({r} - {l} + 1 as int))")
-    pairs = texts.select("q_id", "seq_id", part("x", "q_l", "q_r").alias("s1"), part("y", "d_l", "d_r").alias("s2"))
+    pairs = d.select("q_id", "seq_id", "s1", "s2")
     zero = F.lit(0).cast("long")
     again = P.rescored(pairs, d.withColumn("start1", zero).withColumn("start2", zero), "q_id long, seq_id long")
     d = d.withColumn("steps", steps).join(again, ["q_id", "seq_id"])

@@ -61,3 +61,33 @@ def test_seeded_alignment_finds_its_matches_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "cut_lineage", lambda df, cut=Q.cut_lineage: cuts.append(1) or cut(df))
     d = QUERIES["seeded_alignment"](spark, "/root/testdata/sf0.001")
     assert len(cuts) == 2 and "FlatMapGroupsInPandas" not in plan(d)
+
+
+def test_chains_are_dealt_over_tasks(spark):
+    """One row a pair and many pairs a call: a call a pair, all in one task where the matches are few bytes, took most of the time."""
+    from strandframe.operators import chaining as C
+
+    hits = spark.createDataFrame([(i % 5, i, 1 + 20 * j, 1 + 21 * j, 14) for i in range(300) for j in range(2)], "q_id long, seq_id long, q_start long, d_start long, len long")
+    d = C.chains(hits)
+    assert "FlatMapGroupsInPandas" not in plan(d) and d.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, d.collect())) == sorted((i % 5, i, 24.9, j + 1, 1 + 20 * j, 1 + 21 * j, 14) for i in range(300) for j in range(2))
+
+
+def test_seeded_alignments_read_texts_once(spark):
+    from strandframe.operators import chaining as C
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    x = "ACDEFGHIKLMNPQRSTVWY"
+    queries = spark.createDataFrame([(1, "WW" + x + "CC" + x)], "q_id long, s string")
+    seqs = spark.createDataFrame([(2, "A" + x + "C" + x + "GG"), (3, x)], "seq_id long, s string").mapInArrow(counted, "seq_id long, s string")
+    members = spark.createDataFrame([(1, 2, 1, 3, 2, 20), (1, 2, 2, 25, 23, 20), (1, 3, 1, 3, 1, 20)], "q_id long, seq_id long, k long, q_start long, d_start long, len long")
+    got = {r.seq_id: r for r in C.seeded_alignments(members, queries, seqs).collect()}
+    assert got[2].cigar in ("20M1M1D20M", "20M1D1M20M") and got[2].score == 40 * 4 + 4 - 11 and got[3].cigar == "20M"
+    assert (got[2].s1, got[2].s2) == (x + "CC" + x, x + "C" + x) and (got[2].q_l, got[2].q_r, got[2].d_l, got[2].d_r) == (3, 44, 2, 42)
+    assert read.value == 2
