@@ -11,9 +11,12 @@ it for the bytes of the texts, and would send it through the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strandframe.operators.alignment_columns import scoring_segments
+from strandframe.operators import alignment_sets as L
+from strandframe.operators.alignment_columns import cells_of, scoring_segments
 from strandframe.session import cut_lineage
 
 
@@ -96,3 +99,93 @@ def fused_groups(cells: DataFrame, tree: DataFrame, threshold: int, match: int =
     d = cells.select("msa_id", "member").distinct().join(by_key(best), ["msa_id", "member"], "left").withColumn("node", F.coalesce("node", -1 - F.col("member")))
     size = d.groupBy("msa_id", "node").agg(F.count("*").alias("size"))
     return d.join(by_key(size), ["msa_id", "node"]).select("msa_id", "member", "node", "size")
+
+
+#: Letters and sites of nodes that a kernel compares at once; a larger node alone.
+NODE_CELLS = 1_000_000
+
+
+def fused_members(rows: DataFrame, tree: DataFrame, threshold: int, match: int = 4, other: int = -1, alone: int = L.ALONE) -> DataFrame:
+    """``fused_groups`` of rows ``(msa_id, member, a)``: whole alignments with their trees in kernels, larger ones cell by cell."""
+    nodes = tree.groupBy("msa_id", "member").agg(F.collect_set(F.struct(F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"), F.col("side").cast("long").alias("side"))).alias("nodes"))
+    d = by_key(rows.select("msa_id", "member", "a")).join(by_key(nodes), ["msa_id", "member"], "left")
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = L.letters(t)
+        size = np.array([len(a or "") for a in t["a"].to_pylist()], np.int64)
+        width = np.zeros(len(x.sets), np.int64)
+        np.maximum.at(width, x.of, size)
+        known = t["member"].is_valid().to_numpy()
+        member = t["member"].fill_null(0).to_numpy()
+        lists = t["nodes"].combine_chunks()
+        many = np.array(lists.value_lengths().fill_null(0))
+        flat, row = lists.flatten(), np.repeat(np.arange(t.num_rows), many)
+        label, level, side = (flat.field(c).to_numpy() for c in ("node", "level", "side"))
+        # nodes of all alignments numbered through, and memberships in their order
+        pair, node = np.unique(np.stack([x.of[row], label]), axis=1, return_inverse=True)
+        node = node.reshape(-1)
+        order = np.argsort(node, kind="stable")
+        row, node, level, side = row[order], node[order], level[order], side[order]
+        low = _lowest(x, row, node, side, width[pair[0]], match, other)
+        top = np.full(len(low), -(2**62))
+        np.maximum.at(top, node, level)
+        first = np.full(len(low), 2**62)
+        np.minimum.at(first, node, member[row])
+        # a bad node keeps all from its level on above its first member
+        one, which = np.unique(np.stack([x.of, member]), axis=1, return_inverse=True)
+        which = which.reshape(-1)
+        limit = np.full(len(one[0]), 2**62)
+        marks = (low < -threshold)[node] & (member[row] == first[node])
+        np.minimum.at(limit, which[row[marks]], top[node[marks]])
+        kept = np.ones(len(low), bool)
+        kept[node[level >= limit[which[row]]]] = False
+        free = np.flatnonzero(kept[node])
+        free = free[np.argsort(level[free], kind="stable")]
+        best = -1 - one[1]
+        best[which[row[free]]] = pair[1][node[free]]  # the highest comes last
+        there = np.unique(which[known & (size > 0)])
+        of, group = one[0][there], best[there]
+        _, same, n = np.unique(np.stack([of, group]), axis=1, return_inverse=True, return_counts=True)
+        return pa.table({"msa_id": x.sets.take(pa.array(of)), "member": one[1][there], "node": group, "size": n[same.reshape(-1)]})
+
+    def larger(huge: DataFrame) -> DataFrame:
+        of = huge.select("msa_id", "member", F.inline("nodes"))
+        return fused_groups(cells_of(huge.select("msa_id", "member", "a")), of, threshold, match, other)
+
+    return L.by_alignment(d, kernel, "msa_id long, member long, node long, size long", larger, alone)
+
+
+def _lowest(x: L.Letters, row: np.ndarray, node: np.ndarray, side: np.ndarray, width: np.ndarray, match: int, other: int) -> np.ndarray:
+    """Lowest score of a stretch of sites between the sides of every node, 0 at most; memberships come in the order of nodes, ``width`` is by node."""
+    out = np.zeros(len(width), np.int64)
+    ends = np.searchsorted(node, np.arange(len(width) + 1))
+    starts = np.searchsorted(x.row, np.arange(len(x.of) + 1))
+    letters = np.diff(starts)[row]
+    cost = np.concatenate([[0], np.cumsum(width + np.bincount(node, letters, len(width)).astype(np.int64))])
+    a = 0
+    while a < len(width):
+        b = max(a + 1, int(np.searchsorted(cost, cost[a] + NODE_CELLS, "right")) - 1)
+        own = slice(ends[a], ends[b])
+        wide = width[a:b]
+        base = np.cumsum(wide) - wide
+        many = letters[own]
+        at = np.repeat(starts[row[own]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        entry = np.repeat(np.arange(ends[a], ends[b]), many)
+        site = x.column[at] - x.first[x.of[row[entry]]] + base[node[entry] - a]
+        kinds, code = np.unique(x.code[at], return_inverse=True)
+        sides, which = np.unique(side[entry], return_inverse=True)
+        met = np.unique((site * len(kinds) + code) * len(sides) + which) // max(len(sides), 1)
+        hit = met[1:][met[1:] == met[:-1]] // max(len(kinds), 1)  # one letter on two sides
+        score = np.full(int(wide.sum()), other, np.int64)
+        score[hit] = match
+        full = wide > 0
+        if full.any():
+            wide, base = wide[full], base[full]
+            total = np.concatenate([[0], np.cumsum(score)])
+            line = total[1:] - np.repeat(total[base], wide)
+            # no running maximum reaches into the next line
+            apart = np.repeat(np.arange(len(wide)) * ((abs(match) + abs(other)) * (int(wide.max()) + 1)), wide)
+            highest = np.maximum(np.maximum.accumulate(line + apart) - apart, 0)
+            out[a:b][full] = np.minimum(np.minimum.reduceat(line - highest, base), 0)
+        a = b
+    return out

@@ -119,7 +119,7 @@ gr AS (SELECT mem.msa_id, mem.member, coalesce(node, -1 - mem.member) AS node FR
 SELECT msa_id, member, CAST(node AS BIGINT) AS node, CAST(count(*) OVER (PARTITION BY msa_id, node) AS BIGINT) AS size FROM gr""")
 def fusible_groups(t):
     """Turns that may be fused to groups, walking up the tree of turns."""
-    return S.fused_groups(t.cells, turn_tree(t), FUSE)
+    return S.fused_members(t.rows, turn_tree(t), FUSE)
 
 
 def standing(rows):

@@ -96,3 +96,28 @@ def test_reverse_translation_counts_columns(spark, alone):
     found = A.reverse_translation(frame(spark, rows), spark.createDataFrame(usage, "aa string, codon string, share double"), alone).collect()
     got = {(r.msa_id, r.site, r.pos, r.base): r.freq for r in found}
     assert len(got) == len(found) and got == pytest.approx(dict(want))
+
+
+@pytest.mark.parametrize("alone", [0, 60, 500_000])
+def test_fused_members_equal_groups_of_cells(spark, alone, monkeypatch):
+    from strandframe.operators import bipartitions as B
+
+    monkeypatch.setattr(B, "NODE_CELLS", 50)
+    rng, rows = Random(11), alignments(9)
+    for k in range(50, 80):  # rows that agree in part, some long enough for stretches under the threshold
+        base = [rng.choice("ACDEW-") for _ in range(rng.randint(0, 60))]
+        for m in rng.sample(range(12), rng.randint(1, 9)):
+            rows.append((k, m, "".join(c if rng.random() < 0.8 else rng.choice("ACDEW-") for c in base[: rng.randint(0, 80)])))
+    d = frame(spark, rows)
+    tree = B.binary_tree(d, 4).localCheckpoint()
+    found = {}
+    for threshold in (2, 6, 1000) if alone > 60 else (6,):
+        want = sorted(map(tuple, B.fused_groups(A.cells_of(d), tree, threshold).collect()))
+        assert sorted(map(tuple, B.fused_members(d, tree, threshold, alone=alone).collect())) == want
+        found[threshold] = {(k, n) for k, _, n, _ in want}
+    assert len({len(x) for x in found.values()}) == len(found)
+
+
+def test_fused_members_are_not_cells(spark):
+    """Every letter used to be shuffled once for each node above it."""
+    assert "posexplode" not in QUERIES["fusible_groups"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
