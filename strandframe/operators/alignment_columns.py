@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from strandframe.functions import divergence as D, runs as U
@@ -235,8 +236,40 @@ def weighted_identity(rows: DataFrame, alone: int = S.ALONE) -> DataFrame:
     return S.by_alignment(rows.select("msa_id", "w", "a"), kernel, "msa_id long, weighted_identity long", larger, alone)
 
 
-def apportion(cells: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
-    """Reduce every column to ``slots`` pseudo members by largest remainder."""
+def apportion(rows: DataFrame, slots: int, alone: int = S.ALONE) -> DataFrame:
+    """Reduce every column to ``slots`` pseudo members by largest remainder: ``(msa_id, site, column)``."""
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = S.letters(t)
+        at, _, n = x.same()
+        column, code = x.column[at], x.code[at]
+        columns, start, which = np.unique(column, return_index=True, return_inverse=True)
+        of = np.searchsorted(x.first, columns, "right") - 1  # of alignments without columns the last one starts there
+        many = np.bincount(x.of, minlength=len(x.sets))[of]
+        gaps = many - np.bincount(which, n, len(columns)).astype(np.int64)
+        some = np.flatnonzero(gaps)
+        which, code, n = (np.concatenate(z) for z in ((which, some), (code, np.full(len(some), ord("-"))), (n, gaps[some])))
+        share = n * slots
+        base, rem = share // many[which], share % many[which]
+        left = slots - np.bincount(which, base, len(columns)).astype(np.int64)
+        order = np.lexsort((code, -rem, which))
+        first = np.searchsorted(which[order], np.arange(len(columns)))
+        num = base[order] + (np.arange(len(order)) - first[which[order]] < left[which[order]])
+        order = np.lexsort((code[order], which[order])), order
+        num, code = num[order[0]], code[order[1]][order[0]]
+        kinds, kind = np.unique(np.repeat(code, num), return_inverse=True)
+        letters = pa.array([chr(c) for c in kinds], pa.string()).take(pa.array(kind))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(columns) + 1) * slots, pa.int32()), letters)
+        return pa.table({"msa_id": x.sets.take(pa.array(of)), "site": columns - x.first[of] + 1, "column": pc.binary_join(lists, "")})
+
+    def larger(huge: DataFrame) -> DataFrame:
+        return apportion_cells(cells_of(huge), huge, slots)
+
+    return S.by_alignment(rows.select("msa_id", "a"), kernel, "msa_id long, site long, column string", larger, alone)
+
+
+def apportion_cells(cells: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
+    """``apportion`` cell by cell."""
     prof = profile(cells).join(depth(rows), "msa_id").select("msa_id", "site", "r", "n", "many")
     res = prof.groupBy("msa_id", "site", "many").agg(F.sum("n").alias("res"))
     gaps = res.filter("many > res").select("msa_id", "site", F.lit("-").alias("r"), (F.col("many") - F.col("res")).alias("n"), "many")

@@ -206,7 +206,7 @@ b AS (SELECT *, n * 3 // many AS base, n * 3 % many AS rem FROM f),
 k AS (SELECT *, 3 - sum(base) OVER (PARTITION BY msa_id, site) AS lft, row_number() OVER (PARTITION BY msa_id, site ORDER BY rem DESC, r) AS rk FROM b)
 SELECT msa_id, site, string_agg(repeat(r, CAST(base + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS INTEGER)), '' ORDER BY r) AS "column" FROM k GROUP BY ALL""")
 def representative_reduction(t):
-    return A.apportion(t.cells, t.rows, 3)
+    return A.apportion(t.rows, 3)
 
 
 @query("W1 P25 P28", f"""WITH {CELLS} SELECT msa_id, member, CAST(row_number() OVER (PARTITION BY msa_id, member ORDER BY site) AS BIGINT) AS num, site

@@ -121,3 +121,29 @@ def test_fused_members_equal_groups_of_cells(spark, alone, monkeypatch):
 def test_fused_members_are_not_cells(spark):
     """Every letter used to be shuffled once for each node above it."""
     assert "posexplode" not in QUERIES["fusible_groups"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("alone", [0, 60, 500_000])
+@pytest.mark.parametrize("slots", [1, 3])
+def test_columns_are_apportioned_by_largest_remainder(spark, alone, slots):
+    rows, want = alignments(13), {}
+    many, wide = Counter(k for k, _, _ in rows), defaultdict(Counter)
+    for k, _, a in rows:
+        for i, c in enumerate(a or "", 1):
+            if c != "-":
+                wide[k, i][c] += 1
+    for (k, i), n in wide.items():
+        n = n + Counter({"-": many[k] - sum(n.values())})
+        num = {c: x * slots // many[k] for c, x in n.items()}
+        for c in sorted(n, key=lambda c: (-(n[c] * slots % many[k]), c))[: slots - sum(num.values())]:
+            num[c] += 1
+        want[k, i] = "".join(c * num[c] for c in sorted(num))
+    found = A.apportion(frame(spark, rows), slots, alone).collect()
+    got = {(r.msa_id, r.site): r.column for r in found}
+    assert got == want and len(found) == len(got)
+
+
+@pytest.mark.parametrize("query", ["representative_reduction"])
+def test_no_rows_of_cells_are_sorted_or_shuffled(spark, query):
+    plan = QUERIES[query](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
