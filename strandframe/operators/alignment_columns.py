@@ -7,6 +7,8 @@ counts in closed form, never by pairing the members.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -178,6 +180,60 @@ def reverse_translation(rows: DataFrame, usage: DataFrame, alone: int = S.ALONE)
     return S.by_alignment(rows.select("msa_id", "a"), kernel, "msa_id long, site long, pos long, base string, freq double", larger, alone)
 
 
+#: Characters of pairs that a kernel maps at once; a longer pair alone.
+PAIR_CELLS = 1_000_000
+
+
+def _residues(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which characters of all texts are residues, how many there are up to each of its text, and the texts' offsets."""
+    offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    letter = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) != ord("-")
+    total = np.concatenate([[0], np.cumsum(letter)])
+    return letter, total[1:] - np.repeat(total[offs[:-1]], np.diff(offs)), offs
+
+
+def _facing(first: list[str], second: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, num_i, num_j)`` of the residues that face each other, numbered from 1 in their texts."""
+    (x, num_i, a), (y, num_j, b) = _residues(first), _residues(second)
+    size = np.minimum(np.diff(a), np.diff(b))
+    row = np.repeat(np.arange(len(size)), size)
+    p = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    i, j = a[row] + p, b[row] + p
+    both = x[i] & y[j]
+    return row[both], num_i[i[both]], num_j[j[both]]
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Slices of batches ``(msa_id, i, j, text, ...)`` of about ``PAIR_CELLS`` characters, with their texts; pairs with a null text are left out."""
+    for batch in batches:
+        whole = pa.Table.from_batches([batch]).drop_null().combine_chunks()
+        for batch in whole.to_batches():
+            size = np.cumsum(sum(pc.utf8_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[3:]))
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + PAIR_CELLS, "right")))
+                part = batch.slice(low, high - low)
+                yield part, [c.to_pylist() for c in part.columns[3:]]
+                low = high
+
+
+def _keyed(part: pa.RecordBatch, row: np.ndarray, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    keys = [c.take(pa.array(row)) for c in part.columns[:3]]
+    out = pa.RecordBatch.from_arrays([*keys, *(pa.array(v.astype(np.int64)) for v in values.values())], ["msa_id", "i", "j", *values])
+    yield from (out.slice(k, 1 << 16) for k in range(0, out.num_rows, 1 << 16))
+
+
+def residue_maps(pairs: DataFrame) -> DataFrame:
+    """Residues of members ``(msa_id, i, j, a1, a2)`` that face each other, numbered from 1: ``(msa_id, i, j, num_i, num_j)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (a1, a2) in _pair_batches(batches):
+            row, num_i, num_j = _facing(a1, a2)
+            yield from _keyed(part, row, num_i=num_i, num_j=num_j)
+
+    return pairs.select(*[F.col(c).cast("long") for c in ("msa_id", "i", "j")], "a1", "a2").mapInArrow(run, "msa_id long, i long, j long, num_i long, num_j long")
+
+
 def common_segments(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Stretches that two alignments of the same sequences share: ``(*keys, start_i, start_j, len)``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from strandframe.functions import divergence as D, residues as R, runs as U
 from strandframe.operators import alignment_columns as A
@@ -222,13 +222,8 @@ u AS (SELECT msa_id, i, j, unnest(range(1, least(length(a1), length(a2)) + 1)) A
 n AS (SELECT *, sum((x <> '-')::INT) OVER w AS num_i, sum((y <> '-')::INT) OVER w AS num_j FROM u WINDOW w AS (PARTITION BY msa_id, i ORDER BY p))
 SELECT msa_id, i, j, CAST(num_i AS BIGINT) AS num_i, CAST(num_j AS BIGINT) AS num_j FROM n WHERE x <> '-' AND y <> '-'""")
 def map_residues_between_members(t):
-    """Rows are joined, not cells; the running counts stay in the partitions of that join."""
-    both = F.arrays_zip(F.split("a1", "").alias("x"), F.split("a2", "").alias("y"))
-    d = A.consecutive_pairs(t.rows).select("msa_id", "pair", "i", "j", F.posexplode(both).alias("p", "z"))
-    letter = {s: F.coalesce(~F.col(f"z.{s}").isin("-", ""), F.lit(False)) for s in ("x", "y")}
-    w = W.partitionBy("msa_id", "pair").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    n = d.select("msa_id", "i", "j", *[F.sum(c.cast("long")).over(w).alias(f"num_{k}") for k, c in zip("ij", letter.values())], (letter["x"] & letter["y"]).alias("both"))
-    return n.filter("both").select("msa_id", "i", "j", "num_i", "num_j")
+    """Rows are joined, not cells; residues are numbered in kernels on the pairs."""
+    return A.residue_maps(A.consecutive_pairs(t.rows))
 
 
 @query("P26 P29", f"""WITH {CELLS}, g AS (SELECT msa_id, member, min(site) AS first_site, max(site) AS last_site FROM cells WHERE r <> '-' GROUP BY ALL)

@@ -143,7 +143,37 @@ def test_columns_are_apportioned_by_largest_remainder(spark, alone, slots):
     assert got == want and len(found) == len(got)
 
 
-@pytest.mark.parametrize("query", ["representative_reduction"])
+def pairs_of(seed):
+    """Pairs of rows of unlike lengths, and gaps put elsewhere in the same sequences."""
+    rng, out = Random(seed), [(0, 0, 1, "", "", "", ""), (0, 2, 3, "AC", None, "AC", None), (0, 4, 5, "--", "AB", "", "AB"), (0, 6, 7, "Ä𝒳A-", "-ÄB", "Ä𝒳A", "ÄB")]
+
+    def gapped(s):
+        return "".join("-" * rng.choice((0, 0, 0, 1, 2)) + c for c in s)
+
+    for k in range(1, 60):
+        x = "".join(rng.choice("ACD") for _ in range(rng.randint(0, 30)))
+        y = "".join(rng.choice("ACD") for _ in range(rng.randint(0, 30)))
+        out.append((k, 2 * k, 2 * k + 1, gapped(x), gapped(y), gapped(x) if k % 2 else x, gapped(y) if k % 2 else y))
+    return out
+
+
+def facing(a, b):
+    i = j = 0
+    for x, y in zip(a or "", b or ""):
+        i, j = i + (x != "-"), j + (y != "-")
+        if x != "-" and y != "-":
+            yield i, j
+
+
+@pytest.mark.parametrize("cells", [1, 1_000_000])
+def test_residue_maps(spark, cells, monkeypatch):
+    monkeypatch.setattr(A, "PAIR_CELLS", cells)
+    rows = pairs_of(17)
+    d = spark.createDataFrame(rows, "msa_id long, i long, j long, a1 string, a2 string, b1 string, b2 string").coalesce(2)
+    assert sorted(map(tuple, A.residue_maps(d).collect())) == sorted((k, i, j, *x) for k, i, j, a, b, _, _ in rows for x in facing(a, b))
+
+
+@pytest.mark.parametrize("query", ["map_residues_between_members", "representative_reduction"])
 def test_no_rows_of_cells_are_sorted_or_shuffled(spark, query):
     plan = QUERIES[query](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
