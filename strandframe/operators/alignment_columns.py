@@ -234,16 +234,25 @@ def residue_maps(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[F.col(c).cast("long") for c in ("msa_id", "i", "j")], "a1", "a2").mapInArrow(run, "msa_id long, i long, j long, num_i long, num_j long")
 
 
-def common_segments(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
-    """Stretches that two alignments of the same sequences share: ``(*keys, start_i, start_j, len)``.
+def shared_segments(pairs: DataFrame) -> DataFrame:
+    """Stretches that two alignments of the same two sequences share: ``(msa_id, i, j, start_i, start_j, len)``.
 
-    Both are sets of aligned residue numbers ``(*keys, num_i, num_j)``; common
-    pairs that follow each other on both sides make a segment.
+    ``a1`` and ``a2`` are the rows of one, ``b1`` and ``b2`` those of the other;
+    common pairs of residues that follow each other on both sides make a segment.
     """
-    both = first.join(second, [*keys, "num_i", "num_j"]).withColumn("diag", F.col("num_i") - F.col("num_j"))
-    w = W.partitionBy(*keys, "diag").orderBy("num_i")  # one diagonal of one pair
-    runs = both.withColumn("run", F.col("num_i") - F.row_number().over(w)).groupBy(*keys, "diag", "run")
-    return runs.agg(F.min("num_i").alias("start_i"), F.min("num_j").alias("start_j"), F.count("*").alias("len")).drop("diag", "run")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (a1, a2, b1, b2) in _pair_batches(batches):
+            one, other = _facing(a1, a2), _facing(b1, b2)
+            base = 1 + max((int(x.max()) for x in (*one[1:], *other[1:]) if len(x)), default=0)
+            same = np.intersect1d(*((row * base + i) * base + j for row, i, j in (one, other)), assume_unique=True)
+            row, i, j = same // base // base, same // base % base, same % base
+            new = np.ones(len(same), bool)
+            new[1:] = np.diff(same) != base + 1  # a step of both
+            at = np.flatnonzero(new)
+            yield from _keyed(part, row[at], start_i=i[at], start_j=j[at], len=np.diff(np.append(at, len(same))))
+
+    return pairs.select(*[F.col(c).cast("long") for c in ("msa_id", "i", "j")], "a1", "a2", "b1", "b2").mapInArrow(run, "msa_id long, i long, j long, start_i long, start_j long, len long")
 
 
 def member_distance_sums(rows: DataFrame, alone: int = S.ALONE) -> DataFrame:

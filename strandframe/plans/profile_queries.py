@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from strandframe.functions import codons as C, residues as R
 from strandframe.operators import alignment_columns as A, trees as T
-from strandframe.plans.alignment_queries import DEPTH, PROF, map_residues_between_members
+from strandframe.plans.alignment_queries import DEPTH, PROF
 from strandframe.plans.fragments import NT, ROWS, words
 from strandframe.plans.registry import query
 from strandframe.plans.residue_queries import CODE
@@ -33,10 +33,7 @@ c AS (SELECT msa_id, i, j, num_i, num_j, num_i - row_number() OVER (PARTITION BY
 SELECT msa_id, i, j, CAST(min(num_i) AS BIGINT) AS start_i, CAST(min(num_j) AS BIGINT) AS start_j, count(*) AS len FROM c GROUP BY msa_id, i, j, run""")
 def common_alignment_segments(t):
     """The alignment of two rows as given against that of their ungapped sequences, residue for residue."""
-    given = map_residues_between_members(t)
-    plain = A.consecutive_pairs(t.rows).select("msa_id", "i", "j", F.least(F.length(R.ungap("a1")), F.length(R.ungap("a2"))).cast("long").alias("n")).filter("n > 0")
-    plain = plain.select("msa_id", "i", "j", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("num_i"))
-    return A.common_segments(given, plain.withColumn("num_j", F.col("num_i")), ["msa_id", "i", "j"])
+    return A.shared_segments(A.consecutive_pairs(t.rows).withColumn("b1", R.ungap("a1")).withColumn("b2", R.ungap("a2")))
 
 
 @query("E17", tree_sql("upgma", """, lev AS (SELECT grp, i AS x, d FROM st WHERE kind = 'c' UNION SELECT grp, j, d FROM st WHERE kind = 'c'),

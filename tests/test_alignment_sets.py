@@ -166,14 +166,22 @@ def facing(a, b):
 
 
 @pytest.mark.parametrize("cells", [1, 1_000_000])
-def test_residue_maps(spark, cells, monkeypatch):
+def test_residue_maps_and_shared_segments(spark, cells, monkeypatch):
     monkeypatch.setattr(A, "PAIR_CELLS", cells)
     rows = pairs_of(17)
     d = spark.createDataFrame(rows, "msa_id long, i long, j long, a1 string, a2 string, b1 string, b2 string").coalesce(2)
     assert sorted(map(tuple, A.residue_maps(d).collect())) == sorted((k, i, j, *x) for k, i, j, a, b, _, _ in rows for x in facing(a, b))
+    want = set()
+    for k, i, j, a, b, c, e in rows:
+        same = set(facing(a, b)) & set(facing(c, e))
+        for x, y in same:
+            if (x - 1, y - 1) not in same:
+                want.add((k, i, j, x, y, next(n for n in range(1, 99) if (x + n, y + n) not in same)))
+    got = list(map(tuple, A.shared_segments(d).collect()))
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
 
 
-@pytest.mark.parametrize("query", ["map_residues_between_members", "representative_reduction"])
+@pytest.mark.parametrize("query", ["map_residues_between_members", "common_alignment_segments", "representative_reduction"])
 def test_no_rows_of_cells_are_sorted_or_shuffled(spark, query):
     plan = QUERIES[query](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
