@@ -1,8 +1,10 @@
 """Multiple alignment by rounds of profile alignment, for all alignments at once.
 
-Members are merged two groups at a time in guide order, so ``log2(members)``
-jobs align every set.  A kernel call sees two profiles (sites x letters), never
-the members; members take their new gaps by a join with the column map.
+Members are merged two groups at a time in guide order.  A set of up to ``ALONE``
+characters is aligned, refined or updated in one call of a kernel (``jvm``), a
+shuffle for all.  Larger ones take ``log2(members)`` jobs, in which a call sees two
+profiles (sites x letters), never the members, and members take their new gaps by
+a join with the column map.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -13,12 +15,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from strandframe import jvm as J
 from strandframe.functions import runs as U
 from strandframe.operators.pairwise import Scorer, align, balanced, letter_matrix
 from strandframe.session import cut_lineage
 
 
 COLS = ("many", "width", "p", "c", "n")
+#: Characters of an alignment that one task works on by itself; larger ones take jobs of their own.
+ALONE = 4_000_000
+#: Cells of a task of the kernels: what some seconds score.
+TASK_CELLS = 1_000_000_000
+
+
+def by_size(rows: DataFrame, cost, alone: int) -> tuple[DataFrame | None, float, DataFrame]:
+    """Sets of more than ``alone`` characters (None if there are none), the others' sum of ``cost(cells, width)``, and the others."""
+    size = cut_lineage(rows.groupBy("msa_id").agg(F.coalesce(F.sum(F.length("a")), F.lit(0)).alias("cells"), F.coalesce(F.max(F.length("a")), F.lit(0)).alias("width")))
+    huge = size.filter(F.col("cells") > alone).select("msa_id")
+    own = F.when(F.col("cells") <= alone, cost(F.col("cells").cast("double"), F.col("width")))
+    some, total = size.agg(F.max("cells") > alone, F.sum(own)).first()
+    if not some:
+        return None, total or 0.0, rows
+    return rows.join(huge, "msa_id", "left_semi"), total or 0.0, rows.join(huge, "msa_id", "left_anti")
 
 
 def group_profiles(rows: DataFrame) -> DataFrame:
@@ -81,17 +99,27 @@ def apply_columns(rows: DataFrame, maps: DataFrame, keys: list[str]) -> DataFram
     return chars.withColumn("a", F.when(F.col("src").isNull(), F.col("a")).otherwise(new)).drop("chars", "src")
 
 
-def progressive(members: DataFrame, matrix=None, v: float = 9, u: float = 2) -> DataFrame:
+def progressive(members: DataFrame, matrix=None, v: float = 9, u: float = 2, alone: int = ALONE) -> DataFrame:
     """Align ``(msa_id, member, g, a)``: ``g`` is the place in the guide order, 0, 1, 2 ...
 
     Neighbouring groups merge in every round, which is the balanced tree over
-    the order (the leaf order of a clustering tree, or catalogue order).
+    the order (the leaf order of a clustering tree, or catalogue order).  Rows without
+    a set, a place or a text pass untouched.
     """
     m = letter_matrix() if matrix is None else matrix
-    rows = cut_lineage(members.select("msa_id", "member", F.col("g").cast("long").alias("g"), "a"))
+    given = members.select("msa_id", "member", F.col("g").cast("long").alias("g"), "a")
+    placed_ = F.coalesce(F.expr("msa_id IS NOT NULL AND a IS NOT NULL AND g >= 0"), F.lit(False))
+    huge, cost, small = by_size(given.filter(placed_), lambda cells, width: cells * width, alone)
+    sets = J.dealt(small, cost, TASK_CELLS).groupBy("msa_id").agg(F.collect_list(F.struct("g", "member", "a")).alias("x"))
+    new = J.kernel(given.sparkSession, "Progressive", F.col("x.g"), F.col("x.a"), J.costs(m, v, u))
+    done = sets.select("msa_id", F.inline(F.arrays_zip(F.col("x.member").alias("member"), new.alias("a"))))
+    done = done.select("msa_id", "member", "a").unionByName(given.filter(~placed_).select("msa_id", "member", "a"))
+    if huge is None:
+        return done
+    rows = cut_lineage(huge)
     while not rows.filter("g > 0").isEmpty():
         rows = cut_lineage(_merge_round(rows, m, v, u))
-    return rows.select("msa_id", "member", "a")
+    return done.unionByName(rows.select("msa_id", "member", "a"))
 
 
 class GapStates:
@@ -190,15 +218,24 @@ def group_states(rows: DataFrame) -> DataFrame:
     return lists(gaps, "g").join(lists(late, "r"), "msa_id", "full")
 
 
-def best_moves(rows: DataFrame, matrix=None, v: float = 9, u: float = 2) -> DataFrame:
+def best_moves(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, alone: int = ALONE) -> DataFrame:
     """The move of each alignment that gains most: ``(msa_id, member, gain, rest, own)``, two column maps; none if no move gains.
 
-    Every member is realigned against the others in a kernel call of its own: the
-    letters and gap states of all, less the member's.  What a move gains is the
+    Every member is realigned against the others.  What a move gains is the
     change of the whole alignment's sum of pair scores, openings counted for every
     pair (pairs of the others don't change); ties go to the smaller member.
     """
     m = letter_matrix() if matrix is None else matrix
+    huge, cost, small = by_size(rows.filter("msa_id IS NOT NULL AND a IS NOT NULL"), lambda cells, width: cells * width, alone)
+    sets = J.dealt(small, cost, TASK_CELLS).groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("member", "a"))).alias("x"))
+    best = sets.select("msa_id", "x.member", J.kernel(rows.sparkSession, "BestMove", F.col("x.a"), J.costs(m, v, u)).alias("b")).filter("b IS NOT NULL")
+    part = lambda at: F.expr(f"transform(slice(b, {at}, cast(b[2] as int)), x -> cast(x as int))")
+    best = best.select("msa_id", F.expr("member[cast(b[0] as int)]").alias("member"), F.expr("b[1]").alias("gain"), part("4").alias("rest"), part("4 + cast(b[2] as int)").alias("own"))
+    return best if huge is None else best.unionByName(_best_moves(huge, m, v, u))
+
+
+def _best_moves(rows: DataFrame, m, v: float, u: float) -> DataFrame:
+    """``best_moves`` with a kernel call for each member: the letters and gap states of all, less the member's."""
     prof = group_profiles(rows.withColumn("g", F.lit(0))).filter("many > 1").select("msa_id", *COLS)
     prof = cut_lineage(prof.join(group_states(rows), "msa_id", "left"))
     calls = rows.select("msa_id", "member", F.col("a").alias("row")).join(prof, "msa_id")
@@ -218,10 +255,6 @@ def best_moves(rows: DataFrame, matrix=None, v: float = 9, u: float = 2) -> Data
     return best.select("msa_id", (-F.col("x.k")).alias("member"), "x.gain", "x.rest", "x.own")
 
 
-#: Letters and gaps of an alignment that one task refines by itself; larger ones take one job for each of their moves.
-ALONE = 4_000_000
-
-
 def refine(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, alone: int = ALONE) -> DataFrame:
     """Iterative refinement ``(msa_id, member, a)``: the best move of every alignment, until no move of it gains.
 
@@ -231,22 +264,18 @@ def refine(rows: DataFrame, matrix=None, v: float = 9, u: float = 2, alone: int
     no task holds more than the profile and one member.
     """
     m = letter_matrix() if matrix is None else matrix
-    width = rows.groupBy("msa_id").agg(F.max(F.length("a")).alias("width"), F.sum(F.length("a")).alias("cells"))
-    full = cut_lineage(rows.join(width, "msa_id").select("msa_id", "member", F.expr("rpad(a, width, '-')").alias("a"), "cells"))
-    sets = full.filter(F.col("cells") <= alone).groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("member", "a"))).alias("x"))
-    sets = sets.select("msa_id", F.col("x.member").alias("members"), F.col("x.a").alias("texts"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                texts = refined(list(t.texts), m, v, u)
-                yield pd.DataFrame({"msa_id": t.msa_id, "member": list(t.members), "a": texts})
-
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism * 4, 1)
-    done = sets.repartition(tasks).mapInPandas(run, "msa_id long, member long, a string")
-    active = cut_lineage(full.filter(F.col("cells") > alone).drop("cells"))
+    full = cut_lineage(rows.select("msa_id", "member", "a").filter("msa_id IS NOT NULL"))
+    huge, cost, small = by_size(full, lambda cells, width: cells * width * 8, alone)
+    sets = J.dealt(small, cost, TASK_CELLS).groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("member", "a"))).alias("x"))
+    new = J.kernel(rows.sparkSession, "Refined", F.col("x.a"), J.costs(m, v, u))
+    done = sets.select("msa_id", F.inline(F.arrays_zip(F.col("x.member").alias("member"), new.alias("a")))).select("msa_id", "member", "a")
+    if huge is None:
+        return done
+    done = done.unionByName(huge.filter("a IS NULL"))
+    width = huge.groupBy("msa_id").agg(F.max(F.length("a")).alias("width"))
+    active = cut_lineage(huge.filter("a IS NOT NULL").join(width, "msa_id").select("msa_id", "member", F.expr("rpad(a, width, '-')").alias("a")))
     while not active.isEmpty():
-        moves = cut_lineage(best_moves(active, matrix, v, u))
+        moves = cut_lineage(_best_moves(active, m, v, u))
         done = done.unionByName(active.join(moves.select("msa_id"), "msa_id", "left_anti"))
         met = active.join(moves.drop("gain").withColumnRenamed("member", "mover"), "msa_id")
         maps = met.withColumn("src", F.when(F.col("member") == F.col("mover"), F.col("own")).otherwise(F.col("rest")))
@@ -259,26 +288,6 @@ def letters_of(row: str) -> np.ndarray:
     return np.frombuffer(row.encode(), np.uint8).astype(np.int64) - 65
 
 
-def refined(texts: list[str], matrix, v: float, u: float) -> list[str]:
-    """Rows of one alignment after its best moves, one after the other."""
-    while len(texts) > 1 and texts[0]:
-        own = [letters_of(t) for t in texts]
-        profile, gaps, late = np.zeros((len(texts[0]), 26)), [], []
-        for o in own:
-            at, (gap, before) = np.flatnonzero(o >= 0), states_of(o)
-            np.add.at(profile, (at, o[at]), 1)
-            mine, behind = np.flatnonzero(gap), at[before[at] > 0]
-            gaps.append(np.stack([mine, before[mine], np.ones(len(mine), np.int64)]))
-            late.append(np.stack([behind, before[behind], np.ones(len(behind), np.int64)]))
-        gaps, late = (tuple(np.concatenate(x, axis=1)) for x in (gaps, late))
-        found = [(b[0], -i, b[1], b[2]) for i, o in enumerate(own) if (b := realign(profile, len(texts), gaps, late, o, matrix, v, u)) is not None]
-        if not found:
-            break
-        _, k, rest, mine = max(found, key=lambda x: x[:2])
-        texts = ["".join(t[x - 1] if x else "-" for x in (mine if i == -k else rest)) for i, t in enumerate(texts)]
-    return texts
-
-
 def moved(rows: DataFrame) -> DataFrame:
     """Rows with their column map ``src`` applied to ``a``."""
     chars = rows.withColumn("chars", F.split("a", ""))
@@ -319,15 +328,35 @@ def placed(profile: np.ndarray, many: int, own: np.ndarray, matrix, v, u) -> tup
     return [int(cols[x - 1]) + 1 if x else 0 for x in a], b
 
 
-def update_members(rows: DataFrame, guests: DataFrame, matrix=None, v: float = 9, u: float = 2) -> DataFrame:
+def update_members(rows: DataFrame, guests: DataFrame, matrix=None, v: float = 9, u: float = 2, alone: int = ALONE) -> DataFrame:
     """Alignments ``(msa_id, member, a)`` with ``guests (msa_id, member, s)`` put in: a member of that name gives way, others are added.
 
     A guest is aligned to the profile of the members that stay, whose empty columns
-    go.  Guests of one alignment come in one after the other (a round each, in order
-    of their names); alignments without guests pass untouched.  The rest's columns
-    keep their order, so members that stay keep their places towards each other.
+    go.  Guests of one alignment come in one after the other, in order of their names;
+    alignments without guests pass untouched.  The rest's columns keep their order, so
+    members that stay keep their places towards each other.  Alignments of more than
+    ``alone`` characters, their guests' included, take a round of jobs for each guest.
     """
     m = letter_matrix() if matrix is None else matrix
+    long_ = lambda d: d.select("msa_id", F.col("member").cast("long").alias("member"), "a")
+    own = long_(rows).withColumn("guest", F.lit(False))
+    new = long_(guests.withColumn("a", F.coalesce("s", F.lit("")))).withColumn("guest", F.lit(True))
+    both = own.unionByName(new).filter("msa_id IS NOT NULL")
+    loose = long_(rows).filter("msa_id IS NULL").unionByName(long_(guests.withColumn("a", F.coalesce("s", F.lit("")))).filter("msa_id IS NULL"))
+    huge, cost, small = by_size(both, lambda cells, width: cells * width, alone)
+    sets = J.dealt(small, cost, TASK_CELLS).groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("guest", "member", "a"))).alias("x"))
+    side = lambda q: F.expr(f"filter(x, y -> {q}y.guest)")
+    sets = sets.select("msa_id", side("NOT ").alias("rows"), side("").alias("guests"))
+    found = J.kernel(rows.sparkSession, "Updated", F.col("rows.member"), F.col("rows.a"), F.col("guests.member"), F.col("guests.a"), J.costs(m, v, u))
+    done = sets.select("msa_id", F.inline(found)).unionByName(loose)
+    if huge is None:
+        return done
+    huge = cut_lineage(huge)
+    return done.unionByName(_update_members(huge.filter("NOT guest").drop("guest"), huge.filter("guest").select("msa_id", "member", F.col("a").alias("s")), m, v, u))
+
+
+def _update_members(rows: DataFrame, guests: DataFrame, m, v: float, u: float) -> DataFrame:
+    """``update_members`` with a round of jobs for each guest."""
     turn = F.row_number().over(W.partitionBy("msa_id").orderBy("member"))
     guests = cut_lineage(guests.select("msa_id", "member", F.coalesce("s", F.lit("")).alias("s")).withColumn("turn", turn))
     named = guests.select("msa_id").distinct()

@@ -98,7 +98,7 @@ def progressive_alignment(t):
 @query("I1 J21", f"""WITH {ROWS} SELECT msa_id, member, replace(a, '-', '') AS residues, true AS same_width FROM rws""")
 def progressive_alignment_consistency(t):
     """Every aligned row gives back its sequence and all rows of a set have one width."""
-    d = M.progressive(_members(t))
+    d = cut_lineage(M.progressive(_members(t)))
     width = d.groupBy("msa_id").agg((F.max(F.length("a")) == F.min(F.length("a"))).alias("same_width"))
     return d.join(width, "msa_id").select("msa_id", "member", R.ungap("a").alias("residues"), "same_width")
 
