@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from hashlib import md5
+from itertools import groupby
 from math import isqrt
 
 import numpy as np
@@ -260,8 +262,71 @@ def together(pairs: list[tuple[str, str]], matrix: np.ndarray, v: float, u: floa
     return (best, bi, bj, choices) if trace else best
 
 
+#: Letters of second members whose distances to a first member are counted at once.
+LANES = 200_000
+
+
+def letter_codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le"), np.uint32)
+
+
+def distances(first: str, others: list[str]) -> list[int]:
+    """Unit-cost edit distances of ``first`` to others, all in one pass over its letters.
+
+    Steps of a column of all others are bits of one number (Myers, Hyyrö): up and down steps,
+    with an empty bit after each other's letters that takes the carry.
+    """
+    parts = [letter_codes(s) for s in others]
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    line = np.concatenate([y for x in parts for y in (x, [0])]).astype(np.int64) if parts else np.zeros(0, np.int64)
+    line[ends - 1] = -1
+    bits = lambda x: int.from_bytes(np.packbits(x, bitorder="little").tobytes(), "little")
+    full = line >= 0
+    inside, low = bits(full), np.zeros(len(line), bool)
+    low[np.concatenate([[0], ends[:-1]])] = True
+    low = bits(low & full)
+    text = letter_codes(first).tolist()
+    same = {c: bits(line == c) for c in set(text)}
+    up, down = inside, 0
+    for c in text:
+        eq = same[c]
+        across = ((((eq & up) + up) ^ up) | eq) & inside
+        right = down | (inside & ~(across | up))
+        left = up & across
+        right = (right << 1 | low) & inside
+        left = left << 1 & inside
+        eq |= down
+        up = left | (inside & ~(eq | right))
+        down = right & eq
+    size = len(line) // 8 + 1
+    steps = [np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little")[: len(line)].astype(np.int64) for x in (up, down)]
+    total = np.concatenate([[0], np.cumsum(steps[0] - steps[1])])[ends]
+    return (len(text) + np.diff(total, prepend=0)).tolist()
+
+
+def unit_costs(matrix: np.ndarray, v: float, u: float, mode: str) -> bool:
+    """Whether a score is ``-u`` times the number of letters changed, left out or put in (whole numbers, so that no order of sums matters)."""
+    same = np.eye(len(matrix), dtype=bool)
+    return mode == "global" and v == 0 and u > 0 and float(u).is_integer() and bool((matrix[same] == 0).all() and (matrix[~same] == -u).all())
+
+
+def unit_scores(pairs: list[tuple[str, str]], u: float) -> np.ndarray:
+    """Scores of pairs by unit costs; neighbours with the same first member are counted together."""
+    out, k = np.zeros(len(pairs)), 0
+    for first, run in groupby(pairs, key=lambda p: p[0]):
+        lane: list[str] = []
+        for s in [p[1] for p in run] + [None]:
+            if lane and (s is None or sum(map(len, lane)) + len(s) > LANES):
+                out[k : k + len(lane)] -= u * np.array(distances(first, lane), float)
+                k, lane = k + len(lane), []
+            lane.append(s)
+    return out
+
+
 def scores_of(pairs: list[tuple[str, str]], matrix: np.ndarray, v: float, u: float, mode: str) -> np.ndarray:
     """``score_only`` of every pair, in groups."""
+    if unit_costs(matrix, v, u, mode):
+        return unit_scores(pairs, u)
     out = np.zeros(len(pairs))
     for at in groups(pairs):
         out[at] = together([pairs[i] for i in at], matrix, v, u, mode)
@@ -298,8 +363,41 @@ def path_statistics(a: str, b: str, runs, i: int, j: int) -> tuple[int, int, int
     return mch, mmc, gap, unp
 
 
-def pair_scores(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mode: str = "global", matrix: np.ndarray | None = None) -> DataFrame:
-    """Score of every pair ``(keys..., s1, s2)``; ``keys`` is a DDL schema of the key columns."""
+class Shuffles:
+    """Seeded orders of texts: places by the digest of place and trial; the order of a shorter text is that of its places in a longer one."""
+
+    def __init__(self, trials: int):
+        self.trials, self.orders = trials, [np.zeros(0, np.int64)] * trials
+
+    def of(self, s: str) -> list[str]:
+        x = letter_codes(s)
+        if len(x) > len(self.orders[0]):
+            size = max(2 * len(self.orders[0]), len(x))
+            for t in range(self.trials):
+                keys = b"".join(md5(b"%d:%d" % (p, t + 1), usedforsecurity=False).digest() for p in range(1, size + 1))
+                self.orders[t] = np.argsort(np.frombuffer(keys, "S16"), kind="stable")
+        return [x[o[o < len(x)]].tobytes().decode("utf-32-le") for o in self.orders]
+
+
+def shuffled(pairs: DataFrame, keys: str, trials: int) -> DataFrame:
+    """Trials ``(keys..., trial, s1, s2)`` of every pair: 0 is the pair itself, the others have a seeded shuffle of its second member; spread by the cells to be scored."""
+    names = [k.strip().split()[0] for k in keys.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        orders = Shuffles(trials)
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                many = part.loc[part.index.repeat(trials + 1)]
+                texts = [x for s in part["s2"] for x in (s, *orders.of(s))]
+                yield many[names].assign(trial=np.tile(np.arange(trials + 1, dtype=np.int32), len(part)), s1=many["s1"], s2=texts)
+
+    spread = balanced(pairs, F.length("s1") * (trials + 1), F.length("s2"))
+    return spread.mapInPandas(run, f"{keys}, trial int, s1 string, s2 string")
+
+
+def pair_scores(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mode: str = "global", matrix: np.ndarray | None = None, spread: bool = False) -> DataFrame:
+    """Score of every pair ``(keys..., s1, s2)``; ``keys`` is a DDL schema of the key columns.  Pairs that are ``spread`` already stay where they are."""
     m = letter_matrix() if matrix is None else matrix
     names = [k.strip().split()[0] for k in keys.split(",")]
 
@@ -307,7 +405,8 @@ def pair_scores(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mode: s
         for pdf in batches:
             yield pdf[names].assign(score=scores_of(list(zip(pdf["s1"], pdf["s2"])), m, v, u, mode))
 
-    return balanced(pairs, F.length("s1"), F.length("s2")).mapInPandas(run, f"{keys}, score double")
+    d = pairs if spread else balanced(pairs, F.length("s1"), F.length("s2"))
+    return d.mapInPandas(run, f"{keys}, score double")
 
 
 def pair_alignments(pairs: DataFrame, keys: str, v: float = 9, u: float = 2, mode: str = "global", matrix: np.ndarray | None = None) -> DataFrame:

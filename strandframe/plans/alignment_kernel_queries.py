@@ -69,17 +69,10 @@ g AS (SELECT msa_id, i, j, CAST(max(s) FILTER (n = 0) AS DOUBLE) AS score, avg(s
 SELECT msa_id, i, j, score, round(mean, 6) AS mean, round(sd, 6) AS sd, CASE WHEN sd > 0 THEN round((score - mean) / sd, 6) END AS z FROM g""")
 def shuffle_significance(t):
     """Alignment score of a pair against eight seeded shuffles of its whole second member, and the z of it."""
-    d = sequence_pairs(t).filter("s1 != '' AND s2 != ''").select("msa_id", "i", "j", "s1", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("trial"), F.split("s2", "").alias("y"))
-
-    def key(p):
-        text = (p + 1).cast("string")
-        return F.when(F.col("trial") == 0, F.lpad(text, 12, "0")).otherwise(F.md5(F.concat_ws(":", text, F.col("trial").cast("string"))))
-
-    order = F.array_sort(F.transform("y", lambda c, p: F.struct(key(p).alias("k"), p.alias("p"), c.alias("c"))))
-    trials = d.select("msa_id", "i", "j", "trial", "s1", F.array_join(F.transform(order, lambda x: x["c"]), "").alias("s2"))
+    trials = P.shuffled(sequence_pairs(t).filter("s1 != '' AND s2 != ''"), KEYS, 8)
     unit = np.full((26, 26), -1.0)
     np.fill_diagonal(unit, 0.0)
-    s = P.pair_scores(trials, f"{KEYS}, trial int", v=0, u=1, matrix=unit)
+    s = P.pair_scores(trials, f"{KEYS}, trial int", v=0, u=1, matrix=unit, spread=True)
     shuffled = F.when(F.col("trial") > 0, F.col("score"))
     g = s.groupBy("msa_id", "i", "j").agg(F.max(F.when(F.col("trial") == 0, F.col("score"))).alias("score"), F.avg(shuffled).alias("mean"), F.stddev_samp(shuffled).alias("sd"))
     z = F.when(F.col("sd") > 0, F.round((F.col("score") - F.col("mean")) / F.col("sd"), 6))
