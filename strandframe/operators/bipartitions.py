@@ -54,13 +54,13 @@ def split_scores(cells: DataFrame, sides: DataFrame, match: int = 4, other: int
     return grid.join(by_key(hit), ["msa_id", "node", "site"], "left").fillna(other, ["score"])
 
 
-def common_regions(cells: DataFrame, tree: DataFrame, threshold: int) -> DataFrame:
+def common_regions(cells: DataFrame, tree: DataFrame, threshold: int, match: int = 4, other: int = -1) -> DataFrame:
     """``(msa_id, l, r, conserved)``: site ranges that lie in conserved segments of every split, and the rest of the sites.
 
     Depth of segments by changes: a range has as many as there are splits.
     """
     sides = cut_lineage(splits(cells, tree))
-    scores = split_scores(cells, sides)
+    scores = split_scores(cells, sides, match, other)
     key = F.struct("msa_id", "node")
     segments = scoring_segments(scores.select(key.alias("msa_id"), "site", "score"), threshold).select("msa_id.msa_id", "msa_id.node", "l", "r")
     count = sides.select("msa_id", "node").distinct().groupBy("msa_id").agg(F.count("*").alias("splits"))
@@ -75,6 +75,122 @@ def common_regions(cells: DataFrame, tree: DataFrame, threshold: int) -> DataFra
     return d.groupBy("msa_id", "g", "conserved").agg(F.min("at").alias("l"), (F.max("next") - 1).alias("r")).select("msa_id", "l", "r", "conserved")
 
 
+def regions(rows: DataFrame, tree: DataFrame, threshold: int, match: int = 4, other: int = -1, alone: int = L.ALONE) -> DataFrame:
+    """``common_regions`` of rows ``(msa_id, member, a)``: whole alignments with their trees in kernels, larger ones cell by cell."""
+    nodes = tree.groupBy("msa_id", "member").agg(F.collect_list(F.struct(F.col("node").cast("long").alias("node"), F.col("level").cast("long").alias("level"))).alias("nodes"))
+    d = by_key(rows.select("msa_id", "member", "a")).join(by_key(nodes), ["msa_id", "member"], "left")
+
+    def kernel(t: pa.Table) -> pa.Table:
+        x = L.letters(t)
+        size = np.array([len(a or "") for a in t["a"].to_pylist()], np.int64)
+        width = np.zeros(len(x.sets), np.int64)
+        np.maximum.at(width, x.of, size)
+        # members with sites, those without a number as one that has no letters of its own
+        known = t["member"].is_valid().to_numpy()
+        member = t["member"].fill_null(0).to_numpy()
+        there = np.flatnonzero(size > 0)
+        one, which = np.unique(np.stack([x.of, known, member])[:, there], axis=1, return_inverse=True)
+        several = np.bincount(one[0], minlength=len(x.sets)) > 1
+        lists = t["nodes"].combine_chunks()
+        flat, row = lists.flatten(), np.repeat(np.arange(t.num_rows), np.array(lists.value_lengths().fill_null(0)))
+        label, level = (flat.field(c).to_numpy() for c in ("node", "level"))
+        top = np.full(len(x.sets), -(2**62))
+        np.maximum.at(top, x.of[row], level)
+        highest = np.unique(np.stack([x.of[row], label])[:, level == top[x.of[row]]], axis=1)
+        pair, node = np.unique(np.concatenate([highest, np.stack([x.of[row], label])], axis=1), axis=1, return_inverse=True)
+        node = node.reshape(-1)
+        lower = np.ones(len(pair[0]), bool)
+        lower[node[: len(highest[0])]] = False
+        node = node[len(highest[0]):]
+        kept = lower[node] & several[x.of[row]]
+        own = several[one[0]]
+        # splits: inner nodes below the top, then single members; letters are counted as often as a row is named
+        split = np.concatenate([node[kept], len(pair[0]) + which.reshape(-1)])
+        row = np.concatenate([row[kept], there])
+        mine = np.concatenate([np.ones(kept.sum(), bool), own[which.reshape(-1)]])
+        count = np.concatenate([np.ones(kept.sum(), bool), known[there]])
+        split, row, count = split[mine], row[mine], count[mine]
+        _, split = np.unique(split, return_inverse=True)
+        of = np.zeros(split.max(initial=-1) + 1, np.int64)
+        of[split] = x.of[row]
+        order = np.argsort(split[count], kind="stable")
+        deep = _depth(x, row[count][order], split[count][order], of, width, threshold, match, other)
+        need = np.bincount(of, minlength=len(x.sets))
+        column = np.repeat(np.arange(len(x.sets)), width)
+        site = np.arange(len(column)) - np.repeat(x.first, width) + 1
+        full = deep == need[column]
+        shown = np.flatnonzero(several[column])
+        column, site, full = column[shown], site[shown], full[shown]
+        begins = np.ones(len(shown), bool)
+        begins[1:] = (column[1:] != column[:-1]) | (full[1:] != full[:-1])
+        at = np.flatnonzero(begins)
+        ends = np.append(at[1:], len(shown))[: len(at)] - 1
+        return pa.table({"msa_id": x.sets.take(pa.array(column[at])), "l": site[at], "r": site[ends], "conserved": full[at]})
+
+    def larger(huge: DataFrame) -> DataFrame:
+        of = tree.join(by_key(huge.select("msa_id").distinct()), "msa_id", "left_semi")
+        return common_regions(cells_of(huge.select("msa_id", "member", "a")), of, threshold, match, other)
+
+    return L.by_alignment(d, kernel, "msa_id long, l long, r long, conserved boolean", larger, alone)
+
+
+def _depth(x: L.Letters, row: np.ndarray, split: np.ndarray, of: np.ndarray, width: np.ndarray, threshold: int, match: int, other: int) -> np.ndarray:
+    """In how many splits' segments every column is; memberships come in the order of splits, ``of`` is the alignment of each."""
+    change = np.zeros(int(width.sum()) + 1, np.int64)
+    wide = width[of]
+    ends = np.searchsorted(split, np.arange(len(of) + 1))
+    starts = np.searchsorted(x.row, np.arange(len(x.of) + 1))
+    letters = np.diff(starts)[row]
+    _, which, n = x.same()
+    total = n[which.reshape(-1)]
+    cost = np.concatenate([[0], np.cumsum(wide + np.bincount(split, letters, len(of)).astype(np.int64))])
+    a = 0
+    while a < len(of):
+        b = max(a + 1, int(np.searchsorted(cost, cost[a] + NODE_CELLS, "right")) - 1)
+        own = slice(ends[a], ends[b])
+        many = letters[own]
+        at = np.repeat(starts[row[own]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        part = np.repeat(split[own] - a, many)
+        base = np.cumsum(wide[a:b]) - wide[a:b]
+        site = x.column[at] - x.first[of[a + part]] + base[part]
+        kinds, code = np.unique(x.code[at], return_inverse=True)
+        _, first, k = np.unique(site * max(len(kinds), 1) + code.reshape(-1), return_index=True, return_counts=True)
+        score = np.full(int(wide[a:b].sum()), other, np.int64)
+        score[site[first[k < total[at[first]]]]] = match
+        part, l, r = _segments(score, wide[a:b], threshold)
+        column = x.first[of[a + part]]
+        np.add.at(change, column + l, 1)
+        np.add.at(change, column + r + 1, -1)
+        a = b
+    return np.cumsum(change)[:-1]
+
+
+def _segments(score: np.ndarray, width: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``scoring_segments`` of lines of scores, site by site for all of them: line, first and last site (from 0)."""
+    order = np.argsort(-width, kind="stable")
+    base = (np.cumsum(width) - width)[order]
+    live = np.searchsorted(-width[order], -np.arange(width.max(initial=0)))  # lines with more sites than that
+    s, most, l, r = (np.zeros(len(width), np.int64) for _ in range(4))
+    found = []
+    for at, n in enumerate(live):
+        v = score[base[:n] + at]
+        l[:n][(s[:n] == 0) & (v > 0)] = at
+        raw = s[:n] + v
+        now = np.maximum(raw, 0)
+        better = (raw >= threshold) & (raw > most[:n])
+        most[:n][better] = raw[better]
+        r[:n][better] = at
+        close = np.flatnonzero((most[:n] > 0) & ((now <= 0) | (now < most[:n] - threshold)))
+        if len(close):
+            found.append((order[close], l[close], r[close]))
+            now[close] = 0
+            most[close] = 0
+        s[:n] = now
+    close = np.flatnonzero(most > 0)
+    found.append((order[close], l[close], r[close]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def fused_groups(cells: DataFrame, tree: DataFrame, threshold: int, match: int = 4, other: int = -1) -> DataFrame:
     """``(msa_id, member, node, size)``: members joined as long as no stretch between a node's two sides scores under ``-threshold``.
 

@@ -104,7 +104,7 @@ def turn_tree(t):
 @query("W6", REGIONS)
 def regions_over_splits(t):
     """Sites conserved between the two sides of every split of the tree of turns, and the divergent rest."""
-    return S.common_regions(t.cells, turn_tree(t), SEGMENT)
+    return S.regions(t.rows, turn_tree(t), SEGMENT)
 
 
 @query("W6b E12", f"""WITH RECURSIVE {CELLS}, {TREE},

@@ -185,3 +185,29 @@ def test_residue_maps_and_shared_segments(spark, cells, monkeypatch):
 def test_no_rows_of_cells_are_sorted_or_shuffled(spark, query):
     plan = QUERIES[query](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("alone", [0, 60, 500_000])
+def test_regions_equal_regions_of_cells(spark, alone, monkeypatch):
+    from strandframe.operators import bipartitions as B
+
+    monkeypatch.setattr(B, "NODE_CELLS", 50)
+    rng, rows = Random(19), alignments(15) + [(90, 0, "ACDEW"), (90, None, "ACDEW"), (90, 1, "ACDEW"), (None, 0, "AC"), (None, 1, "AC")]
+    for k in range(50, 90):  # rows that agree in part, some twice
+        base = [rng.choice("ACDEW") for _ in range(rng.randint(0, 60))]
+        for m in rng.sample(range(12), rng.randint(1, 9)):
+            rows += [(k, m, "".join(c if rng.random() < 0.9 else rng.choice("ACDEW-") for c in base[: rng.randint(20, 80)]))] * rng.choice((1, 1, 1, 1, 2))
+    d = frame(spark, rows)
+    tree = B.binary_tree(d, 4).localCheckpoint()
+    found = []
+    for threshold in (4, 12) if alone > 60 else (8,):
+        want = sorted(map(tuple, B.common_regions(A.cells_of(d), tree, threshold).collect()))
+        assert sorted(map(tuple, B.regions(d, tree, threshold, alone=alone).collect())) == want
+        found.append({x for x in want if x[3]})
+    assert all(found) and len(set(map(len, found))) == len(found)
+
+
+def test_regions_are_not_cells(spark):
+    """Every letter used to be shuffled once for each split, and every site once for each."""
+    plan = QUERIES["regions_over_splits"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Window" not in plan
